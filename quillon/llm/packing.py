@@ -24,7 +24,7 @@ from quillon.llm.common import text_of
 
 CAPACITY = 2048
 #: Tokens that a task gathers before it packs them; bounds its memory unless one document is larger.
-GROUP_TOKENS = 1 << 20
+GROUP_TOKENS = 1 << 22
 #: Longest piece of a document's rest. Smaller pieces balance better and cut documents more often.
 PIECE = 512
 END = 1
@@ -70,7 +70,8 @@ def _flat(nested: list) -> list[int]:
 def pack(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, window, offset) for each piece; windows hold at most ``capacity``.
 
-    Full windows are cut from the front of long documents, their rests into near-equal pieces of at most ``piece``.
+    Full windows are cut from the front of long documents; what is left of a document is cut into pieces of ``piece`` and a last,
+    shorter one.
     """
     out, rests, window = [], [], 0
     for d, n in enumerate(lengths):
@@ -78,13 +79,9 @@ def pack(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE) -> li
         for k in range(full):
             out.append((d, k * capacity, capacity, window, 0))
             window += 1
-        if rest := n - full * capacity:
-            parts = -(-rest // piece)
-            at = full * capacity
-            for k in range(parts):
-                size = rest // parts + (k < rest % parts)
-                rests.append((d, at, size))
-                at += size
+        if n > full * capacity:
+            for at in range(full * capacity, n, piece):
+                rests.append((d, at, min(piece, n - at)))
     if not rests:
         return out
     sizes = [r[2] for r in rests]
@@ -93,7 +90,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE) -> li
         sets = differencing(sizes, ways)
         if max(sum(sizes[i] for i in s) for s in sets) <= capacity:
             break
-        ways += 1 + ways // 256
+        ways += 1 + ways // 1024
     for s in sets:
         at = 0
         for i in s:
