@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import byte_bpe, exact_dedup, packing, quality, simhash
-from quillon.llm.common import table
+from quillon.llm import byte_bpe, exact_dedup, langid, packing, quality, simhash, toxicity
+from quillon.llm.common import id_remainder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, id_remainder("doc_id", 4) != 2)
+    return langid.languages(docs, model).select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_remainder("doc_id", 5) != 0)
+    return toxicity.toxicity(docs, model).select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -32,7 +44,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op7_exact_dedup, op9_byte_bpe)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op7_exact_dedup, op9_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
