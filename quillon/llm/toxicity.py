@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words is trained from confirmed toxic documents (positives) and unlabelled text.
+A linear classifier over the presence of words and their beginnings is trained from confirmed toxic documents (positives) and unlabelled text.
 The risk is that of Kiryo and others: pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]) with the logistic loss and the
 class prior pi; where the corrected negative part falls below zero, its gradient is followed upwards instead.
 
@@ -24,8 +24,20 @@ from quillon.llm.common import text_of
 POSITIVES = 4000
 UNLABELLED = 12_000
 #: A word becomes a feature if at least so many sampled documents have it.
-LEAST_DOCS = 15
-find_words = re.compile(r"[^\W\d_]+").findall
+LEAST_DOCS = 8
+#: Words enter the classifier if their shares among positives and unlabelled rows differ by so many standard errors.
+LEAST_CONTRAST = 6.0
+#: ... and if so large a share of the positives has them: what fewer share may be passages of a few sources.
+LEAST_SHARE = 0.02
+#: Beginnings of words are features as well, so that inflected and compounded forms meet.
+PREFIXES = (5, 6, 7)
+_words = re.compile(r"[^\W\d_]+").findall
+
+
+def features(text: str | None) -> set[str]:
+    """Lower-case words of letters, and the beginnings of longer ones, marked by a star."""
+    words = set(_words((text or "").lower()))
+    return words.union(*({f"{w[:k]}*" for w in words if len(w) > k} for k in PREFIXES))
 
 
 @dataclass
@@ -36,11 +48,11 @@ class ToxicModel:
 
     def score(self, text: str | None) -> float:
         w = self.weights
-        g = self.bias + sum(w[x] for x in w.keys() & set(find_words((text or "").lower())))
+        g = self.bias + sum(w[x] for x in w.keys() & features(text))
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-def fit_nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear score over binary features, given as (row, column) pairs; ``positive`` marks rows."""
     w, b = np.zeros(n_features), np.log(prior / (1 - prior))
     n_p, n_u = positive.sum(), (~positive).sum()
@@ -81,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [sorted(set(find_words((t or "").lower()))) for t in batch.column(1).to_pylist()]
+            bags = [sorted(features(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.string()))], names=["__key", "__words"])
 
     keyed = sample.select(F.concat_ws(":", F.col("__id").cast("string"), F.col("__p").cast("string")).alias("__key"), "__text")
@@ -92,14 +104,50 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     if not len(found):
         return ToxicModel({}, -30.0, prior)
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in found["words"] for w in ws}))}
-    found = found.sort_values("__key")
-    rows = np.repeat(np.arange(len(found)), found["words"].map(len))
-    columns = np.array([vocabulary[w] for ws in found["words"] for w in ws])
-    positive = found["__key"].str.endswith(":true").to_numpy()
+    found = found.assign(p=found["__key"].str.endswith(":true")).sort_values("__key", ignore_index=True)
+    bags_of = [np.array([vocabulary[w] for w in ws]) for ws in found["words"]]
+    first = _distinct(bags_of, found["p"].to_numpy(bool), len(vocabulary))
+    rows = np.repeat(np.arange(len(first)), [len(bags_of[i]) for i in first])
+    columns = np.concatenate([bags_of[i] for i in first])
+    positive = found["p"].to_numpy(bool)[first]
     if positive.all() or not positive.any():
         return ToxicModel({}, -30.0, prior)
-    w, b = fit_nnpu(rows, columns, positive, len(vocabulary), prior)
-    return ToxicModel({x: float(w[i]) for x, i in vocabulary.items() if abs(w[i]) > 1e-6}, b, prior)
+    often = np.bincount(columns, weights=positive[rows], minlength=len(vocabulary)) >= LEAST_SHARE * positive.sum()
+    telling = np.nonzero(often & (np.abs(_contrast(rows, columns, positive, len(vocabulary))) >= LEAST_CONTRAST))[0]
+    place = np.full(len(vocabulary), -1)
+    place[telling] = np.arange(len(telling))
+    keep = place[columns] >= 0
+    w, b = fit_nnpu(rows[keep], place[columns[keep]], positive, len(telling), prior)
+    names = list(vocabulary)
+    return ToxicModel({names[i]: float(x) for i, x in zip(telling, w, strict=True)}, b, prior)
+
+
+def _distinct(bags: list[np.ndarray], positive: np.ndarray, n_features: int, bands: int = 3, depth: int = 4) -> list[int]:
+    """Numbers of the sampled bags that are no near copy of an earlier one of their kind.
+
+    Copies would count their chance words as often as they occur. Bags are taken for near copies if one of ``bands``
+    bands of ``depth`` MinHash values agrees.
+    """
+    rng = np.random.default_rng(5)
+    order = [rng.permutation(n_features) for _ in range(bands * depth)]
+    seen: set[tuple] = set()
+    kept = []
+    for i, bag in enumerate(bags):
+        least = [int(o[bag].min()) for o in order]
+        keys = [(bool(positive[i]), b, *least[b * depth : (b + 1) * depth]) for b in range(bands)]
+        if not any(k in seen for k in keys):
+            kept.append(i)
+        seen.update(keys)
+    return kept
+
+
+def _contrast(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int) -> np.ndarray:
+    """Standard score of the difference between a word's document shares among positives and unlabelled rows."""
+    n_p, n_u = positive.sum(), (~positive).sum()
+    in_p = np.bincount(columns, weights=positive[rows], minlength=n_features)
+    in_u = np.bincount(columns, minlength=n_features) - in_p
+    share = (in_p + in_u + 1) / (n_p + n_u + 2)
+    return (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
 
 
 def toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
