@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, exact_dedup, html_text, langid, packing, quality, simhash, toxicity
+from quillon.llm import byte_bpe, exact_dedup, html_text, langid, ngram_lm, packing, quality, simhash, toxicity
 from quillon.llm.common import id_remainder, table
 
 
@@ -47,8 +48,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_lm.scores(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) != 0)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op9_byte_bpe)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op9_byte_bpe, op10_lm_score)
 }
 
 ORACLE_SQL: dict[str, str] = {
