@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, exact_dedup, html_text, langid, ngram_lm, packing, quality, simhash, toxicity
+from quillon.llm import byte_bpe, exact_dedup, html_text, langid, ngram_lm, packing, pii, quality, simhash, toxicity
 from quillon.llm.common import id_remainder, table
 
 
@@ -44,6 +44,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.found_spans(docs, pii.train(docs))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -54,7 +59,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op9_byte_bpe, op10_lm_score)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op8_pii, op9_byte_bpe, op10_lm_score)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -11,15 +11,16 @@ driver; scoring reads whole texts where they lie and shuffles nothing.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_of
+from quillon.llm.common import cut, text_of
 
 POSITIVES = 4000
 UNLABELLED = 12_000
@@ -91,63 +92,55 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     chosen = F.broadcast(p.union(u))  # at most positives + unlabelled ids
     sample = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).join(chosen, "__id").select("__id", "__p", "__text")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [sorted(features(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.string()))], names=["__key", "__words"])
-
-    keyed = sample.select(F.concat_ws(":", F.col("__id").cast("string"), F.col("__p").cast("string")).alias("__key"), "__text")
-    bags = keyed.mapInArrow(words, "__key string, __words array<string>")
-    pairs = bags.select("__key", F.explode("__words").alias("word"))
-    common = pairs.groupBy("word").count().filter(F.col("count") >= LEAST_DOCS).select("word")
-    found = pairs.join(common, "word").groupBy("__key").agg(F.collect_list("word").alias("words")).toPandas()  # bounded by the sample
-    if not len(found):
+            found = [sorted(features(t)) for t in batch.column(2).to_pylist()]
+            keys = [_bands(x) for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string())), *(pa.array([k[b] for k in keys], pa.int64()) for b in range(BANDS))],
+                names=["key", "p", "words", *(f"b{b}" for b in range(BANDS))],
+            )
+
+    keyed = sample.select(F.concat_ws(":", F.col("__id").cast("string"), F.col("__p").cast("string")).alias("key"), F.col("__p").alias("p"), "__text")
+    bagged = cut(keyed.mapInArrow(bags, "key string, p boolean, words array<string>, " + ", ".join(f"b{b} long" for b in range(BANDS))))
+    # Copies would count their chance words as often as they occur: of rows that agree in a band, the first one stays.
+    narrow = bagged.drop("words")
+    for b in range(BANDS):
+        narrow = narrow.withColumn(f"first{b}", F.min("key").over(Window.partitionBy("p", f"b{b}")))
+    first = cut(narrow.filter(" and ".join(f"key = first{b}" for b in range(BANDS))).select("key"))
+    kept = bagged.join(F.broadcast(first), "key", "left_semi")
+    sizes = {r["p"]: r["count"] for r in kept.groupBy("p").count().collect()}
+    n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
+    if not n_p or not n_u:
         return ToxicModel({}, -30.0, prior)
-    vocabulary = {w: i for i, w in enumerate(sorted({w for ws in found["words"] for w in ws}))}
-    found = found.assign(p=found["__key"].str.endswith(":true")).sort_values("__key", ignore_index=True)
-    bags_of = [np.array([vocabulary[w] for w in ws]) for ws in found["words"]]
-    first = _distinct(bags_of, found["p"].to_numpy(bool), len(vocabulary))
-    rows = np.repeat(np.arange(len(first)), [len(bags_of[i]) for i in first])
-    columns = np.concatenate([bags_of[i] for i in first])
-    positive = found["p"].to_numpy(bool)[first]
-    if positive.all() or not positive.any():
+    counted = kept.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("p").cast("long")).alias("in_p"), F.count(F.lit(1)).alias("n"))
+    contrast = _contrast(F.col("in_p"), F.col("n") - F.col("in_p"), n_p, n_u)
+    telling = sorted(r["word"] for r in counted.filter((F.col("n") >= LEAST_DOCS) & (F.col("in_p") >= LEAST_SHARE * n_p) & (contrast >= LEAST_CONTRAST)).collect())
+    if not telling:
         return ToxicModel({}, -30.0, prior)
-    often = np.bincount(columns, weights=positive[rows], minlength=len(vocabulary)) >= LEAST_SHARE * positive.sum()
-    telling = np.nonzero(often & (np.abs(_contrast(rows, columns, positive, len(vocabulary))) >= LEAST_CONTRAST))[0]
-    place = np.full(len(vocabulary), -1)
-    place[telling] = np.arange(len(telling))
-    keep = place[columns] >= 0
-    w, b = fit_nnpu(rows[keep], place[columns[keep]], positive, len(telling), prior)
-    names = list(vocabulary)
-    return ToxicModel({names[i]: float(x) for i, x in zip(telling, w, strict=True)}, b, prior)
+    place = {w: i for i, w in enumerate(telling)}
+    table = kept.select("key", "p", F.array_intersect("words", F.array(*map(F.lit, telling))).alias("words")).toPandas().sort_values("key", ignore_index=True)
+    rows = np.repeat(np.arange(len(table)), table["words"].map(len))
+    columns = np.array([place[w] for ws in table["words"] for w in ws], dtype=np.int64)
+    w, bias = fit_nnpu(rows, columns, table["p"].to_numpy(bool), len(telling), prior)
+    return ToxicModel(dict(zip(telling, map(float, w), strict=True)), bias, prior)
 
 
-def _distinct(bags: list[np.ndarray], positive: np.ndarray, n_features: int, bands: int = 3, depth: int = 4) -> list[int]:
-    """Numbers of the sampled bags that are no near copy of an earlier one of their kind.
+#: Bags are taken for near copies if one of the bands of so many MinHash values agrees.
+BANDS, DEPTH = 3, 4
+_FACTORS = np.random.default_rng(5).integers(1, 1 << 32, (BANDS * DEPTH, 2), dtype=np.uint64) | np.uint64(1)
 
-    Copies would count their chance words as often as they occur. Bags are taken for near copies if one of ``bands``
-    bands of ``depth`` MinHash values agrees.
-    """
-    rng = np.random.default_rng(5)
-    order = [rng.permutation(n_features) for _ in range(bands * depth)]
-    seen: set[tuple] = set()
-    kept = []
-    for i, bag in enumerate(bags):
-        least = [int(o[bag].min()) for o in order]
-        keys = [(bool(positive[i]), b, *least[b * depth : (b + 1) * depth]) for b in range(bands)]
-        if not any(k in seen for k in keys):
-            kept.append(i)
-        seen.update(keys)
-    return kept
-
-
-def _contrast(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int) -> np.ndarray:
+
+def _bands(bag: list[str]) -> list[int]:
+    h = np.array([zlib.crc32(w.encode()) for w in bag] or [0], dtype=np.uint64)
+    least = [int(((h * a + b) & np.uint64(0xFFFFFFFF)).min()) for a, b in _FACTORS]
+    return [hash(tuple(least[b * DEPTH : (b + 1) * DEPTH])) for b in range(BANDS)]
+
+
+def _contrast(in_p: Column, in_u: Column, n_p: int, n_u: int) -> Column:
     """Standard score of the difference between a word's document shares among positives and unlabelled rows."""
-    n_p, n_u = positive.sum(), (~positive).sum()
-    in_p = np.bincount(columns, weights=positive[rows], minlength=n_features)
-    in_u = np.bincount(columns, minlength=n_features) - in_p
     share = (in_p + in_u + 1) / (n_p + n_u + 2)
-    return (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    return (in_p / n_p - in_u / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
 
 
 def toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
