@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import text_of
 
 #: Pre-tokens whose ids a task remembers; past that it forgets all. Only speed depends on it.
-MEMORY = 400_000
+MEMORY = 800_000
 
 
 class RankQueue:
@@ -41,10 +41,14 @@ class RankQueue:
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is not None:
+        if bucket is None:
+            self.fill(rank, [position])
+        else:
             bucket.append(position)
-            return
-        self.buckets[rank] = [position]
+
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """A bucket that is empty gets these positions, and its bits are set."""
+        self.buckets[rank] = positions
         for level in self.levels:
             word, bit = rank >> 6, 1 << (rank & 63)
             was = level[word]
@@ -82,48 +86,59 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.memory: dict[str, bytes] = {}
         self.queue = RankQueue(max(ranks.values()) + 1)
-        # Pairs of ids that merge, by one integer key: every token split in two tokens.
-        self.width = max(ranks.values()) + 1
-
-    @lru_cache(maxsize=1 << 18)  # noqa: B019  one coder a worker
-    def rank_of(self, a: int, b: int) -> int:
-        """Rank of the token that two adjacent parts make, -1 if none."""
-        return self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece; all pieces share the queue."""
-        ids: list[int] = []
-        single = [self.ranks[bytes([b])] for b in range(256)]
-        bounds = []
-        for piece in pieces:
-            start = len(ids)
-            ids.extend(single[b] for b in piece)
-            bounds.append((start, len(ids)))
-            ids.append(-1)  # the gap
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue, rank_of, push = self.queue, self.rank_of, self.queue.push
-        for i in range(n - 1):
-            if ids[i] >= 0 and ids[i + 1] >= 0 and (r := rank_of(ids[i], ids[i + 1])) >= 0:
-                push(r, i)
+        self.bits = max(ranks.values()).bit_length()
+        #: Rank of the token that two adjacent parts make, by both ids in one integer.
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[(left << self.bits) | right] = rank
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte_pairs = np.array([[self.pairs.get((int(a) << self.bits) | int(b), -1) for b in self.single] for a in self.single], dtype=np.int64)
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as little-endian unsigned 32-bit integers; all pieces share the queue.
+
+        Parts form a linked list, with a gap (id -1) before, between and after the pieces.
+        """
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        n = len(data) + len(pieces) + 1
+        at = np.arange(1, len(data) + 1) + np.repeat(np.arange(len(pieces)), lengths)
+        flat, joined = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+        flat[at] = self.single[data]
+        inner = np.nonzero(np.diff(at) == 1)[0]
+        joined[at[inner]] = self.byte_pairs[data[inner], data[inner + 1]]
+        queue, push, pair_rank, bits = self.queue, self.queue.push, self.pairs.get, self.bits
+        order = np.nonzero(joined >= 0)[0]
+        order = order[np.argsort(joined[order], kind="stable")]
+        for group in np.split(order, np.nonzero(np.diff(joined[order]))[0] + 1) if len(order) else ():
+            queue.fill(int(joined[group[0]]), group.tolist())
+        #: joined[i]: rank of the pair that starts at part i, -1 if it makes no token or i is gone.
+        ids, joined, after, before = flat.tolist(), joined.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
         while (rank := queue.lowest()) >= 0:
-            # Of overlapping pairs the leftmost merges first. A position can enter a bucket out of order when its
-            # pair appears later, so the bucket is sorted.
-            for i in sorted(queue.take(rank)):
-                a, j = ids[i], after[i]
-                if a < 0 or j >= n or ids[j] < 0 or rank_of(a, ids[j]) != rank:
+            bucket = queue.take(rank)
+            bucket.sort()  # of overlapping pairs the leftmost merges first, whenever it came
+            left = rank << bits
+            for i in bucket:
+                if joined[i] != rank:
                     continue  # stale
-                k = after[j]
-                ids[i], ids[j] = rank, -2
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    if ids[k] >= 0 and (r := rank_of(rank, ids[k])) >= 0:
-                        push(r, i)
-                h = before[i]
-                if h >= 0 and ids[h] >= 0 and (r := rank_of(ids[h], rank)) >= 0:
+                j = after[i]
+                k, h = after[j], before[i]
+                ids[i], ids[j], joined[j] = rank, -2, -1
+                after[i], before[k] = k, i
+                joined[i] = r = pair_rank(left | ids[k], -1)  # a gap's -1 makes a key that no pair has
+                if r >= 0:
+                    push(r, i)
+                joined[h] = r = pair_rank((ids[h] << bits) | rank, -1)
+                if r >= 0:
                     push(r, h)
-        return [[x for x in ids[s:e] if x >= 0] for s, e in bounds]
+        final = np.array(ids, dtype=np.int64)
+        final = final[final != -2]
+        gaps = np.nonzero(final == -1)[0].tolist()
+        packed = final.astype("<u4").tobytes()
+        return [packed[4 * s + 4 : 4 * e] for s, e in zip(gaps, gaps[1:], strict=False)]
 
     def encode_texts(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -131,21 +146,22 @@ class ByteBpe:
         memory = self.memory
         if len(memory) > MEMORY:
             memory.clear()
-        new = sorted({p for pieces in cut for p in pieces if p not in memory})
-        whole = {p: self.ranks.get(p.encode("utf-8", "surrogatepass")) for p in new}
-        long = [p for p in new if whole[p] is None]
-        for p in new:
-            if whole[p] is not None:
-                memory[p] = whole[p].to_bytes(4, "little")
         block, size = [], 0
-        for p in [*long, None]:
-            if p is None or size > 1 << 18:
-                for q, ids in zip(block, self.encode_pieces([q.encode("utf-8", "surrogatepass") for q in block]), strict=True):
-                    memory[q] = np.array(ids, dtype="<u4").tobytes()
+        for p in {p for pieces in cut for p in pieces}:
+            if p in memory:
+                continue
+            raw = p.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                memory[p] = whole.to_bytes(4, "little")
+                continue
+            block.append((p, raw))
+            size += len(raw)
+            if size > 1 << 20:
+                memory.update(zip((q for q, _ in block), self.encode_pieces([r for _, r in block]), strict=True))
                 block, size = [], 0
-            if p is not None:
-                block.append(p)
-                size += len(p)
+        if block:
+            memory.update(zip((q for q, _ in block), self.encode_pieces([r for _, r in block]), strict=True))
         for pieces in cut:
             yield b"".join([memory[p] for p in pieces])
 
@@ -154,7 +170,9 @@ class ByteBpe:
         return b"".join([of[i] for i in ids])
 
 
+@lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
+    """A coder; a worker keeps it, with the pre-tokens it remembers, for its next tasks."""
     with open(path, "rb") as f:
         return ByteBpe({base64.b64decode(t): int(i) for t, i in (line.split() for line in f if line.strip())}, pattern)
 
@@ -170,8 +188,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 n, ids_sha, text_sha, kept = [], [], [], []
                 for ids in coder.encode_texts(part.column(1).to_pylist()):
                     numbers = np.frombuffer(ids, dtype="<u4")
