@@ -38,29 +38,10 @@ ADDED = 0.1
 def tokens(text: str) -> np.ndarray:
     """64-bit hashes of the words, ASCII letters lower-cased, and the end."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    h = xxhash.xxh64_intdigest
-    return np.array([h(w) for w in words] + [END], dtype=np.uint64)
-
-
-class _Hasher:
-    """Hashes words through a memory that starts anew when it has grown large; only speed depends on it."""
-
-    def __init__(self, limit: int = 400_000) -> None:
-        self.memory: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        memory = self.memory
-        if len(memory) > self.limit:
-            memory.clear()
-        for w in set(words):
-            if w not in memory:
-                memory[w] = xxhash.xxh64_intdigest(w)
-        out = np.empty(len(words) + 1, dtype=np.uint64)
-        out[:-1] = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
-        out[-1] = END
-        return out
+    out = np.empty(len(words) + 1, dtype=np.uint64)
+    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out[-1] = END
+    return out
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,29 +53,29 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Token hashes of some texts in one array, with each token's context and bigram."""
+    """The token hashes of some texts, and each token's place among the distinct unigrams and bigrams."""
 
     def __init__(self, texts: list[np.ndarray]) -> None:
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.words = np.concatenate(texts)
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.context = np.empty_like(self.words)
-        self.context[1:] = self.words[:-1]
-        self.context[starts] = BEGIN
-        self.pairs = _mix(self.context, self.words)
-        self.starts = starts
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct unigram (begin included) and bigram hashes, sorted."""
-        return np.unique(np.append(self.words, np.uint64(BEGIN))), np.unique(self.pairs)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        words = np.concatenate(texts)
+        context = np.empty_like(words)
+        context[1:] = words[:-1]
+        context[self.starts] = BEGIN
+        #: Distinct hashes, sorted; the begin is among the unigrams.
+        self.unigrams, place = np.unique(np.append(words, np.uint64(BEGIN)), return_inverse=True)
+        self.word, self.begin = place[:-1], place[-1]
+        self.context = np.empty_like(self.word)
+        self.context[1:] = self.word[:-1]
+        self.context[self.starts] = self.begin
+        self.bigrams, self.pair = np.unique(_mix(context, words), return_inverse=True)
 
     def counted(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of ``asked``; the begin counts training texts."""
-        unigrams, bigrams = self.asked()
+        """Training counts of the unigrams and bigrams; the begin counts training texts."""
         mine = np.repeat(training, self.lengths)
-        one = np.bincount(np.searchsorted(unigrams, self.words[mine]), minlength=len(unigrams))
-        one[np.searchsorted(unigrams, np.uint64(BEGIN))] += int(training.sum())
-        return one, np.bincount(np.searchsorted(bigrams, self.pairs[mine]), minlength=len(bigrams))
+        one = np.bincount(self.word[mine], minlength=len(self.unigrams))
+        one[self.begin] += int(training.sum())
+        return one, np.bincount(self.pair[mine], minlength=len(self.bigrams))
 
 
 def _bounds(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
@@ -147,11 +128,10 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     narrow = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"), F.coalesce(training, F.lit(False)).alias("__train"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _Hasher()
         for number, parts in _chunks(batches, chunk_bytes):
-            chunk = Chunk([hashed(t.as_py()) for p in parts for t in p.column(1)])
+            chunk = Chunk([tokens(t.as_py()) for p in parts for t in p.column(1)])
             train = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts]).astype(bool)
-            for kind, (keys, counts) in enumerate(zip(chunk.asked(), chunk.counted(train), strict=True)):
+            for kind, (keys, counts) in enumerate(zip((chunk.unigrams, chunk.bigrams), chunk.counted(train), strict=True)):
                 at = _bounds(keys, n_buckets)
                 spans = [(b, s, e) for b, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
                 yield pa.RecordBatch.from_arrays(
@@ -198,12 +178,11 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
 
     def walk(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.sort_by("place")
-        hashed = _Hasher()
-        chunk = Chunk([hashed(t.as_py()) for t in rows.column("__text")])
+        chunk = Chunk([tokens(t.as_py()) for t in rows.column("__text")])
         train = rows.column("__train").to_numpy().astype(bool)
         found = sorted(zip(*(right.column(x).to_pylist() for x in ("bucket", "check", "counts")), strict=True))
-        (unigrams, bigrams), at, counts = chunk.asked(), 0, []
-        for kind, keys in enumerate((unigrams, bigrams)):
+        at, counts = 0, []
+        for kind, keys in enumerate((chunk.unigrams, chunk.bigrams)):
             bounds = _bounds(keys, n_buckets)
             for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if e > s:
@@ -212,11 +191,11 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
                     counts.append(_wide(found[at][2]))
                     at += 1
         counts = np.concatenate(counts)
-        c1, c2 = counts[: len(unigrams)], counts[len(unigrams) :]
+        c1, c2 = np.split(counts, [len(chunk.unigrams)])
         # States and arcs of the automaton that this chunk can reach.
         unigram = np.log10((c1 + ADDED) / (total + ADDED * (vocabulary + 1)))
         fail = np.log10(prior_tokens / (c1 + prior_tokens))
-        w, u, p = np.searchsorted(unigrams, chunk.words), np.searchsorted(unigrams, chunk.context), np.searchsorted(bigrams, chunk.pairs)
+        w, u, p = chunk.word, chunk.context, chunk.pair
         seen = c2[p] > 0
         arc = np.log10((c2[p] + prior_tokens * 10 ** unigram[w]) / (c1[u] + prior_tokens))
         step = np.where(seen, arc, fail[u] + unigram[w])
