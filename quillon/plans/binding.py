@@ -30,7 +30,7 @@ def standards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("GBT"), "l_orderkey", F.lit("_"), "l_linenumber", F.lit("_"), "l_suppkey", F.lit(".pdf"))
     return table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(
-        (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("base_id"),
+        (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey") * 20 + F.col("l_linenumber") + F.when(F.col("l_linestatus") == "F", 10).otherwise(0)).alias("id"), F.col("l_orderkey").alias("base_id"),
         F.concat("l_linestatus", F.lit("/"), name).alias("file_path"), name.alias("file_name"),
     ).distinct()
 
@@ -86,7 +86,7 @@ _N = "(CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey
 #: The same tables as common table expressions.
 SQL = {
     "std": f"std AS (SELECT *, {_KEYS} FROM (SELECT o_orderkey AS id, {_CODE} AS std_id, o_orderpriority AS std_type, CASE WHEN o_orderkey % 7 <> 0 THEN {WORDS}[o_custkey % {len(WORDS)} + 1] || ' rule' END AS std_chinesename, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS ex_state, strftime(o_orderdate, '%Y-%m-%d') AS release_date FROM orders))",
-    "files": f"files AS (SELECT DISTINCT l_orderkey * 10000000 + l_suppkey * 10 + l_linenumber AS id, l_orderkey AS base_id, l_linestatus || '/' || {_NAME} AS file_path, {_NAME} AS file_name FROM lineitem WHERE l_returnflag = 'A')",
+    "files": f"files AS (SELECT DISTINCT l_orderkey * 10000000 + l_suppkey * 20 + l_linenumber + CASE WHEN l_linestatus = 'F' THEN 10 ELSE 0 END AS id, l_orderkey AS base_id, l_linestatus || '/' || {_NAME} AS file_path, {_NAME} AS file_name FROM lineitem WHERE l_returnflag = 'A')",
     "named": f"named AS (SELECT *, {_KEYS} FROM (SELECT p_partkey AS id, p_brand || '-' || p_partkey AS std_id, p_type AS std_type, p_name AS std_chinesename, p_size % 3 AS ex_state FROM part))",
     "nfiles": "nfiles AS (SELECT DISTINCT l_partkey AS base_id, 'part bolt' || (l_suppkey % 9) || '.pdf' AS file_name FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)",
     "rel": "rel AS (SELECT l_orderkey AS base_id, l_suppkey AS unit_id, l_linenumber AS rank_order FROM lineitem)",

@@ -23,9 +23,9 @@ def newest(spark: SparkSession, folder: str, pattern: str) -> str | None:
 
 def upload(spark: SparkSession, path: str) -> DataFrame:
     """row (from 0) and cells of an uploaded CSV file, kept as text; a byte order mark goes."""
-    raw = spark.read.option("multiLine", "true").option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     lines = raw.select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")).alias("row", "line")).filter("line <> ''")
-    cells = F.transform(F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    cells = F.transform(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
     return lines.select("row", cells.alias("cells"))
 
 
