@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, text_of
+from quillon.llm.common import SPACE, fresh, text_of
 
 
 def normalised(text_col: str = "text") -> Column:
@@ -54,11 +54,7 @@ def exact_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Whole rows travel through a single aggregation, so no second shuffle fetches the texts again.
     """
-    kept = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.col("__order")).alias("__row")
-    return (
-        docs.withColumns({"__norm": normalised(text_col), "__order": _order(id_col, text_col)})
-        .withColumn("__h", F.md5(F.encode("__norm", "utf-8")))
-        .groupBy("__h", "__norm")
-        .agg(kept)
-        .select("__row.*")
-    )
+    h, norm, order, row = fresh(docs, "__h", "__norm", "__order", "__row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumns({norm: normalised(text_col), order: _order(id_col, text_col)}).withColumn(h, F.md5(F.encode(norm, "utf-8")))
+    return keyed.groupBy(h, norm).agg(F.min_by(whole, F.col(order)).alias(row)).select(f"{row}.*")

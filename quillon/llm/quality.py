@@ -206,6 +206,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def keep_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns. A verdict depends on the text and the fitted model alone."""
     p = "__q_"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p = "_" + p
     featured = with_features(docs, text_col, p)
     model = vote_model(with_features(docs.select(F.col(text_col).alias("__text")), "__text", p), p)
     passed = ~base_failed(p) & (model.posterior(votes(p)) >= threshold)

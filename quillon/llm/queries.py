@@ -17,7 +17,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).withColumn("p_good", F.round("p_good", 6))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +55,61 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_lm.scores(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) != 0)
-    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op8_pii, op9_byte_bpe, op10_lm_score)
 }
 
+_WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: crc32 of an id written as text: eight shifts a character.
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _quality_sql() -> str:
+    rules = quality.RULES
+    names = list(rules)
+    k = range(1, len(names) + 1)
+    vote = lambda r, good, bad: f"CASE WHEN n_words = 0 THEN 0 WHEN {r.format(p='')} > {bad} THEN -1 " + (f"WHEN {r.format(p='')} <= {good} THEN 1 " if good is not None else "") + "ELSE 0 END"
+    votes = ", ".join(f"{vote(*rules[n])} AS v{i}" for i, n in zip(k, names, strict=True))
+    vs = ", ".join(f"v{i}" for i in k)
+    logit = "ln(pi / (1 - pi)) + " + " + ".join(f"CASE v{i} WHEN 1 THEN ln(good[{i}] / (1 - bad[{i}])) WHEN -1 THEN ln((1 - good[{i}]) / bad[{i}]) ELSE 0 END" for i in k)
+    share = lambda q, hit, i: f"least(0.99, greatest(0.5, (sum(CASE WHEN v{i} = {hit} THEN n * {q} ELSE 0 END) + 8) / (sum(CASE WHEN v{i} <> 0 THEN n * {q} ELSE 0 END) + 10)))"
+    start = "[" + ", ".join("0.8::DOUBLE" for _ in k) + "]"
+    stop = ", ".join(f"'{w}'" for w in quality.FUNCTION_WORDS)
+    return rf"""
+        WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, {_WORDS.format(t='t')} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        r AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM g, range(3) o(d) WHERE times > 1 GROUP BY doc_id),
+        f AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+            length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+            len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_function_words, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+        v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {votes} FROM f),
+        p AS (SELECT {vs}, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+        em AS (SELECT 0 AS step, 0.8::DOUBLE AS pi, {start} AS good, {start} AS bad UNION ALL
+            SELECT step + 1, least(0.98, greatest(0.02, (sum(n * q) + 8) / (sum(n) + 10))), [{', '.join(share('q', 1, i) for i in k)}], [{', '.join(share('(1 - q)', -1, i) for i in k)}]
+            FROM (SELECT step, p.*, 1 / (1 + exp(-({logit}))) AS q FROM em, p WHERE step < 50) GROUP BY step),
+        z AS (SELECT v.*, 1 / (1 + exp(-({logit}))) AS p_good FROM v, em WHERE step = (SELECT max(step) FROM em))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, round(p_good, 6) AS p_good FROM z"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_K = ngram_lm.PRIOR_TOKENS
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": _quality_sql(),
+    "op10_lm_score": rf"""
+        WITH d AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, {_WORDS.format(t=_LOWER)} || [chr(1)] AS w FROM documents),
+        t AS (SELECT doc_id, held_out, unnest([chr(2)] || w[:-2]) AS u, unnest(w) AS w FROM d),
+        c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+        b AS (SELECT u, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY u, w),
+        h AS (SELECT u, count(*) AS c FROM t WHERE NOT held_out GROUP BY u),
+        n AS (SELECT sum(c) AS n, count(*) AS v FROM c),
+        s AS (SELECT doc_id, held_out, coalesce(c.c, 0) AS c1, (coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p, coalesce(b.c, 0) AS c2, coalesce(h.c, 0) AS cu, n
+            FROM t CROSS JOIN n LEFT JOIN c USING (w) LEFT JOIN b ON b.u = t.u AND b.w = t.w LEFT JOIN h ON h.u = t.u)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, max(n)::BIGINT AS train_tokens, round(fsum(log10(p)), 6) AS base_score, round(fsum(log10((c2 + {_K} * p) / (cu + {_K}))), 6) AS score FROM s GROUP BY doc_id, held_out""",
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents),
         r AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)

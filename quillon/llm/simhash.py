@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, text_of
+from quillon.llm.common import cut, fresh, text_of
 
 SEED = 42
 DISTANCE = 3
@@ -115,5 +115,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose id names their component, with their own columns; ids are taken to be unique."""
     groups = near_groups(docs, id_col, text_col, distance, shingle)
-    dropped = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__dropped"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped")), "left_anti")
+    (gone,) = fresh(docs, "__dropped")
+    dropped = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(gone))
+    return docs.join(dropped, docs[id_col].eqNullSafe(dropped[gone]), "left_anti")
