@@ -32,7 +32,7 @@ LABELS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
 WINDOW, STRIDE, CONTEXT = 96, 48, 20
 #: Documents whose base spans train the network, by hash order of the id.
 SAMPLE = 300
-GENERATED = 1500
+GENERATED = 2500
 
 _AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -254,7 +254,7 @@ def _labelled(text: str) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def fit(texts: list[str], generated: int = GENERATED, epochs: int = 6, seed: int = 7) -> BiLstmCrf:
+def fit(texts: list[str], generated: int = GENERATED, epochs: int = 10, seed: int = 7) -> BiLstmCrf:
     """Train on windows of ``texts`` and generated ones."""
     examples = _generated(random.Random(seed), generated) + [x for t in texts for x in _labelled(t)][:generated]
     codes, tags = np.zeros((len(examples), WINDOW), np.uint8), np.zeros((len(examples), WINDOW), np.int64)
@@ -264,7 +264,7 @@ def fit(texts: list[str], generated: int = GENERATED, epochs: int = 6, seed: int
             tags[r, s:e] = LABELS.index(f"I-{kind}")
             tags[r, s] = LABELS.index(f"B-{kind}")
     model = BiLstmCrf(LABELS, seed)
-    model.fit(codes, tags, np.array([len(t) for t, _ in examples]), epochs=epochs, seed=seed)
+    model.fit(codes, tags, np.array([len(t) for t, _ in examples]), epochs=epochs, batch=32, seed=seed)
     return model
 
 
