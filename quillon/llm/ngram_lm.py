@@ -84,6 +84,17 @@ def _bounds(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hashes, np.array([step * i for i in range(n)], dtype=np.uint64)), len(sorted_hashes))
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted hashes as the bytes of their differences, most significant planes together: these are nearly all zero and
+    compress away on their way through a shuffle."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _small(counts: np.ndarray) -> bytes:
     """Counts in the narrowest of 1, 2, 4 or 8 bytes, led by that width."""
     top = int(counts.max(initial=0))
@@ -138,14 +149,14 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
                     [
                         pa.array([kind * n_buckets + b for b, _, _ in spans], pa.int64()),
                         pa.array([number] * len(spans), pa.int64()),
-                        pa.array([keys[s:e].tobytes() for _, s, e in spans], pa.binary()),
+                        pa.array([_packed(keys[s:e]) for _, s, e in spans], pa.binary()),
                         pa.array([_small(counts[s:e]) for _, s, e in spans], pa.binary()),
                     ],
                     names=["bucket", "chunk", "keys", "counts"],
                 )
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
-        asked = [(c, np.frombuffer(k, np.uint64), _wide(n)) for c, k, n in zip(*(group.column(x).to_pylist() for x in ("chunk", "keys", "counts")), strict=True)]
+        asked = [(c, _unpacked(k), _wide(n)) for c, k, n in zip(*(group.column(x).to_pylist() for x in ("chunk", "keys", "counts")), strict=True)]
         keys, inverse = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate([n for _, _, n in asked]), minlength=len(keys)).astype(np.int64)
         words = (keys != BEGIN) if key[0].as_py() < n_buckets else np.zeros(len(keys), bool)
