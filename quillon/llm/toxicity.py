@@ -53,7 +53,7 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-def fit_nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 1200, rate: float = 0.05, l2: float = 2e-6) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 800, rate: float = 0.05, l2: float = 5e-6) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear score over binary features, given as (row, column) pairs; ``positive`` marks rows."""
     w, b = np.zeros(n_features), np.log(prior / (1 - prior))
     n_p, n_u = positive.sum(), (~positive).sum()

@@ -75,7 +75,7 @@ def test_toxicity(spark, docs, edge, empty):
         t = [rng.choice(words) for _ in range(60)] + (["nastyword", "vilestuff"] if bad else [])
         rng.shuffle(t)
         texts.append((i, " ".join(t)))
-        if i % 2 == 0:
+        if i % 3 != 1:
             labels.append((i, int(bad)))
     df, known = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(df, known, id_remainder("doc_id", 5) != 0)
