@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract here: the space and the characters 9 to 13.
@@ -63,6 +63,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sample_ids(df: DataFrame, id_col: str, n: int, by: str | None = None) -> DataFrame:
+    """At most ``n`` ids, or ``n`` for each value of ``by`` (a column of few values): those first in hash order.
+
+    Counts come first, so that rows beyond about twice the sample leave in the scan by their hash; what is sorted, and what
+    reaches the driver, does not grow with the table or its partitions.
+    """
+    span, oversample, spare = 1 << 40, 2, 200
+    place = F.pmod(F.xxhash64(id_col), F.lit(span))
+    narrow = df.select(F.col(id_col).alias("__id"), place.alias("__place"), *([F.col(by).alias("__by")] if by else []))
+    bound = lambda total: min(span, span * (oversample * n + spare) // max(total, 1))
+    if by is None:
+        return narrow.filter(F.col("__place") < bound(df.count())).orderBy("__place", "__id").limit(n).select("__id")
+    kept = F.lit(False)
+    for value, total in ((r["__by"], r["count"]) for r in narrow.groupBy("__by").count().collect()):
+        kept = kept | (F.col("__by").eqNullSafe(F.lit(value)) & (F.col("__place") < bound(total)))
+    ranked = narrow.filter(kept).withColumn("__n", F.row_number().over(Window.partitionBy("__by").orderBy("__place", "__id")))
+    return ranked.filter(F.col("__n") <= n).select("__id")
+
+
 def buckets(spark: SparkSession) -> int:
     """Number of hash buckets: the session's shuffle partitions, which operators of a cluster scale with the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

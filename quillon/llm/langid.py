@@ -21,10 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, text_of
+from quillon.llm.common import SPACE, sample_ids, text_of
 
 ORDER = 4
 PER_LANG = 1500
@@ -194,9 +194,7 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     """
     key = F.xxhash64(id_col)
     usable = allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
-    ranked = docs.filter(usable).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), key.alias("__key"))
-    chosen = ranked.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy("__key", "__id"))).filter(F.col("__n") <= per_lang)
-    ids = F.broadcast(chosen.select("__id").distinct())  # at most per_lang ids a language
+    ids = F.broadcast(sample_ids(docs.filter(usable), id_col, per_lang, lang_col).distinct())  # at most per_lang ids a language
     sample = docs.filter(usable).join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(key, F.lit(5)) == 0).alias("calibrate"))
     words = sample.filter(~F.col("calibrate")).select("lang", F.explode(F.split(F.lower("text"), f"{SPACE}+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, text_of
+from quillon.llm.common import cut, sample_ids, text_of
 
 POSITIVES = 4000
 UNLABELLED = 12_000
@@ -75,11 +75,6 @@ def fit_nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_feat
     return w, float(b)
 
 
-def _first(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """At most ``n`` ids by hash order: each task keeps its own first ``n``."""
-    return df.select(F.col(id_col).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(n)
-
-
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicModel:
     """Labels are read only where ``allowed`` holds of their id; unlabelled text comes from such rows too."""
     known = labels.filter(allowed & F.col(label_col).isNotNull())
@@ -87,8 +82,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     if not share:
         return ToxicModel({}, -30.0, 0.0)
     prior = min(0.5, share)
-    p = _first(known.filter(F.col(label_col) == 1), id_col, positives).withColumn("__p", F.lit(True))
-    u = _first(docs.filter(allowed), id_col, unlabelled).withColumn("__p", F.lit(False))
+    p = sample_ids(known.filter(F.col(label_col) == 1), id_col, positives).withColumn("__p", F.lit(True))
+    u = sample_ids(docs.filter(allowed), id_col, unlabelled).withColumn("__p", F.lit(False))
     chosen = F.broadcast(p.union(u))  # at most positives + unlabelled ids
     sample = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).join(chosen, "__id").select("__id", "__p", "__text")
 
