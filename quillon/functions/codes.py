@@ -129,3 +129,22 @@ def contains_code(file_name: Column, code: Column) -> Column:
     """A file name holds the code, whatever the separators; codes of under four characters never match."""
     stem = F.regexp_replace(F.upper(F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", "")), "_[FTZX]_", "_")
     return (F.length(compact_key(code)) >= 4) & compact_key(stem).contains(compact_key(code))
+
+
+def clean_company(x: Column) -> Column:
+    """A company name without the punctuation that trails it."""
+    return F.regexp_replace(strip(F.coalesce(x, F.lit(""))), r"(?U)[。，,;；.·\s]+$", "")
+
+
+def cell_text(x: Column) -> Column:
+    """A cell's number as text: whole numbers without a fraction; null as empty."""
+    return F.when(x.isNull(), "").when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+
+
+def name_variants(file_name: Column, code: Column) -> Column:
+    """File names under which a document may lie: without slashes or spaces, in capitals, by its compact code; all end in .pdf."""
+    base = F.regexp_extract(F.replace(file_name, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
+    dense = F.regexp_replace(base, f"{SPACE}+", "")
+    every = F.array(base, dense, collapse(base), F.upper(dense), F.when(F.length(compact_key(code)) >= 4, compact_key(code)).otherwise(""))
+    named = F.transform(F.filter(F.transform(every, strip), lambda v: v != ""), lambda v: F.when(F.lower(v).endswith(".pdf"), v).otherwise(F.concat(v, F.lit(".pdf"))))
+    return F.array_distinct(named)

@@ -68,3 +68,31 @@ def briefs(clusters: DataFrame) -> DataFrame:
     words = F.filter(F.transform("keywords", F.trim), lambda k: k != "")
     sample = F.concat(F.array_join(F.slice(words, 1, 6), "、"), F.when(F.size(words) > 6, "…").otherwise(""))
     return clusters.select("id", "name", F.size(words).cast("long").alias("n_keywords"), sample.alias("sample"))
+
+
+def matched(queries: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Groups that each of many texts meets, by keyword, as equi joins of keys and their parts."""
+    from quillon.operators.files import contained
+
+    key = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), f"{codes.SPACE}+", "")
+    q = queries.select("row", key(F.col("query")).alias("q")).filter(F.col("q") != "")
+    words = clusters.select("id", F.explode(F.concat(F.array("name"), "keywords")).alias("w")).select("id", key(F.col("w")).alias("k")).filter(F.col("k") != "").distinct()
+    long = q.filter(F.length("q") >= 2)
+    pairs = q.join(words, q["q"] == words["k"]).select("row", "id")
+    return pairs.union(contained(long, "q", words, "k").select("row", "id")).union(contained(words, "k", long, "q").select("row", "id")).distinct()
+
+
+def recent(events: DataFrame, who: str, what: str, *newest: Column, most: int = 8) -> DataFrame:
+    """Each one's last distinct values, newest first. The limit is the feature."""
+    from pyspark.sql import Window
+
+    order = [c.desc() for c in newest]
+    last = events.withColumn("__n", F.row_number().over(Window.partitionBy(who, what).orderBy(*order))).filter("__n = 1")
+    return last.withColumn("place", F.row_number().over(Window.partitionBy(who).orderBy(*order))).filter(F.col("place") <= most).drop("__n")
+
+
+def state_options(base: DataFrame) -> DataFrame:
+    """States with their labels and how many standards have them."""
+    from quillon.functions import display
+
+    return base.groupBy("ex_state").agg(F.count(F.lit(1)).alias("n")).select("ex_state", display.state_label(F.col("ex_state"), F.lit(None).cast("string")).alias("label"), "n")

@@ -34,46 +34,53 @@ def by_name(names: DataFrame, listing: DataFrame) -> DataFrame:
     return names.join(first, F.lower(names["file_name"]) == F.col("__name"), "left").drop("__name")
 
 
-def grams(key: Column, n: int = 4) -> Column:
-    """Distinct character n-grams of a key of at least n characters."""
-    return F.when(F.length(key) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+def contained(small: DataFrame, small_key: str, big: DataFrame, big_key: str) -> DataFrame:
+    """Pairs of rows of which the big key holds the small one, as an equi join.
 
+    Big keys are exploded into their substrings of the lengths that small keys have, so only true pairs meet; a containment
+    condition alone would compare all with all. The distinct lengths, a few dozen numbers, come to the driver.
+    """
+    n = F.length(big_key)
+    lengths = sorted(r[0] for r in small.select(F.length(small_key)).distinct().collect() if r[0])
+    if not lengths:
+        return small.limit(0).join(big, F.lit(False))
 
-def holding_code(standards: DataFrame, listing: DataFrame, most: int = 10) -> DataFrame:
-    """Standards and the paths whose name holds their code, the first ``most`` by path: an equi join on one n-gram.
+    def of_length(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(big_key), i, F.lit(k)))
+        return F.when(n >= k, every).otherwise(F.array().cast("array<string>"))
 
-    The containment join would meet all with all. A code is sent out under its rarest four characters among the names, and a
-    name under all of its own, so only names that hold these characters are verified.
-    """
-    names = listing.select("path", F.explode(F.expr("array(regexp_extract(path, '([^/]*)$', 1))")).alias("file_name"))
-    stem = F.regexp_replace(F.upper(F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", "")), "_[FTZX]_", "_")
-    spread = names.select("path", codes.compact_key(stem).alias("name_key")).select("path", "name_key", F.explode(grams(F.col("name_key"))).alias("gram"))
-    frequency = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    asked = standards.select("id", codes.compact_key(F.col("std_id")).alias("code_key")).select("id", "code_key", F.explode(grams(F.col("code_key"))).alias("gram"))
-    rarest = asked.join(frequency, "gram", "left").groupBy("id", "code_key").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    met = rarest.join(spread, "gram").filter(F.col("name_key").contains(F.col("code_key"))).select("id", "path")
+    parts = [of_length(k) for k in lengths]
+    spread = big.withColumn("__part", F.explode(F.array_distinct(F.concat(*parts))))
+    return small.join(spread, small[small_key] == spread["__part"]).drop("__part")
+
+
+def holding_code(standards: DataFrame, listing: DataFrame, most: int = 10) -> DataFrame:
+    """Standards and the paths whose name holds their code, the first ``most`` by path. Codes of under four characters find none."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    stem = F.regexp_replace(F.upper(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")), "_[FTZX]_", "_")
+    names = listing.select("path", codes.compact_key(stem).alias("name_key"))
+    asked = standards.select("id", codes.compact_key(F.col("std_id")).alias("code_key")).filter(F.length("code_key") >= 4)
+    met = contained(asked, "code_key", names, "name_key").select("id", "path")
     return met.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("path"))).filter(F.col("n") <= most)
 
 
 def fuzzy(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Best file of each query: equal keys, then one key holding the other, then one core holding the other; first by ord.
+    """Best file of each query: equal keys, then one key holding the other, then the file's core holding the query's; first by ord.
 
-    ``queries`` has row and query, ``names`` has ord and file_name. Meetings go by character n-grams: two keys that
-    contain one another share every n-gram of the shorter one, so that one's first n-gram finds them. Keys shorter than
-    an n-gram meet only their equals.
+    ``queries`` has row and query, ``names`` has ord and file_name. Keys shorter than four characters meet only their equals.
     """
     q = queries.select("row", _file_key(F.col("query")).alias("q"))
     n = names.select("ord", "file_name", _file_key(F.regexp_replace("file_name", r"\.[^.]*$", "")).alias("k"))
-    equal = q.join(n, q["q"] == n["k"]).select("row", F.lit(0).alias("tier"), "ord", "file_name")
-    head = lambda x: F.substring(x, 1, 4)
+    tier = lambda df, t: df.select("row", F.lit(t).alias("tier"), "ord", "file_name")
     long_q, long_n = q.filter(F.length("q") >= 4), n.filter(F.length("k") >= 4)
-    inside = long_q.withColumn("g", head(F.col("q"))).join(long_n.withColumn("g", F.explode(grams(F.col("k")))), "g").filter(F.col("k").contains(F.col("q")))
-    around = long_q.withColumn("g", F.explode(grams(F.col("q")))).join(long_n.withColumn("g", head(F.col("k"))), "g").filter(F.col("q").contains(F.col("k")))
-    near = inside.select("row", F.lit(1).alias("tier"), "ord", "file_name").union(around.select("row", F.lit(1).alias("tier"), "ord", "file_name"))
     core = lambda x: F.regexp_replace(x, "[-/]", "")
-    cq, cn = long_q.withColumn("c", core(F.col("q"))).filter(F.length("c") >= 4), long_n.withColumn("c2", core(F.col("k"))).filter(F.length("c2") >= 4)
-    cores = cq.withColumn("g", head(F.col("c"))).join(cn.withColumn("g", F.explode(grams(F.col("c2")))), "g").filter(F.col("c2").contains(F.col("c")))
-    every = equal.union(near).union(cores.select("row", F.lit(2).alias("tier"), "ord", "file_name"))
+    core_q, core_n = long_q.select("row", core(F.col("q")).alias("c")).filter(F.length("c") >= 4), long_n.select("ord", "file_name", core(F.col("k")).alias("c2"))
+    every = (
+        tier(q.join(n, q["q"] == n["k"]), 0)
+        .union(tier(contained(long_q, "q", long_n, "k"), 1))
+        .union(tier(contained(long_n, "k", long_q, "q"), 1))
+        .union(tier(contained(core_q, "c", core_n, "c2"), 2))
+    )
     return every.groupBy("row").agg(F.min(F.struct("tier", "ord", "file_name")).alias("best")).select("row", "best.*")
 
 
@@ -87,3 +94,22 @@ def resolved(requests: DataFrame, listing: DataFrame) -> DataFrame:
     paths = listing.groupBy(F.lower("path").alias("__path")).agg(F.min("path").alias("by_path"))
     out = requests.join(paths, F.lower(requests["file_path"]) == F.col("__path"), "left").drop("__path")
     return by_name(out, listing).withColumn("path", F.coalesce("by_path", "path")).drop("by_path")
+
+
+def collected(standards: DataFrame, files: DataFrame, listing: DataFrame, most: int = 10) -> DataFrame:
+    """Files of each standard: those of its own rows that the listing serves; only where there are none, those whose name holds its code."""
+    own = resolved(files, listing).filter(F.col("path").isNotNull()).select(F.col("base_id").alias("id"), "path", F.lit(0).alias("source"))
+    without = standards.join(own.select("id").distinct(), "id", "left_anti")
+    found = holding_code(without, listing, most).select("id", "path", F.lit(1).alias("source"))
+    return own.join(standards.select("id"), "id", "left_semi").union(found).dropDuplicates(["id", "path"])
+
+
+def picked(collected_files: DataFrame) -> DataFrame:
+    """One file a standard: its own before a found one, then by path."""
+    return collected_files.groupBy("id").agg(F.min(F.struct("source", "path")).alias("p")).select("id", "p.path", "p.source")
+
+
+def shown_path(path: Column, root: str) -> Column:
+    """The path below the root, else the bare name."""
+    head = root.rstrip("/") + "/"
+    return F.when(path.startswith(head), F.substring(path, F.lit(len(head) + 1), F.length(path))).otherwise(F.regexp_extract(path, r"([^/]*)$", 1))

@@ -198,3 +198,26 @@ def detail(base: DataFrame, files: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("file_name", "id", "file_path"))).alias("files")
     )
     return base.join(nested, base["id"] == nested["base_id"], "left").drop("base_id")
+
+
+def product_page(base: DataFrame, files: DataFrame, clusters: DataFrame, text: str, page: Page = Page(), with_file: bool = True) -> DataFrame:
+    """A page of what a product text and its groups' keywords find, the text itself weighing twice. Only the first keywords that
+    a search uses come to the driver."""
+    from quillon.operators.facets import expanded
+
+    words = [r["word"] for r in expanded(clusters, text).limit(MOST_KEYWORDS).collect()]
+    return cluster_page(base, files, words, (text or "").strip(), page, with_file)
+
+
+def by_id(base: DataFrame, ids: list[int], most: int = 100) -> DataFrame:
+    """Standards of a list of ids in the order given; repeated, non-positive and further ids are left out."""
+    wanted = list(dict.fromkeys(i for i in ids if i > 0))[:most]
+    order = F.array_position(F.array(*map(F.lit, wanted)), F.col("id").cast("int")) if wanted else F.lit(0)
+    return base.filter(F.col("id").isin(wanted)).withColumn("place", order).orderBy("place")
+
+
+def pager(total: int, page: Page, width: int = 7) -> list[int]:
+    """Page numbers around the current one."""
+    last = max(1, page.count(total))
+    first = max(1, min(page.number - width // 2, last - width + 1))
+    return list(range(first, min(last, first + width - 1) + 1))

@@ -421,3 +421,89 @@ def size_display(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables("areas") + "SELECT area_code, province_name || '_' || city_name AS label FROM areas")
 def region_label(spark: SparkSession, d: str) -> DataFrame:
     return B.areas(spark, d).select("area_code", display.region_label(F.col("province_name"), F.col("city_name"), F.col("county_name")).alias("label"))
+
+
+@query(with_tables("named") + "SELECT id, std_id, std_chinesename, (CASE WHEN std_chinesename ILIKE '%gear%' THEN 2 ELSE 0 END + CASE WHEN std_chinesename ILIKE '%bolt%' THEN 1 ELSE 0 END + CASE WHEN std_chinesename ILIKE '%ring%' THEN 1 ELSE 0 END) AS score FROM named WHERE std_chinesename ILIKE '%gear%' OR std_chinesename ILIKE '%bolt%' OR std_chinesename ILIKE '%ring%' ORDER BY score DESC, std_id, id LIMIT 50")
+def search_product_page(spark: SparkSession, d: str) -> DataFrame:
+    return search.product_page(B.named(spark, d), B.named_files(spark, d), B.clusters(spark, d), "gear", Page(1, 50), with_file=False).select(*_SHOWN, "score")
+
+
+@query(with_tables("groups") + "SELECT unnest(['bolt', 'ring', 'gear']) AS word")
+def expand_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return facets.expanded(B.clusters(spark, d), "bolt").select("word")
+
+
+@query(with_tables("groups") + """, q AS (SELECT p_partkey AS row, replace(p_name, ' ', '') AS q FROM part), k AS (SELECT id, replace(unnest([name] || keywords), ' ', '') AS k FROM groups)
+    SELECT DISTINCT row, id FROM q JOIN k ON contains(q.q, k.k) OR contains(k.k, q.q)""")
+def cluster_match(spark: SparkSession, d: str) -> DataFrame:
+    return facets.matched(B.table(spark, d, "part").select(F.col("p_partkey").alias("row"), F.col("p_name").alias("query")), B.clusters(spark, d))
+
+
+@query("""WITH l AS (SELECT user_id, event_type, max(struct_pack(ts, event_id)) AS newest FROM events GROUP BY ALL)
+    SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY newest DESC) AS place FROM l QUALIFY place <= 8""")
+def recent_history(spark: SparkSession, d: str) -> DataFrame:
+    return facets.recent(B.table(spark, d, "events"), "user_id", "event_type", F.col("ts"), F.col("event_id")).select("user_id", "event_type", "place")
+
+
+@query(with_tables("std") + "SELECT ex_state, CASE ex_state WHEN 0 THEN '废止' WHEN 1 THEN '现行' ELSE '即将实施' END AS label, count(*) AS n FROM std GROUP BY ex_state")
+def state_options(spark: SparkSession, d: str) -> DataFrame:
+    return facets.state_options(B.standards(spark, d))
+
+
+@query(with_tables("std") + "SELECT id, std_id, list_position([40, 7, 12, 3], id) AS place FROM std WHERE id IN (40, 7, 12, 3)")
+def bulk_ids(spark: SparkSession, d: str) -> DataFrame:
+    return search.by_id(B.standards(spark, d), [40, 7, 0, -3, 40, 12, 3]).select("id", "std_id", "place")
+
+
+@query(with_tables("std") + "SELECT id, std_id FROM std WHERE id = 77")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return B.standards(spark, d).filter("id = 77").limit(1).select("id", "std_id")
+
+
+@query("""SELECT page_id, CASE WHEN e = '.html' THEN '文件' ELSE 'PDF' END AS label FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '.html' ELSE '.PDF' END AS e FROM pages)""")
+def catalog_items(spark: SparkSession, d: str) -> DataFrame:
+    ext = F.when(F.col("page_id") % 2 == 0, ".html").otherwise(".PDF")
+    return catalog.with_label(B.table(spark, d, "pages").select("page_id", ext.alias("file_ext"))).select("page_id", "label")
+
+
+@query(with_tables("std") + "SELECT id, CASE ex_state WHEN 1 THEN 'live' WHEN 2 THEN 'soon' ELSE 'old' END AS css FROM std")
+def status_classes(spark: SparkSession, d: str) -> DataFrame:
+    return B.standards(spark, d).select("id", display.status_class(F.col("ex_state")).alias("css"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS company FROM supplier")
+def company_names(spark: SparkSession, d: str) -> DataFrame:
+    dirty = F.concat(F.lit(" "), "s_name", F.when(F.col("s_suppkey") % 2 == 0, "。; ").otherwise(" .·"))
+    return B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), codes.clean_company(dirty).alias("company"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity::BIGINT::VARCHAR AS cell FROM lineitem")
+def cell_texts(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", codes.cell_text(F.col("l_quantity")).alias("cell"))
+
+
+@query("SELECT DISTINCT p_partkey AS id, unnest([p_name || '.pdf', replace(p_name, ' ', '') || '.pdf', upper(replace(p_name, ' ', '')) || '.pdf', upper(replace(p_brand, '#', '#')) || '.pdf']) AS name FROM part")
+def file_name_variants(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(codes.name_variants(F.concat(F.lit("a\\b/"), "p_name"), F.col("p_brand"))).alias("name"))
+
+
+@query(with_tables("files") + "SELECT id, CASE WHEN id % 2 = 0 THEN file_path ELSE file_name END AS shown FROM files")
+def display_paths(spark: SparkSession, d: str) -> DataFrame:
+    path = F.when(F.col("id") % 2 == 0, F.concat(F.lit("/root/docs/"), "file_path")).otherwise(F.concat(F.lit("/other/"), "file_path"))
+    return B.files(spark, d).select("id", found.shown_path(path, "/root/docs").alias("shown"))
+
+
+@query(with_tables("std", "files") + """, o AS (SELECT base_id AS id, file_path AS path FROM files WHERE base_id % 53 = 0 AND base_id % 2 = 0), f AS (SELECT base_id AS id, file_path AS path, row_number() OVER (PARTITION BY base_id ORDER BY file_path) AS n FROM files WHERE base_id % 53 = 0 AND base_id % 2 = 1)
+    SELECT id, min(path) AS path, min(source) AS source FROM (SELECT id, path, 0 AS source FROM o UNION ALL SELECT id, path, 1 FROM f) GROUP BY id""")
+def picked_files(spark: SparkSession, d: str) -> DataFrame:
+    files = B.files(spark, d).filter("base_id % 53 = 0")
+    standards = files.select(F.col("base_id").alias("id"), F.concat(F.lit("GB/T "), "base_id", F.lit("_")).alias("std_id")).distinct()
+    own = files.filter("base_id % 2 = 0").select("base_id", "file_path", F.upper("file_name").alias("file_name"))
+    return found.picked(found.collected(standards, own, files.select(F.col("file_path").alias("path"))))
+
+
+@query("SELECT o_orderkey AS row, 2 AS std_col, CASE WHEN o_orderkey % 2 = 0 THEN 1 END AS name_col, CASE WHEN o_orderkey % 3 = 0 THEN 3 END AS remark_col FROM orders WHERE o_orderkey < 500")
+def upload_columns(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    cells = F.array(F.lit("编 号"), F.when(k % 2 == 0, "Title").otherwise("x"), F.lit("标准号"), F.when(k % 3 == 0, "备注栏").otherwise(""))
+    return batch.column_roles(B.table(spark, d, "orders").filter("o_orderkey < 500").select(k.alias("row"), cells.alias("cells")))
