@@ -19,15 +19,18 @@ from quillon.llm.common import SPACE, cut, text_of
 #: Frequent function words of the corpus languages.
 FUNCTION_WORDS = "the of and to in is that it for on was be with as by this are from or at le la de et les des un une du en que qui dans pour sur pas der die das und den von zu mit ist im nicht ein eine el los las y se del por con para su".split()
 
-#: name: (ratio, good bound, bad bound); {p} stands for the prefix of the measures. A ratio up to the good bound votes
-#: good, one above the bad bound votes bad, any other abstains. Rules without a good bound only look for a defect.
-RULES: dict[str, tuple[str, float | None, float]] = {
-    "symbols": ("{p}n_symbols / {p}n_words", 0.05, 0.10),
-    "few_function_words": ("1 - {p}n_function_words / {p}n_words", 0.90, 0.92),
-    "repeats": ("{p}n_repeat_words / {p}n_words", None, 0.20),
-    "dup_lines": ("{p}n_dup_lines / greatest({p}n_lines, 1)", None, 0.30),
-    "shouting": ("{p}n_capitals / greatest({p}word_chars, 1)", None, 0.40),
-    "word_length": ("abs({p}word_chars / {p}n_words - 6.0)", None, 4.0),
+#: A measure by its name, as a column.
+Measures = Callable[[str], Column]
+
+#: name: (ratio, good bound, bad bound). A ratio up to the good bound votes good, one above the bad bound votes bad, any
+#: other abstains. Rules without a good bound only look for a defect.
+RULES: dict[str, tuple[Callable[[Measures], Column], float | None, float]] = {
+    "symbols": (lambda m: m("n_symbols") / m("n_words"), 0.05, 0.10),
+    "few_function_words": (lambda m: 1 - m("n_function_words") / m("n_words"), 0.90, 0.92),
+    "repeats": (lambda m: m("n_repeat_words") / m("n_words"), None, 0.20),
+    "dup_lines": (lambda m: m("n_dup_lines") / F.greatest(m("n_lines"), F.lit(1)), None, 0.30),
+    "shouting": (lambda m: m("n_capitals") / F.greatest(m("word_chars"), F.lit(1)), None, 0.40),
+    "word_length": (lambda m: F.abs(m("word_chars") / m("n_words") - 6.0), None, 4.0),
 }
 
 
@@ -72,8 +75,6 @@ def _covered(starts: Column) -> Column:
     )
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_capitals", "n_lines", "n_dup_lines", "n_function_words", "n_repeat_words")
-
 
 def measures(text: Column) -> Column:
     """A struct of the measures the rules read, of one text.
@@ -108,25 +109,15 @@ def measures(text: Column) -> Column:
     return _let(text, of)
 
 
-def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "__q_") -> DataFrame:
-    """``docs`` with the measures as columns, each named with ``prefix``."""
-    m = f"{prefix}m"
-    out = docs.withColumn(m, measures(text_of(text_col)))
-    return out.withColumns({f"{prefix}{c}": F.col(f"{m}.{c}") for c in MEASURES}).drop(m)
-
+def base_failed(m: Measures) -> Column:
+    return (m("n_words") < 50) | (100 * m("n_repeat_words") > 50 * m("n_words"))
 
-def base_failed(prefix: str = "__q_") -> Column:
-    n = F.col(f"{prefix}n_words")
-    return (n < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * n)
 
-
-def votes(prefix: str = "__q_", rules: dict[str, tuple[str, float | None, float]] | None = None) -> dict[str, Column]:
+def votes(m: Measures, rules: dict | None = None) -> dict[str, Column]:
     """1 good, -1 bad, 0 abstains; a text without words gets abstentions alone."""
-    rules = RULES if rules is None else rules
     out = {}
-    for name, (ratio, good, bad) in rules.items():
-        measured = F.expr(ratio.format(p=prefix))
-        out[name] = F.when(F.col(f"{prefix}n_words") == 0, 0).when(measured > bad, -1).otherwise(0 if good is None else F.when(measured <= good, 1).otherwise(0))
+    for name, (ratio, good, bad) in (RULES if rules is None else rules).items():
+        out[name] = F.when(m("n_words") == 0, 0).when(ratio(m) > bad, -1).otherwise(0 if good is None else F.when(ratio(m) <= good, 1).otherwise(0))
     return out
 
 
@@ -175,28 +166,32 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...
     return VoteModel(names, pi, tuple(good), tuple(bad))
 
 
-def vote_model(featured: DataFrame, prefix: str = "__q_") -> VoteModel:
-    """Fit on all rows that the base rules leave: at most 3^R counted patterns come to the driver."""
-    v = votes(prefix)
-    counted = featured.filter(~base_failed(prefix)).groupBy(*[c.alias(n) for n, c in v.items()]).count().collect()
-    patterns = sorted((tuple(r[n] for n in v), r["count"]) for r in counted)
-    return fit_votes(patterns, tuple(v))
+def vote_model(patterns: DataFrame) -> VoteModel:
+    """Fit on all rows that the base rules leave, given as a struct column ``v`` of ``base_failed`` and the votes: at most 2 * 3^R
+    counted patterns come to the driver."""
+    names = tuple(RULES)
+    counted = [(r["v"], r["count"]) for r in patterns.groupBy("v").count().collect()]
+    return fit_votes(sorted((tuple(v[n] for n in names), c) for v, c in counted if not v["base_failed"]), names)
+
+
+def _pattern(m: Measures) -> Column:
+    return F.struct(base_failed(m).alias("base_failed"), *[c.alias(n) for n, c in votes(m).items()])
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per row of ``docs``: id, the measures, base_failed, p_good, kept.
+    """One row per row of ``docs``: id, the measures, base_failed, kept, p_good.
 
     Null text counts as empty: no words, base_failed true. Measures of one pass are checkpointed as narrow rows
     and serve both the fit and the verdicts. Repeated rows get equal verdicts; an empty table an empty result;
     other columns are not read.
     """
-    p = "__q_"
-    measured = cut(with_features(docs.select(F.col(id_col), F.col(text_col).alias("__text")), "__text", p).drop("__text"))
-    good = vote_model(measured, p).posterior(votes(p))
-    out = measured.withColumns({"base_failed": base_failed(p), "p_good": good})
+    measured = cut(docs.select(F.col(id_col).alias("__id"), measures(text_of(text_col)).alias("__m")))
+    m = lambda name: F.col(f"__m.{name}")
+    good = vote_model(measured.select(_pattern(m).alias("v"))).posterior(votes(m))
+    out = measured.withColumns({"base_failed": base_failed(m), "p_good": good})
     return out.select(
-        F.col(id_col),
-        *[F.col(f"{p}{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        F.col("__id").alias(id_col),
+        *[m(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed",
         (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"),
         "p_good",
@@ -204,11 +199,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns. A verdict depends on the text and the fitted model alone."""
-    p = "__q_"
-    while any(c.lower().startswith(p) for c in docs.columns):
-        p = "_" + p
-    featured = with_features(docs, text_col, p)
-    model = vote_model(with_features(docs.select(F.col(text_col).alias("__text")), "__text", p), p)
-    passed = ~base_failed(p) & (model.posterior(votes(p)) >= threshold)
-    return featured.filter(passed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with their own columns. A verdict depends on the text and the fitted model alone.
+
+    Texts are measured twice, for the fit and for the verdict, rather than shuffled; each time once a row.
+    """
+    of = lambda body: _let(measures(text_of(text_col)), lambda s: body(lambda name: s[name]))
+    model = vote_model(docs.select(of(_pattern).alias("v")))
+    return docs.filter(of(lambda m: ~base_failed(m) & (model.posterior(votes(m)) >= threshold)))

@@ -67,12 +67,18 @@ _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x:
 _CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
 
 
+#: The ratios of the quality rules in SQL.
+_RATIOS = {
+    "symbols": "n_symbols / n_words", "few_function_words": "1 - n_function_words / n_words", "repeats": "n_repeat_words / n_words",
+    "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "shouting": "n_capitals / greatest(word_chars, 1)", "word_length": "abs(word_chars / n_words - 6.0)",
+}
+
+
 def _quality_sql() -> str:
-    rules = quality.RULES
-    names = list(rules)
+    names = list(quality.RULES)
     k = range(1, len(names) + 1)
-    vote = lambda r, good, bad: f"CASE WHEN n_words = 0 THEN 0 WHEN {r.format(p='')} > {bad} THEN -1 " + (f"WHEN {r.format(p='')} <= {good} THEN 1 " if good is not None else "") + "ELSE 0 END"
-    votes = ", ".join(f"{vote(*rules[n])} AS v{i}" for i, n in zip(k, names, strict=True))
+    vote = lambda r, good, bad: f"CASE WHEN n_words = 0 THEN 0 WHEN {r} > {bad} THEN -1 " + (f"WHEN {r} <= {good} THEN 1 " if good is not None else "") + "ELSE 0 END"
+    votes = ", ".join(f"{vote(_RATIOS[n], *quality.RULES[n][1:])} AS v{i}" for i, n in zip(k, names, strict=True))
     vs = ", ".join(f"v{i}" for i in k)
     logit = "ln(pi / (1 - pi)) + " + " + ".join(f"CASE v{i} WHEN 1 THEN ln(good[{i}] / (1 - bad[{i}])) WHEN -1 THEN ln((1 - good[{i}]) / bad[{i}]) ELSE 0 END" for i in k)
     share = lambda q, hit, i: f"least(0.99, greatest(0.5, (sum(CASE WHEN v{i} = {hit} THEN n * {q} ELSE 0 END) + 8) / (sum(CASE WHEN v{i} <> 0 THEN n * {q} ELSE 0 END) + 10)))"
