@@ -10,7 +10,6 @@ crosses; merges in different pre-tokens are independent, so the ids are those of
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_of
+from quillon.llm.common import slices, text_of
 
 #: Pre-tokens whose ids a task remembers; past that it forgets all. Only speed depends on it.
 MEMORY = 800_000
@@ -177,8 +176,8 @@ def load(path: str, pattern: str) -> ByteBpe:
         return ByteBpe({base64.b64decode(t): int(i) for t, i in (line.split() for line in f if line.strip())}, pattern)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ids, an array.
+def coded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, ids (little-endian unsigned 32-bit integers, binary), decoded (bytes that the ids give back).
 
     Null text counts as empty, with no ids. Repeated rows get equal results; an empty table an empty one; other
     columns are not read. Rows are coded where they are read, without a shuffle.
@@ -188,22 +187,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                n, ids_sha, text_sha, kept = [], [], [], []
-                for ids in coder.encode_texts(part.column(1).to_pylist()):
-                    numbers = np.frombuffer(ids, dtype="<u4")
-                    n.append(len(numbers))
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(coder.decode(numbers.tolist())).hexdigest())
-                    if with_ids:
-                        kept.append(numbers.astype(np.int64))
-                arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                names = ["__id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int64()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = f"__id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
+            for part in slices(batch, 1, 1024):
+                ids = list(coder.encode_texts(part.column(1).to_pylist()))
+                back = [coder.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["__id", "ids", "decoded"])
+
     narrow = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
-    return narrow.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
+    return narrow.mapInArrow(run, f"__id {id_type}, ids binary, decoded binary").withColumnRenamed("__id", id_col)

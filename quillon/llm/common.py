@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +66,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``most`` bytes of a text column, so that memory follows neither
+    the rows of a batch nor, but for one text, their lengths."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = size = 0
+    for i, n in enumerate(lengths):
+        if i > begin and (i - begin >= rows or size + n > most):
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def sample_ids(df: DataFrame, id_col: str, n: int, by: str | None = None) -> DataFrame:
     """At most ``n`` ids, or ``n`` for each value of ``by`` (a column of few values): those first in hash order.
 

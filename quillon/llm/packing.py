@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -147,7 +146,7 @@ def byte_bpe_encoder(path: str) -> Callable[[str], np.ndarray]:
 
 
 def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece: int = PIECE, group_tokens: int = GROUP_TOKENS, encoder: Callable[[str], Callable[[str], np.ndarray]] = byte_bpe_encoder) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padding.
+    """One row per piece: id, start, length, ids (little-endian unsigned 32-bit integers, binary), doc_tokens, sequence_id, offset, padding.
 
     Every text (null counts as empty) becomes its ids and then id 1, so even an empty one has a token. Each id
     lies in exactly one piece. ``padding`` is what the piece's sequence lacks to the capacity. Repeated rows are
@@ -167,18 +166,17 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             load: dict[int, int] = {}
             for _, _, n, w, _ in rows:
                 load[w] = load.get(w, 0) + n
-            crc = [zlib.crc32(tokens[d][s : s + n].tobytes()) for d, s, n, _, _ in rows]
             columns = [
                 pa.array([ids[r[0]] for r in rows], type=id_arrow),
                 *(pa.array([r[k] for r in rows], type=pa.int64()) for k in (1, 2)),
-                pa.array(crc, type=pa.int64()),
+                pa.array([tokens[d][s : s + n].tobytes() for d, s, n, _, _ in rows], type=pa.binary()),
                 pa.array([len(tokens[r[0]]) for r in rows], type=pa.int64()),
                 pa.array([base + windows + r[3] for r in rows], type=pa.int64()),
                 pa.array([r[4] for r in rows], type=pa.int64()),
                 pa.array([capacity - load[r[3]] for r in rows], type=pa.int64()),
             ]
             windows += len(load)
-            return pa.RecordBatch.from_arrays(columns, names=["__id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padding"])
+            return pa.RecordBatch.from_arrays(columns, names=["__id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padding"])
 
         for batch in batches:
             id_arrow = batch.schema.field(0).type
@@ -193,5 +191,5 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield flush()
 
     narrow = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
-    out = narrow.mapInArrow(run, f"__id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long")
+    out = narrow.mapInArrow(run, f"__id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padding long")
     return out.withColumnRenamed("__id", id_col)

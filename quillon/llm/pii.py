@@ -11,20 +11,18 @@ documents, and generated ones whose spellings the base patterns miss.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillon.llm.bilstm_crf import BiLstmCrf, encode
-from quillon.llm.common import sample_ids, text_of
+from quillon.llm.common import sample_ids, slices, text_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -284,17 +282,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return fit([p for r in parts.collect() for p in r["parts"]])
 
 
-def text_form(spans: list[Span]) -> str:
-    return ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
+def as_text(spans: Column) -> Column:
+    """Spans of an array column as kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-@lru_cache(maxsize=1)
-def _nothing() -> str:
-    return hashlib.sha256(b"").hexdigest()
+_SPANS = "array<struct<start:int,end:int,kind:string>>"
+_SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
 
 def found_spans(docs: DataFrame, model: BiLstmCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, counts of the base kinds, base_sha256, spans (all), n_added.
+    """One row per row of ``docs``: id, and three arrays of (start, end, kind): base, added, and spans, which is both; in order of
+    start, then kind.
 
     Offsets count code points, ends are exclusive. Null text counts as empty. Spans of different kinds may overlap among
     the base spans; added ones overlap none of these. Equal texts get equal results; an empty table an empty one; other columns
@@ -305,23 +304,17 @@ def found_spans(docs: DataFrame, model: BiLstmCrf, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
+        column = lambda rows: pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in row] for row in rows], _SPANS_ARROW)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, 256):
                 texts = part.column(1).to_pylist()
                 base = [base_spans(t) for t in texts]
                 added = tagger.added(texts, base)
-                counts = [pa.array([sum(s[2] == k for s in spans) for spans in base], pa.int64()) for k in BASE_KINDS]
-                digests = [hashlib.sha256(text_form(b).encode()).hexdigest() if b else _nothing() for b in base]
-                together = [text_form(sorted(b + a, key=_place)) for b, a in zip(base, added, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *counts, pa.array(digests, pa.string()), pa.array(together, pa.string()), pa.array([len(a) for a in added], pa.int64())],
-                    names=["__id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"],
-                )
+                both = [sorted(b + a, key=_place) for b, a in zip(base, added, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), column(base), column(added), column(both)], names=["__id", "base", "added", "spans"])
 
     narrow = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
-    schema = f"__id {id_type}, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string, n_added long"
-    return narrow.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
+    return narrow.mapInArrow(run, f"__id {id_type}, base {_SPANS}, added {_SPANS}, spans {_SPANS}").withColumnRenamed("__id", id_col)
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -348,8 +341,7 @@ def redacted(docs: DataFrame, model: BiLstmCrf, text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, place, 256):
                 texts = part.column(place).to_pylist()
                 known = [t or "" for t in texts]
                 base = [base_spans(t) for t in known]

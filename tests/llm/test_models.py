@@ -179,13 +179,23 @@ def test_pii_query(docs, edge, empty, tagger_model):
         assert len(rows) == sum(texts.values())
         known = {r["doc_id"]: r["text"] or "" for r in df.collect()}
         for r in rows:
-            base = plain_spans(known[r["doc_id"]])
-            assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[2] == k for s in base) for k in pii.BASE_KINDS]
-            assert set(pii.text_form(base).split(",")) - {""} <= set(r["spans"].split(","))
-            assert r["n_added"] == len([s for s in r["spans"].split(",") if s]) - len(base)
+            base, spans = [tuple(x) for x in r["base"]], [tuple(x) for x in r["spans"]]
+            assert base == plain_spans(known[r["doc_id"]])
+            assert spans == sorted(base + [tuple(x) for x in r["added"]], key=pii._place)
     assert pii.found_spans(empty, tagger_model).count() == 0
 
 
+def test_pii_digests(spark, sf_dir, docs):
+    import hashlib
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in QUERIES["op8_pii"](spark, sf_dir).collect():
+        base = plain_spans(texts[r["doc_id"]])
+        form = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
+        assert r["base_sha256"] == hashlib.sha256(form.encode()).hexdigest() and set(form.split(",")) - {""} <= set(r["spans"].split(","))
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[2] == k for s in base) for k in pii.BASE_KINDS]
+
+
 def test_redaction(edge, docs, tagger_model):
     assert pii.redact("a b@c.de f", [(2, 8, "email")]) == "a <EMAIL> f"
     out = pii.redacted(edge, tagger_model)
@@ -295,7 +305,7 @@ def test_pipeline(spark, sf_dir, docs):
     assert seen[2] == {r["component_id"] for r in simhash.near_groups(second).collect()} == seen[3]
     run = P.run(spark, sf_dir)
     assert {r["doc_id"] for r in run.collect()} == seen[3]
-    assert run.columns == packing.packed(docs.limit(0), P.public_tokenizers.path("byte_bpe_50k.json")).columns
+    assert set(QUERIES["op1_packing"](spark, sf_dir).columns) <= set(run.columns) and packing.CAPACITY == 2048
     # Whole texts are packed: the tokens of each document are those of its redacted text.
     tokens = {r["doc_id"]: r["n"] for r in run.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).filter("n = t").collect()}
     assert set(tokens) == seen[3]

@@ -12,9 +12,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from quillon.llm import byte_bpe, exact_dedup, packing, quality, simhash
+from quillon.llm.queries import QUERIES
 
 
 def brute_measures(text):
@@ -177,7 +177,7 @@ def check_packing(df, **options):
         covered = Counter()
         for r in own:
             covered[r["start"], r["length"]] += 1
-            assert zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+            assert ids[r["start"] : r["start"] + r["length"]].tobytes() == bytes(r["ids"])
         seen = np.zeros(len(ids), int)
         for (s, n), c in covered.items():
             seen[s : s + n] += c
@@ -253,12 +253,19 @@ def test_bpe_query(docs, edge, empty, tik):
         texts = Counter()
         for r in df.select("doc_id", "text").collect():
             ids = np.array(tik.encode_ordinary(r["text"] or ""), dtype="<u4")
-            texts[str(r["doc_id"]), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
-        got = byte_bpe.encoded(df, path, public_tokenizers.PATTERN).collect()
-        assert Counter((str(r[0]), *r[1:]) for r in got) == texts
-    assert byte_bpe.encoded(empty, path, public_tokenizers.PATTERN).count() == 0
-    with_ids = byte_bpe.encoded(docs.limit(5), path, public_tokenizers.PATTERN, with_ids=True).select("n_tokens", F.size("ids").alias("n")).collect()
-    assert all(r["n"] == r["n_tokens"] for r in with_ids)
+            texts[str(r["doc_id"]), ids.tobytes(), (r["text"] or "").encode()] += 1
+        got = byte_bpe.coded(df, path, public_tokenizers.PATTERN).collect()
+        assert Counter((str(r[0]), bytes(r[1]), bytes(r[2])) for r in got) == texts
+    assert byte_bpe.coded(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_digest_columns(spark, sf_dir, docs, tik):
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in QUERIES["op9_byte_bpe"](spark, sf_dir).collect():
+        ids = np.array(tik.encode_ordinary(texts[r["doc_id"]]), dtype="<u4")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
+    pieces = QUERIES["op1_packing"](spark, sf_dir).join(packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "ids"), ["doc_id", "start"])
+    assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in pieces.collect())
 
 
 def test_rank_queue():
