@@ -108,7 +108,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = found.join(classes, found["node"] == classes["fp"]).select("node", "root", "__first")
     lowest = linked.groupBy("root").agg(F.min("__first").alias("__low"))
     named = linked.join(lowest, "root").select(F.col("node").alias("fp"), "__low")
-    by_fp = classes.join(named, "fp", "left").select("fp", F.coalesce("__low", "__first").alias("component_id"))
+    # Cut, so that the last join is one of two plain exchanges and a hot fingerprint's rows can be split.
+    by_fp = cut(classes.join(named, "fp", "left").select("fp", F.coalesce("__low", "__first").alias("component_id")))
     return fps.join(by_fp, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
