@@ -66,6 +66,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, a long, and its name. They are kept in the shared folder, so that every later reading
+    sees the same keys, whatever order the rows come in."""
+    (row,) = fresh(df, "__row_key")
+    return cut(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def row_order(id_col: str, row: str) -> Column:
+    """Smallest first: the smallest id, null ids last; then the row's key. The field ``row`` holds the key."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+
+
+def first_rows(keyed: DataFrame, row: str, grouped: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` without those that are not the first of their group; ``grouped`` has (key, a row_order; root) of all
+    rows in groups of two or more."""
+    first = grouped.groupBy("root").agg(F.min("key").alias("first"))
+    dropped = cut(grouped.join(first, "root").filter("key.row <> first.row").select(F.col("key.row").alias(row)))
+    return keyed.join(dropped, row, "left_anti").drop(row)
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``rows`` rows and about ``most`` bytes of a text column, so that memory follows neither
     the rows of a batch nor, but for one text, their lengths."""

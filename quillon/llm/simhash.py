@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, fresh, text_of
+from quillon.llm.common import cut, first_rows, row_order, text_of, with_row_key
 
 SEED = 42
 DISTANCE = 3
@@ -114,8 +114,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with their own columns; ids are taken to be unique."""
-    groups = near_groups(docs, id_col, text_col, distance, shingle)
-    (gone,) = fresh(docs, "__dropped")
-    dropped = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(gone))
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped[gone]), "left_anti")
+    """One row of each component of near copies, with its own columns: the one with the smallest id, null ids last. Verdicts
+    are of rows, so null and repeated ids take no other row with them."""
+    keyed, row = with_row_key(docs)
+    fps = cut(with_fingerprint(keyed.select(row_order(id_col, row).alias("key"), F.col(text_col).alias("text")), "key", "text", shingle))
+    found = components(links(fps.select("fp").distinct(), distance))
+    return first_rows(keyed, row, fps.join(found, fps["fp"] == found["node"], "left").select("key", F.coalesce("root", "fp").alias("root")))
