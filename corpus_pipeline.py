@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, packing, pii, quality, simhash
+from quillon.llm import exact_dedup, jaccard, packing, pii, quality
 from quillon.llm.common import shared_folder, ship
 
 
@@ -30,9 +30,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, the one with the smallest id."""
+    """One document of each component of near copies (shingles of five words, Jaccard similarity 0.8 or more) stays, the one
+    with the smallest id."""
     ship(spark)
-    return simhash.keep_first(docs)
+    return jaccard.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

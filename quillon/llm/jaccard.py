@@ -1,0 +1,119 @@
+"""Near copies by the Jaccard similarity of word shingles: every pair at or above the bound, by prefix filtering.
+
+With one order of all shingles, rarest first, two sets at the bound share a shingle among the first ones of both: of the larger
+set the first n - ceil(s n) + 1, of the smaller n - ceil(2 s n / (1 + s)) + 1. Only sets that meet there are compared, and each
+comparison is of the whole sets. A fingerprint's radius has no such guarantee: at similarity 0.8 fingerprints of 64 bits
+differ in about 10 bits with a spread of 3, and a radius wide enough for all of them takes in unrelated texts.
+
+Shingles of one text alone can match nothing and leave before texts are put together again. Shingles stand for
+themselves as 64-bit hashes. Large families of near copies would meet in pairs of all with all; so where many
+sets share a shingle, each is first compared with one of them, which differs from shingle to shingle, and what these
+links already join is not compared again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.llm.common import cut, first_rows, row_order, slices, text_of, with_row_key
+from quillon.llm.simhash import components
+
+SEED = 42
+SHINGLE = 5
+#: Least similarity of near copies in hundredths.
+PERCENT = 80
+#: Sets that share a shingle are compared all with all if they are at most so many, else first with one of them.
+CROWD = 16
+#: So many row keys at most are broadcast.
+FEW = 500_000
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles. Words as in ``simhash.fingerprint``; fewer than ``shingle``
+    words are one whole shingle, no words none."""
+    words = (text or "").encode().lower().split()
+    grams = [b" ".join(words)] if 0 < len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64)).view(np.int64)
+
+
+def _digests(rows: DataFrame, shingle: int) -> DataFrame:
+    """``key`` and 128 bits over the set of shingles, of (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [xxhash.xxh128_digest(shingles(t.as_py(), shingle).tobytes()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "digest"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, digest binary")
+
+
+def _tokens(rows: DataFrame, shingle: int) -> DataFrame:
+    """``node``, ``size`` of its set and one ``token`` a row, of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, 1024, 4_000_000):
+                found = [shingles(t.as_py(), shingle) for t in part.column(1)]
+                sizes = np.array([len(x) for x in found], dtype=np.int32)
+                columns = np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes), np.repeat(sizes, sizes), np.concatenate(found)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["node", "size", "token"])
+
+    return rows.mapInArrow(run, "node long, size int, token long")
+
+
+def links(texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between nodes of (node long, text): each joins two texts at or above the bound, and any two such texts are
+    joined by a chain of links. Texts are to differ in their shingles; a text without words links with nothing."""
+    counted = _tokens(texts, shingle).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
+    ranked = F.expr("transform(array_sort(collect_list(struct(df, token))), x -> x.token)")
+    # At least ceil(s n) shingles are shared with any partner.
+    nodes = cut(counted.groupBy("node", "size").agg(ranked.alias("tokens")).filter(f"100 * size(tokens) >= {percent} * size"))
+    posts = nodes.selectExpr("node", "size", "size - size(tokens) as alone", "posexplode(tokens) as (k, token)").filter(
+        f"alone + k <= size - ({percent} * size + 99) div 100"
+    ).selectExpr("node", "size", "token", f"alone + k <= size - ({2 * percent} * size + {99 + percent}) div {100 + percent} as indexed")
+    posts = cut(posts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("n > 1"))
+    alike = f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(nodes.selectExpr(f"node as {end}", f"size as {end}_size", f"tokens as {end}_tokens"), end)
+        common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        return cut(pairs.filter((100 + percent) * common >= percent * (F.col("a_size") + F.col("b_size"))).select("a", "b"))
+
+    crowd = posts.filter(F.col("n") > CROWD)
+    centre = crowd.groupBy("token").agg(F.min_by(F.struct("node", "size"), F.xxhash64("node", "token")).alias("c"))
+    star = crowd.join(centre, "token").selectExpr("least(node, c.node) as a", "greatest(node, c.node) as b", "size as a_size", "c.size as b_size").filter("a < b").filter(alike)
+    first = verified(star.select("a", "b").distinct())
+    if not first.isEmpty():
+        found = components(first).selectExpr("node as linked", "root")
+        posts = cut(posts.join(found, posts["node"] == found["linked"], "left").select("node", "size", "token", "indexed", F.coalesce("root", "node").alias("root")))
+    else:
+        posts = posts.withColumn("root", F.col("node"))
+    left = posts.filter("indexed").selectExpr("node as a", "size as a_size", "token", "root as a_root")
+    right = posts.selectExpr("node as b", "size as b_size", "token", "root as b_root")
+    rest = left.join(right, "token").filter("a_root <> b_root and (a_size < b_size or a_size = b_size and a < b)").filter(alike)
+    return first.union(verified(rest.select("a", "b").distinct()))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component of near copies, with its own columns: the one with the smallest id, null ids last.
+
+    Null text counts as empty; texts with equal sets of shingles, empty ones among them, are near copies of each other. Verdicts
+    are of rows. An empty table gives an empty result.
+    """
+    keyed, row = with_row_key(docs)
+    rows = cut(_digests(keyed.select(row_order(id_col, row).alias("key"), text_of(text_col).alias("text")), shingle))
+    classes = rows.groupBy("digest").agg(F.min("key.row").alias("node"))
+    rows = cut(rows.join(classes, "digest").select("key", "node"))
+    repeats = rows.filter("key.row <> node").select(F.col("key.row").alias(row))
+    if repeats.count() <= FEW:
+        repeats = F.broadcast(repeats)  # else the texts would be dealt out for this join
+    texts = keyed.select(row, text_of(text_col).alias("text")).join(repeats, row, "left_anti").withColumnRenamed(row, "node")
+    found = components(links(texts, percent, shingle)).withColumnRenamed("node", "linked")
+    return first_rows(keyed, row, rows.join(found, rows["node"] == found["linked"], "left").select("key", F.coalesce("root", "node").alias("root")))
