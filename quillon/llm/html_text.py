@@ -58,28 +58,42 @@ class Block:
     furniture: bool
     main: bool
     heading: bool
+    partly: bool = False  # furniture by a part of a compound name only
 
 
-def _is_furniture(tag: str, rest: str, in_main: bool) -> bool:
+#: What marks an element as furniture: nothing, a mere part of a compound name, or its tag, state or a whole name.
+NONE, PART, WHOLE = 0, 1, 2
+
+
+def _furniture(tag: str, rest: str, in_main: bool) -> int:
     if tag in FURNITURE_TAGS or tag in SKIPPED_TAGS or (tag == "header" and not in_main):
-        return True
+        return WHOLE
     if not rest.strip() or tag in ("html", "body", *MAIN_TAGS):
-        return False
+        return NONE
+    return _named(rest)
+
+
+def _named(rest: str) -> int:
+    """The strongest mark by attributes."""
+    mark = NONE
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return WHOLE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and any(w in FURNITURE_NAMES for part in value.split() for w in (part, *re.split(r"[-_]", part))):
-            return True
-    return False
+            return WHOLE
+        if name in ("class", "id", "role"):
+            if any(part in FURNITURE_NAMES for part in value.split()):
+                return WHOLE
+            if any(w in FURNITURE_NAMES for part in value.split() for w in re.split(r"[-_]", part)):
+                mark = PART
+    return mark
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks in page order. Character references are decoded, white space inside a block is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, main; both are inherited
+    stack: list[tuple[str, int, bool]] = []  # tag, furniture, main; both are inherited
     parts: list[str] = []
     link_parts = 0
     in_link = heading = False
@@ -88,8 +102,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal link_parts
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            _, furniture, main = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, min(link_parts, len(text)), furniture, main, heading))
+            _, furniture, main = stack[-1] if stack else ("", NONE, False)
+            out.append(Block(text, min(link_parts, len(text)), furniture == WHOLE, main, heading, furniture == PART))
         parts.clear()
         link_parts = 0
 
@@ -136,26 +150,28 @@ def blocks(page: str) -> list[Block]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if not is_block and any(x[1] for x in stack[i:]) != bool(i and stack[i - 1][1]):
+                    if not is_block and max(x[1] for x in stack[i:]) != (stack[i - 1][1] if i else NONE):
                         close()
                     del stack[i:]
                     break
             if is_block:
                 in_link = in_link and name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "div")
         elif name != "hr":
-            _, furniture, main = stack[-1] if stack else ("", False, False)
+            _, furniture, main = stack[-1] if stack else ("", NONE, False)
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()  # a paragraph ends where the next begins
-                _, furniture, main = stack[-1] if stack else ("", False, False)
+                _, furniture, main = stack[-1] if stack else ("", NONE, False)
             if name == "li":
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ("ul", "ol", "menu"):
                         break
                     if stack[i][0] == "li":
                         del stack[i:]
-                        _, furniture, main = stack[-1] if stack else ("", False, False)
+                        _, furniture, main = stack[-1] if stack else ("", NONE, False)
                         break
-            new = furniture or _is_furniture(name, rest, main)
+            new = max(furniture, _furniture(name, rest, main))
+            if new == PART and name in MAIN_TAGS and not main and _named(rest) == NONE:
+                new = NONE  # a wrapper's compound name tells of the layout, not of the article in it
             if not is_block and new != furniture:
                 close()
             stack.append((name, new, main or (name in MAIN_TAGS and not new)))
@@ -164,12 +180,18 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _dense(b: Block, links: float) -> bool:
+    """Running text: long, with many stop words and few links."""
+    words = _WORDS.findall(b.text.lower())
+    return len(b.text) >= SHORT and links <= LINKS / 2 and sum(w in _STOP for w in words) >= STOP_HIGH * max(len(words), 1)
+
+
 def first_pass(b: Block, has_main: bool) -> str:
     """good, bad or short; a short block is one whose own measures do not tell."""
     if b.furniture or (has_main and not b.main):
         return "bad"
     links = b.link_chars / len(b.text)
-    if links > LINKS:
+    if links > LINKS or (b.partly and not _dense(b, links)):
         return "bad"
     if b.main:
         return "good" if len(b.text) >= SHORT else "short"
@@ -192,7 +214,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
         last: int | None = None
         for i in order:
             near[i] = last
-            if labels[i] != "short" and not found[i].furniture:
+            if labels[i] != "short" and not found[i].furniture and not (found[i].partly and labels[i] == "bad"):
                 last = i
     out = []
     for i, label in enumerate(labels):
