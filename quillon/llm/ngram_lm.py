@@ -1,14 +1,14 @@
-"""Language-model scoring by a weighted backoff automaton over word bigrams.
+"""Language-model scoring by a vectorised look-up of word bigrams.
 
 The model is a bigram with Dirichlet smoothing, p(w | u) = (c(u, w) + K p(w)) / (c(u) + K), over additively smoothed
-unigrams. As an automaton, each word seen in training is a state; an arc for each seen bigram carries
+unigrams. No automaton is built or traversed; the look-up gives what this one would: each word seen in training is a state; an arc for each seen bigram carries
 log10 p(w | u); the failure arc carries log10(K / (c(u) + K)) and leads to the empty state, whose arcs carry log10 p(w).
 One left-to-right traversal of a text carries the state (the last word) and adds up the weights.
 
-Counts cover the whole training corpus. The automaton grows with it, so no task holds it whole: tasks read the texts in
-chunks of bounded size and ask for just the arcs that a chunk can take. A chunk sends each hash bucket a sorted array
+Counts cover the whole training corpus. The model grows with them, so no task holds it whole: tasks read the texts in
+chunks of bounded size and ask for just the n-grams that a chunk has. A chunk sends each hash bucket a sorted array
 of the distinct n-gram hashes it has, with training counts; a bucket adds up the counts of all chunks and answers each
-in the same order; the chunk, met again by its number, builds its part of the automaton and walks its texts. What travels
+in the same order; the chunk, met again by its number, looks its words and bigrams up in the answers. What travels
 is a few bytes a distinct n-gram and chunk, packed in numpy arrays. N-grams are spread over the buckets by hash, so a
 frequent word's bigrams are spread too, and the most frequent n-gram counts once a chunk.
 """
@@ -203,7 +203,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
                     at += 1
         counts = np.concatenate(counts)
         c1, c2 = np.split(counts, [len(chunk.unigrams)])
-        # States and arcs of the automaton that this chunk can reach.
+        # Log probabilities of this chunk's words and bigrams.
         unigram = np.log10((c1 + ADDED) / (total + ADDED * (vocabulary + 1)))
         fail = np.log10(prior_tokens / (c1 + prior_tokens))
         w, u, p = chunk.word, chunk.context, chunk.pair
