@@ -57,7 +57,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Tokenising, SimHash components and the trained tagger are not expressible in SQL; the tests hold run() against brute force.
+#: Tokenising, SimHash components and the trained tagger are not expressible in SQL; of the stages, the tests hold the
+#: near-copy stage alone against brute force; run() as a whole is not.
 ORACLE_SQL: str | None = None
 
 
