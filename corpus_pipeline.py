@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, jaccard, packing, pii, quality
+from quillon.llm import exact_dedup, near_copies, packing, pii, quality
 from quillon.llm.common import shared_folder, ship
 
 
@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each component of near copies (shingles of five words, Jaccard similarity 0.8 or more) stays, the one
     with the smallest id."""
     ship(spark)
-    return jaccard.keep_first(docs)
+    return near_copies.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
