@@ -9,8 +9,10 @@ the differencing runs again.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,27 +34,34 @@ END = 1
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     """Karmarkar-Karp: item numbers in ``ways`` sets whose sums are nearly equal.
 
-    A partial partition is a list of (sum, items) in descending order, its imbalance the first sum less the last. The two
-    with the largest imbalances are merged largest against smallest. Items start in blocks of ``ways``: the i-th block of
-    the sorted items is one partial partition, which bounds the merges by the number of blocks.
+    Each item starts as a partial partition of its own. The imbalance of a partial partition is its largest sum less its smallest;
+    the two with the largest imbalances are merged, largest sum against smallest, until one is left. Only sums above zero
+    are held, in ascending order: where two partial partitions have no more than ``ways`` of them together, none meet.
     """
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    heap: list[tuple[int, int, list[tuple[int, list]]]] = []
-    for n, i in enumerate(range(0, len(order), ways)):
-        part = [(sizes[j], [j]) for j in order[i : i + ways]]
-        part += [(0, [])] * (ways - len(part))
-        heap.append((part[-1][0] - part[0][0], n, part))
+    # Nested pairs instead of joined lists: each merge costs a step per sum, whatever the sets hold.
+    heap: list[tuple[int, int, list[tuple[int, list]]]] = [(-sizes[i] if ways > 1 else 0, n, [(sizes[i], [i])]) for n, i in enumerate(order)]
     heapq.heapify(heap)
     n = len(heap)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        # Nested pairs instead of joined lists: each merge costs a step per window, whatever the windows hold.
-        merged = sorted(((x[0] + y[0], [x[1], y[1]]) for x, y in zip(a, reversed(b), strict=True)), key=lambda x: -x[0])
-        low = merged[-1][0]
-        heapq.heappush(heap, (low - merged[0][0], n, merged))
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        if len(a) < len(b):
+            a, b = b, a
+        meet = max(0, len(a) + len(b) - ways)
+        met = [(x[0] + y[0], [x[1], y[1]]) for x, y in zip(a[:meet], reversed(b[:meet]), strict=True)]
+        if len(b) == 1:
+            merged = a[meet:]
+            bisect.insort(merged, met[0] if meet else b[0], key=_sum)
+        else:
+            merged = sorted([*a[meet:], *b[meet:], *met], key=_sum)
+        heapq.heappush(heap, ((merged[0][0] if len(merged) == ways else 0) - merged[-1][0], n, merged))
         n += 1
-    return [_flat(items) for _, items in heap[0][2]] if heap else [[] for _ in range(ways)]
+    sets = [_flat(items) for _, items in heap[0][2]] if heap else []
+    return sets + [[] for _ in range(ways - len(sets))]
+
+
+def _sum(part: tuple[int, list]) -> int:
+    return part[0]
 
 
 def _flat(nested: list) -> list[int]:
@@ -101,23 +110,22 @@ def pack(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE) -> li
 
 
 def byte_bpe_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text under a byte-level BPE file of the tokenizers library, without special tokens.
+    """Ids of a text under a byte-level BPE file of the tokenizers library: those of ``Tokenizer.from_file(path)`` with
+    ``add_special_tokens=False``, so the string of an added token in a text is that token.
 
-    The ids are those of ``Tokenizer.from_file(path)`` with ``encode_special_tokens``: special tokens' strings in a text are
-    ordinary text. Where the file's ids follow its merges, tiktoken encodes by the same table, at several times the speed;
-    any other file, and any text it refuses, goes to tokenizers itself.
+    Where the file's ids follow its merges, tiktoken encodes by the same table, at several times the speed; any other
+    file, a text with an added token's string, and any text that tiktoken refuses go to tokenizers itself.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def slow(text: str) -> np.ndarray:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    model, special = spec["model"], {t["content"] for t in spec.get("added_tokens", [])}
+    model, added = spec["model"], {t["content"] for t in spec.get("added_tokens", [])}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
     if not plain or any(model["vocab"].get(x + y) != 256 + i for i, (x, y) in enumerate(merges)):
@@ -131,10 +139,13 @@ def byte_bpe_encoder(path: str) -> Callable[[str], np.ndarray]:
     others = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     assert set(byte) == set(ByteLevel.alphabet())
-    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    marked = re.compile("|".join(map(re.escape, sorted(added))) or r"(?!)").search
     table = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
+        if marked(text):
+            return slow(text)
         try:
             return table.encode_to_numpy(text, disallowed_special=()).astype("<u4")
         except BaseException as e:  # tiktoken's own panics are no Exception

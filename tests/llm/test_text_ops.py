@@ -206,7 +206,6 @@ def check_packing(df, **options):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = packing.packed(df, path, **options).collect()
     pieces, load = {}, {}
     for r in rows:
@@ -266,6 +265,32 @@ def test_differencing_balances():
     assert packing.differencing([], 3) == [[], [], []]
 
 
+@given(st.lists(st.integers(1, 40), max_size=25), st.integers(1, 6))
+@settings(max_examples=150, deadline=None)
+def test_differencing_by_its_definition(sizes, ways):
+    """Partial partitions with all their sums, merged largest imbalance first."""
+    parts = [(n, [(s, (i,))] + [(0, ())] * (ways - 1)) for n, (i, s) in enumerate(sorted(enumerate(sizes), key=lambda x: (-x[1], x[0])))]
+    number = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[1][-1][0] - p[1][0][0], p[0]))
+        a, b, *parts = parts
+        merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a[1], reversed(b[1]), strict=True)), key=lambda x: -x[0])
+        parts.append((number, merged))
+        number += 1
+    want = sorted(s for s, _ in parts[0][1]) if parts else [0] * ways
+    assert sorted(sum(sizes[i] for i in s) for s in packing.differencing(sizes, ways)) == want
+
+
+def test_added_tokens_in_a_text():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encode = Tokenizer.from_file(path), packing.byte_bpe_encoder(path)
+    for text in ("x <|endoftext|> y", "<|endoftext|><|endoftext|>", "plain", "<|endoftext", "a<|endoftext|>" * 300):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode("x <|endoftext|> y")
+
+
 @pytest.fixture(scope="module")
 def coder():
     return byte_bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
