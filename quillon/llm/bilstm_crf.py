@@ -47,8 +47,9 @@ class BiLstmCrf:
     def transitions(self) -> tuple[np.ndarray, np.ndarray]:
         return np.where(self.allowed, self.p["step"], np.float32(-1e4)), np.where(self.start_allowed, self.p["first"], np.float32(-1e4))
 
-    def _run(self, x: np.ndarray, way: str, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction; x is (time, batch, embed), already in that direction's order."""
+    def _run(self, x: np.ndarray, real: np.ndarray, way: str, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states of one direction; x is (time, batch, embed), already in that direction's order. Where ``real`` is 0 lies
+        padding, which leaves the state empty: what a window gives does not depend on those beside it."""
         t, b, _ = x.shape
         pre = x @ self.p[f"x{way}"] + self.p[f"b{way}"]
         w = self.p[f"h{way}"]
@@ -61,27 +62,28 @@ class BiLstmCrf:
             n, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             before_c, before_h = c, h
             c = f * c + n * g
+            c = c * real[i]
             tc = np.tanh(c)
-            h = o * tc
+            h = o * tc * real[i]
             hs[i] = h
             if keep:
                 kept.append((n, f, o, g, tc, before_c, before_h))
         return hs, kept
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
-        """(batch, time, labels) scores of windows of codes (batch, time)."""
+        """(batch, time, labels) scores of windows of codes (batch, time), code 0 padding their ends."""
         return self._forward(codes, False)[0]
 
     def _forward(self, codes: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
-        x = self.p["embed"][codes.T]
-        hf, kf = self._run(x, "f", keep)
-        hb, kb = self._run(x[::-1], "b", keep)
+        x, real = self.p["embed"][codes.T], (codes.T != 0)[:, :, None].astype(np.float32)
+        hf, kf = self._run(x, real, "f", keep)
+        hb, kb = self._run(x[::-1], real[::-1], "b", keep)
         both = np.concatenate([hf, hb[::-1]], axis=2)
-        return (both @ self.p["out"] + self.p["out_b"]).transpose(1, 0, 2), (x, both, kf, kb)
+        return (both @ self.p["out"] + self.p["out_b"]).transpose(1, 0, 2), (x, both, kf, kb, real)
 
     def gradient(self, codes: np.ndarray, tags: np.ndarray, lengths: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of tag sequences and its gradient."""
-        e, (x, both, kf, kb) = self._forward(codes, True)
+        e, (x, both, kf, kb, real) = self._forward(codes, True)
         b, t, k = e.shape
         step, first = self.transitions()
         mask = np.arange(t)[None, :] < lengths[:, None]
@@ -112,12 +114,12 @@ class BiLstmCrf:
         grad["out"] = both.reshape(-1, 2 * HIDDEN).T @ d_out.reshape(-1, k)
         grad["out_b"] = d_out.sum(axis=(0, 1))
         d_both = d_out @ self.p["out"].T
-        d_x = self._back(d_both[:, :, :HIDDEN], kf, x, "f", grad) + self._back(d_both[::-1, :, HIDDEN:], kb, x[::-1], "b", grad)[::-1]
+        d_x = self._back(d_both[:, :, :HIDDEN], kf, x, real, "f", grad) + self._back(d_both[::-1, :, HIDDEN:], kb, x[::-1], real[::-1], "b", grad)[::-1]
         grad["embed"] = np.zeros_like(self.p["embed"])
         np.add.at(grad["embed"], codes.T.ravel(), d_x.reshape(-1, EMBED))
         return float((total.sum() - score) / b), grad
 
-    def _back(self, d_h: np.ndarray, kept: list, x: np.ndarray, way: str, grad: dict[str, np.ndarray]) -> np.ndarray:
+    def _back(self, d_h: np.ndarray, kept: list, x: np.ndarray, real: np.ndarray, way: str, grad: dict[str, np.ndarray]) -> np.ndarray:
         t, b, _ = d_h.shape
         w = self.p[f"h{way}"]
         d_z = np.empty((t, b, 4 * HIDDEN), np.float32)
@@ -125,8 +127,8 @@ class BiLstmCrf:
         d_w = np.zeros_like(w)
         for i in range(t - 1, -1, -1):
             n, f, o, g, tc, before_c, before_h = kept[i]
-            dh = d_h[i] + dh_next
-            dc = dc + dh * o * (1 - tc * tc)
+            dh = (d_h[i] + dh_next) * real[i]
+            dc = (dc + dh * o * (1 - tc * tc)) * real[i]
             d_z[i, :, :HIDDEN] = dc * g * n * (1 - n)
             d_z[i, :, HIDDEN : 2 * HIDDEN] = dc * before_c * f * (1 - f)
             d_z[i, :, 2 * HIDDEN : 3 * HIDDEN] = dh * tc * o * (1 - o)

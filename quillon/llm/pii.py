@@ -1,6 +1,6 @@
 """Personal data: base patterns, and spans that a character-level BiLSTM-CRF adds.
 
-Every kind of span holds a digit or an at sign, so only the stretches around such characters, with context on both sides, can
+Every kind of span here holds a digit or an at sign, written as such or in brackets, so only the stretches around these, with context on both sides, can
 hold one; these are cut into overlapping windows for the network. Where windows overlap, a character's scores come
 from the window in which it lies farthest from an edge, and one Viterbi pass decodes the whole stretch. A decoded span is
 added if it passes its kind's check and touches no base span. Texts are read where they lie; nothing is shuffled.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,22 @@ BASE_KINDS = KINDS[:4]
 LABELS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
 WINDOW, STRIDE, CONTEXT = 96, 48, 20
 #: Documents whose base spans train the network, by hash order of the id.
-SAMPLE = 300
-GENERATED = 2500
+SAMPLE, PER_DOCUMENT = 300, 20
+GENERATED, EPOCHS = 4000, 8
 
 _AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+")
+_TRIGGER = re.compile(r"[0-9@]+|[\[({]at[\])}]", re.IGNORECASE)
+#: Spelt-out forms of the at sign and the dot.
+_AT_FORM = re.compile(r"\s*(?:@|[\[({]\s?at\s?[\])}])\s*", re.IGNORECASE)
+_DOT_FORM = re.compile(r"\s*(?:\.|[\[({]\s?dot\s?[\])}])\s*", re.IGNORECASE)
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])")
 
+_BEFORE = re.compile(r"""[\s=:"']+""")
+
 Span = tuple[int, int, str]
 
 
@@ -87,28 +93,39 @@ def _place(span: Span) -> tuple[int, int]:
 
 
 def _valid(kind: str, text: str) -> bool:
-    """What an added span must look like, whatever the network says."""
+    """What an added span must hold to be of its kind at all; which one it is, and where it ends, the network says."""
     digits = _digits(text)
     if kind == "email":
-        at = re.split(r"\s*@\s*", text)
-        return len(at) == 2 and bool(at[0]) and bool(re.fullmatch(r"[A-Za-z0-9-]+(\s?\.\s?[A-Za-z0-9-]+)+", at[1]))
+        plain = _AT_FORM.sub("@", _DOT_FORM.sub(".", text), count=1)
+        return plain.count("@") == 1 and bool(re.fullmatch(r"[^\s@]+@[^\s@.]+(\.[^\s@.]+)+", plain))
     if kind == "ip":
-        parts = re.split(r"\s?[.,]\s?", text)
+        parts = re.split(r"\s?[.,]\s?|\[\.\]", text)
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[A-Za-z]", text)
     if kind == "phone":
-        return 10 <= len(digits) <= 15 and bool(re.search(r"[().+-]", text)) and not re.search(r"[A-Za-z]", text) and not re.fullmatch(r"[0-9.]+", text)
-    return bool(_SECRET.fullmatch(text))
+        return 9 <= len(digits) <= 15 and text[0] in "+(0123456789" and bool(re.fullmatch(r"[0-9+().\x20/-]+", text)) and len(re.findall(r"[0-9]+", text)) > 1
+    return len(text) >= 12 and bool(digits) and bool(re.search(r"[A-Za-z]", text)) and not re.search(r"\s", text)
+
+
+#: Characters of addresses; a stretch ends where a run of them does.
+_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
+_RUN_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where a span can lie: around digits and at signs, with context, merged where they meet."""
+    """Where a span can lie: around digits and at signs, written as such or in brackets, with context and to the end of the run of
+    address characters there; merged where they meet."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        s, e = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and s <= out[-1][1]:
-            out[-1][1] = e
+        floor = out[-1][1] if out else 0
+        if m.end() + CONTEXT <= floor:
+            continue
+        s, e = max(0, m.start() - CONTEXT), _RUN.match(text, min(len(text), m.end() + CONTEXT)).end()
+        while s > floor and text[s - 1] in _RUN_CHARACTERS:
+            s -= 1
+        if out and s <= floor:
+            out[-1][1] = max(e, floor)
         else:
             out.append([s, e])
     return [(s, e) for s, e in out]
@@ -185,50 +202,70 @@ class Tagger:
                 kind, (s, e) = LABELS[tags[s]][2:], (s + offset, e + offset)
                 while e > s and text[e - 1] in " .,;:)(" and not (kind == "phone" and text[e - 1] == ")"):
                     e -= 1
-                if e > s and _valid(kind, text[s:e]) and not any(b[0] < e and s < b[1] for b in base):
+                if kind == "phone" and s and text[s - 1] == "(" and ")" in text[s:e]:
+                    s -= 1
+                # A span that took in words before it begins after them.
+                s = next((at for at in (s, *(s + m.end() for m in _BEFORE.finditer(text[s:e]))) if at < e and _valid(kind, text[at:e])), -1)
+                if s >= 0 and not any(b[0] < e and s < b[1] for b in base):
                     yield s, e, kind
 
 
 def _generated(rng: random.Random, n: int) -> list[tuple[str, list[Span]]]:
-    """Labelled windows: an entity, or a number that is none, between invented words."""
+    """Labelled windows: entities in spellings of which the base patterns know some, or numbers and codes that are none, between invented words."""
     syllables = "an er the ti on re ing ent la de ou es te ver ge cha lo mi que ra na sch ble is".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    written = lambda: rng.choice([str.lower, str.lower, str.lower, str.capitalize, str.upper])(word())
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    pick = lambda characters, k: "".join(rng.choice(characters) for _ in range(k))
     octet = lambda: str(rng.randint(0, 255))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def card() -> str:
         body = digits(15)
         body += next(d for d in "0123456789" if luhn(body + d))
-        return rng.choice(["", " ", "-", ".", "  "]).join(body[i : i + 4] for i in range(0, 16, 4))
-
-    def host() -> list[str]:
-        return [word() + rng.choice(["", digits(1)]), rng.choice(["example", word()]), rng.choice(["com", "org", "net", "de"])][rng.randint(0, 1) :]
-
-    make = {
-        "email": lambda: (word() + rng.choice(["", "." + word(), digits(2)])) + rng.choice(["@", "@", " @ ", "@ "]) + rng.choice([".", ".", " . "]).join(host()),
-        "ip": lambda: rng.choice([".", ".", ". ", ","]).join(octet() for _ in range(4)),
-        "card": card,
-        "phone": lambda: rng.choice([
-            lambda: f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+{rng.randint(1, 99)} {digits(3)} {digits(7)}", lambda: f"00{rng.randint(30, 49)}-{digits(3)}-{digits(6)}",
-        ])(),
-        "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 40, 48]))),
-    }
-    plain = [lambda: digits(rng.randint(1, 7)), lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)}.{digits(1)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: "@" + word(), lambda: f"{digits(2)},{digits(3)}", lambda: f"{digits(2)}%", lambda: digits(rng.randint(8, 12))]
+        return rng.choice(["", " ", "-", ".", "  ", "/"]).join(body[i : i + 4] for i in range(0, 16, 4))
+
+    def email() -> str:
+        host = [word() + rng.choice(["", digits(1), "-" + word()]), rng.choice(["example", word()]), rng.choice(["com", "org", "net", "de", "fr", "io", "info"])][rng.randint(0, 1) :]
+        at = rng.choice(["@", "@", " @ ", "@ ", " (at) ", "(at)", "[at]", " [at] "])
+        dot = rng.choice([" . ", ".", "(dot)", "[dot]", " [dot] "]) if at != "@" else rng.choice([".", ".", " . ", "[dot]"])
+        return (word() + rng.choice(["", "." + word(), digits(2), "_" + word(), "-" + digits(1)])) + at + dot.join(host)
+
+    def phone() -> str:
+        code, d = f"+{rng.randint(1, 99)}", digits
+        forms = [f"{code} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{code} {d(3)} {d(7)}", f"00{rng.randint(30, 49)}-{d(3)}-{d(6)}",
+                 f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)}/{d(7)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)} {d(4)} {d(4)}", f"{d(3)} {d(3)} {d(4)}", f"({d(3)}){d(3)}-{d(4)}"]
+        return rng.choice(forms)
+
+    def secret() -> str:
+        every = lower + upper + "0123456789"
+        return rng.choice([
+            lambda: pick("0123456789abcdef", rng.choice([32, 40, 40, 40, 48])), lambda: pick(every, rng.randint(20, 40)) + digits(1), lambda: pick(upper, 4) + pick(upper + "0123456789", 15) + digits(1),
+            lambda: pick(lower, 2) + rng.choice("_-") + pick(every, rng.randint(20, 36)) + digits(1), lambda: pick("0123456789ABCDEF", 32),
+        ])()
+
+    make = {"email": email, "ip": lambda: rng.choice([".", ".", ". ", ",", "[.]"]).join(octet() for _ in range(4)), "card": card, "phone": phone, "secret": secret}
+    plain = [
+        lambda: digits(rng.randint(1, 7)), lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.20{digits(2)}", lambda: f"{digits(1)}.{digits(1)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}",
+        lambda: f"{digits(2)}:{digits(2)}", lambda: "@" + word(), lambda: f"{digits(2)},{digits(3)}", lambda: f"{digits(2)}%", lambda: digits(rng.randint(8, 12)), lambda: f"19{digits(2)}-19{digits(2)}", lambda: f"{digits(3)}-{digits(3)}", lambda: f"{digits(1)}-{digits(1)}, {digits(2)}-{digits(1)}", lambda: word() + digits(2),
+        lambda: pick(upper, 2) + "-" + digits(4), lambda: f"{digits(3)},{digits(3)},{digits(3)}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"({digits(2)})", lambda: word() + "(at)" + " " + word(), lambda: f"{digits(4)} {digits(4)}", lambda: digits(rng.choice([16, 18, 20])),
+    ]
     out = []
     for _ in range(n):
-        text, spans = " ".join(word() for _ in range(rng.randint(0, 6))), []
+        text, spans = " ".join(written() for _ in range(rng.randint(0, 5))), []
         for _ in range(rng.randint(1, 2)):
             text += rng.choice([" ", ": ", ', "', " (", " | ", "### "])
             if rng.random() < 0.7:
                 kind = rng.choice(KINDS)
                 if kind == "secret" and rng.random() < 0.7:
-                    text += rng.choice(["token", "key", "secret", "api_key"]) + rng.choice([' = "', ": ", "="])
+                    name = rng.choice(["token", "key", "secret", "api_key", "password", "auth"])
+                    text += rng.choice([name, name, name.upper(), name.capitalize()]) + rng.choice([' = "', ": ", "="])
                 value = make[kind]()
                 spans.append((len(text), len(text) + len(value), kind))
                 text += value
             else:
                 text += rng.choice(plain)()
-            text += rng.choice([" ", ". ", ", ", '" ', ") ", "### ", "\n"]) + " ".join(word() for _ in range(rng.randint(0, 4)))
+            text += rng.choice([" ", ". ", ", ", '" ', ") ", "### ", "\n"]) + " ".join(written() for _ in range(rng.randint(0, 4)))
         if len(text) <= WINDOW:
             out.append((text, spans))
     return out
@@ -239,22 +276,20 @@ def _labelled(text: str) -> list[tuple[str, list[Span]]]:
     spans = base_spans(text)
     spans += [(m.start(), m.end(), "secret") for m in _SECRET.finditer(text) if not any(b[0] < m.end() and m.start() < b[1] for b in spans)]
     out = []
-    for s, e in stretches(text):
-        if e - s > WINDOW:
-            e = s + WINDOW
+    for s, e in ((s + w, min(e, s + w + WINDOW)) for s, e in stretches(text) for w in _windows(e - s)):
         inside, last = [], s
         for b in sorted(spans, key=_place):
             if b[0] >= last and b[1] <= e:
                 inside.append((b[0] - s, b[1] - s, b[2]))
                 last = b[1]
-        if not any(b[0] < e < b[1] for b in spans):
+        if not any(b[0] < e < b[1] or b[0] < s < b[1] for b in spans):
             out.append((text[s:e], inside))
     return out
 
 
-def fit(texts: list[str], generated: int = GENERATED, epochs: int = 10, seed: int = 7) -> BiLstmCrf:
-    """Train on windows of ``texts`` and generated ones."""
-    examples = _generated(random.Random(seed), generated) + [x for t in texts for x in _labelled(t)][:generated]
+def fit(texts: list[str], generated: int = GENERATED, epochs: int = EPOCHS, seed: int = 7) -> BiLstmCrf:
+    """Train on all windows of ``texts`` and about ``generated`` others."""
+    examples = _generated(random.Random(seed), generated) + [x for t in texts for x in _labelled(t)]
     codes, tags = np.zeros((len(examples), WINDOW), np.uint8), np.zeros((len(examples), WINDOW), np.int64)
     for r, (text, spans) in enumerate(examples):
         codes[r, : len(text)] = encode(text)
@@ -266,14 +301,15 @@ def fit(texts: list[str], generated: int = GENERATED, epochs: int = 10, seed: in
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> BiLstmCrf:
-    """Fit on the stretches of at most ``sample`` documents that have a digit or an at sign, out of twenty times as many;
-    windows, not texts, reach the driver."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, a_document: int = PER_DOCUMENT) -> BiLstmCrf:
+    """Fit on a bounded sample: of at most ``sample`` documents that have a digit or an at sign, out of twenty times as many, the first
+    ``a_document`` windows of their stretches each, which, not texts, reach the driver; and generated windows. Nulls count as
+    empty, repeated ids as one; an empty table leaves the generated windows alone."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [[t[s : min(e, s + WINDOW)] for s, e in stretches(t)[:20]] for t in batch.column(1).to_pylist()]
+            parts = [list(islice((t[s + w : min(e, s + w + WINDOW)] for s, e in stretches(t) for w in _windows(e - s)), a_document)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.string()))], names=["__id", "parts"])
 
     ids = F.broadcast(sample_ids(docs, id_col, 20 * sample))  # of fixed size
