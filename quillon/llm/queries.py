@@ -107,20 +107,23 @@ def _quality_sql() -> str:
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_K = ngram_lm.PRIOR_TOKENS
+_K2, _K3 = ngram_lm.PRIORS
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": _quality_sql(),
     "op10_lm_score": rf"""
         WITH d AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, {_WORDS.format(t=_LOWER)} || [chr(1)] AS w FROM documents),
-        t AS (SELECT doc_id, held_out, unnest([chr(2)] || w[:-2]) AS u, unnest(w) AS w FROM d),
+        t AS (SELECT doc_id, held_out, unnest(([NULL, chr(2)] || w[:-3])[:len(w)]) AS h, unnest([chr(2)] || w[:-2]) AS u, unnest(w) AS w FROM d),
         c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
         b AS (SELECT u, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY u, w),
-        h AS (SELECT u, count(*) AS c FROM t WHERE NOT held_out GROUP BY u),
+        g AS (SELECT h, u, w, count(*) AS c FROM t WHERE NOT held_out AND h IS NOT NULL GROUP BY h, u, w),
+        hu AS (SELECT u, count(*) AS c FROM t WHERE NOT held_out GROUP BY u),
         n AS (SELECT sum(c) AS n, count(*) AS v FROM c),
-        s AS (SELECT doc_id, held_out, coalesce(c.c, 0) AS c1, (coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p, coalesce(b.c, 0) AS c2, coalesce(h.c, 0) AS cu, n
-            FROM t CROSS JOIN n LEFT JOIN c USING (w) LEFT JOIN b ON b.u = t.u AND b.w = t.w LEFT JOIN h ON h.u = t.u)
-        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, max(n)::BIGINT AS train_tokens, round(fsum(log10(p)), 6) AS base_score, round(fsum(log10((c2 + {_K} * p) / (cu + {_K}))), 6) AS score FROM s GROUP BY doc_id, held_out""",
+        s AS (SELECT doc_id, held_out, t.h, coalesce(c.c, 0) AS c1, (coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p, coalesce(b.c, 0) AS c2, coalesce(hu.c, 0) AS cu, coalesce(g.c, 0) AS c3, coalesce(hb.c, 0) AS ch, n
+            FROM t CROSS JOIN n LEFT JOIN c USING (w) LEFT JOIN b ON b.u = t.u AND b.w = t.w LEFT JOIN hu ON hu.u = t.u LEFT JOIN g ON g.h = t.h AND g.u = t.u AND g.w = t.w LEFT JOIN b hb ON hb.u = t.h AND hb.w = t.u),
+        q AS (SELECT *, (c2 + {_K2} * p) / (cu + {_K2}) AS p2 FROM s)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, max(n)::BIGINT AS train_tokens, round(fsum(log10(p)), 6) AS base_score,
+            round(fsum(log10(CASE WHEN h IS NULL THEN p2 ELSE (c3 + {_K3} * p2) / (ch + {_K3}) END)), 6) AS score FROM q GROUP BY doc_id, held_out""",
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents),
         r AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)

@@ -309,36 +309,73 @@ def test_viterbi_is_the_best_path():
         assert tuple(got) == best
 
 
-def brute_lm(rows, training, prior):
+def brute_lm(rows, training, order, priors):
     tok = [(t or "").encode().lower().split() + [b"\0end"] for _, t in rows]
-    c, b, h = Counter(), Counter(), Counter()
+    seen = [Counter() for _ in range(4)]
+    history = [Counter() for _ in range(3)]
     for (i, _), w in zip(rows, tok, strict=True):
         if training(i):
-            c.update(w)
-            b.update(zip([b"\0begin", *w], w, strict=False))
-            h.update([b"\0begin", *w[:-1]])
-    n, v = sum(c.values()), len(c)
+            x = [b"\0begin", *w]
+            for at in range(1, len(x)):
+                for k in range(min(3, at + 1)):
+                    seen[k + 1][tuple(x[at - k : at + 1])] += 1
+                    history[k][tuple(x[at - k : at])] += 1
+    n, v = sum(seen[1].values()), len(seen[1])
+
+    def p(h, w):
+        if not h:
+            return (seen[1][w,] + 0.1) / (n + 0.1 * (v + 1))
+        return (seen[len(h) + 1][*h, w] + priors[len(h) - 1] * p(h[1:], w)) / (history[len(h)][h] + priors[len(h) - 1])
+
     out = []
     for (i, _), w in zip(rows, tok, strict=True):
-        p = [(c[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
-        pairs = zip([b"\0begin", *w[:-1]], w, p, strict=True)
-        out.append((i, len(w), sum(c[x] > 0 for x in w), n, sum(map(math.log10, p)), sum(math.log10((b[u, x] + prior * q) / (h[u] + prior)) for u, x, q in pairs)))
+        x = (b"\0begin", *w)
+        out.append((i, len(w), sum(seen[1][y,] > 0 for y in w), n, sum(math.log10(p((), y)) for y in w), sum(math.log10(p(x[max(0, at - order + 1) : at], x[at])) for at in range(1, len(x)))))
     return out
 
 
-def test_lm_scores(docs, edge, tmp_path, spark):
-    edge.write.parquet(str(tmp_path / "e"))
-    for df, chunk in ((docs, 40_000), (docs, 1 << 24), (spark.read.parquet(str(tmp_path / "e")), 1000)):
+def test_lm_scores(docs, edge):
+    training = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 != 0
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:4])
+    for df, chunk, order, keys in ((docs, 40_000, 3, 5000), (docs, 1 << 24, 3, 1 << 20), (edge, 1000, 3, 100), (docs, 300_000, 2, 20_000), (docs, 1 << 24, 1, 1 << 20)):
         rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-        key = lambda r: (r[0] is None, r[0] or 0, r[1:4])
-        training = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 != 0
-        want = sorted(brute_lm(rows, training, ngram_lm.PRIOR_TOKENS), key=key)
-        got = ngram_lm.scores(df, id_remainder("doc_id", 10) != 0, chunk_bytes=chunk).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+        want = sorted(brute_lm(rows, training, order, ngram_lm.PRIORS), key=key)
+        got = ngram_lm.scores(df, id_remainder("doc_id", 10) != 0, chunk_bytes=chunk, order=order, bucket_keys=keys).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
         got = sorted(map(tuple, got), key=key)
         assert [g[:4] for g in got] == [w[:4] for w in want]
         assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_states_are_carried(order):
+    """One traversal in segments of any length gives what reading each text in one go gives; states are the longest seen histories."""
+    rng = random.Random(order)
+    texts = [ngram_lm.tokens(" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 90)))) for _ in range(40)]
+    chunk = ngram_lm.Chunk.of(texts, order)
+    counts = chunk.counted(np.arange(40) < 15)
+    total, v = int(counts[0].sum()) - 15, int((counts[0] > 0).sum()) - 1
+    model = ngram_lm.Automaton(chunk, counts, total, v)
+    whole = model.traverse(chunk, 1000)
+    for segment in (3, 7, 64):
+        assert np.allclose(model.traverse(chunk, segment), whole)
+    if order == 3:
+        at, state = int(chunk.starts[20]), np.array([model.begin])
+        for i in range(at, at + int(chunk.lengths[20])):
+            _, state = model.step(state.copy(), chunk.word[i : i + 1])
+            pair = chunk.ends[0][1][i]
+            assert state[0] == (model.n + pair if counts[1][pair] else chunk.word[i] if counts[0][chunk.word[i]] else -1)
+
+
+def test_a_text_that_occurs_twice_scores_apart(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(120))
+    rows = [(i, text()) for i in range(400)]
+    score = lambda r: {r["doc_id"]: r["score"] / r["n_tokens"] for r in ngram_lm.scores(spark.createDataFrame(r, "doc_id long, text string"), F.lit(True)).collect()}
+    once, twice = score(rows), score(rows + [(1000 + i, t) for i, t in rows[:40]])
+    rises = [twice[i] - once[i] for i in range(400)]
+    assert min(rises[:40]) > 0.08 and max(rises[40:]) < 0.02
+
+
 def test_lm_beats_unigrams_on_held_out_text(docs, empty):
     held = ngram_lm.scores(docs, id_remainder("doc_id", 10) != 0).filter("not training").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
