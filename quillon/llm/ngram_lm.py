@@ -30,7 +30,7 @@ from quillon.llm.common import cut, text_of
 
 #: Bytes of text after which a chunk ends; a task's memory grows with this and the longest text, not with the table. A chunk sends each bucket
 #: of an order one row, so for corpora of very many terabytes chunks are to be larger as well.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 ORDER = 3
 #: Weight of the next lower order in each context of one and of two words, in tokens; of those tried the best on held-out text.
 PRIORS = (300.0, 10.0)
@@ -59,6 +59,16 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the place of each element among them, and the number of one element for each."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], place, order[new].astype(np.int32)
+
+
 class Chunk:
     """The tokens of some texts as places among their distinct words, and each token's place among the distinct n-grams that end there.
 
@@ -73,24 +83,23 @@ class Chunk:
         self.context[self.starts] = self.begin
         #: Sorted hashes of each order's distinct n-grams, and, but for single words: tokens at which one ends, their places, and one token for each.
         self.grams: list[np.ndarray] = [words]
-        self.ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        h = words[word]
+        self.ends: list[tuple[slice | np.ndarray, np.ndarray, np.ndarray]] = []
         if order > 1:
-            pair = _mix(words[self.context], h)
-            found, one, place = np.unique(pair, return_index=True, return_inverse=True)
+            pair = _mix(words[self.context], words[word])
+            found, place, one = _distinct(pair)
             self.grams.append(found)
-            self.ends.append((np.arange(len(word)), place, one))
+            self.ends.append((slice(None), place, one))
         if order > 2:
             late = np.ones(len(word), bool)
             late[self.starts] = False  # a text's first token has only the begin before it
-            late = np.nonzero(late)[0]
-            found, one, place = np.unique(_mix(pair[late - 1] ^ np.uint64(0x5851F42D4C957F2D), h[late]), return_index=True, return_inverse=True)
+            late = np.nonzero(late)[0].astype(np.int32)
+            found, place, one = _distinct(_mix(pair[late - 1] ^ np.uint64(0x5851F42D4C957F2D), words[word[late]]))
             self.grams.append(found)
             self.ends.append((late, place, late[one]))
 
     @classmethod
     def of(cls, texts: list[np.ndarray], order: int = ORDER) -> Chunk:
-        words, place = np.unique(np.concatenate([*texts, np.array([BEGIN], np.uint64)]), return_inverse=True)
+        words, place, _ = _distinct(np.concatenate([*texts, np.array([BEGIN], np.uint64)]))
         return cls(words, place[:-1], np.array([len(t) for t in texts], dtype=np.int64), order)
 
     def counted(self, training: np.ndarray) -> list[np.ndarray]:
@@ -136,7 +145,7 @@ class Automaton:
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights taken and states reached when each state reads a word."""
-        weight, reached = np.zeros(len(state)), np.full(len(state), -2)
+        weight, reached = np.zeros(len(state)), np.full(len(state), -2, np.int64)
         for order in range(self.orders, 1, -1):
             base = self.n if order == 3 else 0
             here = np.nonzero((state >= base) & (reached == -2))[0]
@@ -185,14 +194,22 @@ def _bounds(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hashes, np.array([step * i for i in range(n)], dtype=np.uint64)), len(sorted_hashes))
 
 
+def _zip(x: np.ndarray) -> bytes:
+    data = np.ascontiguousarray(x).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzip(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+
+
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted hashes as the bytes of their differences, most significant planes together: these are nearly all zero and
-    compress away on their way through a shuffle."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted hashes as the bytes of their differences, most significant planes together: these hold little and compress well."""
+    return _zip(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
+    planes = _unzip(packed).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
@@ -200,11 +217,11 @@ def _small(counts: np.ndarray) -> bytes:
     """Counts in the narrowest of 1, 2, 4 or 8 bytes, led by that width."""
     top = int(counts.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    return bytes([width]) + _zip(counts.astype(f"<u{width}"))
 
 
 def _wide(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed[1:], dtype=f"<u{packed[0]}").astype(np.int64)
+    return _unzip(packed[1:]).view(f"<u{packed[0]}").astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -246,18 +263,9 @@ def _coded(docs: DataFrame, training: Column, id_col: str, text_col: str, chunk_
     return narrow.mapInArrow(run, f"chunk long, n long, ids array<{id_type}>, train binary, lengths binary, words binary, word binary")
 
 
-def _zip(x: np.ndarray) -> bytes:
-    data = np.ascontiguousarray(x).tobytes()
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _unzip(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
-
-
 def _read(row: dict, order: int) -> tuple[Chunk, np.ndarray]:
     """A chunk and its training flags from a row of ``_coded``."""
-    word = np.ascontiguousarray(_unzip(row["word"]).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    word = np.ascontiguousarray(_unzip(row["word"]).reshape(4, -1).T).view("<i4").ravel()
     return Chunk(_unpacked(row["words"]), word, _unzip(row["lengths"]).view("<u4").astype(np.int64), order), np.frombuffer(row["train"], np.uint8).astype(bool)
 
 
