@@ -17,6 +17,7 @@ buckets follows the corpus, so that a bucket's size does not.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, text_of
+from quillon.llm.common import cut, shared_folder, text_of
 
 #: Bytes of text after which a chunk ends; a task's memory grows with this and the longest text, not with the table. A chunk sends each bucket
 #: of an order one row, so for corpora of very many terabytes chunks are to be larger as well.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 12_000_000
 ORDER = 3
 #: Weight of the next lower order in each context of one and of two words, in tokens; of those tried the best on held-out text.
 PRIORS = (300.0, 10.0)
@@ -38,6 +39,8 @@ PRIORS = (300.0, 10.0)
 BUCKET_KEYS = 1_000_000
 #: Tokens that are read in one go; a longer text is cut, and a cut regains its state from the words before it.
 SEGMENT = 512
+#: Buckets of the table of chunks, as many as Spark allows; beyond, a bucket holds several chunks, which are taken one at a time.
+MOST_BUCKETS = 100_000
 END, BEGIN = 1, 2  # hashes of the marks at a text's end and beginning
 ADDED = 0.1
 
@@ -242,31 +245,47 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
         yield number, held
 
 
-def _coded(docs: DataFrame, training: Column, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """One row a chunk: chunk, n (its tokens), ids, train, lengths, words (distinct hashes) and word (each token's place among them)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _coded(docs: DataFrame, training: Column, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """One row a chunk: chunk, n (its tokens), ids, train, lengths, words (distinct hashes) and word (each token's place among them); and the
+    number of buckets by chunk in which they are written, in the shared folder.
+
+    The chunks are read twice: to ask, and, where their buckets lie, to meet the answers, so that they are never shuffled.
+    """
+    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, parts in _chunks(batches, chunk_bytes):
             c = Chunk.of([tokens(t.as_py()) for p in parts for t in p.column(1)], 1)
+            # Frequent words first, by powers of two, so that places are small numbers and compress well.
+            order = np.argsort(-np.frexp(np.bincount(c.word, minlength=len(c.words)))[1], kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
             train = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts]).astype(np.uint8)
             ids = pa.concat_arrays([p.column(0) for p in parts])
+            packed = (_zip(train), _zip(c.lengths.astype("<u4")), _packed(c.words[order]), _zip(place[c.word].astype("<u4").view(np.uint8).reshape(-1, 4).T))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()), pa.array([len(c.word)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    *(pa.array([x], pa.binary()) for x in (train.tobytes(), _zip(c.lengths.astype("<u4")), _packed(c.words), _zip(c.word.astype("<u4").reshape(-1, 1).view(np.uint8).T))),
-                ],
+                [pa.array([number], pa.int64()), pa.array([len(c.word)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x], pa.binary()) for x in packed)],
                 names=["chunk", "n", "ids", "train", "lengths", "words", "word"],
-            )
+            )
 
     narrow = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"), F.coalesce(training, F.lit(False)).alias("__train"))
-    return narrow.mapInArrow(run, f"chunk long, n long, ids array<{id_type}>, train binary, lengths binary, words binary, word binary")
+    coded = narrow.mapInArrow(run, f"chunk long, n long, ids array<{id_type}>, train binary, lengths binary, words binary, word binary")
+    size = narrow.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
+    n, name = min(1 + size // chunk_bytes, MOST_BUCKETS), f"coded_chunks_{uuid4().hex}"
+    coded.write.option("path", f"{shared_folder(spark)}/{name}").bucketBy(n, "chunk").format("parquet").saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # leaves the catalogue; the files stay, and the table read is known by them
+    return written, n
 
 
 def _read(row: dict, order: int) -> tuple[Chunk, np.ndarray]:
     """A chunk and its training flags from a row of ``_coded``."""
-    word = np.ascontiguousarray(_unzip(row["word"]).reshape(4, -1).T).view("<i4").ravel()
-    return Chunk(_unpacked(row["words"]), word, _unzip(row["lengths"]).view("<u4").astype(np.int64), order), np.frombuffer(row["train"], np.uint8).astype(bool)
+    words = _unpacked(row["words"])
+    by_hash = np.argsort(words)
+    place = np.empty(len(words), np.int32)
+    place[by_hash] = np.arange(len(words), dtype=np.int32)
+    word = np.ascontiguousarray(_unzip(row["word"]).reshape(4, -1).T).view("<u4").ravel()
+    return Chunk(words[by_hash], place[word], _unzip(row["lengths"]).view("<u4").astype(np.int64), order), _unzip(row["train"]).astype(bool)
 
 
 def scores(
@@ -276,11 +295,11 @@ def scores(
 
     Learns n-grams up to ``order`` (1 to 3) from the rows where ``training`` holds, scores all. Null text counts as empty and has
     one token, its end. Repeated rows count as often as they occur; null and repeated ids pass. An empty table gives an empty
-    result; other columns are not read. Coded chunks are kept in the shared folder and read twice.
+    result; other columns are not read. Coded chunks are kept in the shared folder.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    coded = cut(_coded(docs, training, id_col, text_col, chunk_bytes))
-    n_tokens, n_chunks = coded.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    coded, n_parts = _coded(docs, training, id_col, text_col, chunk_bytes)
+    n_tokens = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = max(1, -(-n_tokens // bucket_keys))  # for each order
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +362,8 @@ def scores(
             "score": pa.array(model.traverse(chunk)),
         })
 
-    dealt = lambda df: df.repartition(max(1, n_chunks), "chunk").groupBy("chunk")
-    out = dealt(coded).cogroup(dealt(answers.select("chunk", "bucket", "counts"))).applyInArrow(
+    back = answers.select("chunk", "bucket", "counts").repartition(n_parts, "chunk")
+    out = coded.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
         walk, f"__id {id_type}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return out.withColumnRenamed("__id", id_col)
