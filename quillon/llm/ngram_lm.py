@@ -31,7 +31,7 @@ from quillon.llm.common import cut, shared_folder, text_of
 
 #: Bytes of text after which a chunk ends; a task's memory grows with this and the longest text, not with the table. A chunk sends each bucket
 #: of an order one row, so for corpora of very many terabytes chunks are to be larger as well.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 10_000_000
 ORDER = 3
 #: Weight of the next lower order in each context of one and of two words, in tokens; of those tried the best on held-out text.
 PRIORS = (300.0, 10.0)
@@ -43,6 +43,9 @@ SEGMENT = 512
 MOST_BUCKETS = 100_000
 END, BEGIN = 1, 2  # hashes of the marks at a text's end and beginning
 ADDED = 0.1
+#: N-grams of two and three words travel as so many bits of their hashes. Of unseen ones, as many in 2 ** 56 as the corpus has distinct ones are
+#: taken for another: at 10 ** 9, one in 70 million.
+GRAM_BITS = 56
 
 
 def tokens(text: str) -> np.ndarray:
@@ -89,14 +92,14 @@ class Chunk:
         self.ends: list[tuple[slice | np.ndarray, np.ndarray, np.ndarray]] = []
         if order > 1:
             pair = _mix(words[self.context], words[word])
-            found, place, one = _distinct(pair)
+            found, place, one = _distinct(pair >> np.uint64(64 - GRAM_BITS))
             self.grams.append(found)
             self.ends.append((slice(None), place, one))
         if order > 2:
             late = np.ones(len(word), bool)
             late[self.starts] = False  # a text's first token has only the begin before it
             late = np.nonzero(late)[0].astype(np.int32)
-            found, place, one = _distinct(_mix(pair[late - 1] ^ np.uint64(0x5851F42D4C957F2D), words[word[late]]))
+            found, place, one = _distinct(_mix(pair[late - 1] ^ np.uint64(0x5851F42D4C957F2D), words[word[late]]) >> np.uint64(64 - GRAM_BITS))
             self.grams.append(found)
             self.ends.append((late, place, late[one]))
 
@@ -142,9 +145,11 @@ class Automaton:
             self.fail.append((np.log10(priors[1] / (c2 + priors[1])), w))
 
     def _add(self, state: np.ndarray, word: np.ndarray, seen: np.ndarray, weight: np.ndarray, to: np.ndarray) -> None:
-        key = (state.astype(np.int64) * self.n + word)[seen]
+        seen = np.flatnonzero(seen)
+        key = state[seen].astype(np.int64) * self.n + word[seen]
         order = np.argsort(key)
-        self.arcs.append((key[order], weight[seen][order], to[seen][order]))
+        seen = seen[order]
+        self.arcs.append((key[order], weight[seen], to[seen]))
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights taken and states reached when each state reads a word."""
@@ -191,9 +196,9 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(pieces))
 
 
-def _bounds(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Where each of ``n`` equal ranges of the hash space begins and ends in a sorted array."""
-    step = (1 << 64) // n
+def _bounds(sorted_hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Where each of ``n`` equal ranges of the hash space of ``bits`` begins and ends in a sorted array."""
+    step = (1 << bits) // n
     return np.append(np.searchsorted(sorted_hashes, np.array([step * i for i in range(n)], dtype=np.uint64)), len(sorted_hashes))
 
 
@@ -220,11 +225,11 @@ def _small(counts: np.ndarray) -> bytes:
     """Counts in the narrowest of 1, 2, 4 or 8 bytes, led by that width."""
     top = int(counts.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + _zip(counts.astype(f"<u{width}"))
+    return bytes([width]) + _zip(counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
 
 
 def _wide(packed: bytes) -> np.ndarray:
-    return _unzip(packed[1:]).view(f"<u{packed[0]}").astype(np.int64)
+    return np.ascontiguousarray(_unzip(packed[1:]).reshape(packed[0], -1).T).view(f"<u{packed[0]}").ravel().astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -308,7 +313,7 @@ def scores(
                 row = batch.slice(i, 1).to_pylist()[0]
                 chunk, train = _read(row, order)
                 for kind, (keys, counts) in enumerate(zip(chunk.grams, chunk.counted(train), strict=True)):
-                    at = _bounds(keys, n_buckets)
+                    at = _bounds(keys, n_buckets, GRAM_BITS if kind else 64)
                     spans = [(b, s, e) for b, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
                     yield pa.RecordBatch.from_arrays(
                         [
