@@ -101,7 +101,7 @@ def slices(batch: pa.RecordBatch, column: int, rows: int, most: int = 16_000_000
 
 
 def sample_ids(df: DataFrame, id_col: str, n: int, by: str | None = None) -> DataFrame:
-    """At most ``n`` ids, or ``n`` for each value of ``by`` (a column of few values): those first in hash order.
+    """At most ``n`` ids, or ``n`` for each value of ``by``: those first in hash order.
 
     Counts come first, so that rows beyond about twice the sample leave in the scan by their hash; what is sorted, and what
     reaches the driver, does not grow with the table or its partitions.
@@ -112,10 +112,10 @@ def sample_ids(df: DataFrame, id_col: str, n: int, by: str | None = None) -> Dat
     bound = lambda total: min(span, span * (oversample * n + spare) // max(total, 1))
     if by is None:
         return narrow.filter(F.col("__place") < bound(df.count())).orderBy("__place", "__id").limit(n).select("__id")
-    kept = F.lit(False)
-    for value, total in ((r["__by"], r["count"]) for r in narrow.groupBy("__by").count().collect()):
-        kept = kept | (F.col("__by").eqNullSafe(F.lit(value)) & (F.col("__place") < bound(total)))
-    ranked = narrow.filter(kept).withColumn("__n", F.row_number().over(Window.partitionBy("__by").orderBy("__place", "__id")))
+    share = F.lit(oversample * n + spare).cast("double") / F.col("__total")
+    sizes = narrow.groupBy("__by").agg(F.count(F.lit(1)).alias("__total")).select(F.col("__by").alias("__of"), F.least(F.lit(span), (share * span).cast("long")).alias("__bound"))
+    kept = narrow.join(sizes, F.col("__by").eqNullSafe(F.col("__of"))).filter("__place < __bound")
+    ranked = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__by").orderBy("__place", "__id")))
     return ranked.filter(F.col("__n") <= n).select("__id")
 
 

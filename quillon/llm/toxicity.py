@@ -17,19 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, sample_ids, text_of
+from quillon.llm.common import cut, sample_ids, slices, text_of
+from quillon.llm.simhash import components
 
 POSITIVES = 4000
 UNLABELLED = 12_000
-#: A word becomes a feature if at least so many sampled documents have it.
-LEAST_DOCS = 8
-#: Words enter the classifier if their shares among positives and unlabelled rows differ by so many standard errors.
-LEAST_CONTRAST = 6.0
-#: ... and if so large a share of the positives has them: what fewer share may be passages of a few sources.
-LEAST_SHARE = 0.02
+#: Features for each positive of the sample: so many words, those whose shares among positives and unlabelled rows differ most clearly, enter the
+#: classifier; at every size of the sample there are some, and fewer than there are positives to weigh them.
+PER_POSITIVE = 0.3
 #: Beginnings of words are features as well, so that inflected and compounded forms meet.
 PREFIXES = (5, 6, 7)
 _words = re.compile(r"[^\W\d_]+").findall
@@ -53,7 +51,7 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-def fit_nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 800, rate: float = 0.05, l2: float = 5e-6) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 800, rate: float = 0.05, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear score over binary features, given as (row, column) pairs; ``positive`` marks rows."""
     w, b = np.zeros(n_features), np.log(prior / (1 - prior))
     n_p, n_u = positive.sum(), (~positive).sum()
@@ -76,7 +74,11 @@ def fit_nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_feat
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicModel:
-    """Labels are read only where ``allowed`` holds of their id; unlabelled text comes from such rows too."""
+    """Labels are read only where ``allowed`` holds of their id; unlabelled text comes from such rows too.
+
+    Null texts count as empty, null labels as none; repeated rows and near copies count once. Without positives, or without text to set
+    them against, every score is zero. ``positives`` and ``unlabelled`` bound what is learned from, and with them the model.
+    """
     known = labels.filter(allowed & F.col(label_col).isNotNull())
     share = known.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
     if not share:
@@ -88,33 +90,36 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     sample = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).join(chosen, "__id").select("__id", "__p", "__text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sorted(features(t)) for t in batch.column(2).to_pylist()]
+        for part in (p for batch in batches for p in slices(batch, 2, 512)):
+            found = [sorted(features(t)) for t in part.column(2).to_pylist()]
             keys = [_bands(x) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string())), *(pa.array([k[b] for k in keys], pa.int64()) for b in range(BANDS))],
+                [part.column(0), part.column(1), pa.array(found, pa.list_(pa.string())), *(pa.array([k[b] for k in keys], pa.int64()) for b in range(BANDS))],
                 names=["key", "p", "words", *(f"b{b}" for b in range(BANDS))],
             )
 
     keyed = sample.select(F.concat_ws(":", F.col("__id").cast("string"), F.col("__p").cast("string")).alias("key"), F.col("__p").alias("p"), "__text")
-    bagged = cut(keyed.mapInArrow(bags, "key string, p boolean, words array<string>, " + ", ".join(f"b{b} long" for b in range(BANDS))))
-    # Copies would count their chance words as often as they occur: of rows that agree in a band, the first one stays.
-    narrow = bagged.drop("words")
+    bagged = keyed.mapInArrow(bags, "key string, p boolean, words array<string>, " + ", ".join(f"b{b} long" for b in range(BANDS)))
+    bagged = cut(bagged.withColumn("row", F.monotonically_increasing_id()))
+    # Copies would count their chance words as often as they occur: of rows joined by chains of equal bands, the first one stays.
+    edges = None
     for b in range(BANDS):
-        narrow = narrow.withColumn(f"first{b}", F.min("key").over(Window.partitionBy("p", f"b{b}")))
-    first = cut(narrow.filter(" and ".join(f"key = first{b}" for b in range(BANDS))).select("key"))
-    kept = bagged.join(F.broadcast(first), "key", "left_semi")
+        first = bagged.groupBy("p", f"b{b}").agg(F.min("row").alias("a"))
+        new = bagged.join(first, ["p", f"b{b}"]).filter("row <> a").select("a", F.col("row").alias("b"))
+        edges = new if edges is None else edges.union(new)
+    copies = components(edges).filter("node <> root").select(F.col("node").alias("row"))
+    kept = cut(bagged.join(F.broadcast(copies), "row", "left_anti").select("key", "p", "words"))  # fewer than the sample's rows
     sizes = {r["p"]: r["count"] for r in kept.groupBy("p").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     if not n_p or not n_u:
         return ToxicModel({}, -30.0, prior)
     counted = kept.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("p").cast("long")).alias("in_p"), F.count(F.lit(1)).alias("n"))
-    contrast = _contrast(F.col("in_p"), F.col("n") - F.col("in_p"), n_p, n_u)
-    telling = sorted(r["word"] for r in counted.filter((F.col("n") >= LEAST_DOCS) & (F.col("in_p") >= LEAST_SHARE * n_p) & (contrast >= LEAST_CONTRAST)).collect())
-    if not telling:
+    ranked = counted.filter("in_p > 0").orderBy(_contrast(F.col("in_p"), F.col("n") - F.col("in_p"), n_p, n_u).desc(), "word")
+    telling = sorted(r["word"] for r in ranked.limit(max(1, int(PER_POSITIVE * n_p))).collect())
+    if not telling:  # no positive has a word
         return ToxicModel({}, -30.0, prior)
     place = {w: i for i, w in enumerate(telling)}
-    table = kept.select("key", "p", F.array_intersect("words", F.array(*map(F.lit, telling))).alias("words")).toPandas().sort_values("key", ignore_index=True)
+    table = kept.select("key", "p", F.array_intersect("words", F.lit(telling)).alias("words")).toPandas().sort_values("key", ignore_index=True)
     rows = np.repeat(np.arange(len(table)), table["words"].map(len))
     columns = np.array([place[w] for ws in table["words"] for w in ws], dtype=np.int64)
     w, bias = fit_nnpu(rows, columns, table["p"].to_numpy(bool), len(telling), prior)

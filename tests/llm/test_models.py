@@ -88,6 +88,52 @@ def test_toxicity(spark, docs, edge, empty):
     assert toxicity.train(df, known.limit(0), F.lit(True)).weights == {}
 
 
+@pytest.mark.parametrize("n", [60, 400])
+def test_small_samples_have_a_model(spark, n):
+    rng = random.Random(n)
+    texts = [(i, " ".join(["".join(rng.choice("abcdefghijkl") for _ in range(3)) for _ in range(30)] + (["nasty", "vile"] if i % 7 == 0 else []))) for i in range(n)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(0, n, 2)], "doc_id long, toxic int"), F.lit(True))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(df, model).collect()}
+    assert model.weights and sum(got[i] == int(i % 7 == 0) for i in got) >= 0.97 * n
+
+
+def test_toxicity_training_on_edges(spark, edge, empty):
+    labels = spark.createDataFrame([(4, 1), (9, 1), (None, 1), (5, None), (7, 0), (7, 0)], "doc_id long, toxic int").withColumn("text", F.lit(1)).withColumn("__p", F.lit(2))
+    model = toxicity.train(edge, labels, F.lit(True))
+    assert len(toxicity.toxicity(edge, model).collect()) == edge.count()
+    assert toxicity.train(empty, labels, F.lit(True)).weights == toxicity.train(edge, labels.filter("toxic = 0"), F.lit(True)).weights == {}
+
+
+def brute_risk(w, b, bags, positive, prior):
+    loss = lambda g: math.log1p(math.exp(-g))
+    g = [b + sum(w[c] for c in bag) for bag in bags]
+    p, u = [x for x, y in zip(g, positive, strict=True) if y], [x for x, y in zip(g, positive, strict=True) if not y]
+    mean = lambda xs: sum(xs) / len(xs)
+    negative = mean([loss(-x) for x in u]) - prior * mean([loss(-x) for x in p])
+    return prior * mean([loss(x) for x in p]), negative
+
+
+def test_nnpu_step_follows_the_risk():
+    """One step goes down the numerical gradient of the risk, or, where the negative part is below zero, up that part's."""
+    rng = random.Random(6)
+    bags = [sorted({rng.randrange(6) for _ in range(3)}) for _ in range(40)]
+    positive = [i < 15 for i in range(40)]
+    rows, columns = [i for i, b in enumerate(bags) for _ in b], [c for b in bags for c in b]
+    for prior in (0.2, 0.95):
+        w, b = toxicity.fit_nnpu(np.array(rows), np.array(columns), np.array(positive), 6, prior, steps=1, rate=1e-3, l2=0.0)
+        bias = math.log(prior / (1 - prior))
+        at, h = lambda w, b: brute_risk(w, b, bags, positive, prior), 1e-5
+        below = at([0.0] * 6, bias)[1] < 0
+        target = lambda w, b: -at(w, b)[1] if below else sum(at(w, b))
+        for k in range(6):
+            up, down = [h * (i == k) for i in range(6)], [-h * (i == k) for i in range(6)]
+            slope = (target(up, bias) - target(down, bias)) / (2 * h)
+            assert abs(slope) < 1e-7 or (w[k] < 0) == (slope > 0)
+        slope = (target([0.0] * 6, bias + h) - target([0.0] * 6, bias - h)) / (2 * h)
+        assert abs(slope) < 1e-7 or (b < bias) == (slope > 0)
+
+
 def test_nnpu_does_not_fall_below_zero():
     rng = np.random.default_rng(0)
     positive = np.arange(400) < 100
