@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. First pass: each block is good, bad, or short by its place in the
-page, its stop-word density, length and link density. Second pass: short blocks, which are ambiguous on their own,
+A page is cut into blocks at block-level tags. First pass: each block is good, bad, or short by its stop-word density, length
+and link density; its place in the page sets how much of these is asked, and only furniture by tag or by a whole name, and blocks beside an
+article that has running text, are out by place. Second pass: short blocks, which are ambiguous on their own,
 take the label of the nearest decided neighbours. Pages are parsed where they are read; nothing is shuffled.
 """
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import slices
 from quillon.llm.quality import FUNCTION_WORDS
 
 #: Elements of HTML by what they mean for the layout.
@@ -180,28 +182,48 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _dense(b: Block, links: float) -> bool:
-    """Running text: long, with many stop words and few links."""
+def _measures(b: Block) -> tuple[int, float, float]:
+    """Length, share of stop words among the words, share of link text."""
     words = _WORDS.findall(b.text.lower())
-    return len(b.text) >= SHORT and links <= LINKS / 2 and sum(w in _STOP for w in words) >= STOP_HIGH * max(len(words), 1)
-
-
-def first_pass(b: Block, has_main: bool) -> str:
-    """good, bad or short; a short block is one whose own measures do not tell."""
-    if b.furniture or (has_main and not b.main):
-        return "bad"
-    links = b.link_chars / len(b.text)
-    if links > LINKS or (b.partly and not _dense(b, links)):
-        return "bad"
-    if b.main:
-        return "good" if len(b.text) >= SHORT else "short"
-    if len(b.text) < SHORT:
-        return "short" if links == 0 else "bad"
-    words = _WORDS.findall(b.text.lower())
-    stop = sum(w in _STOP for w in words) / max(len(words), 1)
-    if stop >= STOP_HIGH or (stop >= STOP_LOW and len(b.text) > LONG):
-        return "good"
-    return "short" if stop >= STOP_LOW or not b.furniture and len(b.text) > LONG and links == 0 else "bad"
+    return len(b.text), sum(w in _STOP for w in words) / max(len(words), 1), b.link_chars / len(b.text)
+
+
+#: Place: the least length and stop-word density of running text there, and the most link text. In an article little will do, in
+#: an element with a part of a furniture word in its name more must speak for a block.
+RUNNING = {"article": (SHORT, STOP_LOW / 2, LINKS), "page": (SHORT, STOP_HIGH, LINKS), "partly": (SHORT, STOP_HIGH, LINKS / 2)}
+
+
+def _place(b: Block) -> str:
+    return "furniture" if b.furniture else "partly" if b.partly else "article" if b.main else "page"
+
+
+def _running(b: Block) -> bool:
+    if b.furniture:
+        return False
+    (length, stop, links), (least, density, most) = _measures(b), RUNNING[_place(b)]
+    return length >= least and stop >= density and links <= most
+
+
+def first_pass(b: Block, in_article: bool) -> tuple[str, str]:
+    """good, bad or short, and what decided: links, density or place. A short block is one whose own measures do not tell.
+    ``in_article`` says that the page's article or main elements hold running text, so that none is looked for outside."""
+    length, stop, links = _measures(b)
+    if links > LINKS:
+        return "bad", "links"
+    place = _place(b)
+    if place == "furniture" or (in_article and not b.main):
+        return "bad", "place"
+    if _running(b):
+        return "good", "density"
+    if place == "article":
+        return "short", "density"
+    if place == "partly":
+        return "bad", "density"
+    if length < SHORT:
+        return ("short", "density") if links == 0 else ("bad", "links")
+    if stop >= STOP_LOW:
+        return ("good" if length > LONG else "short"), "density"
+    return ("short" if length > LONG and links == 0 else "bad"), "density"
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
@@ -236,8 +258,8 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """Main blocks joined by two line ends; empty if there are none."""
     found = blocks(page or "")
-    has_main = any(b.main for b in found)
-    kept = second_pass(found, [first_pass(b, has_main) for b in found])
+    in_article = any(b.main and _running(b) for b in found) or not any(_running(b) for b in found) and any(b.main for b in found)
+    kept = second_pass(found, [first_pass(b, in_article)[0] for b in found])
     return "\n\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 
@@ -251,8 +273,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 2, 256):
                 texts = [main_text(h.as_py()) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
