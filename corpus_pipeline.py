@@ -57,18 +57,29 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Tokenising, SimHash components and the trained tagger are not expressible in SQL; of the stages, the tests hold the
-#: near-copy stage alone against brute force; run() as a whole is not.
+#: Tokenising, SimHash components and the trained tagger are not expressible in SQL; the tests hold run() against a plain version.
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages the rows are written to the shared folder as Parquet and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``; between stages the rows are written to the shared folder as Parquet and read again.
+
+    Rows of any content pass through the stages that keep them: a null or repeated id loses no other row, null and empty texts fail the quality
+    rules, wholly repeated rows are exact copies of each other, columns of any name pass up to the last stage. An empty table
+    gives an empty result. With a ``folder`` of its own a run that was broken off starts again after the last stage that it finished.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/corpus_pipeline-{uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/corpus_pipeline-{uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{n}")
-            docs = spark.read.parquet(f"{folder}/{n}")
+        if n == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        if not _finished(spark, f"{folder}/{n}"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
     return docs
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed, by the mark that it leaves."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)

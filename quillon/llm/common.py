@@ -51,9 +51,12 @@ def id_remainder(id_col: str, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set (tests), one under the warehouse is used and set."""
+    """The session's ``spark.checkpoint.dir``. Where none is set, a session on one machine (tests) gets one under its warehouse; on a
+    cluster, where that may be a disk of each machine, this is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)

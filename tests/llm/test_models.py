@@ -459,31 +459,79 @@ def test_lm_beats_unigrams_on_held_out_text(docs, empty):
     assert ngram_lm.scores(empty, F.lit(True)).count() == 0
 
 
-def test_pipeline(spark, sf_dir, docs):
+def plain_pipeline(rows, model, posterior):
+    """The pipeline in plain Python over (doc_id, text) rows; the trained tagger and the fitted vote model are given."""
+    from test_text_ops import brute_measures, brute_near_kept
+
+    key = lambda r: (r[0] is None, r[0] or 0)
+    good = []
+    for i, t in rows:
+        n_words, _, _, _, n_repeat = brute_measures(t)
+        if n_words >= 50 and 100 * n_repeat <= 50 * n_words and posterior[t or ""] >= 0.5:
+            good.append((i, t))
+    distinct = {}
+    for i, t in sorted(good, key=lambda r: (-len(r[1]), *key(r))):
+        distinct.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), (i, t))
+    near = brute_near_kept(list(distinct.values()))
+    tagger, out = pii.Tagger(model), []
+    for i, t in near:
+        base = pii.base_spans(t)
+        out.append((i, pii.redact(t, base + tagger.added([t], [base])[0])))
+    return out
+
+
+def test_pipeline(spark, sf_dir, docs, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    from quillon.llm import packing, quality
+
+    rng = random.Random(12)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    prose = [t for _, t in rows if t and 80 < len(t.split()) < 400][:12]
+    for n, t in enumerate(prose):  # planted: near copies, with and without ids, exact copies up to white space, personal data
+        words = t.split()
+        words[rng.randrange(len(words))] = "changed"
+        rows += [(5000 + n if n % 3 else None, " ".join(words)), (6000 + n, t.replace(" ", "  "))]
+        rows.append((7000 + n % 4, " ".join(rng.sample(words, len(words))) + f" write to a{n}@mail.example.org or +1 (212) 555-01{n + 10}"))
+    rows += [(None, None), (None, ""), (8000, None), (1, prose[0]), (1, prose[0])]
+    (tmp_path / "sf").mkdir()
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    for n in ("__row", "__id", "kept", "start", "node", "root", "key"):
+        table = table.withColumn(n, F.lit(7))
+    table.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    assert [n for n, _ in P.STAGES] == ["quality rules", "exact dedup", "SimHash near-dedup", "PII", "packing"]
+    run = P.run(spark, str(tmp_path / "sf"), str(tmp_path / "run"))
+    stages = [spark.read.parquet(str(tmp_path / "run" / str(n))) for n in range(4)]
+    assert all(s.columns == table.columns for s in stages)
+
+    posterior = {r["text"]: r["p_good"] for r in quality.quality(table.select(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("doc_id"), "text")).select("doc_id.text", "p_good").collect()}
+    want = plain_pipeline(rows, pii.train(stages[2]), posterior)
+    order = lambda found: sorted(found, key=str)
+    assert order((r["doc_id"], r["text"]) for r in stages[3].collect()) == order(want)
+    assert all(r["n_chars"] == len(r["text"]) for r in stages[3].collect())
+    assert set(QUERIES["op1_packing"](spark, sf_dir).columns) <= set(run.columns)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = run.collect()
+    total = sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for _, x in want)
+    assert sum(r["length"] for r in packed) == total and Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(i for i, _ in want)
+    load = Counter()
+    for r in packed:
+        load[r["sequence_id"]] += r["length"]
+    assert max(load.values()) <= packing.CAPACITY
+    # A run that was broken off goes on after its last finished stage: all is there already.
+    again = P.run(spark, str(tmp_path / "sf"), str(tmp_path / "run"))
+    assert again.count() == len(packed)
+
+
+def test_pipeline_of_nothing(spark, edge, empty, tmp_path):
     import corpus_pipeline as P
-    from quillon.llm import exact_dedup, packing, quality, simhash
-
-    names = [n for n, _ in P.STAGES]
-    assert len(names) == 5
-    now = docs
-    seen = []
-    for n, (_, stage) in enumerate(P.STAGES):
-        now = stage(spark, now, sf_dir)
-        if n < 4:
-            assert now.columns == docs.columns
-            seen.append({r["doc_id"] for r in now.collect()})
-    kept = {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
-    assert seen[0] == kept
-    first = docs.filter(F.col("doc_id").isin(*kept))
-    assert seen[1] == {r["keep_id"] for r in exact_dedup.exact_groups(first).collect()}
-    second = docs.filter(F.col("doc_id").isin(*seen[1]))
-    assert seen[2] == {r["component_id"] for r in simhash.near_groups(second).collect()} == seen[3]
-    run = P.run(spark, sf_dir)
-    assert {r["doc_id"] for r in run.collect()} == seen[3]
-    assert set(QUERIES["op1_packing"](spark, sf_dir).columns) <= set(run.columns) and packing.CAPACITY == 2048
-    # Whole texts are packed: the tokens of each document are those of its redacted text.
-    tokens = {r["doc_id"]: r["n"] for r in run.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).filter("n = t").collect()}
-    assert set(tokens) == seen[3]
+
+    for name, df in (("empty", empty), ("edge", edge)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        assert P.run(spark, str(tmp_path / name)).count() == 0  # no text of the edge rows passes the quality rules
 
 
 def test_rest_of_the_library_does_not_import_this():
