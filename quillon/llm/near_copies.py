@@ -7,8 +7,8 @@ texts of a pair enumerate, so they meet in a segment where they differ in up to
 sets of shingles themselves, which alone decide. Two texts at 0.8 exactly meet in some segment with a chance of 98 in a
 hundred, at 0.85 of 99.9 (the larger their families, the more chains join them); texts below the bound are never linked.
 
-Texts with equal sets of shingles are one node from the start. In a large family all would meet all; so texts that
-share a ball's value are first compared with one of them, and only what these links leave apart is compared in pairs.
+Texts with equal sets of shingles are one node from the start. In a large family all would meet all; so for some rounds each text is
+compared with one that it meets and is not joined to, and only what these links leave apart is compared in pairs.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ SEGMENTS, UNSURE, RADIUS = 16, 6, 2
 #: Whole distance up to which sets are compared: four deviations above what a similarity of 0.8 gives, twelve below what
 #: unrelated texts do.
 DISTANCE = 112
-#: Rounds of comparing with one text of each meeting before all pairs that are still apart are compared.
-STARS = 2
+#: Rounds in which each text is compared with one text that it meets, before all pairs that are still apart are compared.
+STARS = 5
 #: A set of keys of at most so many rows is broadcast.
 FEW = 200_000
 
@@ -162,44 +162,90 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets reach the bound only as equals
     wide = nodes.filter(F.col("size") >= least)
     # One exchange: meetings are counted where their values lie; values of one text alone leave.
-    posts = _entries(wide).repartition("token").withColumn("n", F.expr("count(1) over (partition by token)")).filter("n > 1").select("node", "token")
-    posts = cut(posts)
+    posts = _entries(wide).repartition("token").withColumn("n", F.expr("count(1) over (partition by token)")).filter("n > 1")
+    posts = cut(posts.select("node", "token", F.col("node").alias("root")))
     bits = " + ".join(f"bit_count(a_fp[{i}] ^ b_fp[{i}])" for i in range(SEGMENTS // 2))
     words = F.array(*(F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(SEGMENTS // 2)))
-    prints = cut(wide.select("node", "size", words.alias("fp")).join(posts.select("node").distinct(), "node"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs within the whole distance and the bound on sizes."""
-        for end in ("a", "b"):
-            pairs = pairs.join(prints.selectExpr(f"node as {end}", f"size as {end}_size", f"fp as {end}_fp"), end)
-        return cut(pairs.filter(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and {bits} <= {DISTANCE}").select("a", "b", "a_size", "b_size"))
+    met = cut(wide.join(posts.select("node").distinct(), "node").select("node", "md5", "size", words.alias("fp")))
+    # Texts come back by their md5; those that share one are the same text.
+    texts = docs.select(_md5(text_col).alias("md5"), text_of(text_col).alias("text")).join(_few(met.select("node", "md5")), "md5").select("node", "text")
+    sets = cut(_token_sets(texts, shingle).dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs at or above the bound by their sets. Texts come back by their md5; those that share one are the same text."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = _few(nodes.join(ends, "node", "left_semi").select("node", "md5"))
-        texts = docs.select(_md5(text_col).alias("md5"), text_of(text_col).alias("text")).join(wanted, "md5").select("node", "text")
-        sets = cut(_token_sets(texts, shingle).dropDuplicates(["node"]))
-        both = pairs.join(sets.selectExpr("node as a", "tokens as a_tokens"), "a").join(sets.selectExpr("node as b", "tokens as b_tokens"), "b")
-        common = _common(both.select("a", "b", "a_tokens", "b_tokens")).join(pairs, ["a", "b"])
+        """Pairs (a, b) within the whole distance whose sets reach the bound."""
+        for end in ("a", "b"):
+            pairs = pairs.join(met.selectExpr(f"node as {end}", f"size as {end}_size", f"fp as {end}_fp"), end)
+        near = cut(pairs.filter(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and {bits} <= {DISTANCE}").select("a", "b", "a_size", "b_size"))
+        both = near.join(sets.selectExpr("node as a", "tokens as a_tokens"), "a").join(sets.selectExpr("node as b", "tokens as b_tokens"), "b")
+        common = _common(both.select("a", "b", "a_tokens", "b_tokens")).join(near, ["a", "b"])
         return cut(common.filter(f"{100 + percent} * common >= {percent} * (a_size + b_size)").select("a", "b"))
 
-    found, posts = None, posts.withColumn("root", F.col("node"))
+    found = centres = None
     for star in range(STARS):
-        centre = posts.groupBy("token").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(star))).alias("c"))
-        pairs = posts.join(centre, "token").filter("root <> c.root").selectExpr("least(node, c.node) as a", "greatest(node, c.node) as b").distinct()
-        new = verified(near(pairs))
+        # Each text is compared with one that it meets and is not joined to: at first with that which meets most others, as an original does
+        # among its copies; later with one drawn at random, those of many meetings rather than those of few.
+        met_by = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        weight = posts.join(met_by, "token").groupBy("node").agg(F.sum("n").cast("double").alias("w"))
+        draw = -F.log((F.pmod(F.xxhash64("node", F.lit(star)), F.lit(1 << 30)) + 1) / F.lit((1 << 30) + 1.0)) / F.col("w") if star else -F.col("w")
+        ranked = posts.join(weight.select("node", draw.alias("h")), "node")
+        each = ranked.groupBy("token", "root").agg(F.min(F.struct("h", "node", "root")).alias("c"))
+        first = each.groupBy("token").agg(F.min("c").alias("first"))
+        second = each.join(first, "token").filter("root <> first.root").groupBy("token").agg(F.min("first").alias("first"), F.min("c").alias("second"))
+        other = F.expr("if(first.root = root, second, first)")
+        chosen = posts.join(second, "token").groupBy("node").agg(F.min(other)["node"].alias("partner"), F.min("first")["node"].alias("centre"))
+        if not star:
+            chosen = cut(chosen)
+            centres = chosen.select("node", "centre")
+            for _ in range(2):  # to the centre's centre, so that a family has one
+                centres = centres.join(chosen.selectExpr("node as centre", "centre as next"), "centre").select("node", F.col("next").alias("centre"))
+        new = verified(chosen.selectExpr("least(node, partner) as a", "greatest(node, partner) as b").distinct())
         found = new if found is None else found.union(new)
         roots = components(found).selectExpr("node as linked", "root as new_root")
-        named = posts.join(roots, posts["node"] == roots["linked"], "left").select("node", "token", F.coalesce("new_root", "node").alias("root"))
+        named = posts.select("node", "token").join(roots, posts["node"] == roots["linked"], "left").select("node", "token", F.coalesce("new_root", "node").alias("root"))
         # A value whose texts are all joined has done its work.
         apart = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
         posts = cut(named.join(apart, "token", "left_semi"))
-    others = posts.select("token", F.col("root").alias("other")).distinct()
-    pairs = posts.join(others, "token").filter("root < other").select(F.col("node").alias("x"), "token", "other")
-    ends = posts.select(F.col("node").alias("y"), "token", F.col("root").alias("other"))
-    rest = pairs.join(ends, ["token", "other"]).selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct()
-    return found.union(verified(near(rest)))
+        if posts.isEmpty():
+            return found
+    rest = _apart(posts, _deltas(posts.select("node").distinct().join(centres, "node"), sets), percent)
+    return found.union(verified(rest))
+
+
+def _deltas(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each of ``nodes`` (node, centre): its centre, the size of its own set, how many hashes it and its centre do not share (d), and how
+    many of these some other text of the same centre has among its own (r). A text far from its centre has none: itself stands for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), strict=True)
+            found = [(n, c, len(x), np.setxor1d(x, y, assume_unique=True)) for n, c, x, y in rows]
+            near = [3 * len(d) <= 2 * n for _, _, n, d in found]
+            columns = [[f[0] for f in found], [f[1] if k else f[0] for f, k in zip(found, near, strict=True)], [f[2] for f in found]]
+            delta = [f[3] if k else f[3][:0] for f, k in zip(found, near, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(delta, pa.list_(pa.int64()))], names=["node", "centre", "size", "delta"])
+
+    both = nodes.join(sets.selectExpr("node", "tokens"), "node").join(sets.selectExpr("node as centre", "tokens as others"), "centre").select("node", "centre", "tokens", "others")
+    found = cut(both.mapInArrow(run, "node long, centre long, size long, delta array<bigint>"))
+    each = found.select("node", "centre", F.explode("delta").alias("h")).repartition("centre", "h").withColumn("n", F.expr("count(1) over (partition by centre, h)"))
+    shared = each.filter("n > 1").groupBy("node").agg(F.count(F.lit(1)).alias("r"))
+    # Rounded, each to its safe side, so that texts fall into few kinds.
+    return cut(found.join(shared, "node", "left").selectExpr("node", "centre", "size(delta) div 2 * 2 as d", "(coalesce(r, 0) + 1) div 2 * 2 as r", "(size + 3) div 4 * 4 as size"))
+
+
+def _apart(posts: DataFrame, deltas: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts that share a value, are not joined, and can reach the bound.
+
+    Two texts with one centre differ in d1 + d2 hashes less twice those that both differences hold, at most the lesser r. So whole kinds of texts
+    around a centre are seen to be too far from each other, without a look at their pairs.
+    """
+    kinds = posts.join(deltas, "node").withColumn("kind", F.struct("centre", "d", "r", "size"))
+    each = kinds.groupBy("token", "kind").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    reach = f"x.d + y.d - (x.size + y.size) * {100 - percent} div {100 + percent} <= 2 * least(x.r, y.r)"
+    left, right = each.select("token", F.col("kind").alias("x"), "low", "high"), each.select("token", F.col("kind").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
+    may = left.join(right, "token").filter(f"x <= y and not (low = high and y_low = y_high and low = y_low) and (x.centre <> y.centre or {reach})").select("token", "x", "y")
+    pairs = may.join(kinds.select("token", F.col("kind").alias("x"), F.col("node").alias("n"), F.col("root").alias("n_root")), ["token", "x"])
+    pairs = pairs.join(kinds.select("token", F.col("kind").alias("y"), F.col("node").alias("m"), F.col("root").alias("m_root")), ["token", "y"])
+    return pairs.filter("n_root <> m_root").selectExpr("least(n, m) as a", "greatest(n, m) as b").distinct()
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
