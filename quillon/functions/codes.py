@@ -13,6 +13,10 @@ DASHES = "-－—"
 CODE_FRAGMENT = r"(?i)([A-Za-z]{1,6}(?:\s*/\s*[A-Za-z])?\s*[0-9]+(?:\.[0-9]+)*(?:\s*[-－—]\s*[0-9]{2,4})?)"
 CODE_CORE = r"(?i)^([A-Z]{1,6}(?:/[A-Z])?)\s*([0-9]+(?:\.[0-9]+)*)\s*[-－—]?\s*([0-9]{2,4})?\s*$"
 SPLIT_LETTERS = "TZX"
+
+#: What sanitizing puts right, for columns and for texts of the driver alike: several slashes, and what stands for the space between prefix and number.
+SLASHES = "[/／]+"
+GAP = r"(^(?:[A-Za-z]{1,6}/[A-Za-z]|[A-Za-z]{2,5}[TZXtzx])(?=\d))|(?<=[A-Za-z]/[A-Za-z])\s*/\s*(?=\d)"
 CJK = r"[一-鿿]"
 
 
@@ -48,11 +52,7 @@ def stored_compact(x: Column) -> Column:
 
 def sanitize(x: Column) -> Column:
     """Code input with stray slashes and missing spaces put right."""
-    s = F.regexp_replace(F.replace(strip(F.coalesce(x, F.lit(""))), F.lit("／"), F.lit("/")), "/+", "/")
-    s = F.regexp_replace(s, r"(?<=[A-Za-z]/[A-Za-z])\s*/+\s*(?=[0-9])", " ")
-    s = F.regexp_replace(s, r"^([A-Za-z]{1,6}/[A-Za-z])([0-9])", "$1 $2")
-    s = F.regexp_replace(s, r"(?i)^([A-Za-z]{2,5}[TZX])([0-9])", "$1 $2")
-    return collapse(s)
+    return collapse(F.regexp_replace(F.regexp_replace(strip(F.coalesce(x, F.lit(""))), SLASHES, "/"), GAP, "$1 "))
 
 
 def cjk_core(x: Column) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from itertools import chain, count
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import ship
+
 # Labels of the catalogue's states and of unknown ones.
 STATES = {0: "废止", 1: "现行", 2: "即将实施"}
 UNKNOWN = "未知"
@@ -24,11 +29,20 @@ def region_label(*parts: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Bytes in B, KB, MB or GB of 1024, with one decimal from KB on."""
+    """Bytes in B, KB, MB or GB of 1024, with one decimal from KB on; ties go to the even tenth. Whole numbers throughout, so that nothing is
+    lost to binary fractions."""
+
+    def tenths(unit: int) -> Column:
+        ten = size.cast("decimal(30,0)") * 10
+        whole, rest = F.floor(ten / unit), ten % unit
+        up = (2 * rest > unit) | ((2 * rest == unit) & (whole % 2 == 1))
+        t = (whole + up.cast("int")).cast("long")
+        return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
     shown = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for unit, power in (("KB", 1), ("MB", 2)):
-        shown = shown.when(size < 1024 ** (power + 1), F.concat(F.format_string("%.1f", size / 1024.0**power), F.lit(f" {unit}")))
-    return shown.when(size.isNotNull(), F.concat(F.format_string("%.1f", size / 1024.0**3), F.lit(" GB")))
+        shown = shown.when(size < 1024 ** (power + 1), F.concat(tenths(1024**power), F.lit(f" {unit}")))
+    return shown.when(size.isNotNull(), F.concat(tenths(1024**3), F.lit(" GB")))
 
 
 def date_label(x: Column) -> Column:
@@ -51,11 +65,39 @@ def safe_name(code: Column, original: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("unknown")), F.lit("_"), F.left(F.regexp_replace(stem, refused, "_"), F.lit(60)), F.coalesce(F.nullif(suffix, F.lit("")), F.lit(".pdf")))
 
 
-def unique_name(name: Column, *order: Column) -> Column:
-    """The name; from its second row on with _2, _3 ... before the suffix."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    stem, suffix = F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""), F.regexp_extract(name, r".(\.[^.]+)$", 1)
-    return F.when(n == 1, name).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), suffix))
+def name_parts(name: str) -> tuple[str, str]:
+    """Stem and suffix; a dot in front begins no suffix."""
+    at = name.rfind(".")
+    return (name[:at], name[at:]) if 0 < at < len(name) - 1 else (name, "")
+
+
+def claim(used: set[str], name: str) -> str:
+    """The name, or the first of its numbered forms that is still free; it is free no more."""
+    stem, suffix = name_parts(name)
+    found = next(x for x in chain([name], (f"{stem}_{n}{suffix}" for n in count(2))) if x not in used)
+    used.add(found)
+    return found
+
+
+def unique_names(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """The rows with ``name`` made unique in the order: a name in use gets _2, _3 ... before its suffix, whichever is free.
+
+    Names that can meet share their stem without numbers at its end; each such family is numbered in one go, so this is for rows of a
+    bounded number, as those of a bundle are.
+    """
+    stem = F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""), "(_[0-9]+)+$", "")
+    key = "__family"
+    keyed = df.withColumn(key, F.concat_ws("\0", stem, F.regexp_extract(name, r".(\.[^.]+)$", 1)))
+
+    columns = df.columns
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, used = rows.sort_values(list(order), kind="stable"), set()
+        rows[name] = [claim(used, x) for x in rows[name]]
+        return rows[columns]
+
+    ship(df.sparkSession)
+    return keyed.groupBy(key).applyInPandas(number, df.schema)
 
 
 def file_badge(ext: Column) -> Column:

@@ -65,20 +65,21 @@ def holding_code(standards: DataFrame, listing: DataFrame, most: int = 10) -> Da
 
 
 def fuzzy(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Best file of each query: equal keys, then one key holding the other, then the file's core holding the query's; first by ord.
+    """Best PDF of each query: equal keys, then one key holding the other, then the file's core holding the query's; first by ord.
 
-    ``queries`` has row and query, ``names`` has ord and file_name. Keys shorter than four characters meet only their equals.
+    ``queries`` has row and query, ``names`` has ord and file_name. A core is what remains of letters A to Z, digits, slashes and hyphens; the
+    query's must have four of them. Empty keys meet nothing.
     """
-    q = queries.select("row", _file_key(F.col("query")).alias("q"))
-    n = names.select("ord", "file_name", _file_key(F.regexp_replace("file_name", r"\.[^.]*$", "")).alias("k"))
+    pdf = r"(?i)\.pdf$"
+    q = queries.select("row", _file_key(F.col("query")).alias("q")).filter("q <> ''")
+    n = names.filter(F.col("file_name").rlike(pdf)).select("ord", "file_name", _file_key(F.regexp_replace("file_name", pdf, "")).alias("k")).filter("k <> ''")
     tier = lambda df, t: df.select("row", F.lit(t).alias("tier"), "ord", "file_name")
-    long_q, long_n = q.filter(F.length("q") >= 4), n.filter(F.length("k") >= 4)
-    core = lambda x: F.regexp_replace(x, "[-/]", "")
-    core_q, core_n = long_q.select("row", core(F.col("q")).alias("c")).filter(F.length("c") >= 4), long_n.select("ord", "file_name", core(F.col("k")).alias("c2"))
+    core = lambda x: F.regexp_replace(x, "[^A-Z0-9/-]", "")
+    core_q, core_n = q.select("row", core(F.col("q")).alias("c")).filter(F.length("c") >= 4), n.select("ord", "file_name", core(F.col("k")).alias("c2"))
     every = (
         tier(q.join(n, q["q"] == n["k"]), 0)
-        .union(tier(contained(long_q, "q", long_n, "k"), 1))
-        .union(tier(contained(long_n, "k", long_q, "q"), 1))
+        .union(tier(contained(q, "q", n, "k"), 1))
+        .union(tier(contained(n, "k", q, "q"), 1))
         .union(tier(contained(core_q, "c", core_n, "c2"), 2))
     )
     return every.groupBy("row").agg(F.min(F.struct("tier", "ord", "file_name")).alias("best")).select("row", "best.*")

@@ -212,7 +212,7 @@ def product_page(base: DataFrame, files: DataFrame, clusters: DataFrame, text: s
 def by_id(base: DataFrame, ids: list[int], most: int = 100) -> DataFrame:
     """Standards of a list of ids in the order given; repeated, non-positive and further ids are left out."""
     wanted = list(dict.fromkeys(i for i in ids if i > 0))[:most]
-    order = F.array_position(F.array(*map(F.lit, wanted)), F.col("id").cast("int")) if wanted else F.lit(0)
+    order = F.array_position(F.array(*(F.lit(i).cast("long") for i in wanted)), F.col("id").cast("long")) if wanted else F.lit(0)
     return base.filter(F.col("id").isin(wanted)).withColumn("place", order).orderBy("place")
 
 

@@ -66,8 +66,8 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploaded codes: every 37th order, spelt in four ways, every fifth of them unknown."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 37 = 0")
+    """Uploaded codes: every order, spelt in four ways, every fifth of them unknown."""
+    o = table(spark, sf_dir, "orders")
     n = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") + 100_000_000).otherwise(F.col("o_orderkey"))
     year, way = F.year("o_orderdate"), F.col("o_orderkey") % 4
     query = (
@@ -94,7 +94,7 @@ SQL = {
     "areas": f"areas AS (SELECT r_regionkey || {_PAD} AS area_code, r_name AS province_name, n_name AS city_name, NULL::VARCHAR AS county_name FROM nation JOIN region ON n_regionkey = r_regionkey)",
     "placed": "placed AS (SELECT unit_id, unit_name, u.area_code, a.province_name, a.city_name, a.county_name FROM units u JOIN areas a ON starts_with(a.area_code, u.area_code) QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY length(a.area_code) DESC, a.area_code) = 1)",
     "geo": "geo AS (SELECT DISTINCT base_id, unit_id, unit_name, province_name, city_name, county_name, area_code FROM rel JOIN placed USING (unit_id))",
-    "asked": f"asked AS (SELECT o_orderkey AS row, CASE o_orderkey % 4 WHEN 0 THEN 'GB/T ' || {_N} || '-' || year(o_orderdate) WHEN 1 THEN 'gbt' || {_N} || '-' || year(o_orderdate) WHEN 2 THEN 'GB／T ' || {_N} || '-' || year(o_orderdate) ELSE '  GB/T  ' || {_N} || ' - ' || year(o_orderdate) END AS query FROM orders WHERE o_orderkey % 37 = 0)",
+    "asked": f"asked AS (SELECT o_orderkey AS row, CASE o_orderkey % 4 WHEN 0 THEN 'GB/T ' || {_N} || '-' || year(o_orderdate) WHEN 1 THEN 'gbt' || {_N} || '-' || year(o_orderdate) WHEN 2 THEN 'GB／T ' || {_N} || '-' || year(o_orderdate) ELSE '  GB/T  ' || {_N} || ' - ' || year(o_orderdate) END AS query FROM orders)",
     "groups": "groups AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', {c})" for i, (a, b, c) in enumerate(GROUPS)) + ") t(place, id, name, keywords))",
 }
 _NEEDS = {"geo": ["rel", "units", "areas", "placed"], "placed": ["units", "areas"]}

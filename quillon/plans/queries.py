@@ -13,6 +13,7 @@ from quillon.operators import files as found
 from quillon.plans import binding as B
 from quillon.plans.binding import with_tables
 from quillon.plans.intent import Filters, Page
+from quillon.sinks import export
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,9 +236,9 @@ def sanitize_code(spark: SparkSession, d: str) -> DataFrame:
     return B.asked(spark, d).select("row", codes.sanitize(F.col("query")).alias("clean"))
 
 
-@query("SELECT doc_id, NOT regexp_matches(left(text, 40), '[一-鿿]') AND regexp_matches(left(text, 40), '[A-Za-z]') AND regexp_matches(left(text, 40), '[0-9]') AS is_code FROM documents")
+@query("SELECT doc_id, NOT regexp_matches(text, '[一-鿿]') AND regexp_matches(text, '[A-Za-z]') AND regexp_matches(text, '[0-9]') AS is_code FROM documents")
 def looks_like_code(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "documents").select("doc_id", codes.looks_like_code(F.left("text", F.lit(40))).alias("is_code"))
+    return B.table(spark, d, "documents").select("doc_id", codes.looks_like_code(F.col("text")).alias("is_code"))
 
 
 @query(with_tables("asked") + rf"""SELECT row, trim(regexp_replace(regexp_replace(regexp_replace(replace(trim(query), '／', '/'), '^([A-Za-z]{{1,6}}/[A-Za-z])([0-9])', '\1 \2'), '^([A-Za-z]{{2,5}}[TZXtzx])([0-9])', '\1 \2'), '{_WS}+', ' ', 'g')) AS fragments FROM asked""")
@@ -344,22 +345,31 @@ def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
     return batch.manifest_lines(_results(spark, d))
 
 
-@query("""WITH u AS (SELECT o_orderkey AS k, 'GB/T ' || o_orderkey || '-2020' AS code FROM orders WHERE o_orderkey < 900)
+@query("""WITH u AS (SELECT o_orderkey AS k, 'GB/T ' || o_orderkey || '-2020' AS code FROM orders)
     SELECT k + 4 AS row, code AS query, 'name ' || k AS name_hint FROM u WHERE k % 13 <> 0 ORDER BY row LIMIT 400""")
 def upload_requests(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    body = B.table(spark, d, "orders").filter("o_orderkey < 900").select((k + 3).alias("row"), F.array(k.cast("string"), F.when(k % 13 == 0, "12").otherwise(F.concat(F.lit("GB/T "), k, F.lit("-2020"))), F.concat(F.lit("name "), k)).alias("cells"))
+    body = B.table(spark, d, "orders").select((k + 3).alias("row"), F.array(k.cast("string"), F.when(k % 13 == 0, "12").otherwise(F.concat(F.lit("GB/T "), k, F.lit("-2020"))), F.concat(F.lit("name "), k)).alias("cells"))
     head = spark.createDataFrame([(0, ["x", "标准清单", ""]), (1, []), (2, ["no", "标准号", "标准名称"])], "row long, cells array<string>")
     return batch.requests(head.union(body))
 
 
-@query(with_tables("asked", "files") + r""", q AS (SELECT row, upper(regexp_replace(replace(query, '／', '/'), '\s+', '', 'g')) AS q FROM asked), s AS (SELECT row, 'GBT' || row || '_' AS name FROM asked),
-    n AS (SELECT DISTINCT base_id, file_name, upper(regexp_replace(file_name, '\.[^.]*$', '')) AS k FROM files WHERE base_id % 37 = 0)
-    SELECT s.row, 1 AS tier, min(file_name) AS file_name FROM s JOIN n ON contains(n.k, s.name) GROUP BY s.row""")
+def spelt_files(spark: SparkSession, d: str) -> DataFrame:
+    """File names for every order's code: alone, within other words, in other signs, as a part of a query, and no PDF."""
+    o = B.table(spark, d, "orders")
+    k, year = F.col("o_orderkey"), F.year("o_orderdate")
+    n = F.when(k % 5 == 0, k + 100_000_000).otherwise(k)
+    code, way = F.concat(F.lit("GB/T"), n, F.lit("-"), year), k % 6
+    name = (
+        F.when(way == 0, F.concat(code, F.lit(".pdf"))).when(way == 1, F.concat(F.lit("old "), code, F.lit(" final.PDF"))).when(way == 2, F.concat(F.lit("版GB／T版"), n, F.lit("_-"), year, F.lit(".pdf")))
+        .when(way == 3, F.concat(n, F.lit("-"), year, F.lit(".pdf"))).when(way == 4, F.concat(code, F.lit(".doc"))).otherwise(F.concat(F.lit("x"), k, F.lit(".pdf")))
+    )
+    return o.select(k.alias("ord"), name.alias("file_name"))
+
+
+@query()
 def fuzzy_file_match(spark: SparkSession, d: str) -> DataFrame:
-    asked = B.asked(spark, d).select("row", F.concat(F.lit("gbt "), "row", F.lit("_")).alias("query"))
-    names = B.files(spark, d).filter("base_id % 37 = 0").select(F.col("file_name").alias("ord"), "file_name")
-    return found.fuzzy(asked, names).select("row", "tier", "file_name")
+    return found.fuzzy(B.asked(spark, d), spelt_files(spark, d)).select("row", "tier", "file_name")
 
 
 @query(with_tables("files") + "SELECT base_id, file_name, min(file_path) AS path FROM files GROUP BY ALL")
@@ -370,10 +380,10 @@ def file_by_name(spark: SparkSession, d: str) -> DataFrame:
     return out.select("base_id", F.regexp_replace(F.replace("file_name", F.lit(".PDF"), F.lit(".pdf")), "x^", "").alias("file_name"), "path")
 
 
-@query(with_tables("files") + ", c AS (SELECT DISTINCT base_id AS id, 'GBT' || base_id || '_' AS code FROM files WHERE base_id % 101 = 0) SELECT c.id, file_path AS path FROM c JOIN files ON contains(file_name, code) QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY file_path) <= 10")
+@query(with_tables("files") + ", c AS (SELECT DISTINCT base_id AS id, 'GBT' || base_id || '_' AS code FROM files) SELECT c.id, file_path AS path FROM c JOIN files ON contains(file_name, code) QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY file_path) <= 10")
 def files_holding_code(spark: SparkSession, d: str) -> DataFrame:
     files = B.files(spark, d)
-    standards = files.filter("base_id % 101 = 0").select(F.col("base_id").alias("id"), F.concat(F.lit("GB/T "), "base_id", F.lit("_")).alias("std_id")).distinct()
+    standards = files.select(F.col("base_id").alias("id"), F.concat(F.lit("GB/T "), "base_id", F.lit("_")).alias("std_id")).distinct()
     return found.holding_code(standards, files.select(F.col("file_path").alias("path"))).select("id", "path")
 
 
@@ -384,8 +394,24 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS id, CASE WHEN n = 1 THEN p_name || '.pdf' ELSE p_name || '_' || n || '.pdf' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
 def unique_names(spark: SparkSession, d: str) -> DataFrame:
-    p = B.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".pdf")).alias("n"))
-    return p.select("id", display.unique_name(F.col("n"), F.col("id")).alias("name"))
+    p = B.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".pdf")).alias("name"))
+    return display.unique_names(p, "name", "id")
+
+
+@query("SELECT 3 * p_partkey + w AS id, p_partkey || CASE w WHEN 0 THEN '.pdf' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN '_2.pdf' ELSE '_2_2.pdf' END ELSE CASE WHEN p_partkey % 2 = 0 THEN '_3.pdf' ELSE '_2.pdf' END END AS name FROM part, range(3) t(w)")
+def unique_names_collide(spark: SparkSession, d: str) -> DataFrame:
+    """Of a.pdf, a.pdf and a_2.pdf the second one's number is taken, or, where it comes later, takes that of the third."""
+    p = B.table(spark, d, "part").select("p_partkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("w"))
+    k, even = F.col("p_partkey"), F.col("p_partkey") % 2 == 0
+    given = F.when((F.col("w") == 0) | (even & (F.col("w") == 2)) | (~even & (F.col("w") == 2)), F.concat(k, F.lit(".pdf"))).otherwise(F.concat(k, F.lit("_2.pdf")))
+    order = F.when(~even & (F.col("w") == 1), 2).when(~even & (F.col("w") == 2), 1).otherwise(F.col("w"))
+    named = p.select((3 * k + F.col("w")).alias("id"), (3 * k + order).alias("place"), given.alias("name"))
+    return display.unique_names(named, "name", "place").select("id", "name")
+
+
+@query(_RESOLVED + "SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS success, count(*) FILTER (status <> 'ok') AS failed, least(count(*), 5000) AS listed, greatest(count(*) - 5000, 0) AS left_out FROM res")
+def manifest_totals(spark: SparkSession, d: str) -> DataFrame:
+    return export.manifest(_results(spark, d), "now").select("total", "success", "failed", F.size("results").cast("long").alias("listed"), "left_out")
 
 
 @query(with_tables("std") + r"SELECT id, left(replace(regexp_replace(std_id, '[<>:\x22/\\|?*]', '_', 'g'), ' ', ''), 80) || '_' || coalesce(regexp_replace(std_chinesename, '[<>:\x22/\\|?*]', '_', 'g'), 'none') || '.doc' AS name FROM std")
@@ -412,10 +438,10 @@ def date_display(spark: SparkSession, d: str) -> DataFrame:
 _SIZE = "(p_partkey * p_partkey * 977 + 1)"
 
 
-@query(f"SELECT p_partkey AS id, CASE WHEN {_SIZE} < 1024 THEN {_SIZE} || ' B' WHEN {_SIZE} < 1048576 THEN printf('%.1f KB', {_SIZE} / 1024.0) WHEN {_SIZE} < 1073741824 THEN printf('%.1f MB', {_SIZE} / 1048576.0) ELSE printf('%.1f GB', {_SIZE} / 1073741824.0) END AS shown FROM part WHERE p_partkey % 32 <> 0")
+@query(f"SELECT p_partkey AS id, CASE WHEN {_SIZE} < 1024 THEN {_SIZE} || ' B' WHEN {_SIZE} < 1048576 THEN printf('%.1f KB', {_SIZE} / 1024.0) WHEN {_SIZE} < 1073741824 THEN printf('%.1f MB', {_SIZE} / 1048576.0) ELSE printf('%.1f GB', {_SIZE} / 1073741824.0) END AS shown FROM part")
 def size_display(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_partkey") * F.col("p_partkey") * 977 + 1
-    return B.table(spark, d, "part").filter("p_partkey % 32 <> 0").select(F.col("p_partkey").alias("id"), display.size_label(size).alias("shown"))
+    return B.table(spark, d, "part").select(F.col("p_partkey").alias("id"), display.size_label(size).alias("shown"))
 
 
 @query(with_tables("areas") + "SELECT area_code, province_name || '_' || city_name AS label FROM areas")
@@ -493,17 +519,17 @@ def display_paths(spark: SparkSession, d: str) -> DataFrame:
     return B.files(spark, d).select("id", found.shown_path(path, "/root/docs").alias("shown"))
 
 
-@query(with_tables("std", "files") + """, o AS (SELECT base_id AS id, file_path AS path FROM files WHERE base_id % 53 = 0 AND base_id % 2 = 0), f AS (SELECT base_id AS id, file_path AS path, row_number() OVER (PARTITION BY base_id ORDER BY file_path) AS n FROM files WHERE base_id % 53 = 0 AND base_id % 2 = 1)
+@query(with_tables("std", "files") + """, o AS (SELECT base_id AS id, file_path AS path FROM files WHERE base_id % 2 = 0), f AS (SELECT base_id AS id, file_path AS path, row_number() OVER (PARTITION BY base_id ORDER BY file_path) AS n FROM files WHERE base_id % 2 = 1)
     SELECT id, min(path) AS path, min(source) AS source FROM (SELECT id, path, 0 AS source FROM o UNION ALL SELECT id, path, 1 FROM f) GROUP BY id""")
 def picked_files(spark: SparkSession, d: str) -> DataFrame:
-    files = B.files(spark, d).filter("base_id % 53 = 0")
+    files = B.files(spark, d)
     standards = files.select(F.col("base_id").alias("id"), F.concat(F.lit("GB/T "), "base_id", F.lit("_")).alias("std_id")).distinct()
     own = files.filter("base_id % 2 = 0").select("base_id", "file_path", F.upper("file_name").alias("file_name"))
     return found.picked(found.collected(standards, own, files.select(F.col("file_path").alias("path"))))
 
 
-@query("SELECT o_orderkey AS row, 2 AS std_col, CASE WHEN o_orderkey % 2 = 0 THEN 1 END AS name_col, CASE WHEN o_orderkey % 3 = 0 THEN 3 END AS remark_col FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey AS row, 2 AS std_col, CASE WHEN o_orderkey % 2 = 0 THEN 1 END AS name_col, CASE WHEN o_orderkey % 3 = 0 THEN 3 END AS remark_col FROM orders")
 def upload_columns(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     cells = F.array(F.lit("编 号"), F.when(k % 2 == 0, "Title").otherwise("x"), F.lit("标准号"), F.when(k % 3 == 0, "备注栏").otherwise(""))
-    return batch.column_roles(B.table(spark, d, "orders").filter("o_orderkey < 500").select(k.alias("row"), cells.alias("cells")))
+    return batch.column_roles(B.table(spark, d, "orders").select(k.alias("row"), cells.alias("cells")))

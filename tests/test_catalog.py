@@ -1,11 +1,14 @@
 """Catalogue operators on small tables: full text against SQLite's FTS5, prefix join, dumps, uploads, export, streams."""
 
+import random
+import re
 import sqlite3
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import display
 from quillon.operators import batch, catalog, facets, files, geo, search
 from quillon.plans.intent import Filters, Page
 from quillon.sinks import export
@@ -144,3 +147,88 @@ def test_page_ends(spark, sf_dir):
     from quillon.plans import binding as B
 
     assert search.browse_page(B.standards(spark, sf_dir), B.files(spark, sf_dir), Page(10_000, 50)).count() == 0
+
+
+def plain_key(x):
+    return re.sub(r"\s+", "", x).replace("／", "/").replace("—", "-").upper()
+
+
+def plain_fuzzy(query, names):
+    """A PDF for a query: an equal key, then one key within the other, then the query's core within the file's."""
+    q = plain_key(query)
+    pdfs = [(ord_, name, plain_key(name[:-4])) for ord_, name in sorted(names) if name.lower().endswith(".pdf") and plain_key(name[:-4])]
+    core = lambda x: re.sub("[^A-Z0-9/-]", "", x)
+    tests = [lambda k: k == q, lambda k: q in k or k in q, lambda k: len(core(q)) >= 4 and core(q) in core(k)]
+    for tier, test in enumerate(tests):
+        for _, name, k in pdfs:
+            if q and test(k):
+                return tier, name
+    return None
+
+
+def test_fuzzy_by_all_tiers(spark, sf_dir):
+    from quillon.plans import binding, queries
+
+    names = [tuple(r) for r in queries.spelt_files(spark, sf_dir).collect()]
+    asked = binding.asked(spark, sf_dir).limit(250)
+    want = {r["row"]: m for r in asked.collect() if (m := plain_fuzzy(r["query"], names))}
+    got = {r["row"]: (r["tier"], r["file_name"]) for r in queries.QUERIES["fuzzy_file_match"](spark, sf_dir).collect() if r["row"] in {x["row"] for x in asked.collect()}}
+    assert got == want and {t for t, _ in want.values()} == {0, 1, 2}
+    by_hand = spark.createDataFrame([(0, "GB1-1999.pdf"), (1, "x GB／T1002-2024版.pdf"), (2, "GB1-1999.doc"), (3, "a.pdf")], "ord int, file_name string")
+    asked = [(1, "GB1"), (2, "插头GB/T1002-2024"), (3, ""), (4, "zzz"), (5, "GB1-1999"), (6, "a b")]
+    got = {r["row"]: (r["tier"], r["file_name"]) for r in files.fuzzy(spark.createDataFrame(asked, "row int, query string"), by_hand).collect()}
+    assert got == {row: m for row, q in asked if (m := plain_fuzzy(q, [tuple(r) for r in by_hand.collect()]))}
+
+
+def test_uploads_with_line_ends_in_cells(spark, tmp_path):
+    text = 'a,"GB/T 1-2020","line one\nline two"\r\n\r\n"say ""x"", y",,\nlast'
+    (tmp_path / "u.csv").write_bytes("\ufeff".encode() + text.encode())
+    got = [(r["row"], list(r["cells"])) for r in listing.parse_upload(spark, str(tmp_path / "u.csv")).collect()]
+    assert got == [(0, ["a", "GB/T 1-2020", "line one\nline two"]), (2, ['say "x", y', "", ""]), (3, ["last"])]
+    with pytest.raises(ValueError):
+        listing.upload(spark, str(tmp_path / "u.csv"), most_bytes=10)
+    with pytest.raises(ValueError):
+        listing.parse_upload(spark, "x.txt")
+
+
+def plain_unique(names):
+    used, out = set(), []
+    for name in names:
+        stem, dot, suffix = name.rpartition(".")
+        n, now = 1, name
+        while now in used:
+            n += 1
+            now = f"{stem}_{n}.{suffix}" if dot and stem else f"{name}_{n}"
+        used.add(now)
+        out.append(now)
+    return out
+
+
+def test_unique_names_by_definition(spark):
+    rng = random.Random(4)
+    names = [rng.choice(["a", "a_2", "a_2_2", "a_3", "b", ".c", "d_x"]) + rng.choice([".pdf", ".doc", ""]) for _ in range(200)]
+    got = display.unique_names(spark.createDataFrame(list(enumerate(names)), "n int, name string"), "name", "n").orderBy("n").collect()
+    assert [r["name"] for r in got] == plain_unique(names) and len(set(plain_unique(names))) == 200
+
+
+def test_bundle_counts_all_and_keeps_below_its_root(spark, tmp_path):
+    rows = [(i, f"q{i}", "s", "ok" if i % 2 else "no_pdf", "same.pdf", f"../x{i}.pdf" if i == 3 else f"d/{i}.pdf") for i in range(20)]
+    results = spark.createDataFrame(rows, "row int, query string, std_id string, status string, zip_name string, file_name string")
+    assert export.manifest(results, "now", most=6).select("total", "success", "failed", "left_out").first() == (20, 10, 10, 14)
+    assert [r["row"] for r in export.manifest(results, "now", most=6).first()["results"]] == list(range(6))
+    assert export.bundle(results, str(tmp_path / "b.zip"), lambda p: p.encode(), "now", root="/data", most=10) == 4
+    with zipfile.ZipFile(tmp_path / "b.zip") as z:
+        assert [n for n in z.namelist() if n.endswith(".pdf")] == ["same.pdf", "same_2.pdf", "same_3.pdf", "same_4.pdf"]
+    assert export.below("/data", "a/../b.pdf") and not export.below("/data", "../data2/b.pdf") and not export.below("/data", "/etc/x")
+
+
+def test_annotated_csv(spark, tmp_path):
+    sheet = spark.createDataFrame([(0, ["no", "标准号"]), (1, ["1", "GB 1"]), (2, ["2", "GB 2"])], "row int, cells array<string>")
+    export.annotated_csv(sheet, spark.createDataFrame([(1, ""), (2, "否")], "row int, remark string"), str(tmp_path / "o.csv"))
+    assert (tmp_path / "o.csv").read_bytes().startswith("\ufeff".encode())
+    assert (tmp_path / "o.csv").read_text(encoding="utf-8-sig").splitlines() == ["no,标准号,备注", "1,GB 1,", "2,GB 2,否"]
+
+
+def test_ids_beyond_32_bits(spark):
+    base = spark.createDataFrame([(5_000_000_000, "a"), (3, "b")], "id long, std_id string")
+    assert [r["id"] for r in search.by_id(base, [3, 5_000_000_000]).collect()] == [3, 5_000_000_000]
