@@ -34,7 +34,7 @@ SEGMENTS, UNSURE, RADIUS = 16, 6, 2
 #: unrelated texts do.
 DISTANCE = 112
 #: Rounds in which each text is compared with one text that it meets, before all pairs that are still apart are compared.
-STARS = 5
+STARS = 2
 #: A set of keys of at most so many rows is broadcast.
 FEW = 200_000
 
@@ -161,9 +161,11 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
     meet in a segment are joined by a chain of links."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets reach the bound only as equals
     wide = nodes.filter(F.col("size") >= least)
-    # One exchange: meetings are counted where their values lie; values of one text alone leave.
-    posts = _entries(wide).repartition("token").withColumn("n", F.expr("count(1) over (partition by token)")).filter("n > 1")
-    posts = cut(posts.select("node", "token", F.col("node").alias("root")))
+    # One exchange: meetings are counted where their values lie; values of one text alone leave, and of those at which the same texts meet, as
+    # near copies do at very many, one stays.
+    who = [F.expr(f"bit_xor(xxhash64(node, {k})) over (partition by token)").alias(f"who{k}") for k in (0, 1)]
+    posts = _entries(wide).repartition("token").select("node", F.expr("count(1) over (partition by token)").alias("n"), *who).filter("n > 1")
+    posts = cut(posts.select("node", "n", "who0", "who1").distinct().select("node", F.xxhash64("n", "who0", "who1").alias("token"), F.col("node").alias("root")))
     bits = " + ".join(f"bit_count(a_fp[{i}] ^ b_fp[{i}])" for i in range(SEGMENTS // 2))
     words = F.array(*(F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(SEGMENTS // 2)))
     met = cut(wide.join(posts.select("node").distinct(), "node").select("node", "md5", "size", words.alias("fp")))
