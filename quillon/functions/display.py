@@ -14,6 +14,9 @@ from quillon.session import ship
 STATES = {0: "废止", 1: "现行", 2: "即将实施"}
 UNKNOWN = "未知"
 NO_REGION = "地区"
+# Labels of a request's outcome, and the styles of what is not downloadable.
+OUTCOMES = {"ok": "可下载", "not_found": "未找到", "no_pdf": "无 PDF", "empty": "空行", "error": "错误"}
+OUTCOME_STYLES = {"ok": "batch-ok", "not_found": "batch-warn", "no_pdf": "batch-warn"}
 
 
 def state_label(state: Column, status: Column) -> Column:
@@ -107,3 +110,14 @@ def file_badge(ext: Column) -> Column:
 
 def status_class(state: Column) -> Column:
     return F.when(state == 1, "live").when(state == 2, "soon").otherwise("old")
+
+
+def outcome_label(status: Column) -> Column:
+    """Label of a request's outcome; one without a label as it is, none as a dash."""
+    known = F.create_map(*(F.lit(x) for pair in OUTCOMES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, status), F.nullif(status, F.lit("")), F.lit("—"))
+
+
+def outcome_style(status: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in OUTCOME_STYLES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, status), F.lit("batch-fail"))

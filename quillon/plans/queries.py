@@ -533,3 +533,10 @@ def upload_columns(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     cells = F.array(F.lit("编 号"), F.when(k % 2 == 0, "Title").otherwise("x"), F.lit("标准号"), F.when(k % 3 == 0, "备注栏").otherwise(""))
     return batch.column_roles(B.table(spark, d, "orders").select(k.alias("row"), cells.alias("cells")))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN '可下载' WHEN 1 THEN '未找到' WHEN 2 THEN '无 PDF' WHEN 3 THEN '空行' WHEN 4 THEN '错误' WHEN 5 THEN 'disk_only' ELSE '—' END AS label,
+    CASE o_orderkey % 7 WHEN 0 THEN 'batch-ok' WHEN 1 THEN 'batch-warn' WHEN 2 THEN 'batch-warn' ELSE 'batch-fail' END AS style FROM orders""")
+def batch_status_labels(spark: SparkSession, d: str) -> DataFrame:
+    status = F.get(F.array(*map(F.lit, ("ok", "not_found", "no_pdf", "empty", "error", "disk_only", None))), (F.col("o_orderkey") % 7).cast("int"))
+    return B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), display.outcome_label(status).alias("label"), display.outcome_style(status).alias("style"))
