@@ -125,6 +125,11 @@ def like(x: Column, pattern: str) -> Column:
     return x.ilike(pattern.replace("\\", "\\\\"))
 
 
+def begins(x: Column, key: str) -> Column:
+    """An upper-case column begins with an upper-case key, as LIKE has it. A key without wildcards reaches the scan as a range."""
+    return like(x, f"{key}%") if "%" in key or "_" in key else x.startswith(key)
+
+
 def contains_code(file_name: Column, code: Column) -> Column:
     """A file name holds the code, whatever the separators; codes of under four characters never match."""
     stem = F.regexp_replace(F.upper(F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", "")), "_[FTZX]_", "_")

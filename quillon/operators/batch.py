@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import codes, display
+from quillon.operators import files as found
 
 MOST_ROWS, HEADER_ROWS, CODE_ROWS = 400, 25, 40
 # How uploads name their columns, and what a code in a cell looks like.
@@ -58,17 +59,21 @@ def requests(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     cell = rows.filter(F.col("row") < CODE_ROWS).select("row", F.posexplode("cells").alias("pos", "cell")).filter(looks_like_number(F.col("cell")))
     guess = cell.select(F.lit(1).alias("o"), F.col("row").alias("start"), F.col("pos").alias("std_col"), F.lit(None).cast("int").alias("name_col")).orderBy("start", "std_col").limit(1)
     layout = header.union(guess).orderBy("o").limit(1)  # one row
-    found = layout.first()
-    if found is None:
+    at = layout.first()
+    if at is None:
         return rows.limit(0).select("row", F.lit("").alias("query"), F.lit("").alias("name_hint"))
-    query = codes.strip(F.coalesce(F.get("cells", F.lit(found["std_col"])), F.lit("")))
-    name = F.coalesce(F.get("cells", F.lit(found["name_col"])), F.lit("")) if found["name_col"] is not None else F.lit("")
-    asked = rows.filter(F.col("row") >= found["start"]).select((F.col("row") + 1).alias("row"), query.alias("query"), name.alias("name_hint"))
+    query = codes.strip(F.coalesce(F.get("cells", F.lit(at["std_col"])), F.lit("")))
+    name = F.coalesce(F.get("cells", F.lit(at["name_col"])), F.lit("")) if at["name_col"] is not None else F.lit("")
+    asked = rows.filter(F.col("row") >= at["start"]).select((F.col("row") + 1).alias("row"), query.alias("query"), name.alias("name_hint"))
     return asked.filter(~skipped(F.col("query"))).orderBy("row").limit(most)
 
 
-def reconciled(asked: DataFrame, base: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a request (row, query): the standard it names, its first file, and a status.
+def _blank() -> Column:
+    return codes.strip(F.coalesce(F.col("query"), F.lit(""))) == ""
+
+
+def standard_of(asked: DataFrame, base: DataFrame) -> DataFrame:
+    """row, base_id and std_id of the standard that each request (row, query) names; requests that name none have no row.
 
     A request meets standards by equi joins on the spellings of its code and on both keys; of several the one of the
     better tier, then of the smaller id, is taken.
@@ -79,19 +84,47 @@ def reconciled(asked: DataFrame, base: DataFrame, files: DataFrame) -> DataFrame
         F.transform(codes.lookup_variants(q), lambda v: F.struct(F.lit(0).alias("tier"), F.concat(F.lit("n"), codes.norm_key(v)).alias("k"))),
         F.array(F.struct(F.lit(1).alias("tier"), F.concat(F.lit("n"), codes.norm_key(q)).alias("k")), F.struct(F.lit(2).alias("tier"), F.concat(F.lit("c"), codes.compact_key(q)).alias("k"))),
     )
-    keys = asked.filter(codes.strip(F.coalesce(q, F.lit(""))) != "").select("row", F.explode(F.array_distinct(tiers)).alias("t")).select("row", "t.tier", "t.k")
+    keys = asked.filter(~_blank()).select("row", F.explode(F.array_distinct(tiers)).alias("t")).select("row", "t.tier", "t.k")
     known = base.select(
         "id", "std_id", F.explode(F.array(F.concat(F.lit("="), F.col("std_id")), F.concat(F.lit("n"), F.col("std_id_norm")), F.concat(F.lit("c"), codes.compact_key(F.col("std_id"))))).alias("k")
     )
-    best = keys.join(known, "k").groupBy("row").agg(F.min(F.struct("tier", "id", "std_id")).alias("best")).select("row", F.col("best.id").alias("base_id"), F.col("best.std_id").alias("std_id"))
+    best = keys.join(known, "k").groupBy("row").agg(F.min(F.struct("tier", "id", "std_id")).alias("best"))
+    return best.select("row", F.col("best.id").alias("base_id"), F.col("best.std_id").alias("std_id"))
+
+
+def reconciled(asked: DataFrame, base: DataFrame, files: DataFrame) -> DataFrame:
+    """One row a request (row, query): the standard it names, its first file in the catalogue, and a status. What lies on disk is not asked."""
+    best = standard_of(asked, base)
     first = files.join(best.select("base_id").distinct(), "base_id", "left_semi").groupBy("base_id").agg(F.min(F.struct("file_name", "id")).alias("f")).select("base_id", F.col("f.file_name").alias("file_name"))
     out = asked.join(best, "row", "left").join(first, "base_id", "left")
-    blank = codes.strip(F.coalesce(q, F.lit(""))) == ""
-    status = F.when(blank, "empty").when(F.col("base_id").isNull(), "not_found").when(F.col("file_name").isNull(), "no_pdf").otherwise("ok")
+    status = F.when(_blank(), "empty").when(F.col("base_id").isNull(), "not_found").when(F.col("file_name").isNull(), "no_pdf").otherwise("ok")
     named = out.withColumn("status", status)
     return named.select("row", "query", "status", "base_id", "std_id", "file_name", F.when(F.col("status") == "ok", display.safe_name(F.col("std_id"), F.col("file_name"))).alias("zip_name"))
 
 
+def served(asked: DataFrame, base: DataFrame, files: DataFrame, listing: DataFrame) -> DataFrame:
+    """One row a request (row, query): the standard it names, the path that serves it, where that comes from, and a status.
+
+    ``source`` is index for a file of the catalogue that the listing (path) has, by path or by name, the first by name; disk for a listed file
+    whose name holds the standard's code, where the catalogue's files are missing; disk_only for one whose name holds the code asked for, where no
+    standard is known. The names of the listing are taken apart once for both.
+    """
+    best = standard_of(asked, base)
+    wanted = best.select(F.col("base_id").alias("id"), "std_id").distinct()
+    own = found.first_served(wanted, files, listing)
+    kind = lambda n, key: F.struct(F.lit(n).alias("kind"), key.cast("long").alias("key")).alias("id")
+    unserved = wanted.join(own, "id", "left_anti").select(kind(0, F.col("id")), "std_id")
+    unknown = asked.filter(~_blank()).join(best, "row", "left_anti").select(kind(1, F.col("row")), codes.strip(F.col("query")).alias("std_id"))
+    other = found.holding_code(unserved.union(unknown), listing, 1).select("id.kind", "id.key", F.col("path").alias("other"))
+    by_standard = own.select(F.col("id").alias("base_id"), F.col("path"), F.lit("index").alias("source")).union(other.filter("kind = 0").select("key", "other", F.lit("disk")))
+    out = asked.join(best, "row", "left").join(by_standard, "base_id", "left").join(other.filter("kind = 1").select(F.col("key").alias("row"), "other"), "row", "left")
+    only = F.col("other").isNotNull()
+    out = out.withColumns({"path": F.coalesce("path", "other"), "source": F.when(only, "disk_only").otherwise(F.col("source")), "std_id": F.when(only, codes.strip(F.col("query"))).otherwise(F.col("std_id"))})
+    status = F.when(_blank(), "empty").when(F.col("path").isNotNull(), "ok").when(F.col("base_id").isNull(), "not_found").otherwise("no_pdf")
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return out.select("row", "query", status.alias("status"), "source", "base_id", "std_id", "path", name.alias("file_name"), F.when(F.col("path").isNotNull(), display.safe_name(F.col("std_id"), name)).alias("zip_name"))
+
+
 def summary(results: DataFrame) -> DataFrame:
     """One row: total, success, failed."""
     ok = F.count_if(F.col("status") == "ok")

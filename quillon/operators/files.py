@@ -15,7 +15,7 @@ def dedupe_key(path: Column, rel: Column, name: Column, file_id: Column) -> Colu
 
 
 def first_of(df: DataFrame, key: Column, *order: Column) -> DataFrame:
-    """The first row of each key in the order."""
+    """The first row of each key in the order. Each task keeps only its own first rows before the exchange (a group limit), so a hot key is no burden."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
@@ -105,6 +105,12 @@ def collected(standards: DataFrame, files: DataFrame, listing: DataFrame, most:
     return own.join(standards.select("id"), "id", "left_semi").union(found).dropDuplicates(["id", "path"])
 
 
+def first_served(standards: DataFrame, files: DataFrame, listing: DataFrame) -> DataFrame:
+    """id and path of each standard's first file, by name, that the listing has; standards without one have no row."""
+    own = resolved(files.join(standards.select(F.col("id").alias("base_id")), "base_id", "left_semi"), listing).filter(F.col("path").isNotNull())
+    return own.groupBy(F.col("base_id").alias("id")).agg(F.min(F.struct("file_name", F.col("id").alias("file_id"), "path")).alias("p")).select("id", "p.path")
+
+
 def picked(collected_files: DataFrame) -> DataFrame:
     """One file a standard: its own before a found one, then by path."""
     return collected_files.groupBy("id").agg(F.min(F.struct("source", "path")).alias("p")).select("id", "p.path", "p.source")

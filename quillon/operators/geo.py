@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import codes
+from quillon.operators import search
+from quillon.plans.intent import Filters
 
 MOST_EXPORTED = 5000
 
@@ -51,19 +53,37 @@ def by_rank(base: DataFrame, relations: DataFrame, units: DataFrame, company: st
     return base.join(ids, "id", "left_semi")
 
 
-def export_ids(base: DataFrame, geo: DataFrame, province: str, city: str = "", county: str = "", company: str = "", limit: int = MOST_EXPORTED) -> DataFrame:
+def regional(base: DataFrame, files: DataFrame, geo: DataFrame, filters: Filters, text: str = "", relations: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+    """Standards of a region that also meet the other filters and a search text. A company that is not asked for by rank is to be in the region."""
+    if not filters.province:
+        raise ValueError("a regional search needs a province")
+    here = in_area(base, geo, filters.province, filters.city, filters.county, "" if filters.by_rank else filters.company)
+    return search.matching(search.filtered(here, files, filters.without_place(), geo, relations, units), files, text)
+
+
+def first_ids(found: DataFrame, limit: int = MOST_EXPORTED) -> DataFrame:
     """Ids to export, by code. The limit is the feature: an export takes so many."""
+    return found.orderBy("std_id", "id").limit(max(1, min(limit, MOST_EXPORTED))).select("id")
+
+
+def totals(found: DataFrame) -> DataFrame:
+    """One row: how many standards match, how many an export takes, whether that is fewer."""
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return total.select("total", F.least("total", F.lit(MOST_EXPORTED)).cast("long").alias("download_count"), (F.col("total") > MOST_EXPORTED).alias("capped"))
+
+
+def export_ids(base: DataFrame, geo: DataFrame, province: str, city: str = "", county: str = "", company: str = "", limit: int = MOST_EXPORTED) -> DataFrame:
+    """Ids of an area's standards to export."""
     if not province:
         raise ValueError("an export needs a province")
-    return in_area(base, geo, province, city, county, company).orderBy("std_id", "id").limit(min(limit, MOST_EXPORTED)).select("id")
+    return first_ids(in_area(base, geo, province, city, county, company), limit)
 
 
 def preview(base: DataFrame, geo: DataFrame, province: str, city: str = "", county: str = "", company: str = "") -> DataFrame:
-    """One row: how many standards match, how many an export takes, whether that is fewer."""
+    """Counts of an area's export."""
     if not province:
         raise ValueError("a preview needs a province")
-    total = in_area(base, geo, province, city, county, company).agg(F.count(F.lit(1)).alias("total"))
-    return total.select("total", F.least("total", F.lit(MOST_EXPORTED)).cast("long").alias("download_count"), (F.col("total") > MOST_EXPORTED).alias("capped"))
+    return totals(in_area(base, geo, province, city, county, company))
 
 
 def coverage(geo: DataFrame, province: str) -> DataFrame:

@@ -53,7 +53,7 @@ def matching(base: DataFrame, files: DataFrame, text: str) -> DataFrame:
     conditions: list[Column] = []
     for code in (ask.codes or ((ask.cleaned,) if I.looks_like_code(ask.cleaned) else ()))[:MOST_CODES]:
         for key in dict.fromkeys((I.norm_key(code), I.compact_key(code))):
-            conditions.append(codes.like(F.col("std_id_norm"), f"{key}%") | (F.col("std_id_norm") == key))
+            conditions.append(codes.begins(F.col("std_id_norm"), key))
     words = ask.words or ((ask.cleaned,) if ask.cleaned and not I.looks_like_code(ask.cleaned) else ())
     words = words[:MOST_WORDS] if conditions or words else (ask.cleaned or text,)
     latin = [w for w in words if _asks_latin(w)]
@@ -73,7 +73,7 @@ def relevance(ask: Intent) -> Column:
     flexible = I.code_pattern(I.collapse(primary)) if I.looks_like_code(primary) else pattern
     key, dense, upper = F.col("std_id_norm"), codes.stored_compact(F.col("std_id")), F.upper("std_id")
     steps = [
-        key == norm, codes.like(key, f"{norm}%"), dense == compact, codes.like(dense, f"{compact}%"),
+        key == norm, codes.begins(key, norm), dense == compact, codes.begins(dense, compact),
         F.replace(upper, F.lit(" "), F.lit("")) == norm, upper == primary.upper(), codes.like(upper, pattern), codes.like(upper, flexible),
         codes.like(F.col("std_chinesename"), f"%{primary}%"),
     ]
@@ -160,36 +160,48 @@ def cluster_page(base: DataFrame, files: DataFrame, keywords: list[str], primary
     return page_of(found, page, F.col("score").desc(), F.col("std_id"), F.col("id"))
 
 
-def _variants(text: str) -> Column:
-    return codes.lookup_variants(F.lit(text))
+def _met(base: DataFrame, q: str) -> tuple[Column, Column]:
+    """Whether a row's code is a spelling of the text or one of its keys, and how well: 0 to 3.
+
+    The spellings are worked out once, so the condition is two IN lists, which reach the scan of an index table.
+    """
+    asked = base.sparkSession.sql("SELECT * FROM VALUES (:q) AS t(q)", args={"q": q})
+    spellings = asked.select(codes.lookup_variants(F.col("q")).alias("v")).first()["v"]
+    norm, compact = I.norm_key(q), I.compact_key(q)
+    code, key = F.col("std_id"), F.col("std_id_norm")
+    spelt = code.isin(spellings) | key.isin(list(dict.fromkeys(map(I.norm_key, spellings))))
+    met = code.isin([*spellings, q]) | key.isin(list(dict.fromkeys([*map(I.norm_key, spellings), norm, compact])))
+    return F.coalesce(met, F.lit(False)), F.when(spelt, 0).when(code == q, 1).when(key == norm, 2).otherwise(3)
 
 
 def prioritised(base: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """First rows by how their code meets the text: a spelling of it, the text, its keys, or a part of the code."""
+    """First rows by how their code meets the text: a spelling of it, the text, its keys, or a part of the code.
+
+    The parts of codes, which need a whole scan, are looked at only if the other tiers have fewer rows than asked for.
+    """
     q = (text or "").strip()
     if not q:
         return base.limit(0).withColumn("priority", F.lit(0))
-    code, key = F.col("std_id"), F.col("std_id_norm")
-    variants = _variants(q)
-    met = F.array_contains(variants, code) | F.array_contains(F.transform(variants, codes.norm_key), key)
-    priority = (
-        F.when(met, 0).when(code == q, 1).when(key == I.norm_key(q), 2).when(key == I.compact_key(q), 3)
-        .when(codes.like(F.upper("std_id"), f"%{q.upper()}%"), 4)
-    )
-    return base.withColumn("priority", priority).filter(F.col("priority").isNotNull()).orderBy("priority", "id").limit(limit)
+    met, tier = _met(base, q)
+    best = base.filter(met).withColumn("priority", tier).orderBy("priority", "id").limit(limit)
+    if len(best.select("id").take(limit)) == limit:
+        return best
+    part = codes.like(F.upper("std_id"), f"%{q.upper()}%")
+    return base.filter(met | part).withColumn("priority", F.when(met, tier).otherwise(4)).orderBy("priority", "id").limit(limit)
 
 
 def best_match(base: DataFrame, text: str) -> DataFrame:
-    """At most one row: the code's best match; a part of a code counts only if the keys are equal after all."""
+    """At most one row: the code's best match; a part of a code counts only if the keys are equal after all, and if nothing else is found."""
     q = (text or "").strip()
     if not q:
         return base.limit(0)
-    code, key = F.col("std_id"), F.col("std_id_norm")
-    variants = _variants(q)
-    met = F.array_contains(variants, code) | F.array_contains(F.transform(variants, codes.norm_key), key)
-    same = (codes.norm_key(code) == I.norm_key(q)) | (codes.compact_key(code) == I.compact_key(q))
-    priority = F.when(met, 0).when(key == I.norm_key(q), 1).when(key == I.compact_key(q), 2).when(codes.like(F.upper("std_id"), f"%{q.upper()}%") & same, 3)
-    return base.withColumn("priority", priority).filter(F.col("priority").isNotNull()).orderBy("priority", "id").limit(1)
+    met, tier = _met(base, q)
+    found = base.filter(met).withColumn("priority", F.when(tier == 0, 0).when(F.col("std_id_norm") == I.norm_key(q), 1).otherwise(2))
+    if not found.select("id").take(1):
+        code = F.col("std_id")
+        same = (codes.norm_key(code) == I.norm_key(q)) | (codes.compact_key(code) == I.compact_key(q))
+        found = base.filter(codes.like(F.upper("std_id"), f"%{q.upper()}%") & same).withColumn("priority", F.lit(3))
+    return found.orderBy("priority", "id").limit(1)
 
 
 def detail(base: DataFrame, files: DataFrame) -> DataFrame:

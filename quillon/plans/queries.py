@@ -140,6 +140,24 @@ def geo_export_ids(spark: SparkSession, d: str) -> DataFrame:
     return geo.export_ids(B.standards(spark, d), _geo(spark, d), "ASIA")
 
 
+_REGIONAL = with_tables("std", "files", "geo") + ", r AS (SELECT id, std_id FROM std WHERE EXISTS (SELECT 1 FROM geo g WHERE g.base_id = std.id AND province_name = 'ASIA' AND unit_name ILIKE '%0000%') AND ex_state IN (1, 2) AND coalesce(std_chinesename ILIKE '%bolt%', false) AND (left(release_date, 4)::INT >= 1995 OR coalesce(try_cast(regexp_extract(right(std_id, 4), '^[0-9]+') AS INT), 0) >= 1995) AND EXISTS (SELECT 1 FROM files f WHERE f.base_id = std.id)) "
+
+
+def _regional(spark: SparkSession, d: str) -> DataFrame:
+    asked = Filters(states=(1, 2), province="ASIA", company="0000", year_from=1995, with_file=True)
+    return geo.regional(B.standards(spark, d), B.files(spark, d), _geo(spark, d), asked, "bolt")
+
+
+@query(_REGIONAL + "SELECT id FROM r ORDER BY std_id, id LIMIT 5000")
+def regional_export(spark: SparkSession, d: str) -> DataFrame:
+    return geo.first_ids(_regional(spark, d))
+
+
+@query(_REGIONAL + "SELECT count(*) AS total, least(count(*), 5000) AS download_count, count(*) > 5000 AS capped FROM r")
+def regional_preview(spark: SparkSession, d: str) -> DataFrame:
+    return geo.totals(_regional(spark, d))
+
+
 _RANKED = "SELECT id, std_id FROM std WHERE id IN (SELECT base_id FROM rel JOIN units USING (unit_id) WHERE rank_order {c} AND unit_name ILIKE '%00000002%')"
 
 
@@ -324,6 +342,24 @@ def batch_resolve(spark: SparkSession, d: str) -> DataFrame:
     return _results(spark, d)
 
 
+_SERVED = _RESOLVED + r""", lst AS (SELECT f.file_path AS path, f.file_name AS name FROM files f WHERE base_id % 3 <> 0 AND base_id % 8 <> 1),
+    odd AS (SELECT 'scan/GBT' || (o_orderkey + 100000000) || '-' || year(o_orderdate) || '.pdf' AS path, 'GBT' || (o_orderkey + 100000000) || '-' || year(o_orderdate) || '.pdf' AS name, o_orderkey AS k FROM orders WHERE o_orderkey % 10 = 0),
+    stray AS (SELECT 'scan/no ' || upper(replace(std_id, '/', '')) || ' copy.pdf' AS path, 'no ' || upper(replace(std_id, '/', '')) || ' copy.pdf' AS name, id AS k FROM std WHERE id % 24 = 1),
+    own AS (SELECT m.row, min({'n': f.file_name, 'i': f.id, 'p': f.file_path}) AS f FROM m JOIN files f USING (base_id) WHERE base_id % 3 <> 0 AND base_id % 8 <> 1 GROUP BY m.row),
+    got AS (SELECT m.row, m.query, m.base_id, coalesce(m.std_id, CASE WHEN odd.k IS NOT NULL THEN trim(m.query) END) AS std_id, CASE WHEN own.row IS NOT NULL THEN 'index' WHEN base_id IS NOT NULL AND stray.k IS NOT NULL THEN 'disk' WHEN base_id IS NULL AND odd.k IS NOT NULL THEN 'disk_only' END AS source,
+        CASE WHEN own.row IS NOT NULL THEN own.f.p WHEN base_id IS NOT NULL THEN stray.path ELSE odd.path END AS path FROM m LEFT JOIN own USING (row) LEFT JOIN stray ON stray.k = m.base_id LEFT JOIN odd ON odd.k = m.row) """
+
+
+@query(_SERVED + "SELECT row, query, CASE WHEN source IS NOT NULL THEN 'ok' WHEN base_id IS NULL THEN 'not_found' ELSE 'no_pdf' END AS status, source, base_id, std_id, path FROM got")
+def batch_served(spark: SparkSession, d: str) -> DataFrame:
+    """The listing lacks the files of some standards, has copies under other names for a part of these, and holds files of unknown codes."""
+    files, std, o = B.files(spark, d), B.standards(spark, d), B.table(spark, d, "orders")
+    odd = o.filter("o_orderkey % 10 = 0").select(F.concat(F.lit("scan/GBT"), F.col("o_orderkey") + 100_000_000, F.lit("-"), F.year("o_orderdate"), F.lit(".pdf")).alias("path"))
+    stray = std.filter("id % 24 = 1").select(F.concat(F.lit("scan/no "), F.upper(F.replace("std_id", F.lit("/"), F.lit(""))), F.lit(" copy.pdf")).alias("path"))
+    listing = files.filter("base_id % 3 <> 0 and base_id % 8 <> 1").select(F.col("file_path").alias("path")).union(odd).union(stray)
+    return batch.served(B.asked(spark, d), std, files, listing).select("row", "query", "status", "source", "base_id", "std_id", "path")
+
+
 @query(_RESOLVED + "SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS success, count(*) FILTER (status <> 'ok') AS failed FROM res")
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
     return batch.summary(_results(spark, d))
