@@ -99,18 +99,22 @@ def text_keywords(x: Column) -> Column:
 
 def lookup_variants(x: Column) -> Column:
     """Spellings of a code to look up: as given, upper case, without spaces, slashes or dashes, and with the slash put back."""
-    raw = strip(x)
-    upper = F.upper(raw)
-    dense = F.regexp_replace(upper, f"{SPACE}+", "")
-    bare = F.replace(dense, F.lit("/"), F.lit(""))
     dashed = lambda s: F.array(s, F.replace(s, F.lit("-"), F.lit("—")), F.replace(s, F.lit("-"), F.lit("－")), F.regexp_replace(s, "-+", ""))
-    spaced = F.replace(bare, F.lit("-"), F.lit(" "))
-    source = F.when(spaced.rlike(CODE_CORE), spaced).otherwise(dense)
-    prefix, number, year = (F.regexp_extract(source, CODE_CORE, k) for k in (1, 2, 3))
-    slashed = F.concat(F.regexp_replace(prefix, "(.)$", "/$1"), F.lit(" "), number, F.when(year != "", F.concat(F.lit("-"), year)).otherwise(""))
-    apart = prefix.rlike(f"^[A-Z]{{2,}}[{SPLIT_LETTERS}]$")
-    put_back = F.when(apart, F.array(slashed, F.replace(slashed, F.lit(" "), F.lit("")))).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.array(raw, upper, F.regexp_replace(upper, f"{SPACE}+", " ")), dashed(dense), dashed(bare), put_back)
+
+    def put_back(source: Column) -> Column:
+        return let(F.regexp_extract(source, CODE_CORE, 1), lambda prefix: F.when(prefix.rlike(f"^[A-Z]{{2,}}[{SPLIT_LETTERS}]$"), let(slashed(source, prefix), lambda s: F.array(s, F.replace(s, F.lit(" "), F.lit(""))))))
+
+    def slashed(source: Column, prefix: Column) -> Column:
+        number, year = (F.regexp_extract(source, CODE_CORE, k) for k in (2, 3))
+        return F.concat(F.regexp_replace(prefix, "(.)$", "/$1"), F.lit(" "), number, F.coalesce(F.concat(F.lit("-"), F.nullif(year, F.lit(""))), F.lit("")))
+
+    def of(raw: Column, upper: Column, dense: Column, bare: Column) -> Column:
+        source = let(F.replace(bare, F.lit("-"), F.lit(" ")), lambda spaced: F.when(spaced.rlike(CODE_CORE), spaced).otherwise(dense))
+        plain = F.array(raw, upper, F.regexp_replace(upper, f"{SPACE}+", " "))
+        return F.concat(plain, dashed(dense), dashed(bare), F.coalesce(let(source, put_back), F.array().cast("array<string>")))
+
+    squeezed = lambda raw, upper: let(F.regexp_replace(upper, f"{SPACE}+", ""), lambda dense: let(F.replace(dense, F.lit("/"), F.lit("")), lambda bare: of(raw, upper, dense, bare)))
+    every = let(strip(x), lambda raw: let(F.upper(raw), lambda upper: squeezed(raw, upper)))
     return F.filter(F.array_distinct(F.transform(every, strip)), lambda v: v != "")
 
 

@@ -79,11 +79,9 @@ def standard_of(asked: DataFrame, base: DataFrame) -> DataFrame:
     better tier, then of the smaller id, is taken.
     """
     q = F.col("query")
-    tiers = F.concat(
-        F.transform(codes.lookup_variants(q), lambda v: F.struct(F.lit(0).alias("tier"), F.concat(F.lit("="), v).alias("k"))),
-        F.transform(codes.lookup_variants(q), lambda v: F.struct(F.lit(0).alias("tier"), F.concat(F.lit("n"), codes.norm_key(v)).alias("k"))),
-        F.array(F.struct(F.lit(1).alias("tier"), F.concat(F.lit("n"), codes.norm_key(q)).alias("k")), F.struct(F.lit(2).alias("tier"), F.concat(F.lit("c"), codes.compact_key(q)).alias("k"))),
-    )
+    key = lambda tier, tag, x: F.struct(F.lit(tier).alias("tier"), F.concat(F.lit(tag), x).alias("k"))
+    spelt = codes.let(codes.lookup_variants(q), lambda vs: F.concat(F.transform(vs, lambda v: key(0, "=", v)), F.transform(vs, lambda v: key(0, "n", codes.norm_key(v)))))
+    tiers = F.concat(spelt, F.array(key(1, "n", codes.norm_key(q)), key(2, "c", codes.compact_key(q))))
     keys = asked.filter(~_blank()).select("row", F.explode(F.array_distinct(tiers)).alias("t")).select("row", "t.tier", "t.k")
     known = base.select(
         "id", "std_id", F.explode(F.array(F.concat(F.lit("="), F.col("std_id")), F.concat(F.lit("n"), F.col("std_id_norm")), F.concat(F.lit("c"), codes.compact_key(F.col("std_id"))))).alias("k")
@@ -110,17 +108,17 @@ def served(asked: DataFrame, base: DataFrame, files: DataFrame, listing: DataFra
     standard is known. The names of the listing are taken apart once for both.
     """
     best = standard_of(asked, base)
-    wanted = best.select(F.col("base_id").alias("id"), "std_id").distinct()
-    own = found.first_served(wanted, files, listing)
-    kind = lambda n, key: F.struct(F.lit(n).alias("kind"), key.cast("long").alias("key")).alias("id")
-    unserved = wanted.join(own, "id", "left_anti").select(kind(0, F.col("id")), "std_id")
-    unknown = asked.filter(~_blank()).join(best, "row", "left_anti").select(kind(1, F.col("row")), codes.strip(F.col("query")).alias("std_id"))
-    other = found.holding_code(unserved.union(unknown), listing, 1).select("id.kind", "id.key", F.col("path").alias("other"))
-    by_standard = own.select(F.col("id").alias("base_id"), F.col("path"), F.lit("index").alias("source")).union(other.filter("kind = 0").select("key", "other", F.lit("disk")))
-    out = asked.join(best, "row", "left").join(by_standard, "base_id", "left").join(other.filter("kind = 1").select(F.col("key").alias("row"), "other"), "row", "left")
-    only = F.col("other").isNotNull()
-    out = out.withColumns({"path": F.coalesce("path", "other"), "source": F.when(only, "disk_only").otherwise(F.col("source")), "std_id": F.when(only, codes.strip(F.col("query"))).otherwise(F.col("std_id"))})
-    status = F.when(_blank(), "empty").when(F.col("path").isNotNull(), "ok").when(F.col("base_id").isNull(), "not_found").otherwise("no_pdf")
+    own = found.first_served(best.select(F.col("base_id").alias("id")).distinct(), files, listing).select(F.col("id").alias("base_id"), "path")
+    out = asked.join(best, "row", "left").join(own, "base_id", "left")
+    code = F.when(F.col("path").isNull() & ~_blank(), F.coalesce("std_id", codes.strip(F.col("query"))))
+    out = out.withColumn("code", code)
+    sought = out.filter("code is not null").select(F.col("code").alias("id"), F.col("code").alias("std_id")).distinct()
+    other = found.holding_code(sought, listing, 1).select(F.col("id").alias("code"), F.col("path").alias("other"))
+    out = out.join(other, "code", "left")
+    known, hit = F.col("base_id").isNotNull(), F.col("other").isNotNull()
+    source = F.when(F.col("path").isNotNull(), "index").when(hit & known, "disk").when(hit, "disk_only")
+    out = out.withColumns({"source": source, "path": F.coalesce("path", "other"), "std_id": F.coalesce("std_id", F.when(hit, F.col("code")))})
+    status = F.when(_blank(), "empty").when(F.col("path").isNotNull(), "ok").when(~known, "not_found").otherwise("no_pdf")
     name = F.regexp_extract("path", "([^/]*)$", 1)
     return out.select("row", "query", status.alias("status"), "source", "base_id", "std_id", "path", name.alias("file_name"), F.when(F.col("path").isNotNull(), display.safe_name(F.col("std_id"), name)).alias("zip_name"))
 

@@ -38,19 +38,13 @@ def contained(small: DataFrame, small_key: str, big: DataFrame, big_key: str) ->
     """Pairs of rows of which the big key holds the small one, as an equi join.
 
     Big keys are exploded into their substrings of the lengths that small keys have, so only true pairs meet; a containment
-    condition alone would compare all with all. The distinct lengths, a few dozen numbers, come to the driver.
+    condition alone would compare all with all. The lengths are a subquery of the same plan: nothing runs while it is built.
     """
     n = F.length(big_key)
-    lengths = sorted(r[0] for r in small.select(F.length(small_key)).distinct().collect() if r[0])
-    if not lengths:
-        return small.limit(0).join(big, F.lit(False))
-
-    def of_length(k: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(big_key), i, F.lit(k)))
-        return F.when(n >= k, every).otherwise(F.array().cast("array<string>"))
-
-    parts = [of_length(k) for k in lengths]
-    spread = big.withColumn("__part", F.explode(F.array_distinct(F.concat(*parts))))
+    lengths = small.agg(F.collect_set(F.length(small_key)).alias("lengths")).scalar()
+    fit = F.filter("__lengths", lambda k: (k > 0) & (k <= n))
+    parts = F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(big_key), i, k))))
+    spread = big.withColumn("__lengths", lengths).withColumn("__part", F.explode(F.array_distinct(parts))).drop("__lengths")
     return small.join(spread, small[small_key] == spread["__part"]).drop("__part")
 
 

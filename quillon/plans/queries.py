@@ -342,12 +342,14 @@ def batch_resolve(spark: SparkSession, d: str) -> DataFrame:
     return _results(spark, d)
 
 
-_SERVED = _RESOLVED + r""", lst AS (SELECT f.file_path AS path, f.file_name AS name FROM files f WHERE base_id % 3 <> 0 AND base_id % 8 <> 1),
-    odd AS (SELECT 'scan/GBT' || (o_orderkey + 100000000) || '-' || year(o_orderdate) || '.pdf' AS path, 'GBT' || (o_orderkey + 100000000) || '-' || year(o_orderdate) || '.pdf' AS name, o_orderkey AS k FROM orders WHERE o_orderkey % 10 = 0),
-    stray AS (SELECT 'scan/no ' || upper(replace(std_id, '/', '')) || ' copy.pdf' AS path, 'no ' || upper(replace(std_id, '/', '')) || ' copy.pdf' AS name, id AS k FROM std WHERE id % 24 = 1),
+_SERVED = _RESOLVED + r""", lst AS (SELECT file_path AS path FROM files WHERE base_id % 3 <> 0 AND base_id % 8 <> 1
+        UNION ALL SELECT 'scan/GBT' || (o_orderkey + 100000000) || '-' || year(o_orderdate) || '.pdf' FROM orders WHERE o_orderkey % 10 = 0
+        UNION ALL SELECT 'scan/no ' || upper(replace(std_id, '/', '')) || ' copy.pdf' FROM std WHERE id % 24 = 1),
     own AS (SELECT m.row, min({'n': f.file_name, 'i': f.id, 'p': f.file_path}) AS f FROM m JOIN files f USING (base_id) WHERE base_id % 3 <> 0 AND base_id % 8 <> 1 GROUP BY m.row),
-    got AS (SELECT m.row, m.query, m.base_id, coalesce(m.std_id, CASE WHEN odd.k IS NOT NULL THEN trim(m.query) END) AS std_id, CASE WHEN own.row IS NOT NULL THEN 'index' WHEN base_id IS NOT NULL AND stray.k IS NOT NULL THEN 'disk' WHEN base_id IS NULL AND odd.k IS NOT NULL THEN 'disk_only' END AS source,
-        CASE WHEN own.row IS NOT NULL THEN own.f.p WHEN base_id IS NOT NULL THEN stray.path ELSE odd.path END AS path FROM m LEFT JOIN own USING (row) LEFT JOIN stray ON stray.k = m.base_id LEFT JOIN odd ON odd.k = m.row) """
+    nm AS (SELECT path, regexp_replace(regexp_replace(upper(regexp_extract(path, '([^/]*)[.]pdf$', 1)), '_[FTZX]_', '_', 'g'), '[\s/／－—-]+', '', 'g') AS nk FROM lst),
+    hit AS (SELECT row, min(path) AS path FROM (SELECT row, CASE WHEN base_id IS NULL THEN c ELSE regexp_replace(upper(std_id), '[\s/／－—-]+', '', 'g') END AS code FROM m JOIN k USING (row) WHERE row NOT IN (SELECT row FROM own)) w JOIN nm ON contains(nk, code) GROUP BY row),
+    got AS (SELECT m.row, m.query, m.base_id, CASE WHEN base_id IS NULL AND hit.row IS NOT NULL THEN trim(m.query) ELSE m.std_id END AS std_id,
+        CASE WHEN own.row IS NOT NULL THEN 'index' WHEN hit.row IS NOT NULL THEN CASE WHEN base_id IS NULL THEN 'disk_only' ELSE 'disk' END END AS source, coalesce(own.f.p, hit.path) AS path FROM m LEFT JOIN own USING (row) LEFT JOIN hit USING (row)) """
 
 
 @query(_SERVED + "SELECT row, query, CASE WHEN source IS NOT NULL THEN 'ok' WHEN base_id IS NULL THEN 'not_found' ELSE 'no_pdf' END AS status, source, base_id, std_id, path FROM got")
