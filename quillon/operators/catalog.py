@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import codes, display
 from quillon.plans.intent import Page
 
-MOST_TOKENS = 8
+MOST_TOKENS, MOST_BUNDLED = 8, 100
 FIELDS = ("category", "title", "filename")
 # Names of the catalogue's places.
 ROOT, NO_ORG, UNKNOWN_ORG = "根目录", "团标", "未知协会"
@@ -95,3 +95,30 @@ def by_organisation(listing: DataFrame, path_col: str = "rel_path") -> DataFrame
 
 def with_label(files: DataFrame) -> DataFrame:
     return files.withColumn("label", display.file_badge(F.col("file_ext")))
+
+
+def items(files: DataFrame, name: str) -> DataFrame:
+    """Catalogue rows (id, category, title, filename, rel_path, file_size, file_ext) as search results show them, with their one file nested."""
+    ext = F.lower(F.coalesce("file_ext", F.lit("")))
+    bare = F.nullif(F.ltrim(F.upper(ext), F.lit(".")), F.lit(""))
+    label = F.when(ext == ".pdf", "PDF").when(ext.isin(".doc", ".docx"), "DOC").otherwise(F.coalesce(bare, F.lit("文件")))
+    file = F.struct("id", F.col("filename").alias("file_name"), F.col("rel_path").alias("file_path"), "file_size", ext.alias("file_ext"))
+    return files.select(
+        "id", F.coalesce(F.nullif("category", F.lit("")), F.lit("—")).alias("std_id"), F.coalesce(F.nullif("title", F.lit("")), "filename").alias("std_chinesename"),
+        F.lit(name).alias("std_type"), label.alias("std_status"), (ext == ".pdf").alias("has_pdf"), F.lit(True).alias("has_file"), F.array(file).alias("files"),
+    )
+
+
+def bundle_entries(files: DataFrame, ids: list[int], most: int = MOST_BUNDLED) -> DataFrame:
+    """One row for each id asked for: its place (from 1), ok or not_found, and its name in a bundle, in a folder by its extension.
+
+    Ids that are repeated or not positive are left out; the limit is the feature.
+    """
+    wanted = list(dict.fromkeys(i for i in ids if i > 0))[:most]
+    listed = F.array(*[F.lit(i).cast("long") for i in wanted]).cast("array<bigint>")
+    asked = files.sparkSession.sql("SELECT 1").select(F.posexplode(listed).alias("pos", "id")).select((F.col("pos") + 1).alias("place"), "id")
+    known = files.filter(F.col("id").isin(wanted)).select(F.col("id").alias("__id"), "filename", F.lower("file_ext").alias("__ext"))
+    folder = F.when(F.col("__ext") == ".pdf", "PDF").otherwise("文件")
+    found = F.col("__id").isNotNull()
+    entry = F.when(found, F.concat(folder, F.lit("/"), F.lpad(F.col("place").cast("string"), F.greatest(F.lit(3), F.length(F.col("place").cast("string"))), F.lit("0")), F.lit("_"), F.col("filename")))
+    return asked.join(known, asked["id"] == known["__id"], "left").select("place", "id", F.when(found, "ok").otherwise("not_found").alias("status"), entry.alias("zip_entry"))

@@ -48,6 +48,17 @@ def expanded(clusters: DataFrame, text: str) -> DataFrame:
     return _once(own.unionByName(words))
 
 
+def expansion(clusters: DataFrame, text: str) -> DataFrame:
+    """One row: the keywords a text expands to, in order, the names of the groups that it meets, and whether that is more than the text."""
+    q = (text or "").strip()
+    words = expanded(clusters, q).agg(F.transform(F.array_sort(F.collect_list(F.struct("tier", "place", "pos", "word"))), lambda w: w["word"]).alias("keywords"))
+    hit = clusters.withColumn("place", F.monotonically_increasing_id()).filter(F.lit(bool(q)) & (_meets(q, F.col("name")) | F.exists("keywords", lambda k: _meets(q, k))))
+    named = F.coalesce(F.nullif(F.trim("name"), F.lit("")), "id")
+    groups = hit.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", named.alias("name")))), lambda g: g["name"]).alias("groups"))
+    both = words.withColumn("groups", groups.scalar())
+    return both.withColumns({"keywords": F.array().cast("array<string>") if not q else F.col("keywords")}).select(F.lit(q).alias("query"), "keywords", "groups", ((F.size("keywords") > 1) | (F.size("groups") > 0)).alias("expanded"))
+
+
 def _once(tiers: DataFrame) -> DataFrame:
     by = F.struct("tier", "place", "pos")
     return tiers.filter(F.col("word") != "").groupBy("word").agg(F.min(by).alias("by")).select("by.*", "word").orderBy("tier", "place", "pos", "word")

@@ -171,7 +171,7 @@ def _met(base: DataFrame, q: str) -> tuple[Column, Column]:
     code, key = F.col("std_id"), F.col("std_id_norm")
     spelt = code.isin(spellings) | key.isin(list(dict.fromkeys(map(I.norm_key, spellings))))
     met = code.isin([*spellings, q]) | key.isin(list(dict.fromkeys([*map(I.norm_key, spellings), norm, compact])))
-    return F.coalesce(met, F.lit(False)), F.when(spelt, 0).when(code == q, 1).when(key == norm, 2).otherwise(3)
+    return met, F.when(spelt, 0).when(code == q, 1).when(key == norm, 2).otherwise(3)
 
 
 def prioritised(base: DataFrame, text: str, limit: int = 20) -> DataFrame:

@@ -578,3 +578,30 @@ def upload_columns(spark: SparkSession, d: str) -> DataFrame:
 def batch_status_labels(spark: SparkSession, d: str) -> DataFrame:
     status = F.get(F.array(*map(F.lit, ("ok", "not_found", "no_pdf", "empty", "error", "disk_only", None))), (F.col("o_orderkey") % 7).cast("int"))
     return B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), display.outcome_label(status).alias("label"), display.outcome_style(status).alias("style"))
+
+
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    ext = F.get(F.array(*map(F.lit, (".PDF", ".docx", ".xlsx", ""))), (k % 4).cast("int"))
+    return B.table(spark, d, "part").select(
+        k.alias("id"), F.when(k % 3 != 0, F.col("p_brand")).alias("category"), F.when(k % 5 != 0, F.col("p_type")).otherwise("").alias("title"),
+        F.concat("p_name", ext).alias("filename"), F.concat(F.lit("a/"), "p_name", ext).alias("rel_path"), (k * 10).alias("file_size"), ext.alias("file_ext"),
+    )
+
+
+_KEPT = "WITH kept AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS category, CASE WHEN p_partkey % 5 <> 0 THEN p_type ELSE '' END AS title, p_name || ext AS filename, ext FROM (SELECT *, ['.PDF', '.docx', '.xlsx', ''][p_partkey % 4 + 1] AS ext FROM part)) "
+
+
+@query(_KEPT + "SELECT id, coalesce(category, '—') AS std_id, coalesce(nullif(title, ''), filename) AS name, CASE lower(ext) WHEN '.pdf' THEN 'PDF' WHEN '.docx' THEN 'DOC' WHEN '' THEN '文件' ELSE upper(ext[2:]) END AS label, ext = '.PDF' AS has_pdf, filename AS file FROM kept")
+def catalog_results(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.items(_kept(spark, d), "kept").select("id", "std_id", F.col("std_chinesename").alias("name"), F.col("std_status").alias("label"), "has_pdf", F.col("files")[0]["file_name"].alias("file"))
+
+
+@query(_KEPT + "SELECT place, w.id, CASE WHEN k.id IS NULL THEN 'not_found' ELSE 'ok' END AS status, CASE WHEN ext = '.PDF' THEN 'PDF/' ELSE '文件/' END || '00' || place || '_' || filename AS zip_entry FROM (VALUES (1, 8), (2, 5), (3, 999999999), (4, 12)) w(place, id) LEFT JOIN kept k ON k.id = w.id")
+def catalog_bundle(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.bundle_entries(_kept(spark, d), [8, 5, 0, 8, -2, 999_999_999, 12])
+
+
+@query("SELECT 'bolt' AS query, 'bolt|ring|gear' AS keywords, 'bolt group' AS groups, true AS expanded")
+def expansion_result(spark: SparkSession, d: str) -> DataFrame:
+    return facets.expansion(B.clusters(spark, d), " bolt ").select("query", F.array_join("keywords", "|").alias("keywords"), F.array_join("groups", "|").alias("groups"), "expanded")
