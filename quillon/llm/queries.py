@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, exact_dedup, html_text, langid, ngram_lm, packing, pii, quality, simhash, toxicity
+from quillon.llm import byte_bpe, exact_dedup, html_text, langid, ngram_lm, packing, pii, quality, simhash, toxicity, vector_codes
 from quillon.llm.common import id_remainder, table
 
 
@@ -63,8 +63,15 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.trained(vectors)
+    out = vector_codes.coded(vectors, books)
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op8_pii, op9_byte_bpe, op10_lm_score)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op8_pii, op9_byte_bpe, op10_lm_score, op12_vector_codes)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -106,6 +113,22 @@ def _quality_sql() -> str:
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, round(p_good, 6) AS p_good FROM z"""
 
 
+def _codes_sql() -> str:
+    """Codebooks by rounds over every part and entry in full; a quotient that goes down also for negative sums."""
+    per = "len(e) // 16"
+    near = "SELECT vec_id, label, part, v, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (SELECT p.*, c.entry, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts p JOIN {c} c USING (part)) GROUP BY ALL"
+    move = "SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM {c} c LEFT JOIN (SELECT part, entry, list(q ORDER BY i) AS v FROM (SELECT part, entry, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS q FROM {n}, range(1, len(v) + 1) r(i) GROUP BY part, entry, i) GROUP BY part, entry) m USING (part, entry)"
+    return f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT vec_id, label, p AS part, e[p * ({per}) + 1 : (p + 1) * ({per})] AS v FROM kept, range(16) r(p)),
+        first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 64),
+        c0 AS (SELECT part, entry, v FROM parts JOIN first USING (vec_id)),
+        n0 AS ({near.format(c='c0')}), c1 AS ({move.format(c='c0', n='n0')}), n1 AS ({near.format(c='c1')}), c2 AS ({move.format(c='c1', n='n1')}), n2 AS ({near.format(c='c2')}),
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM n2 GROUP BY vec_id, label),
+        books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, books"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _K2, _K3 = ngram_lm.PRIORS
 
@@ -124,6 +147,7 @@ ORACLE_SQL: dict[str, str] = {
         q AS (SELECT *, (c2 + {_K2} * p) / (cu + {_K2}) AS p2 FROM s)
         SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, max(n)::BIGINT AS train_tokens, round(fsum(log10(p)), 6) AS base_score,
             round(fsum(log10(CASE WHEN h IS NULL THEN p2 ELSE (c3 + {_K3} * p2) / (ch + {_K3}) END)), 6) AS score FROM q GROUP BY doc_id, held_out""",
+    "op12_vector_codes": _codes_sql(),
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents),
         r AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
