@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, exact_dedup, html_text, langid, ngram_lm, packing, pii, quality, simhash, toxicity, vector_codes
-from quillon.llm.common import id_remainder, table
+from quillon.llm import byte_bpe, exact_dedup, html_text, langid, ngram_lm, packing, periods, pii, quality, simhash, toxicity, vector_codes
+from quillon.functions.codes import let
+from quillon.llm.common import WORD, id_remainder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +71,36 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def _planted(text: Column, doc_id: Column) -> Column:
+    """Every tenth document by crc32 of its id gets periodic words from some place on; a null id stays as it is."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        by_number = lambda ap: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < ap["a"], i).otherwise(ap["a"] + (i - ap["a"]) % ap["p"]))), " ")
+        return F.when(n > 0, let(F.struct(a.alias("a"), p.alias("p")), by_number)).otherwise("")
+
+    return F.when(h % 10 == 0, let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), 1), repeated)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periods.periodic(docs.select("doc_id", _planted(F.col("text"), F.col("doc_id")).alias("text")))
+    # Runs come by start, then period, so that of equal ratios the first stays; ratios are compared as products.
+    higher = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), higher)
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op8_pii, op9_byte_bpe, op10_lm_score, op12_vector_codes)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op8_pii, op9_byte_bpe, op10_lm_score, op12_vector_codes, op13_periodic_runs)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -129,6 +158,26 @@ def _codes_sql() -> str:
         SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, books"""
 
 
+def _periods_sql() -> str:
+    """Matches of equal words at a lag, islands of them, the smallest period of each stretch."""
+    return rf"""
+        WITH d AS (SELECT doc_id, {_CRC} AS h, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+        a AS (SELECT doc_id, h, h // 10 AS g, w, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+        p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+        e AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+        t AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS w FROM e),
+        m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 4),
+        k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, q) >= greatest(6, 4 * q) - q),
+        s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY doc_id, q, island HAVING count(*) >= greatest(6, 4 * q) - q),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        c AS (SELECT t.doc_id, string_agg(w, ' ' ORDER BY t.i) AS c FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY t.doc_id),
+        b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+            list((start, length, period) ORDER BY (length::DECIMAL(38,0) * 1000000000000) // period DESC, start, period)[1] AS best FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli,
+            sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _K2, _K3 = ngram_lm.PRIORS
 
@@ -148,6 +197,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, max(n)::BIGINT AS train_tokens, round(fsum(log10(p)), 6) AS base_score,
             round(fsum(log10(CASE WHEN h IS NULL THEN p2 ELSE (c3 + {_K3} * p2) / (ch + {_K3}) END)), 6) AS score FROM q GROUP BY doc_id, held_out""",
     "op12_vector_codes": _codes_sql(),
+    "op13_periodic_runs": _periods_sql(),
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents),
         r AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
