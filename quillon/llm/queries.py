@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, exact_dedup, html_text, langid, ngram_lm, packing, periods, pii, quality, simhash, toxicity, vector_codes
+from quillon.llm import byte_bpe, exact_dedup, html_text, langid, ngram_lm, packing, periods, pii, quality, simhash, toxicity, vector_codes, warc
 from quillon.functions.codes import let
-from quillon.llm.common import WORD, id_remainder, table
+from quillon.llm.common import WORD, id_remainder, shared_folder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid4().hex}"
+    archives = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.records(warc.read(archives, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     books = vector_codes.trained(vectors)
@@ -100,7 +107,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op8_pii, op9_byte_bpe, op10_lm_score, op12_vector_codes, op13_periodic_runs)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_language_id, op5_toxicity, op6_html_text, op7_exact_dedup, op8_pii, op9_byte_bpe, op10_lm_score, op11_warc, op12_vector_codes, op13_periodic_runs)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -181,7 +188,14 @@ def _periods_sql() -> str:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _K2, _K3 = ngram_lm.PRIORS
 
+#: Base 32 of a SHA-1 in hexadecimal: bits of its digits, taken by fives.
+_BASE32 = "array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (list_reduce(list_transform(range(5), lambda b: (instr('0123456789abcdef', h[(5 * k + b) // 4 + 1]) - 1) >> (3 - (5 * k + b) % 4)::INT & 1), lambda x, y: 2 * x + y))::INT]), '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to FROM p""",
     "op2_quality_rules": _quality_sql(),
     "op10_lm_score": rf"""
         WITH d AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, {_WORDS.format(t=_LOWER)} || [chr(1)] AS w FROM documents),
