@@ -22,3 +22,14 @@ def ship(spark: SparkSession) -> None:
     home = str(Path(__file__).resolve().parents[1])
     if home not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH", ""), home]))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: the session's ``spark.checkpoint.dir``. Where none is set, a session on one machine (tests) gets one under
+    its warehouse; on a cluster, where that may be a disk of each machine, this is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return folder.rstrip("/")
