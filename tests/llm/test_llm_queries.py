@@ -11,7 +11,7 @@ def test_equals_sql(spark, sf_dir, duck, name):
     same(QUERIES[name](spark, sf_dir), duck.sql(ORACLE_SQL[name]))
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_one_query_each(n):
     assert len([q for q in QUERIES if q.startswith(f"op{n}_")]) == 1
 
