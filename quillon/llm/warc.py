@@ -305,4 +305,8 @@ def records(table: DataFrame) -> DataFrame:
     checked = F.when((F.col("record_type") == "response") & differs, F.raise_error(F.concat(F.lit("damaged record "), "record_id"))).otherwise(F.col("declared_bytes"))
     one = last.select("archive", "record", "page_id", "url", "record_id", F.col("refers_to").alias("__to"), "record_type", checked.alias("payload_bytes"), F.when(F.col("record_type") == "response", F.col("digest_so_far")).otherwise(F.col("declared_digest")).alias("payload_digest"))
     response = one.filter("record_type = 'response'").groupBy(F.col("record_id").alias("__id")).agg(F.max("page_id").alias("refers_to"))
-    return one.join(response, one["__to"] == response["__id"], "left").select("archive", "record", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # What is read from Python has no size that a plan knows, so it is never broadcast; rows that refer to one response may be split.
+    revisit = one.filter("record_type = 'revisit'").join(response.hint("merge"), F.col("__to") == response["__id"], "left")
+    columns = ("archive", "record", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    others = one.filter("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast(table.schema["page_id"].dataType))
+    return others.select(*columns).unionByName(revisit.select(*columns))
