@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import codes
+from quillon.operators.containment import contained
 
 
 def dedupe_key(path: Column, rel: Column, name: Column, file_id: Column) -> Column:
@@ -34,20 +35,6 @@ def by_name(names: DataFrame, listing: DataFrame) -> DataFrame:
     return names.join(first, F.lower(names["file_name"]) == F.col("__name"), "left").drop("__name")
 
 
-def contained(small: DataFrame, small_key: str, big: DataFrame, big_key: str) -> DataFrame:
-    """Pairs of rows of which the big key holds the small one, as an equi join.
-
-    Big keys are exploded into their substrings of the lengths that small keys have, so only true pairs meet; a containment
-    condition alone would compare all with all. The lengths are a subquery of the same plan: nothing runs while it is built.
-    """
-    n = F.length(big_key)
-    lengths = small.agg(F.collect_set(F.length(small_key)).alias("lengths")).scalar()
-    fit = F.filter("__lengths", lambda k: (k > 0) & (k <= n))
-    parts = F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(big_key), i, k))))
-    spread = big.withColumn("__lengths", lengths).withColumn("__part", F.explode(F.array_distinct(parts))).drop("__lengths")
-    return small.join(spread, small[small_key] == spread["__part"]).drop("__part")
-
-
 def holding_code(standards: DataFrame, listing: DataFrame, most: int = 10) -> DataFrame:
     """Standards and the paths whose name holds their code, the first ``most`` by path. Codes of under four characters find none."""
     name = F.regexp_extract("path", "([^/]*)$", 1)
@@ -62,21 +49,20 @@ def fuzzy(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Best PDF of each query: equal keys, then one key holding the other, then the file's core holding the query's; first by ord.
 
     ``queries`` has row and query, ``names`` has ord and file_name. A core is what remains of letters A to Z, digits, slashes and hyphens; the
-    query's must have four of them. Empty keys meet nothing.
+    query's must have four of them. Empty keys meet nothing, so neither a blank query nor a file named ".pdf" finds a partner. Equal keys, of which there may be
+    very many, meet as one.
     """
     pdf = r"(?i)\.pdf$"
-    q = queries.select("row", _file_key(F.col("query")).alias("q")).filter("q <> ''")
-    n = names.filter(F.col("file_name").rlike(pdf)).select("ord", "file_name", _file_key(F.regexp_replace("file_name", pdf, "")).alias("k")).filter("k <> ''")
-    tier = lambda df, t: df.select("row", F.lit(t).alias("tier"), "ord", "file_name")
     core = lambda x: F.regexp_replace(x, "[^A-Z0-9/-]", "")
-    core_q, core_n = q.select("row", core(F.col("q")).alias("c")).filter(F.length("c") >= 4), n.select("ord", "file_name", core(F.col("k")).alias("c2"))
-    every = (
-        tier(q.join(n, q["q"] == n["k"]), 0)
-        .union(tier(contained(q, "q", n, "k"), 1))
-        .union(tier(contained(n, "k", q, "q"), 1))
-        .union(tier(contained(core_q, "c", core_n, "c2"), 2))
-    )
-    return every.groupBy("row").agg(F.min(F.struct("tier", "ord", "file_name")).alias("best")).select("row", "best.*")
+    keyed = queries.select("row", _file_key(F.col("query")).alias("q")).filter("q <> ''")
+    first = lambda df, key: df.groupBy(key).agg(F.min("file").alias("file"))
+    n = first(names.filter(F.col("file_name").rlike(pdf)).select(F.struct("ord", "file_name").alias("file"), _file_key(F.regexp_replace("file_name", pdf, "")).alias("k")).filter("k <> ''"), "k")
+    q = keyed.select("q").distinct()
+    core_q, core_n = q.select("q", core(F.col("q")).alias("c")).filter(F.length("c") >= 4), first(n.select(core(F.col("k")).alias("c2"), "file"), "c2")
+    tier = lambda df, t: df.select("q", F.struct(F.lit(t).alias("tier"), "file.*").alias("best"))
+    every = tier(q.join(n, q["q"] == n["k"]), 0).union(tier(contained(q, "q", n, "k"), 1)).union(tier(contained(n, "k", q, "q"), 1)).union(tier(contained(core_q, "c", core_n, "c2"), 2))
+    best = every.groupBy("q").agg(F.min("best").alias("best"))
+    return keyed.join(best, "q").select("row", "best.*")
 
 
 def _file_key(x: Column) -> Column:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import codes, display
-from quillon.operators import batch, catalog, facets, geo, search
+from quillon.operators import batch, catalog, facets, geo, postings, refresh, search
 from quillon.operators import files as found
 from quillon.plans import binding as B
 from quillon.plans.binding import with_tables
 from quillon.plans.intent import Filters, Page
-from quillon.sinks import export
+from quillon.session import shared_folder
+from quillon.sinks import export, snapshots
+from quillon.streaming import freshness
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -283,9 +287,13 @@ def detail_with_files(spark: SparkSession, d: str) -> DataFrame:
     return search.detail(chosen, B.files(spark, d)).select("id", "std_id", names.alias("names"))
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = B.table(spark, d, "documents")
-    return catalog.with_tokens(docs.select("doc_id", F.col("source").alias("category"), F.col("lang").alias("title"), F.col("text").alias("filename")))
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """The postings of the documents, written once an application and table."""
+    path = f"{shared_folder(spark)}/postings-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    if "_SUCCESS" not in snapshots.names(spark, path):
+        docs = B.table(spark, d, "documents")
+        postings.write(postings.of(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("category"), F.col("lang").alias("title"), F.col("text").alias("filename"))), path)
+    return spark.read.parquet(path)
 
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(regexp_replace(text, '\\p{Mn}+', '', 'g')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
@@ -293,12 +301,43 @@ _TOKENS = "list_filter(regexp_split_to_array(lower(regexp_replace(text, '\\p{Mn}
 
 @query(f"SELECT doc_id FROM (SELECT *, {_TOKENS} AS ts FROM documents) WHERE len(list_filter(ts, lambda t: starts_with(t, 'worthl') OR starts_with(t, 'thanon'))) > 0 OR starts_with(source, 'worthl') OR starts_with(source, 'thanon')")
 def fts_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.full_text(_texts(spark, d), "worthl thanon").select("doc_id")
+    return postings.matching(_postings(spark, d), "worthl thanon").select(F.col("id").alias("doc_id"))
 
 
 @query(f"SELECT doc_id FROM (SELECT *, {_TOKENS} AS ts FROM documents) WHERE len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'of' AND starts_with(ts[i + 1], 'th'))) > 0")
 def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.full_text(_texts(spark, d), "of-th").select("doc_id")
+    return postings.matching(_postings(spark, d), "of-th").select(F.col("id").alias("doc_id"))
+
+
+_LISTED = rf"""SELECT prefix || p AS rel_path, max(size) AS file_size FROM (SELECT regexp_extract(url, '^[a-z]+://(.*)$', 1) AS p, strlen(html) AS size FROM pages WHERE url IS NOT NULL), (VALUES (''), ('copy/')) t(prefix) GROUP BY prefix, p"""
+_CATALOG = rf"""WITH l AS ({_LISTED}), n AS (SELECT *, regexp_extract(rel_path, '([^/]*)$', 1) AS filename FROM l),
+    c AS (SELECT rel_path, file_size, filename, coalesce(nullif(regexp_extract(rel_path, '^(.*)/[^/]*$', 1), ''), '根目录') AS category, coalesce(nullif(regexp_replace(filename, '^(.+)\.[^.]+$', '\1'), ''), filename) AS title FROM n) """
+
+
+def _refreshed(spark: SparkSession, d: str) -> str:
+    """A catalogue after three listings of the pages' paths: drafts and unfinished files; these finished and the drafts gone; a copy of each."""
+    folder = f"{shared_folder(spark)}/catalog-{uuid4().hex}"
+    done = B.table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://(.*)$", 1).alias("rel_path"), F.octet_length("html").cast("long").alias("file_size"), F.lit(2).alias("mtime"))
+    under = lambda name: done.withColumn("rel_path", F.concat(F.lit(name), "rel_path"))
+    unfinished = done.withColumns({"file_size": F.lit(-1).cast("long"), "mtime": F.lit(1)})
+    for n, listing in enumerate((under("draft/").unionByName(unfinished), done, done.unionByName(under("copy/")))):
+        refresh.refresh(listing, folder, "/pages", f"2024-01-0{n + 1} 00:00:00")
+    return folder
+
+
+@query(_CATALOG + "SELECT rel_path, file_size, filename, category, title FROM c")
+def catalog_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.files(spark, _refreshed(spark, d)).select("rel_path", "file_size", "filename", "category", "title")
+
+
+@query(_CATALOG + r"""SELECT rel_path FROM c WHERE len(list_filter([category, title, filename], lambda x: regexp_matches(' ' || regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'), ' (copy|1)'))) > 0""")
+def fts_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.search(spark, _refreshed(spark, d), "copy draft 1").select("rel_path")
+
+
+@query(f"WITH l AS ({_LISTED}) SELECT true AS ready, '2024-01-03 00:00:00' AS built_at, '/pages' AS root, count(*) AS total, count(*) // 2 AS added, 0::BIGINT AS changed, 0::BIGINT AS removed, 60::BIGINT AS age_seconds FROM l")
+def catalog_status(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.status(spark, _refreshed(spark, d), "2024-01-03 00:01:00")
 
 
 _PATH = r"regexp_extract(url, '^[a-z]+://(.*)$', 1)"
@@ -405,7 +444,24 @@ def spelt_files(spark: SparkSession, d: str) -> DataFrame:
     return o.select(k.alias("ord"), name.alias("file_name"))
 
 
-@query()
+#: Names that hold a key meet it by its first eight characters, or by the whole of a shorter one.
+_HOLDS = "SELECT DISTINCT a.{s}, b.{b} FROM (SELECT DISTINCT {s} FROM {ts} WHERE {s} <> '') a JOIN (SELECT {b}, unnest(list_distinct(flatten(list_transform(range(1, 9), lambda w: list_transform(range(1, greatest(len({b}) - w, -1) + 2), lambda i: substr({b}, i, w)))))) AS part FROM (SELECT DISTINCT {b} FROM {tb})) b ON b.part = left(a.{s}, 8) AND contains(b.{b}, a.{s})"
+_KEYED = "translate(upper(regexp_replace({x}, '[\\s　]+', '', 'g')), '／—', '/-')"
+
+
+@query(
+    with_tables("asked")
+    + rf""", n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS n, year(o_orderdate) AS y FROM orders),
+    f AS (SELECT k AS ord, CASE k % 6 WHEN 0 THEN 'GB/T' || n || '-' || y || '.pdf' WHEN 1 THEN 'old GB/T' || n || '-' || y || ' final.PDF' WHEN 2 THEN '版GB／T版' || n || '_-' || y || '.pdf' WHEN 3 THEN n || '-' || y || '.pdf'
+        WHEN 4 THEN 'GB/T' || n || '-' || y || '.doc' ELSE 'x' || k || '.pdf' END AS file_name FROM n),
+    nk AS (SELECT *, regexp_replace(k, '[^A-Z0-9/-]', '', 'g') AS c2 FROM (SELECT ord, file_name, {_KEYED.format(x="regexp_replace(file_name, '(?i)[.]pdf$', '')")} AS k FROM f WHERE regexp_matches(file_name, '(?i)[.]pdf$'))),
+    qk AS (SELECT *, regexp_replace(q, '[^A-Z0-9/-]', '', 'g') AS c FROM (SELECT row, {_KEYED.format(x='query')} AS q FROM asked)),
+    long AS (SELECT * FROM qk WHERE len(c) >= 4),
+    one AS ({_HOLDS.format(s='q', ts='qk', b='k', tb='nk')}), two AS ({_HOLDS.format(s='k', ts='nk', b='q', tb='qk')}), three AS ({_HOLDS.format(s='c', ts='long', b='c2', tb='nk')}),
+    every AS (SELECT row, 0 AS tier, ord, file_name FROM qk JOIN nk ON q = k UNION ALL SELECT row, 1, ord, file_name FROM qk JOIN one USING (q) JOIN nk USING (k)
+        UNION ALL SELECT row, 1, ord, file_name FROM qk JOIN two USING (q) JOIN nk USING (k) UNION ALL SELECT row, 2, ord, file_name FROM long JOIN three USING (c) JOIN nk USING (c2))
+    SELECT row, tier, file_name FROM every QUALIFY row_number() OVER (PARTITION BY row ORDER BY tier, ord, file_name) = 1"""
+)
 def fuzzy_file_match(spark: SparkSession, d: str) -> DataFrame:
     return found.fuzzy(B.asked(spark, d), spelt_files(spark, d)).select("row", "tier", "file_name")
 
@@ -430,6 +486,16 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return found.first_of(B.table(spark, d, "events"), F.col("user_id"), F.col("ts").desc(), F.col("event_id").desc()).select("user_id", "event_id", "event_type", "value")
 
 
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The events as three batches that arrive in no order of time, merged by bucket."""
+    events = B.table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    target = f"{shared_folder(spark)}/merged-{uuid4().hex}"
+    for n in range(3):
+        freshness.merge_latest(events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == n), "user_id", "at", target, n, buckets=16)
+    return freshness.latest(spark, target).select("user_id", "event_id", "event_type", "value")
+
+
 @query("SELECT p_partkey AS id, CASE WHEN n = 1 THEN p_name || '.pdf' ELSE p_name || '_' || n || '.pdf' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
 def unique_names(spark: SparkSession, d: str) -> DataFrame:
     p = B.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".pdf")).alias("name"))
