@@ -75,19 +75,21 @@ def _blank() -> Column:
 def standard_of(asked: DataFrame, base: DataFrame) -> DataFrame:
     """row, base_id and std_id of the standard that each request (row, query) names; requests that name none have no row.
 
-    A request meets standards by equi joins on the spellings of its code and on both keys; of several the one of the
-    better tier, then of the smaller id, is taken.
+    All spellings of a code have one compact key, by which requests and standards meet in one equi join with a row a key. Where a key belongs to one standard, that
+    is it. Only where it belongs to several are the spellings worked out: of these the one of the better tier (a spelling of the code, then its normal key,
+    then its compact key), then of the smaller id, is taken.
     """
-    q = F.col("query")
-    key = lambda tier, tag, x: F.struct(F.lit(tier).alias("tier"), F.concat(F.lit(tag), x).alias("k"))
-    spelt = codes.let(codes.lookup_variants(q), lambda vs: F.concat(F.transform(vs, lambda v: key(0, "=", v)), F.transform(vs, lambda v: key(0, "n", codes.norm_key(v)))))
-    tiers = F.concat(spelt, F.array(key(1, "n", codes.norm_key(q)), key(2, "c", codes.compact_key(q))))
-    keys = asked.filter(~_blank()).select("row", F.explode(F.array_distinct(tiers)).alias("t")).select("row", "t.tier", "t.k")
-    known = base.select(
-        "id", "std_id", F.explode(F.array(F.concat(F.lit("="), F.col("std_id")), F.concat(F.lit("n"), F.col("std_id_norm")), F.concat(F.lit("c"), codes.compact_key(F.col("std_id"))))).alias("k")
-    )
-    best = keys.join(known, "k").groupBy("row").agg(F.min(F.struct("tier", "id", "std_id")).alias("best"))
-    return best.select("row", F.col("best.id").alias("base_id"), F.col("best.std_id").alias("std_id"))
+    known = base.select("id", "std_id", "std_id_norm", codes.compact_key(F.col("std_id")).alias("c")).filter("c is not null")
+    one = known.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "std_id")).alias("first"))
+    met = asked.filter(~_blank()).select("row", "query", codes.compact_key(F.col("query")).alias("c")).join(one, "c")
+    single = met.filter("n = 1").select("row", F.col("first.id").alias("base_id"), F.col("first.std_id").alias("std_id"))
+
+    rivals = known.join(one.filter("n > 1").select("c"), "c", "left_semi").groupBy("c", "std_id", "std_id_norm").agg(F.min("id").alias("id"))
+    pairs = met.filter("n > 1").select("row", "query", "c").join(rivals, "c")
+    spelt = lambda vs: F.array_contains(vs, F.col("std_id")) | F.coalesce(F.array_contains(F.transform(vs, codes.norm_key), F.col("std_id_norm")), F.lit(False))
+    tier = F.when(codes.let(codes.lookup_variants(F.col("query")), spelt), 0).when(F.col("std_id_norm") == codes.norm_key(F.col("query")), 1).otherwise(2)
+    best = pairs.groupBy("row").agg(F.min(F.struct(tier.alias("tier"), "id", "std_id")).alias("best"))
+    return single.unionByName(best.select("row", F.col("best.id").alias("base_id"), F.col("best.std_id").alias("std_id")))
 
 
 def reconciled(asked: DataFrame, base: DataFrame, files: DataFrame) -> DataFrame:

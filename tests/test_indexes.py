@@ -124,3 +124,43 @@ def test_arriving_rows_rewrite_only_their_buckets(spark, tmp_path):
     freshness.merge_latest(odd, "k", "v", target, 2, by)
     got = {r["k"]: r["x"] for r in freshness.latest(spark, target).filter("k is null or k < 3").collect()}
     assert got == {None: "m", 0: "old", 1: "old", 2: "tie"}
+
+
+def by_all_spellings(asked, base):
+    """The standard of each request by joins on every spelling and key."""
+    from quillon.functions import codes
+
+    q = F.col("query")
+    key = lambda tier, tag, x: F.struct(F.lit(tier).alias("tier"), F.concat(F.lit(tag), x).alias("k"))
+    spelt = codes.let(codes.lookup_variants(q), lambda vs: F.concat(F.transform(vs, lambda v: key(0, "=", v)), F.transform(vs, lambda v: key(0, "n", codes.norm_key(v)))))
+    tiers = F.concat(spelt, F.array(key(1, "n", codes.norm_key(q)), key(2, "c", codes.compact_key(q))))
+    keys = asked.filter("trim(query) <> ''").select("row", F.explode(F.array_distinct(tiers)).alias("t")).select("row", "t.tier", "t.k")
+    known = base.select("id", "std_id", F.explode(F.array(F.concat(F.lit("="), F.col("std_id")), F.concat(F.lit("n"), F.col("std_id_norm")), F.concat(F.lit("c"), codes.compact_key(F.col("std_id"))))).alias("k"))
+    return keys.join(known, "k").groupBy("row").agg(F.min(F.struct("tier", "id", "std_id")).alias("b")).select("row", F.col("b.id").alias("base_id"), F.col("b.std_id").alias("std_id"))
+
+
+def test_requests_meet_by_one_key_as_by_all_spellings(spark):
+    from quillon.operators import batch, search
+
+    rng = random.Random(2)
+    code = lambda: f"{rng.choice(['GB/T', 'GBT', 'gb/t', 'GB', 'Q/X', 'QX', 'DB31/T', 'T/CAS'])}{rng.choice(['', ' ', '  '])}{rng.randrange(1, 5)}{rng.choice(['', '.1'])}{rng.choice(['-', '—', '－', '', ' - '])}{rng.choice(['1999', '2001', ''])}{rng.choice(['', ' ', 'A'])}"
+    base = search.with_keys(spark.createDataFrame([(i, code()) for i in range(300)] + [(300, None), (301, ""), (302, "-"), (303, "GB/T 1-1999"), (304, "GB/T 1-1999")], "id long, std_id string"))
+    asked = spark.createDataFrame([(i, code()) for i in range(300)] + [(300, None), (301, " "), (302, "/"), (303, "GB／T1－1999"), (304, "漢字")], "row long, query string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(batch.standard_of(asked, base)) == rows(by_all_spellings(asked, base))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_containment_equals_its_definition(spark, seed):
+    from quillon.operators.containment import contained
+
+    rng = random.Random(seed)
+    text = lambda most: "".join(rng.choice("ab漢😀1") for _ in range(rng.randrange(most)))
+    bigs = [text(30) for _ in range(120)] + [None, ""]
+    smalls = [text(rng.choice([3, 6, 20])) for _ in range(60)] + [b[2:14] for b in bigs[:40]] + [None, "", "zz"]
+    small = spark.createDataFrame(list(enumerate(smalls)), "i int, s string")
+    big = spark.createDataFrame(list(enumerate(bigs)), "j int, b string")
+    got = sorted((r["i"], r["j"]) for r in contained(small, "s", big, "b").collect())
+    assert got == [(i, j) for i, s in enumerate(smalls) for j, b in enumerate(bigs) if s and b and s in b]
+    text = contained(small, "s", big, "b")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
