@@ -39,10 +39,15 @@ def _meets(text: str, keyword: Column) -> Column:
     return (k != "") & (k.contains(q) | F.lit(q).contains(k))
 
 
+def _placed(clusters: DataFrame) -> DataFrame:
+    """Groups with their place: their own column of that name, else the order of their rows."""
+    return clusters if "place" in clusters.columns else clusters.withColumn("place", F.monotonically_increasing_id())
+
+
 def expanded(clusters: DataFrame, text: str) -> DataFrame:
     """Keywords a text expands to, in order: the text, then those of every group that it meets."""
     q = (text or "").strip()
-    hit = clusters.withColumn("place", F.monotonically_increasing_id()).filter(_meets(q, F.col("name")) | F.exists("keywords", lambda k: _meets(q, k)))
+    hit = _placed(clusters).filter(_meets(q, F.col("name")) | F.exists("keywords", lambda k: _meets(q, k)))
     words = hit.select("place", F.posexplode("keywords").alias("pos", "word")).select(F.lit(1).alias("tier"), "place", "pos", F.trim("word").alias("word"))
     own = clusters.sparkSession.range(1).select(F.lit(0).alias("tier"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("pos"), F.lit(q).alias("word"))
     return _once(own.unionByName(words))
@@ -52,7 +57,7 @@ def expansion(clusters: DataFrame, text: str) -> DataFrame:
     """One row: the keywords a text expands to, in order, the names of the groups that it meets, and whether that is more than the text."""
     q = (text or "").strip()
     words = expanded(clusters, q).agg(F.transform(F.array_sort(F.collect_list(F.struct("tier", "place", "pos", "word"))), lambda w: w["word"]).alias("keywords"))
-    hit = clusters.withColumn("place", F.monotonically_increasing_id()).filter(F.lit(bool(q)) & (_meets(q, F.col("name")) | F.exists("keywords", lambda k: _meets(q, k))))
+    hit = _placed(clusters).filter(F.lit(bool(q)) & (_meets(q, F.col("name")) | F.exists("keywords", lambda k: _meets(q, k))))
     named = F.coalesce(F.nullif(F.trim("name"), F.lit("")), "id")
     groups = hit.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", named.alias("name")))), lambda g: g["name"]).alias("groups"))
     both = words.withColumn("groups", groups.scalar())
@@ -67,7 +72,7 @@ def _once(tiers: DataFrame) -> DataFrame:
 def suggest_phrases(clusters: DataFrame, text: str, limit: int = 8) -> DataFrame:
     """Names of groups the text meets, then what it expands to, then keywords that hold it."""
     q = (text or "").strip()
-    placed = clusters.withColumn("place", F.monotonically_increasing_id())
+    placed = _placed(clusters)
     names = placed.filter(_meets(q, F.col("name")) | F.exists("keywords", lambda k: _meets(q, k))).select(F.lit(0).alias("tier"), "place", F.lit(0).alias("pos"), F.trim("name").alias("word"))
     words = expanded(clusters, q).select((F.col("tier") + 1).alias("tier"), "place", "pos", "word")
     holding = placed.select("place", F.posexplode("keywords").alias("pos", "word")).filter(F.col("word").contains(q)).select(F.lit(3).alias("tier"), "place", "pos", "word")

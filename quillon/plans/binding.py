@@ -65,6 +65,12 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(GROUPS, "id string, name string, keywords array<string>").coalesce(1)
 
 
+def brand_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product groups made from the parts: a group a brand, with the names of its parts as keywords."""
+    names = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("keywords"))
+    return names.select(F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long").alias("place"), F.col("p_brand").alias("id"), F.concat("p_brand", F.lit(" group")).alias("name"), "keywords")
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded codes: every order, spelt in four ways, every fifth of them unknown."""
     o = table(spark, sf_dir, "orders")
@@ -95,6 +101,7 @@ SQL = {
     "placed": "placed AS (SELECT unit_id, unit_name, u.area_code, a.province_name, a.city_name, a.county_name FROM units u JOIN areas a ON starts_with(a.area_code, u.area_code) QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY length(a.area_code) DESC, a.area_code) = 1)",
     "geo": "geo AS (SELECT DISTINCT base_id, unit_id, unit_name, province_name, city_name, county_name, area_code FROM rel JOIN placed USING (unit_id))",
     "asked": f"asked AS (SELECT o_orderkey AS row, CASE o_orderkey % 4 WHEN 0 THEN 'GB/T ' || {_N} || '-' || year(o_orderdate) WHEN 1 THEN 'gbt' || {_N} || '-' || year(o_orderdate) WHEN 2 THEN 'GB／T ' || {_N} || '-' || year(o_orderdate) ELSE '  GB/T  ' || {_N} || ' - ' || year(o_orderdate) END AS query FROM orders)",
+    "brands": "brands AS (SELECT regexp_extract(p_brand, '[0-9]+')::BIGINT AS place, p_brand AS id, p_brand || ' group' AS name, list_sort(list_distinct(list(p_name))) AS keywords FROM part GROUP BY p_brand)",
     "groups": "groups AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', {c})" for i, (a, b, c) in enumerate(GROUPS)) + ") t(place, id, name, keywords))",
 }
 _NEEDS = {"geo": ["rel", "units", "areas", "placed"], "placed": ["units", "areas"]}

@@ -200,16 +200,24 @@ def suggest_units(spark: SparkSession, d: str) -> DataFrame:
     return facets.suggest_companies(B.units(spark, d), "0001")
 
 
-@query(with_tables("groups") + """, hit AS (SELECT * FROM groups WHERE contains(replace(name, ' ', ''), 'gear') OR list_contains(keywords, 'gear')),
-    w AS (SELECT 0 AS tier, place, 0 AS pos, name AS word FROM hit UNION ALL SELECT 1, 0, 0, 'gear' UNION ALL SELECT 2, place, unnest(range(len(keywords))), unnest(keywords) FROM hit)
-    SELECT word FROM w QUALIFY row_number() OVER (PARTITION BY word ORDER BY tier, place, pos) = 1 ORDER BY tier, place, pos LIMIT 8""")
+#: Groups of which a name or keyword holds the text, or is held by it, without spaces; and the words they stand for.
+_HIT = """, every AS (SELECT *, replace({q}, ' ', '') AS q FROM brands), hit AS (SELECT * FROM every WHERE len(list_filter([name] || keywords, lambda x: contains(replace(x, ' ', ''), q) OR (replace(x, ' ', '') <> '' AND contains(q, replace(x, ' ', ''))))) > 0),
+    w AS (SELECT 1 AS tier, 0 AS place, 0 AS pos, {q} AS word UNION ALL SELECT 2, place, unnest(range(len(keywords))), unnest(keywords) FROM hit)"""
+_ONCE = "SELECT word, tier, place, pos FROM {w} QUALIFY row_number() OVER (PARTITION BY word ORDER BY tier, place, pos) = 1 ORDER BY tier, place, pos"
+
+
+@query(
+    with_tables("brands") + _HIT.format(q="'hot gear'") + f""", s AS (SELECT * FROM w UNION ALL SELECT 0, place, 0, name FROM hit
+    UNION ALL SELECT 3, place, pos, word FROM (SELECT place, unnest(range(len(keywords))) AS pos, unnest(keywords) AS word FROM brands) WHERE contains(word, 'hot gear'))
+    SELECT word FROM ({_ONCE.format(w='s')} LIMIT 8)"""
+)
 def suggest_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return facets.suggest_phrases(B.clusters(spark, d), "gear")
+    return facets.suggest_phrases(B.brand_groups(spark, d), "hot gear")
 
 
-@query(with_tables("groups") + "SELECT id, name, len(keywords) AS n_keywords, array_to_string(keywords[1:6], '、') || CASE WHEN len(keywords) > 6 THEN '…' ELSE '' END AS sample FROM groups")
+@query(with_tables("brands") + "SELECT id, name, len(keywords) AS n_keywords, array_to_string(keywords[1:6], '、') || CASE WHEN len(keywords) > 6 THEN '…' ELSE '' END AS sample FROM brands")
 def cluster_briefs(spark: SparkSession, d: str) -> DataFrame:
-    return facets.briefs(B.clusters(spark, d))
+    return facets.briefs(B.brand_groups(spark, d))
 
 
 _TIERS = "CASE WHEN std_id IN ('GB/T 123', 'GB/T123', 'GBT123') OR std_id_norm IN ('GB/T123', 'GBT123') THEN 0 WHEN upper(std_id) LIKE '%GB/T 123%' THEN 4 END"
@@ -558,9 +566,9 @@ def search_product_page(spark: SparkSession, d: str) -> DataFrame:
     return search.product_page(B.named(spark, d), B.named_files(spark, d), B.clusters(spark, d), "gear", Page(1, 50), with_file=False).select(*_SHOWN, "score")
 
 
-@query(with_tables("groups") + "SELECT unnest(['bolt', 'ring', 'gear']) AS word")
+@query(with_tables("brands") + _HIT.format(q="'red widget'") + f"SELECT word FROM ({_ONCE.format(w='w')})")
 def expand_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return facets.expanded(B.clusters(spark, d), "bolt").select("word")
+    return facets.expanded(B.brand_groups(spark, d), "red widget").select("word")
 
 
 @query(with_tables("groups") + """, q AS (SELECT p_partkey AS row, replace(p_name, ' ', '') AS q FROM part), k AS (SELECT id, replace(unnest([name] || keywords), ' ', '') AS k FROM groups)
@@ -668,6 +676,10 @@ def catalog_bundle(spark: SparkSession, d: str) -> DataFrame:
     return catalog.bundle_entries(_kept(spark, d), [8, 5, 0, 8, -2, 999_999_999, 12])
 
 
-@query("SELECT 'bolt' AS query, 'bolt|ring|gear' AS keywords, 'bolt group' AS groups, true AS expanded")
+@query(
+    with_tables("brands") + _HIT.format(q="'red widget'") + f""", o AS ({_ONCE.format(w='w')})
+    SELECT 'red widget' AS query, (SELECT string_agg(word, '|' ORDER BY tier, place, pos) FROM o) AS keywords, coalesce((SELECT string_agg(name, '|' ORDER BY place) FROM hit), '') AS groups,
+        (SELECT count(*) FROM o) > 1 OR (SELECT count(*) FROM hit) > 0 AS expanded"""
+)
 def expansion_result(spark: SparkSession, d: str) -> DataFrame:
-    return facets.expansion(B.clusters(spark, d), " bolt ").select("query", F.array_join("keywords", "|").alias("keywords"), F.array_join("groups", "|").alias("groups"), "expanded")
+    return facets.expansion(B.brand_groups(spark, d), " red widget ").select("query", F.array_join("keywords", "|").alias("keywords"), F.array_join("groups", "|").alias("groups"), "expanded")
