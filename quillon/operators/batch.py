@@ -47,24 +47,28 @@ def column_roles(rows: DataFrame) -> DataFrame:
     return cells.groupBy("row").agg(*[F.max(F.when(_role(F.col("cell"), h, HEADER_PARTS[r]), F.col("pos"))).alias(f"{r}_col") for r, h in roles.items()])
 
 
-def requests(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """row (from 1), query and name_hint of an upload given as row (from 0) and cells.
+def layout(rows: DataFrame) -> DataFrame:
+    """Where the requests of an upload (row from 0, cells) lie: one row with start, header_row (from 1, null without one), std_col, name_col and
+    remark_col, or no row where no cell looks like a code.
 
     The header is the first of 25 rows that names a code column; without one, the first code-like cell of 40 rows tells the
-    column and its row is the first of the data. The limit is the feature: an upload may ask so many.
+    column and its row is the first of the data.
     """
-    header = column_roles(rows.filter(F.col("row") < HEADER_ROWS)).filter("std_col is not null").select(
-        F.lit(0).alias("o"), (F.col("row") + 1).alias("start"), F.col("std_col"), F.col("name_col")
-    ).orderBy("start").limit(1)
+    named = column_roles(rows.filter(F.col("row") < HEADER_ROWS)).filter("std_col is not null")
+    header = named.select(F.lit(0).alias("o"), (F.col("row") + 1).alias("start"), (F.col("row") + 1).alias("header_row"), "std_col", "name_col", "remark_col")
     cell = rows.filter(F.col("row") < CODE_ROWS).select("row", F.posexplode("cells").alias("pos", "cell")).filter(looks_like_number(F.col("cell")))
-    guess = cell.select(F.lit(1).alias("o"), F.col("row").alias("start"), F.col("pos").alias("std_col"), F.lit(None).cast("int").alias("name_col")).orderBy("start", "std_col").limit(1)
-    layout = header.union(guess).orderBy("o").limit(1)  # one row
-    at = layout.first()
-    if at is None:
-        return rows.limit(0).select("row", F.lit("").alias("query"), F.lit("").alias("name_hint"))
-    query = codes.strip(F.coalesce(F.get("cells", F.lit(at["std_col"])), F.lit("")))
-    name = F.coalesce(F.get("cells", F.lit(at["name_col"])), F.lit("")) if at["name_col"] is not None else F.lit("")
-    asked = rows.filter(F.col("row") >= at["start"]).select((F.col("row") + 1).alias("row"), query.alias("query"), name.alias("name_hint"))
+    none = F.lit(None).cast("int")
+    guess = cell.select(F.lit(1).alias("o"), F.col("row").alias("start"), none.cast("long").alias("header_row"), F.col("pos").alias("std_col"), none.alias("name_col"), none.alias("remark_col"))
+    return header.union(guess).orderBy("o", "start", "std_col").limit(1).drop("o")
+
+
+def requests(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """row (from 1), query and name_hint of an upload given as row (from 0) and cells, where ``layout`` finds them; none without one.
+    The limit is the feature: an upload may ask so many."""
+    at = layout(rows).select(F.struct("start", "std_col", "name_col")).scalar()
+    query = codes.strip(F.coalesce(F.get("cells", F.col("at.std_col")), F.lit("")))
+    name = F.coalesce(F.get("cells", F.col("at.name_col")), F.lit(""))
+    asked = rows.withColumn("at", at).filter(F.col("row") >= F.col("at.start")).select((F.col("row") + 1).alias("row"), query.alias("query"), name.alias("name_hint"))
     return asked.filter(~skipped(F.col("query"))).orderBy("row").limit(most)
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import codes, display
-from quillon.operators import batch, catalog, facets, geo, postings, refresh, search
+from quillon.operators import batch, catalog, facets, geo, postings, refresh, search, upload
 from quillon.operators import files as found
 from quillon.plans import binding as B
 from quillon.plans.binding import with_tables
 from quillon.plans.intent import Filters, Page
 from quillon.session import shared_folder
-from quillon.sinks import export, snapshots
+from quillon.sinks import bundles, export, snapshots
 from quillon.streaming import freshness
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,12 +401,41 @@ _SERVED = _RESOLVED + r""", lst AS (SELECT file_path AS path FROM files WHERE ba
 
 @query(_SERVED + "SELECT row, query, CASE WHEN source IS NOT NULL THEN 'ok' WHEN base_id IS NULL THEN 'not_found' ELSE 'no_pdf' END AS status, source, base_id, std_id, path FROM got")
 def batch_served(spark: SparkSession, d: str) -> DataFrame:
-    """The listing lacks the files of some standards, has copies under other names for a part of these, and holds files of unknown codes."""
+    files, std, listing = _on_disk(spark, d)
+    return batch.served(B.asked(spark, d), std, files, listing).select("row", "query", "status", "source", "base_id", "std_id", "path")
+
+
+_ENTRY = r"replace(regexp_replace(std_id, '[<>:\x22/\\|?*]', '_', 'g'), ' ', '') || '_' || regexp_extract(path, '([^/]*)$', 1)"
+_STATED = _SERVED + rf""", st AS (SELECT *, CASE WHEN source IS NOT NULL THEN 'ok' WHEN base_id IS NULL THEN 'not_found' ELSE 'no_pdf' END AS status, {_ENTRY} AS zip_name FROM got),
+    told AS (SELECT *, CASE status WHEN 'not_found' THEN '未找到匹配标准' WHEN 'no_pdf' THEN '已匹配标准但未找到 PDF' END AS message FROM st) """
+
+
+@query(_STATED + "SELECT row, query, status, std_id, zip_name, message FROM told ORDER BY row LIMIT 400")
+def upload_preview(spark: SparkSession, d: str) -> DataFrame:
+    """A preview shows as many requests as an upload may have."""
+    files, std, listing = _on_disk(spark, d)
+    return upload.preview(B.asked(spark, d), std, files, listing).select("row", "query", "status", "std_id", "zip_name", "message")
+
+
+@query(_STATED + "SELECT row, status, CASE WHEN status = 'ok' THEN 'PDF/' || CASE WHEN row < 1000 THEN lpad(row::VARCHAR, 3, '0') ELSE row::VARCHAR END || '_' || zip_name END AS zip_entry, message FROM told")
+def bundle_plan(spark: SparkSession, d: str) -> DataFrame:
+    files, std, listing = _on_disk(spark, d)
+    plan = bundles.planned(batch.served(B.asked(spark, d), std, files, listing))
+    return plan.select("row", "status", "zip_entry", bundles.message(F.col("status")).alias("message"))
+
+
+@query("""WITH u AS (SELECT o_orderkey + 4 AS row, 'GB/T ' || o_orderkey || '-2020' AS q FROM orders WHERE o_orderkey % 13 <> 0)
+    SELECT 'csv' AS source, 3::BIGINT AS header_row, 1 AS std_col, 2 AS name_col, NULL::INTEGER AS remark_col, least(count(*), 400) AS total_rows, count(*) > 400 AS truncated, 400 AS max_rows FROM u""")
+def upload_meta(spark: SparkSession, d: str) -> DataFrame:
+    return upload.meta(_uploaded(spark, d), "csv")
+
+
+def _on_disk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, standards and a listing that lacks the files of some standards, has copies under other names for a part of these, and holds files of unknown codes."""
     files, std, o = B.files(spark, d), B.standards(spark, d), B.table(spark, d, "orders")
     odd = o.filter("o_orderkey % 10 = 0").select(F.concat(F.lit("scan/GBT"), F.col("o_orderkey") + 100_000_000, F.lit("-"), F.year("o_orderdate"), F.lit(".pdf")).alias("path"))
     stray = std.filter("id % 24 = 1").select(F.concat(F.lit("scan/no "), F.upper(F.replace("std_id", F.lit("/"), F.lit(""))), F.lit(" copy.pdf")).alias("path"))
-    listing = files.filter("base_id % 3 <> 0 and base_id % 8 <> 1").select(F.col("file_path").alias("path")).union(odd).union(stray)
-    return batch.served(B.asked(spark, d), std, files, listing).select("row", "query", "status", "source", "base_id", "std_id", "path")
+    return files, std, files.filter("base_id % 3 <> 0 and base_id % 8 <> 1").select(F.col("file_path").alias("path")).union(odd).union(stray)
 
 
 @query(_RESOLVED + "SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS success, count(*) FILTER (status <> 'ok') AS failed FROM res")
@@ -433,10 +462,15 @@ def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH u AS (SELECT o_orderkey AS k, 'GB/T ' || o_orderkey || '-2020' AS code FROM orders)
     SELECT k + 4 AS row, code AS query, 'name ' || k AS name_hint FROM u WHERE k % 13 <> 0 ORDER BY row LIMIT 400""")
 def upload_requests(spark: SparkSession, d: str) -> DataFrame:
+    return batch.requests(_uploaded(spark, d))
+
+
+def _uploaded(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an upload with every order: a title, a blank line, a header, and the codes, some of them too short."""
     k = F.col("o_orderkey")
     body = B.table(spark, d, "orders").select((k + 3).alias("row"), F.array(k.cast("string"), F.when(k % 13 == 0, "12").otherwise(F.concat(F.lit("GB/T "), k, F.lit("-2020"))), F.concat(F.lit("name "), k)).alias("cells"))
     head = spark.createDataFrame([(0, ["x", "标准清单", ""]), (1, []), (2, ["no", "标准号", "标准名称"])], "row long, cells array<string>")
-    return batch.requests(head.union(body))
+    return head.union(body)
 
 
 def spelt_files(spark: SparkSession, d: str) -> DataFrame:

@@ -76,14 +76,23 @@ def replace(df: DataFrame, folder: str, touched: list | None, notes: dict, befor
 
 
 def publish(spark: SparkSession, folder: str, snapshot: Snapshot) -> None:
-    """Write the file of a version beside its place and rename it; an error if another writer was first."""
-    store, to = _hadoop(spark, f"{folder}/published/{snapshot.number:09d}.json")
-    _, beside = _hadoop(spark, f"{folder}/published/.{uuid4().hex}")
+    """Make a version the current one; an error if another writer was first."""
+    try:
+        put(spark, f"{folder}/published/{snapshot.number:09d}.json", json.dumps(asdict(snapshot)))
+    except FileExistsError as e:
+        raise RuntimeError(f"version {snapshot.number} of {folder} was published by another writer") from e
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place and rename it, so that it is there as a whole or not at all. It must not be there yet."""
+    folder, name = path.rsplit("/", 1)
+    store, to = _hadoop(spark, path)
+    _, beside = _hadoop(spark, f"{folder}/.{name}-{uuid4().hex}")
     out = store.create(beside, False)
     try:
-        out.write(bytearray(json.dumps(asdict(snapshot)).encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
     if store.exists(to) or not store.rename(beside, to):
         store.delete(beside, False)
-        raise RuntimeError(f"version {snapshot.number} of {folder} was published by another writer")
+        raise FileExistsError(path)
