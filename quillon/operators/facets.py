@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import codes
 
-MOST_TYPES, MOST_COMPANIES = 80, 40
+MOST_TYPES, MOST_COMPANIES, MOST_SHOWN = 80, 40, 48
 
 
 def facet(df: DataFrame, column: str, where: Column | None = None, limit: int | None = None) -> DataFrame:
@@ -30,6 +30,17 @@ def suggest_companies(units: DataFrame, text: str, limit: int = MOST_COMPANIES)
     return once.orderBy("by").limit(limit).select("unit_name")
 
 
+def ranked_companies(names: DataFrame, text: str, limit: int = MOST_SHOWN, locale: str = "zh") -> DataFrame:
+    """Names (unit_name) that hold the text, without regard to case: those it begins first, then shorter ones, then in the order of the locale (Chinese by pinyin).
+    Without a text the first names as they come. Blank names leave, and each name is shown once."""
+    q, name = (text or "").strip().lower(), codes.strip(F.col("unit_name"))
+    known = names.select(name.alias("unit_name")).filter(F.coalesce("unit_name", F.lit("")) != "")
+    if not q:
+        return known.limit(limit)
+    low = F.lower("unit_name")
+    return known.filter(low.contains(q)).distinct().orderBy(F.when(low.startswith(q), 0).otherwise(1), F.length("unit_name"), F.collate(low, locale), "unit_name").limit(limit)
+
+
 def _meets(text: str, keyword: Column) -> Column:
     """Equal without white space, or, for texts of two characters or more, one holding the other."""
     q = "".join((text or "").split())

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import codes
 from quillon.operators.containment import contained
+from quillon.sinks import snapshots
+
+#: Seconds for which a kept inventory is taken as it is.
+TTL = 1800
 
 
 def dedupe_key(path: Column, rel: Column, name: Column, file_id: Column) -> Column:
@@ -29,9 +35,30 @@ def inventory(*listings: DataFrame) -> DataFrame:
     return first_of(every, F.lower("path"), F.col("root"), F.col("path"))
 
 
+def cached_inventory(spark: SparkSession, folder: str, listings: Callable[[], list[DataFrame]], now: int, ttl: int = TTL) -> DataFrame:
+    """The inventory as it was kept at ``folder``, unless it is older than ``ttl`` seconds at the time ``now``: then, and where there is none, ``listings`` is asked,
+    and what it gives is kept in its place. While it is fresh, nothing is listed."""
+    kept = snapshots.current(spark, folder)
+    if kept is None or now - kept.notes["listed_at"] > ttl:
+        kept = snapshots.replace(inventory(*listings()).withColumn(snapshots.BUCKET, F.lit("all")), folder, None, {"listed_at": now}, kept)
+    return snapshots.rows(spark, folder, kept)
+
+
+def roots(spark: SparkSession, named: str | None, candidates: list[str], otherwise: str) -> str:
+    """The root that is named; else the first candidate that is there; else the last resort."""
+    if named and named.strip():
+        return named.strip()
+    return next((c for c in candidates if snapshots.exists(spark, c)), otherwise)
+
+
+def _first_path(listing: DataFrame) -> Column:
+    """Smallest: the path of the earliest root, where the listing tells roots apart, then the first by name."""
+    return F.min(F.struct(F.col("root") if "root" in listing.columns else F.lit(0).alias("root"), F.col("path"))).getField("path")
+
+
 def by_name(names: DataFrame, listing: DataFrame) -> DataFrame:
-    """Rows with a file name, and the first path of that name, without regard to case."""
-    first = listing.groupBy(F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("__name")).agg(F.min("path").alias("path"))
+    """Rows with a file name, and the first path of that name, without regard to case; a path of an earlier root goes before others."""
+    first = listing.groupBy(F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("__name")).agg(_first_path(listing).alias("path"))
     return names.join(first, F.lower(names["file_name"]) == F.col("__name"), "left").drop("__name")
 
 
@@ -71,8 +98,8 @@ def _file_key(x: Column) -> Column:
 
 
 def resolved(requests: DataFrame, listing: DataFrame) -> DataFrame:
-    """Requests (file_path, file_name) with the first path that serves them: by path, else by name."""
-    paths = listing.groupBy(F.lower("path").alias("__path")).agg(F.min("path").alias("by_path"))
+    """Requests (file_path, file_name) with the first path that serves them: by path, else by name. Earlier roots go first."""
+    paths = listing.groupBy(F.lower("path").alias("__path")).agg(_first_path(listing).alias("by_path"))
     out = requests.join(paths, F.lower(requests["file_path"]) == F.col("__path"), "left").drop("__path")
     return by_name(out, listing).withColumn("path", F.coalesce("by_path", "path")).drop("by_path")
 

@@ -11,6 +11,10 @@ GROUPS = [("fasteners", "bolt group", ["bolt", "ring", "gear"]), ("gadgets", "wi
 WORDS = ["bolt", "ring", "gear", "widget", "gizmo", "plate"]
 
 
+#: Beginnings of Chinese names, for rows that need some.
+PLACES = ["上海", "北京", "重庆", "安徽", "广东", "浙江", "四川", "云南", "西藏", "吉林", "河北", "湖南", "青海", "台湾", "福建", "abc", "Zed"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,6 +60,13 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").alias("unit_id"), F.col("s_name").alias("unit_name"), code.alias("area_code"))
 
 
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chinese names of the suppliers: a place, a number of one digit, and what they are; in some the last comes first."""
+    k = F.col("s_suppkey")
+    place = F.get(F.array(*map(F.lit, PLACES)), (k % len(PLACES)).cast("int"))
+    return table(spark, sf_dir, "supplier").select(k.alias("unit_id"), F.when(k % 10 == 3, F.concat(F.lit("公司"), place)).otherwise(F.concat(place, k % 7, F.lit("公司"))).alias("unit_name"))
+
+
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.concat("r_regionkey", F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("area_code"), F.col("r_name").alias("province_name"), F.col("n_name").alias("city_name"), F.lit(None).cast("string").alias("county_name"))
@@ -97,6 +108,7 @@ SQL = {
     "nfiles": "nfiles AS (SELECT DISTINCT l_partkey AS base_id, 'part bolt' || (l_suppkey % 9) || '.pdf' AS file_name FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)",
     "rel": "rel AS (SELECT l_orderkey AS base_id, l_suppkey AS unit_id, l_linenumber AS rank_order FROM lineitem)",
     "units": f"units AS (SELECT s_suppkey AS unit_id, s_name AS unit_name, CASE WHEN s_suppkey % 2 = 0 THEN n_regionkey || {_PAD} ELSE n_regionkey::VARCHAR END AS area_code FROM supplier JOIN nation ON s_nationkey = n_nationkey)",
+    "companies": f"companies AS (SELECT s_suppkey AS unit_id, CASE WHEN s_suppkey % 10 = 3 THEN '公司' || {PLACES}[s_suppkey % {len(PLACES)} + 1] ELSE {PLACES}[s_suppkey % {len(PLACES)} + 1] || s_suppkey % 7 || '公司' END AS unit_name FROM supplier)",
     "areas": f"areas AS (SELECT r_regionkey || {_PAD} AS area_code, r_name AS province_name, n_name AS city_name, NULL::VARCHAR AS county_name FROM nation JOIN region ON n_regionkey = r_regionkey)",
     "placed": "placed AS (SELECT unit_id, unit_name, u.area_code, a.province_name, a.city_name, a.county_name FROM units u JOIN areas a ON starts_with(a.area_code, u.area_code) QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY length(a.area_code) DESC, a.area_code) = 1)",
     "geo": "geo AS (SELECT DISTINCT base_id, unit_id, unit_name, province_name, city_name, county_name, area_code FROM rel JOIN placed USING (unit_id))",

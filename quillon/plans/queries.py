@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import codes, display
-from quillon.operators import batch, catalog, facets, geo, postings, refresh, search, upload
+from quillon.operators import batch, catalog, facets, geo, lookup, postings, refresh, search, upload
 from quillon.operators import files as found
 from quillon.plans import binding as B
 from quillon.plans.binding import with_tables
@@ -200,6 +200,14 @@ def suggest_units(spark: SparkSession, d: str) -> DataFrame:
     return facets.suggest_companies(B.units(spark, d), "0001")
 
 
+@query(with_tables("companies") + """, n AS (SELECT DISTINCT unit_name FROM companies WHERE contains(lower(unit_name), '公司'))
+    SELECT unit_name, row_number() OVER (ORDER BY NOT starts_with(lower(unit_name), '公司'), length(unit_name), lower(unit_name) COLLATE zh, unit_name) AS place FROM n QUALIFY place <= 48""")
+def companies_by_pinyin(spark: SparkSession, d: str) -> DataFrame:
+    named = facets.ranked_companies(B.companies(spark, d), "公司")
+    # At most 48 rows: their places are told in the one task that has them.
+    return named.coalesce(1).select("unit_name", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
 #: Groups of which a name or keyword holds the text, or is held by it, without spaces; and the words they stand for.
 _HIT = """, every AS (SELECT *, replace({q}, ' ', '') AS q FROM brands), hit AS (SELECT * FROM every WHERE len(list_filter([name] || keywords, lambda x: contains(replace(x, ' ', ''), q) OR (replace(x, ' ', '') <> '' AND contains(q, replace(x, ' ', ''))))) > 0),
     w AS (SELECT 1 AS tier, 0 AS place, 0 AS pos, {q} AS word UNION ALL SELECT 2, place, unnest(range(len(keywords))), unnest(keywords) FROM hit)"""
@@ -317,6 +325,28 @@ def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
     return postings.matching(_postings(spark, d), "of-th").select(F.col("id").alias("doc_id"))
 
 
+def _index(spark: SparkSession, d: str) -> str:
+    """The folder of the index tables, built once an application and data."""
+    folder = f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    if not lookup.ready(spark, folder):
+        base = B.standards(spark, d).drop("std_id_norm", "std_id_compact")
+        lookup.build(base, B.files(spark, d), folder, "2024-01-01", B.relations(spark, d), B.units(spark, d), B.areas(spark, d))
+    return folder
+
+
+@query(
+    with_tables("std", "files", "geo") + """SELECT '2024-01-01' AS built_at, (SELECT count(*) FROM std) AS standards, (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM std WHERE id IN (SELECT base_id FROM files)) AS with_file,
+        count(*) AS regions, count(DISTINCT base_id) AS with_unit, count(DISTINCT base_id) FILTER (province_name IS NOT NULL) AS with_region FROM geo"""
+)
+def index_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.noted(spark, _index(spark, d))
+
+
+@query(with_tables("std") + "SELECT id, std_id FROM std WHERE std_id IN ('Q/X 77A', 'QX77A', 'Q/X77A')")
+def index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.by_code(spark, _index(spark, d), "qx 77a").select("id", "std_id")
+
+
 _LISTED = rf"""SELECT prefix || p AS rel_path, max(size) AS file_size FROM (SELECT regexp_extract(url, '^[a-z]+://(.*)$', 1) AS p, strlen(html) AS size FROM pages WHERE url IS NOT NULL), (VALUES (''), ('copy/')) t(prefix) GROUP BY prefix, p"""
 _CATALOG = rf"""WITH l AS ({_LISTED}), n AS (SELECT *, regexp_extract(rel_path, '([^/]*)$', 1) AS filename FROM l),
     c AS (SELECT rel_path, file_size, filename, coalesce(nullif(regexp_extract(rel_path, '^(.*)/[^/]*$', 1), ''), '根目录') AS category, coalesce(nullif(regexp_replace(filename, '^(.+)\.[^.]+$', '\1'), ''), filename) AS title FROM n) """

@@ -16,10 +16,12 @@ from quillon.functions import display
 MOST_BUNDLED = 5000
 
 
-def write_index(df: DataFrame, path: str, key: str, files: int | None = None) -> None:
-    """Parquet in ranges of the key, sorted, so that row-group statistics serve look-ups of keys and prefixes."""
+def write_index(df: DataFrame, path: str, key: str, files: int | None = None, look_up: tuple[str, ...] = (), row_group: int | None = None) -> None:
+    """Parquet in ranges of the key, sorted, so that row-group statistics serve look-ups of keys and prefixes. Columns of ``look_up``, by which the rows are not
+    sorted, get Bloom filters: a look-up of one value skips nearly all row groups (of ``row_group`` bytes)."""
     ranged = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
-    ranged.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in look_up} | ({"parquet.block.size": str(row_group)} if row_group else {})
+    ranged.sortWithinPartitions(key).write.mode("overwrite").options(**options).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:

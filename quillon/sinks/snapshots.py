@@ -32,6 +32,11 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _hadoop(spark, path)
+    return store.exists(at)
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Names of what lies in a folder; none where there is no folder."""
     store, at = _hadoop(spark, folder)
@@ -83,6 +88,10 @@ def publish(spark: SparkSession, folder: str, snapshot: Snapshot) -> None:
         raise RuntimeError(f"version {snapshot.number} of {folder} was published by another writer") from e
 
 
+def as_json(notes: dict) -> str:
+    return json.dumps(notes, ensure_ascii=False)
+
+
 def put(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file beside its place and rename it, so that it is there as a whole or not at all. It must not be there yet."""
     folder, name = path.rsplit("/", 1)

@@ -164,3 +164,69 @@ def test_containment_equals_its_definition(spark, seed):
     assert got == [(i, j) for i, s in enumerate(smalls) for j, b in enumerate(bigs) if s and b and s in b]
     text = contained(small, "s", big, "b")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_inventory_is_kept_until_it_is_old(spark, tmp_path):
+    from quillon.operators import files
+
+    asked = []
+
+    def listings(*roots):
+        def give():
+            asked.append(roots)
+            return [spark.createDataFrame([(p,) for p in r], "path string") for r in roots]
+
+        return give
+
+    folder = str(tmp_path / "inventory")
+    paths = lambda df: sorted((r["path"], r["root"]) for r in df.collect())
+    first = [("/a/X.pdf", 0), ("/b/y.pdf", 1)]
+    assert paths(files.cached_inventory(spark, folder, listings(["/a/X.pdf"], ["/A/x.pdf", "/b/y.pdf"]), 1000)) == first
+    assert paths(files.cached_inventory(spark, folder, listings(["/new"]), 2800)) == first and len(asked) == 1
+    assert paths(files.cached_inventory(spark, folder, listings(["/new"]), 2801)) == [("/new", 0)] and len(asked) == 2
+
+
+def test_earlier_roots_go_first(spark, tmp_path):
+    from quillon.operators import files
+
+    listing = files.inventory(spark.createDataFrame([("/z/one.pdf",)], "path string"), spark.createDataFrame([("/a/one.pdf",), ("/a/two.pdf",)], "path string"))
+    asked = spark.createDataFrame([("q/one.pdf", "ONE.pdf"), ("/A/two.pdf", "x")], "file_path string, file_name string")
+    assert {r["path"] for r in files.resolved(asked, listing).collect()} == {"/z/one.pdf", "/a/two.pdf"}
+    assert {r["path"] for r in files.resolved(asked, listing.drop("root")).collect()} == {"/a/one.pdf", "/a/two.pdf"}
+    there = str(tmp_path)
+    assert files.roots(spark, " /named ", [there], "/x") == "/named" and files.roots(spark, None, ["/nowhere/at/all", there], "/x") == there and files.roots(spark, "", ["/nowhere/at/all"], "/x") == "/x"
+
+
+def test_look_ups_skip_row_groups(spark, sf_dir, tmp_path):
+    from quillon.operators import lookup
+    from quillon.plans import binding as B
+
+    folder = str(tmp_path / "index")
+    base, files = B.standards(spark, sf_dir).drop("std_id_norm", "std_id_compact"), B.files(spark, sf_dir)
+    with pytest.raises(ValueError):
+        lookup.by_id(spark, folder, 1)
+    notes = lookup.build(base, files, folder, "now", B.relations(spark, sf_dir), B.units(spark, sf_dir), B.areas(spark, sf_dir), parts=16, row_group=1 << 16)
+    assert notes["standards"] == base.count() and notes["files"] == files.count() and notes["with_file"] == base.join(files, base["id"] == files["base_id"], "left_semi").count()
+    assert notes["regions"] > 0 and notes["with_region"] <= notes["with_unit"] <= notes["standards"] and lookup.ready(spark, folder)
+    one = files.orderBy("file_name").first()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = lookup.by_file_name(spark, folder, one["file_name"].upper())
+        assert {r["id"] for r in found.collect()} == {r["id"] for r in files.filter(F.col("file_name") == one["file_name"]).collect()}
+        read = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert read <= notes["files"] / 4
+    code = base.filter("std_id like 'GB/T%'").orderBy("id").first()
+    for spelt in (code["std_id"], code["std_id"].lower().replace("/", ""), code["std_id"].replace("-", " — ")):
+        assert [r["id"] for r in lookup.by_code(spark, folder, spelt).collect()] == [code["id"]]
+    assert lookup.by_code(spark, folder, " / ").count() == 0 and lookup.by_id(spark, folder, code["id"]).count() == 1
+    assert lookup.by_path(spark, folder, one["file_path"].upper()).count() >= 1
+
+
+def test_chinese_names_by_pinyin(spark):
+    from quillon.operators import facets
+
+    names = spark.createDataFrame([(x,) for x in ["重庆厂", "安徽厂", "厂", " 厂房北 ", "北京厂", "北京厂", "上海厂", "Zed厂1", "abc厂1", None, " "]], "unit_name string")
+    assert [r["unit_name"] for r in facets.ranked_companies(names, "厂").collect()] == ["厂", "厂房北", "安徽厂", "北京厂", "重庆厂", "上海厂", "abc厂1", "Zed厂1"]
+    assert facets.ranked_companies(names, "").count() == 9 and facets.ranked_companies(names, "ZED").count() == 1
