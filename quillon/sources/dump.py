@@ -1,4 +1,8 @@
-"""Rows of INSERT statements in a SQL dump, read line by line in parallel."""
+"""Rows of INSERT statements in a SQL dump, read statement by statement in parallel.
+
+The text reader cuts a file where statements end, a semicolon at the end of a line, so a statement may lie on many lines and a file is read by as many tasks as it
+has splits. Dumps write line ends within strings as escapes.
+"""
 
 from __future__ import annotations
 
@@ -40,8 +44,15 @@ def tuples(values: str) -> Iterator[list[str | None]]:
             field += mark
 
 
+def statement_end(spark: SparkSession, path: str) -> str:
+    """What ends a statement in the files at ``path``: a semicolon and a line end of the kind that their first lines have."""
+    first = spark.read.option("lineSep", "\n").text(path).filter("value <> ''").limit(1).collect()
+    return ";\r\n" if first and first[0]["value"].endswith("\r") else ";\n"
+
+
 def rows(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """(file, line, place, fields) of the table's INSERT lines; named and positional statements alike."""
+    """(file, line, place, fields) of the table's INSERT statements, named and positional ones alike; ``line`` orders statements. A path with files of both kinds of line ends
+    is to be read kind by kind."""
     start = re.compile(rf"INSERT INTO `{re.escape(table)}`\s*(?:\([^)]+\)\s*)?VALUES\s*", re.IGNORECASE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +65,7 @@ def rows(spark: SparkSession, path: str, table: str) -> DataFrame:
             types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["file", "line", "place", "fields"])
 
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    lines = spark.read.option("lineSep", statement_end(spark, path)).text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
     return lines.filter(F.col("value").contains(f"`{table}`")).mapInArrow(run, "file string, line long, place long, fields array<string>")
 
 
@@ -75,8 +86,8 @@ def upserted(rows_of: DataFrame, key: str) -> DataFrame:
 def standards(spark: SparkSession, path: str) -> DataFrame:
     """The standards table with its keys; a repeated id or code is an error of the dump and raises."""
     out = table_of(rows(spark, path, "std_base"), "std_base").drop("file", "line", "place").withColumn("std_id", F.coalesce("std_id", F.lit("")))
-    for key in ("id", "std_id"):
-        repeated = out.groupBy(key).count().filter("count > 1").limit(1).collect()
-        if repeated:
-            raise ValueError(f"the dump repeats {key} {repeated[0][key]}")
+    both = out.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in ("id", "std_id")])).alias("k")).groupBy("k").count()
+    repeated = both.filter("count > 1").select("k.*").limit(1).collect()
+    if repeated:
+        raise ValueError(f"the dump repeats {repeated[0]['key']} {repeated[0]['value']}")
     return out.withColumns({"std_id_norm": codes.norm_key(F.col("std_id")), "std_id_compact": codes.stored_compact(F.col("std_id"))})
