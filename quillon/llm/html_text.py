@@ -4,6 +4,9 @@ A page is cut into blocks at block-level tags. First pass: each block is good, b
 and link density; its place in the page sets how much of these is asked, and only furniture by tag or by a whole name, and blocks beside an
 article that has running text, are out by place. Second pass: short blocks, which are ambiguous on their own,
 take the label of the nearest decided neighbours. Pages are parsed where they are read; nothing is shuffled.
+
+Stop words are of a few languages, and names of furniture may stand on an article's wrapper. So a page on which no block is running text is looked at once more: there names
+that an article may bear count for nothing, and sentences of some length count as running text in any language.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +37,8 @@ FURNITURE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations popular trending tags search searchbox skip hidden complementary contentinfo".split()
 )
+#: Of these the names that an article's own wrapper may bear too, on a page about them.
+SOFT_NAMES = frozenset("share sharing social related recommended recommendations popular trending tags search searchbox skip widget widgets".split())
 MAIN_TAGS = frozenset(("article", "main"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -45,6 +50,8 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _STOP = frozenset(FUNCTION_WORDS)
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_SENTENCE = re.compile(r"[.!?…؟।](?:\s|$)|[。！？]")
 
 SHORT = 80
 LONG = 200
@@ -61,10 +68,12 @@ class Block:
     main: bool
     heading: bool
     partly: bool = False  # furniture by a part of a compound name only
+    softly: bool = False  # furniture by a name that an article may bear too
+    sentences: bool = False  # length and ends of sentences speak for it, in place of stop words
 
 
-#: What marks an element as furniture: nothing, a mere part of a compound name, or its tag, state or a whole name.
-NONE, PART, WHOLE = 0, 1, 2
+#: What marks an element as furniture: nothing, a mere part of a compound name, a name that an article may bear too, or its tag, state or any other whole name.
+NONE, PART, SOFT, WHOLE = 0, 1, 2, 3
 
 
 def _furniture(tag: str, rest: str, in_main: bool) -> int:
@@ -85,10 +94,13 @@ def _named(rest: str) -> int:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return WHOLE
         if name in ("class", "id", "role"):
-            if any(part in FURNITURE_NAMES for part in value.split()):
+            whole = [part for part in value.split() if part in FURNITURE_NAMES]
+            if any(part not in SOFT_NAMES for part in whole):
                 return WHOLE
-            if any(w in FURNITURE_NAMES for part in value.split() for w in re.split(r"[-_]", part)):
-                mark = PART
+            if whole:
+                mark = SOFT
+            elif any(w in FURNITURE_NAMES for part in value.split() for w in re.split(r"[-_]", part)):
+                mark = max(mark, PART)
     return mark
 
 
@@ -105,7 +117,7 @@ def blocks(page: str) -> list[Block]:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             _, furniture, main = stack[-1] if stack else ("", NONE, False)
-            out.append(Block(text, min(link_parts, len(text)), furniture == WHOLE, main, heading, furniture == PART))
+            out.append(Block(text, min(link_parts, len(text)), furniture >= SOFT, main, heading, furniture == PART, furniture == SOFT))
         parts.clear()
         link_parts = 0
 
@@ -185,6 +197,10 @@ def blocks(page: str) -> list[Block]:
 def _measures(b: Block) -> tuple[int, float, float]:
     """Length, share of stop words among the words, share of link text."""
     words = _WORDS.findall(b.text.lower())
+    if b.sentences:
+        # A character of Chinese or Japanese says about as much as three letters.
+        length = len(b.text) + 2 * len(_DENSE.findall(b.text))
+        return length, STOP_HIGH if length >= SHORT and _SENTENCE.search(b.text) else 0.0, b.link_chars / len(b.text)
     return len(b.text), sum(w in _STOP for w in words) / max(len(words), 1), b.link_chars / len(b.text)
 
 
@@ -255,11 +271,20 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     return out
 
 
+def _kept(found: list[Block]) -> tuple[list[bool], bool]:
+    """Which blocks stay, and whether any of them is running text."""
+    in_article = any(b.main and _running(b) for b in found) or not any(_running(b) for b in found) and any(b.main for b in found)
+    labels = [first_pass(b, in_article)[0] for b in found]
+    return second_pass(found, labels), "good" in labels
+
+
 def main_text(page: str | None) -> str:
     """Main blocks joined by two line ends; empty if there are none."""
     found = blocks(page or "")
-    in_article = any(b.main and _running(b) for b in found) or not any(_running(b) for b in found) and any(b.main for b in found)
-    kept = second_pass(found, [first_pass(b, in_article)[0] for b in found])
+    kept, running = _kept(found)
+    if not running:
+        again, running = _kept([replace(b, furniture=b.furniture and not b.softly, sentences=True) for b in found])
+        kept = again if running else kept
     return "\n\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 
