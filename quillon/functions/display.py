@@ -5,10 +5,10 @@ from __future__ import annotations
 from itertools import chain, count
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import ship
+from quillon.session import kept, ship
 
 # Labels of the catalogue's states and of unknown ones.
 STATES = {0: "废止", 1: "现行", 2: "即将实施"}
@@ -82,17 +82,36 @@ def claim(used: set[str], name: str) -> str:
     return found
 
 
+def numbered(df: DataFrame, key: str, order: tuple[str, ...], into: str) -> DataFrame:
+    """The rows with their number, from 1, among those of equal ``key`` in the order. A key's rows are cut into ranges of the order, numbered there, and led by how
+    many came in earlier ranges, so no task holds more of a key than its range. The ranges are written to the shared folder."""
+    part, local, before = f"__part_{into}", f"__local_{into}", f"__before_{into}"
+    # Given its number, a range partitioning is not merged, whatever its rows weigh.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = kept(df.repartitionByRange(tasks, key, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    ranked = cut.withColumn(local, F.row_number().over(Window.partitionBy(part, key).orderBy(*order)))
+    sizes = cut.groupBy(key, part).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(key).alias("__key"), F.col(part).alias("__at"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(before)).filter(F.col(before) > 0)
+    out = ranked.join(offsets, ranked[key].eqNullSafe(F.col("__key")) & (ranked[part] == F.col("__at")), "left")
+    return out.withColumn(into, F.col(local) + F.coalesce(before, F.lit(0))).drop("__key", "__at", part, local, before)
+
+
 def unique_names(df: DataFrame, name: str, *order: str) -> DataFrame:
     """The rows with ``name`` made unique in the order: a name in use gets _2, _3 ... before its suffix, whichever is free.
 
-    Names that can meet share their stem without numbers at its end; each such family is numbered in one go, so this is for rows of a
-    bounded number, as those of a bundle are.
+    Where no given name is a numbered form of another one, numbers are places among equal names, told without any sequential step. Only families that hold
+    such a pair (a.pdf and a_2.pdf) are numbered one by one, each in one go: names that can meet share their stem without numbers at its end.
     """
-    stem = F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""), "(_[0-9]+)+$", "")
-    key = "__family"
-    keyed = df.withColumn(key, F.concat_ws("\0", stem, F.regexp_extract(name, r".(\.[^.]+)$", 1)))
+    suffix, stem = F.regexp_extract(name, r".(\.[^.]+)$", 1), F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
+    family = F.concat_ws("\0", F.regexp_replace(stem, "(_[0-9]+)+$", ""), suffix)
+    given = df.select(F.col(name).alias("__name"), family.alias("__family"), F.concat(F.regexp_replace(stem, "_[0-9]+$", ""), suffix).alias("__parent")).distinct()
+    children = given.filter(F.col("__parent") != F.col("__name"))
+    tangled = children.join(given.select(F.col("__name").alias("__of")), F.col("__parent") == F.col("__of"), "left_semi").select("__family").distinct()
+    keyed, columns = df.withColumn("__given", family), df.columns
 
-    columns = df.columns
+    plain = numbered(keyed.join(tangled, F.col("__given") == F.col("__family"), "left_anti"), name, order, "__number")
+    renamed = F.when(F.col("__number") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("__number"), suffix))
 
     def number(rows: pd.DataFrame) -> pd.DataFrame:
         rows, used = rows.sort_values(list(order), kind="stable"), set()
@@ -100,7 +119,8 @@ def unique_names(df: DataFrame, name: str, *order: str) -> DataFrame:
         return rows[columns]
 
     ship(df.sparkSession)
-    return keyed.groupBy(key).applyInPandas(number, df.schema)
+    met = keyed.join(tangled, F.col("__given") == F.col("__family"), "left_semi").groupBy("__given").applyInPandas(number, df.schema)
+    return plain.withColumn(name, renamed).select(*columns).unionByName(met)
 
 
 def file_badge(ext: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 from pathlib import Path
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "quillon", **conf: str) -> SparkSession:
@@ -24,6 +25,13 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH", ""), home]))
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as they were written to the shared folder, so that what depends on chance, as ranges do, is the same at every reading."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: the session's ``spark.checkpoint.dir``. Where none is set, a session on one machine (tests) gets one under
     its warehouse; on a cluster, where that may be a disk of each machine, this is an error."""
