@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import batch
-from quillon.sinks import bundles
+from quillon.sinks import bundles, export, snapshots
 from quillon.sources import listing as sources
 
-# What is said of an upload that cannot be taken.
+# How the remarked upload is named, and what is said of an upload that cannot be taken.
+ANNOTATED = "_下载结果"
 UNKNOWN_KIND, NO_CODES = "仅支持 .xlsx、.xlsm 或 .csv 文件", "未识别到有效标准号，请确认含有「标准号/标准编号」列"
 
 
@@ -64,8 +65,14 @@ def preview(requests: DataFrame, base: DataFrame | None, files: DataFrame | None
 
 
 def bundle(spark: SparkSession, path: str, base: DataFrame, files: DataFrame, on_disk: DataFrame, root: str, folder: str, generated_at: str) -> dict:
-    """Read an upload, find its files and write their bundle: the bundle's summary, or ``error`` alone."""
+    """Read an upload, find its files and write their bundle, with the upload's own rows beside it, in which those that failed are remarked: the bundle's summary, or
+    ``error`` alone."""
     read = parsed(spark, path)
     if read.error:
         return {"error": read.error}
-    return bundles.write(preview(read.requests, base, files, on_disk), folder, root, generated_at)
+    summary = bundles.write(preview(read.requests, base, files, on_disk), folder, root, generated_at)
+    rows = sources.parse_upload(spark, path)
+    told = batch.annotated(rows, spark.read.json(f"{folder}/manifest", schema="row long, status string"))
+    stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    snapshots.put(spark, f"{folder}/{stem}{ANNOTATED}.csv", "\ufeff" + export.annotated_text(rows, told.select("row", "remark")))
+    return summary

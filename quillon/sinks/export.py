@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import posixpath
 import zipfile
@@ -68,17 +69,24 @@ def below(root: str, path: str) -> bool:
     return full.startswith(base.rstrip("/") + "/")
 
 
-def annotated_csv(sheet: DataFrame, remarks: DataFrame, target: str, remark_header: str = "备注") -> None:
-    """The uploaded rows (row, cells) with each row's remark (row, remark) in the remark column, or in a new last one, as one CSV file with a
-    byte order mark. An upload has a bounded number of rows."""
+def annotated_text(sheet: DataFrame, remarks: DataFrame, remark_header: str = "备注") -> str:
+    """The uploaded rows (row, cells) with each row's remark (row, remark) in the remark column, or in a new last one, as the text of a CSV file. An upload has a bounded
+    number of bytes, so the driver may hold it."""
     named = {r["row"]: r["remark"] for r in remarks.collect()}
     rows = [(r["row"], list(r["cells"])) for r in sheet.orderBy("row").collect()]
     at = next((i for _, cells in rows[:25] for i, c in enumerate(cells) if remark_header in c), None)
     head = next((row for row, cells in rows[:25] if at is not None and len(cells) > at and remark_header in cells[at]), rows[0][0] if rows else None)
     place = at if at is not None else max((len(c) for _, c in rows), default=0)
+    text = io.StringIO(newline="")
+    out = csv.writer(text)
+    for row, cells in rows:
+        cells += [""] * (place + 1 - len(cells))
+        cells[place] = remark_header if row == head and at is None else cells[place] if named.get(row) is None else named[row]
+        out.writerow(cells)
+    return text.getvalue()
+
+
+def annotated_csv(sheet: DataFrame, remarks: DataFrame, target: str, remark_header: str = "备注") -> None:
+    """``annotated_text`` as a file with a byte order mark."""
     with open(target, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f)
-        for row, cells in rows:
-            cells += [""] * (place + 1 - len(cells))
-            cells[place] = remark_header if row == head and at is None else cells[place] if named.get(row) is None else named[row]
-            out.writerow(cells)
+        f.write(annotated_text(sheet, remarks, remark_header))
