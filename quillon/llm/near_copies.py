@@ -8,7 +8,9 @@ sets of shingles themselves, which alone decide. Two texts at 0.8 exactly meet i
 hundred, at 0.85 of 99.9 (the larger their families, the more chains join them); texts below the bound are never linked.
 
 Texts with equal sets of shingles are one node from the start. In a large family all would meet all; so texts that
-share a ball's value are first compared with one of them, and only what these links leave apart is compared in pairs.
+share a ball's value are first compared with one of them, and only what these links leave apart is compared in pairs. Pairs are compared by
+blocks of texts: a family of texts that meet is cut into blocks of a bounded size, and the sets of two blocks are brought together once for all
+their pairs, so that what moves grows with the texts of a family and not with its pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SEGMENTS, UNSURE, RADIUS = 16, 6, 2
 DISTANCE = 112
 #: Rounds of comparing with one text of each meeting before all pairs that are still apart are compared.
 STARS = 2
+#: Hashes and texts that a block holds about: two blocks are compared in one go.
+BLOCK_HASHES, BLOCK_TEXTS = 20_000, 128
 #: A set of keys of at most so many rows is broadcast.
 FEW = 200_000
 
@@ -137,17 +141,35 @@ def _token_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, tokens array<bigint>")
 
 
-def _common(pairs: DataFrame) -> DataFrame:
-    """``a``, ``b`` and the number of hashes that two sorted sets have in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [(c.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False)))) for c in (batch.column(2), batch.column(3))]
-            (x, p), (y, q) = sets
-            n = [len(np.intersect1d(x[p[i] : p[i + 1]], y[q[i] : q[i + 1]], assume_unique=True)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["a", "b", "common"])
-
-    return pairs.mapInArrow(run, "a long, b long, common long")
+def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Of the pairs of two blocks of texts (a, b, a_size, b_size), and the blocks' sets (node, tokens): a, b, and how many hashes the two have in common."""
+    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    nodes, column = sets.column("node").to_numpy(), sets.column("tokens").combine_chunks()
+    order = np.argsort(nodes)
+    hashes, ends = column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))
+    x, y = order[np.searchsorted(nodes, a, sorter=order)], order[np.searchsorted(nodes, b, sorter=order)]
+    if len(a) <= 2 * len(nodes):
+        n = [len(np.intersect1d(hashes[ends[i] : ends[i + 1]], hashes[ends[j] : ends[j + 1]], assume_unique=True)) for i, j in zip(x, y, strict=True)]
+    else:  # many pairs of few texts: all their counts at once, over hashes that two texts have
+        _, place, often = np.unique(hashes, return_inverse=True, return_counts=True)
+        shared = np.cumsum(often > 1) - 1
+        held = np.zeros((len(nodes), int(shared[-1]) + 1), np.float32)
+        kept = often[place] > 1
+        held[np.repeat(np.arange(len(nodes)), np.diff(ends))[kept], shared[place[kept]]] = 1
+        n = (held @ held.T)[x, y].astype(np.int64)
+    return pa.table({"a": a, "b": b, "a_size": pairs.column("a_size"), "b_size": pairs.column("b_size"), "common": pa.array(n, pa.int64())})
+
+
+def _in_blocks(pairs: DataFrame) -> DataFrame:
+    """The pairs with a key of the two blocks of texts that they are of. Texts of a family go by its smallest text that they meet, in as many blocks as
+    their number and sizes ask for; so a family's sets travel once for each pair of blocks, not once for each pair of texts."""
+    both = F.array(F.struct(F.col("a").alias("node"), F.col("a_size").alias("size"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("b_size").alias("size"), F.col("a").alias("other")))
+    ends = pairs.select(F.inline(both)).groupBy("node").agg(F.max("size").alias("size"), F.least("node", F.min("other")).alias("family"))
+    blocks = ends.groupBy("family").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_HASHES, F.count(F.lit(1)) / BLOCK_TEXTS)).alias("blocks"))
+    placed = cut(ends.join(blocks, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")))
+    for end in ("a", "b"):
+        pairs = pairs.join(placed.selectExpr(f"node as {end}", f"block as {end}_block"), end)
+    return pairs.select("a", "b", "a_size", "b_size", F.least("a_block", "b_block").alias("one"), F.greatest("a_block", "b_block").alias("two"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -180,8 +202,9 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
         wanted = _few(nodes.join(ends, "node", "left_semi").select("node", "md5"))
         texts = docs.select(_md5(text_col).alias("md5"), text_of(text_col).alias("text")).join(wanted, "md5").select("node", "text")
         sets = cut(_token_sets(texts, shingle).dropDuplicates(["node"]))
-        both = pairs.join(sets.selectExpr("node as a", "tokens as a_tokens"), "a").join(sets.selectExpr("node as b", "tokens as b_tokens"), "b")
-        common = _common(both.select("a", "b", "a_tokens", "b_tokens")).join(pairs, ["a", "b"])
+        keyed = cut(_in_blocks(pairs))
+        of_blocks = keyed.select(F.col("one").alias("p"), F.col("two").alias("q"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+        common = keyed.groupBy("one", "two").cogroup(of_blocks.groupBy("p", "q")).applyInArrow(_common, "a long, b long, a_size long, b_size long, common long")
         return cut(common.filter(f"{100 + percent} * common >= {percent} * (a_size + b_size)").select("a", "b"))
 
     found, posts = None, posts.withColumn("root", F.col("node"))
@@ -195,10 +218,9 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
         # A value whose texts are all joined has done its work.
         apart = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
         posts = cut(named.join(apart, "token", "left_semi"))
-    others = posts.select("token", F.col("root").alias("other")).distinct()
-    pairs = posts.join(others, "token").filter("root < other").select(F.col("node").alias("x"), "token", "other")
-    ends = posts.select(F.col("node").alias("y"), "token", F.col("root").alias("other"))
-    rest = pairs.join(ends, ["token", "other"]).selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct()
+    # What meets is made within the join and leaves it once a task and pair; only posts are dealt out by value.
+    ends = posts.selectExpr("node as y", "token as at", "root as other")
+    rest = posts.join(ends, F.expr("token = at and root < other")).selectExpr("least(node, y) as a", "greatest(node, y) as b").distinct()
     return found.union(verified(near(rest)))
 
 
@@ -207,7 +229,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty; texts with equal sets of shingles, empty ones among them, are near copies of each other. Very long
     texts count whole. Verdicts are of rows, known by their id and the md5 of their text: rows with a null or repeated id
-    lose no other row; of rows that repeat both, one stays. Columns of any name pass. An empty table gives an empty result.
+    lose no other row; of rows that repeat both, the one stays whose columns, written as JSON, come first. Columns of any name pass. An empty table gives an empty result.
     """
     rows = cut(_signed(docs, id_col, text_col, shingle))
     classes = rows.groupBy("digest").agg(F.min("row").alias("row"))
@@ -226,5 +248,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(key, sign(id_col, _md5(text_col)))
     passing = keyed.join(verdicts, F.col(key) == F.col(known), "left_anti").select(docs.columns)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = keyed.join(verdicts.filter(stays), F.col(key) == F.col(known)).groupBy(key).agg(F.first(whole).alias(row)).select(f"{row}.*")
+    once = keyed.join(verdicts.filter(stays), F.col(key) == F.col(known)).groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*")
     return passing.unionByName(once)
