@@ -18,33 +18,37 @@ from quillon.llm.common import shared_folder, ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. Null and empty texts, and short ones, fail the base rules; repeated rows share a verdict; very long texts are measured
+    whole; an empty table stays empty."""
     ship(spark)
     return quality.keep_quality(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts stays."""
+    """One document of each class of equal texts stays, of wholly repeated rows one too. Null, empty and white texts are one class; null ids come last; an empty table
+    stays empty."""
     ship(spark)
     return exact_dedup.exact_distinct(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (shingles of five words, Jaccard similarity 0.8 or more) stays, the one
-    with the smallest id."""
+    with the smallest id; null ids come last. Texts without words are one class; rows that repeat id and text stay once; an empty table stays empty."""
     ship(spark)
     return near_copies.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind; n_chars follows."""
+    """Personal data in texts is replaced by its kind; n_chars follows. Null texts stay null, empty ones empty; all rows stay, repeated ones too; very long texts are searched
+    whole, in windows; an empty table stays empty."""
     ship(spark)
     out = pii.redacted(docs, pii.train(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences with the columns of op1_packing, and their ids."""
+    """Pieces of token sequences with the columns of op1_packing, and their ids. A null or empty text is its end token alone; a very long one is cut into pieces; an empty
+    table has no pieces."""
     ship(spark)
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
 
