@@ -8,14 +8,15 @@ sets of shingles themselves, which alone decide. Two texts at 0.8 exactly meet i
 hundred, at 0.85 of 99.9 (the larger their families, the more chains join them); texts below the bound are never linked.
 
 Texts with equal sets of shingles are one node from the start. In a large family all would meet all; so texts that
-share a ball's value are first compared with one of them, and only what these links leave apart is compared in pairs. Pairs are compared by
-blocks of texts: a family of texts that meet is cut into blocks of a bounded size, and the sets of two blocks are brought together once for all
-their pairs, so that what moves grows with the texts of a family and not with its pairs.
+share a ball's value are first compared with one of them, and only what these links leave apart is compared in pairs. That is done by
+blocks of texts: a family of texts that meet is cut into blocks of a bounded size, and where texts of two blocks meet, the two are brought together once, first
+their fingerprints, then the sets of those texts that are near another. Pairs are never rows: what moves is a text for each two blocks, and a group gives back
+no more links than join its texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,10 +36,12 @@ SEGMENTS, UNSURE, RADIUS = 16, 6, 2
 #: Whole distance up to which sets are compared: four deviations above what a similarity of 0.8 gives, twelve below what
 #: unrelated texts do.
 DISTANCE = 112
-#: Rounds of comparing with one text of each meeting before all pairs that are still apart are compared.
-STARS = 2
+#: Rounds of comparing with one text of each meeting before blocks of what is still apart are compared.
+STARS = 1
 #: Hashes and texts that a block holds about: two blocks are compared in one go.
-BLOCK_HASHES, BLOCK_TEXTS = 20_000, 128
+BLOCK_HASHES, BLOCK_TEXTS = 150_000, 512
+#: Rounds in which texts take the smallest name of those that they meet, before families are cut into blocks by it.
+NAMINGS = 2
 #: A set of keys of at most so many rows is broadcast.
 FEW = 200_000
 
@@ -152,19 +155,23 @@ def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         n = [len(np.intersect1d(hashes[ends[i] : ends[i + 1]], hashes[ends[j] : ends[j + 1]], assume_unique=True)) for i, j in zip(x, y, strict=True)]
     else:  # many pairs of few texts: all their counts at once, over hashes that two texts have
         _, place, often = np.unique(hashes, return_inverse=True, return_counts=True)
-        shared = np.cumsum(often > 1) - 1
-        held = np.zeros((len(nodes), int(shared[-1]) + 1), np.float32)
-        kept = often[place] > 1
-        held[np.repeat(np.arange(len(nodes)), np.diff(ends))[kept], shared[place[kept]]] = 1
-        n = (held @ held.T)[x, y].astype(np.int64)
+        shared, kept = np.cumsum(often > 1) - 1, often[place] > 1
+        owner, at = np.repeat(np.arange(len(nodes)), np.diff(ends))[kept], shared[place[kept]]
+        order, width, met = np.argsort(at), 4096, np.zeros((len(nodes), len(nodes)), np.float32)
+        for low in range(0, int(shared[-1]) + 1, width):  # some columns at a time
+            part = order[slice(*np.searchsorted(at, [low, low + width], sorter=order))]
+            held = np.zeros((len(nodes), width), np.float32)
+            held[owner[part], at[part] - low] = 1
+            met += held @ held.T
+        n = met[x, y].astype(np.int64)
     return pa.table({"a": a, "b": b, "a_size": pairs.column("a_size"), "b_size": pairs.column("b_size"), "common": pa.array(n, pa.int64())})
 
 
 def _in_blocks(pairs: DataFrame) -> DataFrame:
     """The pairs with a key of the two blocks of texts that they are of. Texts of a family go by its smallest text that they meet, in as many blocks as
     their number and sizes ask for; so a family's sets travel once for each pair of blocks, not once for each pair of texts."""
-    both = F.array(F.struct(F.col("a").alias("node"), F.col("a_size").alias("size"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("b_size").alias("size"), F.col("a").alias("other")))
-    ends = pairs.select(F.inline(both)).groupBy("node").agg(F.max("size").alias("size"), F.least("node", F.min("other")).alias("family"))
+    both = pairs.selectExpr("a as node", "a_size as size", "b as other").union(pairs.select("b", "b_size", "a"))
+    ends = both.groupBy("node").agg(F.max("size").alias("size"), F.least("node", F.min("other")).alias("family"))
     blocks = ends.groupBy("family").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_HASHES, F.count(F.lit(1)) / BLOCK_TEXTS)).alias("blocks"))
     placed = cut(ends.join(blocks, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")))
     for end in ("a", "b"):
@@ -172,6 +179,66 @@ def _in_blocks(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "a_size", "b_size", F.least("a_block", "b_block").alias("one"), F.greatest("a_block", "b_block").alias("two"))
 
 
+def _near_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a group of two blocks (node, size, fp, root, side) that are within the whole distance and the bound on sizes, of different roots, and, where there
+    are two blocks, of both."""
+    size, root, side = (group.column(c).to_numpy() for c in ("size", "root", "side"))
+    bits = np.unpackbits(np.frombuffer(b"".join(group.column("fp").to_pylist()), np.uint8).reshape(len(size), -1), axis=1).astype(np.float32)
+    ones = bits.sum(axis=1)
+    fit = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T) <= DISTANCE
+    fit &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+    fit &= root[:, None] != root[None, :]
+    if side.any():
+        fit &= side[:, None] != side[None, :]
+    return np.nonzero(np.triu(fit, 1))
+
+
+def _by_blocks(posts: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) between texts of different roots at or above the bound, enough to join all such texts that meet in ``posts`` (node, token, root); ``prints`` has
+    their node, size and fp, ``sets_of`` gives the sets (node, tokens) of some nodes."""
+    name = posts.select("node", "token", F.col("node").alias("name"))
+    for _ in range(NAMINGS):
+        low = name.groupBy("token").agg(F.min("name").alias("low"))
+        named = name.join(low, "token").groupBy("node").agg(F.min("low").alias("name"))
+        name = cut(posts.select("node", "token").join(named, "node"))
+    nodes = name.select("node", "name").distinct().join(prints, "node").join(posts.select("node", "root").distinct(), "node")
+    blocks = nodes.groupBy("name").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_HASHES, F.count(F.lit(1)) / BLOCK_TEXTS)).alias("blocks"))
+    placed = cut(nodes.join(blocks, "name").select("node", "size", "fp", "root", F.xxhash64("name", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")))
+    met = cut(posts.select("node", "token").join(placed.select("node", "block"), "node").select("token", "block").distinct())
+    ends = met.select(F.col("token").alias("at"), F.col("block").alias("two"))
+    both = cut(met.withColumnRenamed("block", "one").join(ends, F.expr("token = at and one <= two")).select("one", "two").distinct())
+    sides = placed.join(both, F.col("block") == F.col("one")).withColumn("side", F.lit(0)).unionByName(placed.join(both.filter("one < two"), F.col("block") == F.col("two")).withColumn("side", F.lit(1)))
+    keyed = sides.select("one", "two", "node", "size", "fp", "root", "side")
+
+    def near(group: pa.Table) -> pa.Table:
+        some = np.unique(np.concatenate(_near_pairs(group, percent)))
+        return group.take(pa.array(some))
+
+    def joined(group: pa.Table) -> pa.Table:
+        i, j = _near_pairs(group, percent)
+        node, size = (group.column(c).to_numpy() for c in ("node", "size"))
+        got = _common(pa.table({"a": node[i], "b": node[j], "a_size": size[i], "b_size": size[j]}), group.select(["node", "tokens"])).column("common").to_numpy()
+        good = (100 + percent) * got >= percent * (size[i] + size[j])
+        root = list(range(len(node)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for a, b in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:  # a link that others of the group already make is left out
+                root[x] = y
+                out.append((min(node[a], node[b]), max(node[a], node[b])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    close = cut(keyed.groupBy("one", "two").applyInArrow(near, keyed.schema))
+    whole = close.join(sets_of(close.select("node").distinct()), "node")
+    return cut(whole.groupBy("one", "two").applyInArrow(joined, "a long, b long"))
+
+
 def _few(df: DataFrame) -> DataFrame:
     """For a join: a table of at most ``FEW`` rows is broadcast, a larger one dealt out."""
     df = cut(df)
@@ -188,7 +255,14 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
     posts = cut(posts)
     bits = " + ".join(f"bit_count(a_fp[{i}] ^ b_fp[{i}])" for i in range(SEGMENTS // 2))
     words = F.array(*(F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(SEGMENTS // 2)))
-    prints = cut(wide.select("node", "size", words.alias("fp")).join(posts.select("node").distinct(), "node"))
+    met = posts.select("node").distinct()
+    prints = cut(wide.select("node", "size", words.alias("fp")).join(met, "node"))
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """The sets of some nodes. Texts come back by their md5; those that share one are the same text."""
+        wanted = _few(nodes.join(ends, "node", "left_semi").select("node", "md5"))
+        texts = docs.select(_md5(text_col).alias("md5"), text_of(text_col).alias("text")).join(wanted, "md5").select("node", "text")
+        return cut(_token_sets(texts, shingle).dropDuplicates(["node"]))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs within the whole distance and the bound on sizes."""
@@ -197,13 +271,10 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
         return cut(pairs.filter(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and {bits} <= {DISTANCE}").select("a", "b", "a_size", "b_size"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs at or above the bound by their sets. Texts come back by their md5; those that share one are the same text."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = _few(nodes.join(ends, "node", "left_semi").select("node", "md5"))
-        texts = docs.select(_md5(text_col).alias("md5"), text_of(text_col).alias("text")).join(wanted, "md5").select("node", "text")
-        sets = cut(_token_sets(texts, shingle).dropDuplicates(["node"]))
+        """Pairs at or above the bound by their sets."""
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         keyed = cut(_in_blocks(pairs))
-        of_blocks = keyed.select(F.col("one").alias("p"), F.col("two").alias("q"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+        of_blocks = keyed.select(F.col("one").alias("p"), F.col("two").alias("q"), F.col("a").alias("node")).union(keyed.select("one", "two", "b")).distinct().join(sets, "node")
         common = keyed.groupBy("one", "two").cogroup(of_blocks.groupBy("p", "q")).applyInArrow(_common, "a long, b long, a_size long, b_size long, common long")
         return cut(common.filter(f"{100 + percent} * common >= {percent} * (a_size + b_size)").select("a", "b"))
 
@@ -218,10 +289,8 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
         # A value whose texts are all joined has done its work.
         apart = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
         posts = cut(named.join(apart, "token", "left_semi"))
-    # What meets is made within the join and leaves it once a task and pair; only posts are dealt out by value.
-    ends = posts.selectExpr("node as y", "token as at", "root as other")
-    rest = posts.join(ends, F.expr("token = at and root < other")).selectExpr("least(node, y) as a", "greatest(node, y) as b").distinct()
-    return found.union(verified(near(rest)))
+    apart = wide.select("node", "size", "fp").join(posts.select("node").distinct(), "node")
+    return found.union(_by_blocks(posts, apart, sets_of, percent))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
