@@ -17,18 +17,24 @@ from quillon.sinks import export, snapshots
 ROW_GROUP = 8 << 20
 
 
-def build(base: DataFrame, files: DataFrame, folder: str, built_at: str, relations: DataFrame | None = None, units: DataFrame | None = None, areas: DataFrame | None = None, parts: int | None = None, row_group: int = ROW_GROUP) -> dict:
+def build(base: DataFrame, files: DataFrame | None, folder: str, built_at: str, relations: DataFrame | None = None, units: DataFrame | None = None, areas: DataFrame | None = None, parts: int | None = None, row_group: int = ROW_GROUP) -> dict:
     """Write the index tables below the new ``folder`` and return what is noted: built_at, rows of each table, with_file (standards that have one) and, with
     relations, units and areas, with_unit and with_region. The note is written last: without it there is no index.
 
     ``base`` has id and std_id, ``files`` base_id, file_name and file_path. Standards come in the order of their normal codes; a null code has a null key.
+    Without files there is a table of standards alone, which is all that look-ups of codes and ids read.
     """
     spark = base.sparkSession
     keyed = base.withColumns({"std_id_norm": codes.norm_key(F.col("std_id")), "std_id_compact": codes.stored_compact(F.col("std_id")), "compact": codes.compact_key(F.col("std_id"))})
     export.write_index(keyed, f"{folder}/standards", "std_id_norm", parts, ("id", "std_id", "compact"), row_group)
+    std = spark.read.parquet(f"{folder}/standards")
+    if files is None:
+        notes = {"built_at": built_at, "standards": std.count()}
+        snapshots.put(spark, f"{folder}/index.json", snapshots.as_json(notes))
+        return notes
     lower = files.withColumns({"name_key": F.lower("file_name"), "path_key": F.lower("file_path")})
     export.write_index(lower, f"{folder}/files", "base_id", parts, ("name_key", "path_key"), row_group)
-    std, found = spark.read.parquet(f"{folder}/standards"), spark.read.parquet(f"{folder}/files")
+    found = spark.read.parquet(f"{folder}/files")
     notes = {"built_at": built_at, "standards": std.count(), "files": found.count(), "with_file": std.join(found, std["id"] == found["base_id"], "left_semi").count()}
     if relations is not None and units is not None and areas is not None:
         export.write_index(geo.materialize(relations, units, areas), f"{folder}/regions", "base_id", parts, ("unit_id",), row_group)

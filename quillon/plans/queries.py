@@ -325,11 +325,14 @@ def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
     return postings.matching(_postings(spark, d), "of-th").select(F.col("id").alias("doc_id"))
 
 
-def _index(spark: SparkSession, d: str) -> str:
-    """The folder of the index tables, built once an application and data."""
-    folder = f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+def _index(spark: SparkSession, d: str, codes_alone: bool = False) -> str:
+    """The folder of the index tables, or of the one that look-ups of codes read, built once an application and data."""
+    folder = f"{shared_folder(spark)}/{'codes' if codes_alone else 'index'}-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
     if not lookup.ready(spark, folder):
         base = B.standards(spark, d).drop("std_id_norm", "std_id_compact")
+        if codes_alone:
+            lookup.build(base, None, folder, "2024-01-01")
+            return folder
         lookup.build(base, B.files(spark, d), folder, "2024-01-01", B.relations(spark, d), B.units(spark, d), B.areas(spark, d))
     return folder
 
@@ -344,7 +347,7 @@ def index_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("std") + "SELECT id, std_id FROM std WHERE std_id IN ('Q/X 77A', 'QX77A', 'Q/X77A')")
 def index_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.by_code(spark, _index(spark, d), "qx 77a").select("id", "std_id")
+    return lookup.by_code(spark, _index(spark, d, codes_alone=True), "qx 77a").select("id", "std_id")
 
 
 _LISTED = rf"""SELECT prefix || p AS rel_path, max(size) AS file_size FROM (SELECT regexp_extract(url, '^[a-z]+://(.*)$', 1) AS p, strlen(html) AS size FROM pages WHERE url IS NOT NULL), (VALUES (''), ('copy/')) t(prefix) GROUP BY prefix, p"""
