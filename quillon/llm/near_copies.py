@@ -8,7 +8,7 @@ sets of shingles themselves, which alone decide. Two texts at 0.8 exactly meet i
 hundred, at 0.85 of 99.9 (the larger their families, the more chains join them); texts below the bound are never linked.
 
 Texts with equal sets of shingles are one node from the start. In a large family all would meet all; so texts that
-share a ball's value are first compared with one of them, and only what these links leave apart is compared in pairs. That is done by
+share a ball's value are first compared with one of them (a text with a few of those), and only what these links leave apart is compared in pairs. That is done by
 blocks of texts: a family of texts that meet is cut into blocks of a bounded size, and where texts of two blocks meet, the two are brought together once, first
 their fingerprints, then the sets of those texts that are near another. Pairs are never rows: what moves is a text for each two blocks, and a group gives back
 no more links than join its texts.
@@ -36,8 +36,9 @@ SEGMENTS, UNSURE, RADIUS = 16, 6, 2
 #: Whole distance up to which sets are compared: four deviations above what a similarity of 0.8 gives, twelve below what
 #: unrelated texts do.
 DISTANCE = 112
-#: Rounds of comparing with one text of each meeting before blocks of what is still apart are compared.
-STARS = 1
+#: Rounds of comparing with one text of each meeting before blocks of what is still apart are compared, and texts that one is compared with in a round at most: a
+#: text of a large family meets others in each of its balls' values. What that leaves apart, blocks compare.
+STARS, CENTRES = 1, 4
 #: Hashes and texts that a block holds about: two blocks are compared in one go.
 BLOCK_HASHES, BLOCK_TEXTS = 150_000, 512
 #: Rounds in which texts take the smallest name of those that they meet, before families are cut into blocks by it.
@@ -119,19 +120,20 @@ def _md5(text_col: str) -> Column:
     return F.unhex(F.md5(F.encode(text_of(text_col), "utf-8")))
 
 
-def _entries(nodes: DataFrame) -> DataFrame:
-    """``node`` and ``token``, one row for each value of its balls."""
+def _entries(nodes: DataFrame, *names: str) -> DataFrame:
+    """``names``, longs, of each node and ``token``, one row for each value of its balls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                values = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, SEGMENTS)
-                unsure = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, SEGMENTS, UNSURE)
+                values = np.frombuffer(b"".join(part.column(0).to_pylist()), "<u4").reshape(-1, SEGMENTS)
+                unsure = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, SEGMENTS, UNSURE)
                 tokens = balls(values, unsure)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), tokens.shape[1])), pa.array(tokens.ravel())], names=["node", "token"])
+                repeated = [pa.array(np.repeat(c.to_numpy(), tokens.shape[1])) for c in part.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*repeated, pa.array(tokens.ravel())], names=[*names, "token"])
 
-    return nodes.select("node", "fp", "unsure").mapInArrow(run, "node long, token long")
+    return nodes.select("fp", "unsure", *names).mapInArrow(run, ", ".join(f"{n} long" for n in (*names, "token")))
 
 
 def _token_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -195,18 +197,21 @@ def _near_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_blocks(posts: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) between texts of different roots at or above the bound, enough to join all such texts that meet in ``posts`` (node, token, root); ``prints`` has
-    their node, size and fp, ``sets_of`` gives the sets (node, tokens) of some nodes."""
-    name = posts.select("node", "token", F.col("node").alias("name"))
+    their node, size, fp and unsure, ``sets_of`` gives the sets (node, tokens) of some nodes.
+
+    What is asked of all meetings is asked by windows and groups; joins are of texts, blocks and pairs of blocks.
+    """
+    name = posts.withColumn("name", F.col("node"))
     for _ in range(NAMINGS):
-        low = name.groupBy("token").agg(F.min("name").alias("low"))
-        named = name.join(low, "token").groupBy("node").agg(F.min("low").alias("name"))
-        name = cut(posts.select("node", "token").join(named, "node"))
-    nodes = name.select("node", "name").distinct().join(prints, "node").join(posts.select("node", "root").distinct(), "node")
+        name = name.withColumn("name", F.expr("min(name) over (partition by token)")).withColumn("name", F.expr("min(name) over (partition by node)"))
+    nodes = cut(name.groupBy("node").agg(F.min("name").alias("name"), F.min("root").alias("root")).join(prints, "node"))
     blocks = nodes.groupBy("name").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_HASHES, F.count(F.lit(1)) / BLOCK_TEXTS)).alias("blocks"))
-    placed = cut(nodes.join(blocks, "name").select("node", "size", "fp", "root", F.xxhash64("name", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")))
-    met = cut(posts.select("node", "token").join(placed.select("node", "block"), "node").select("token", "block").distinct())
-    ends = met.select(F.col("token").alias("at"), F.col("block").alias("two"))
-    both = cut(met.withColumnRenamed("block", "one").join(ends, F.expr("token = at and one <= two")).select("one", "two").distinct())
+    placed = cut(nodes.join(blocks, "name").withColumn("block", F.xxhash64("name", F.pmod(F.xxhash64("node"), F.col("blocks")))).drop("name", "blocks"))
+    # The values of the balls are made once more, now with the block, for the few sets of blocks in which they lie.
+    met = _entries(placed, "block", "root").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_sort(F.collect_set("block")).alias("met"))
+    met = cut(met.filter("low < high").select("met").distinct())
+    ends = met.withColumn("one", F.explode("met")).withColumn("two", F.explode(F.filter("met", lambda b: b >= F.col("one"))))
+    both = cut(ends.select("one", "two").distinct())
     sides = placed.join(both, F.col("block") == F.col("one")).withColumn("side", F.lit(0)).unionByName(placed.join(both.filter("one < two"), F.col("block") == F.col("two")).withColumn("side", F.lit(1)))
     keyed = sides.select("one", "two", "node", "size", "fp", "root", "side")
 
@@ -251,7 +256,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets reach the bound only as equals
     wide = nodes.filter(F.col("size") >= least)
     # One exchange: meetings are counted where their values lie; values of one text alone leave.
-    posts = _entries(wide).repartition("token").withColumn("n", F.expr("count(1) over (partition by token)")).filter("n > 1").select("node", "token")
+    posts = _entries(wide, "node").repartition("token").withColumn("n", F.expr("count(1) over (partition by token)")).filter("n > 1").select("node", "token")
     posts = cut(posts)
     bits = " + ".join(f"bit_count(a_fp[{i}] ^ b_fp[{i}])" for i in range(SEGMENTS // 2))
     words = F.array(*(F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(SEGMENTS // 2)))
@@ -280,16 +285,19 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
 
     found, posts = None, posts.withColumn("root", F.col("node"))
     for star in range(STARS):
-        centre = posts.groupBy("token").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(star))).alias("c"))
-        pairs = posts.join(centre, "token").filter("root <> c.root").selectExpr("least(node, c.node) as a", "greatest(node, c.node) as b").distinct()
+        # Of the texts that others of its meetings are compared with, a text is compared with those that come first for all.
+        centre = F.expr(f"min(struct(xxhash64(node, {star}) as place, node, root)) over (partition by token)")
+        each = posts.withColumn("c", centre).filter("root <> c.root").select("node", "c").distinct()
+        first = each.withColumn("k", F.expr("row_number() over (partition by node order by c)")).filter(F.col("k") <= CENTRES)
+        pairs = first.selectExpr("least(node, c.node) as a", "greatest(node, c.node) as b").distinct()
         new = verified(near(pairs))
         found = new if found is None else found.union(new)
         roots = components(found).selectExpr("node as linked", "root as new_root")
         named = posts.join(roots, posts["node"] == roots["linked"], "left").select("node", "token", F.coalesce("new_root", "node").alias("root"))
         # A value whose texts are all joined has done its work.
-        apart = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-        posts = cut(named.join(apart, "token", "left_semi"))
-    apart = wide.select("node", "size", "fp").join(posts.select("node").distinct(), "node")
+        ends = named.withColumn("low", F.expr("min(root) over (partition by token)")).withColumn("high", F.expr("max(root) over (partition by token)"))
+        posts = cut(ends.filter("low < high").select("node", "token", "root"))
+    apart = wide.select("node", "size", "fp", "unsure").join(posts.select("node").distinct(), "node")
     return found.union(_by_blocks(posts, apart, sets_of, percent))
 
 
