@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillon.operators import catalog
 
 PLACE = ("token", "field", "id", "pos")
+#: Bytes of text whose postings a file holds.
+PER_FILE = 8_000_000
 
 
 def of(files: DataFrame, id_col: str = "id", fields: tuple[str, ...] = catalog.FIELDS) -> DataFrame:
@@ -28,6 +30,12 @@ def of(files: DataFrame, id_col: str = "id", fields: tuple[str, ...] = catalog.F
     return spread.select("id", F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("pos", "token")).select(*PLACE)
 
 
+def files_of(files: DataFrame, fields: tuple[str, ...] = catalog.FIELDS) -> int:
+    """Into how many files to write the postings of these rows: it follows the bytes of their fields, so that what a task sorts does not grow with the table."""
+    size = sum((F.coalesce(F.octet_length(f).cast("long"), F.lit(0)) for f in fields), F.lit(0))
+    return max(1, -(-(files.agg(F.sum(size).alias("n")).first()["n"] or 0) // PER_FILE))
+
+
 def write(postings: DataFrame, path: str, files: int | None = None) -> None:
     """In ranges of token and id, sorted."""
     by = ("token", "id")

@@ -308,7 +308,8 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_folder(spark)}/postings-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
     if "_SUCCESS" not in snapshots.names(spark, path):
         docs = B.table(spark, d, "documents")
-        postings.write(postings.of(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("category"), F.col("lang").alias("title"), F.col("text").alias("filename"))), path)
+        files = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("category"), F.col("lang").alias("title"), F.col("text").alias("filename"))
+        postings.write(postings.of(files), path, postings.files_of(files))
     return spark.read.parquet(path)
 
 
