@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract here: the space and the characters 9 to 13.
@@ -69,6 +69,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def held(df: DataFrame, rows: int, keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, int]:
+    """The table after ``keep``, and its number of rows, which Spark counts as it writes them. A later stage reads it in tasks of about ``rows`` rows, so that
+    a small table costs few tasks and files, however many shuffle partitions the session has; no task gets all rows of a large one."""
+    seen = Observation()
+    out = keep(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get.get("n")
+    n = out.count() if n is None else n
+    return out.coalesce(max(1, -(-n // rows))), n
+
+
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows with a key of their own, a long, and its name. They are kept in the shared folder, so that every later reading
     sees the same keys, whatever order the rows come in."""

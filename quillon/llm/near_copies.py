@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, fresh, slices, text_of
+from quillon.llm.common import cut, fresh, held, slices, text_of
 from quillon.llm.simhash import components
 
 SHINGLE = 5
@@ -36,15 +36,19 @@ SEGMENTS, UNSURE, RADIUS = 16, 6, 2
 #: Whole distance up to which sets are compared: four deviations above what a similarity of 0.8 gives, twelve below what
 #: unrelated texts do.
 DISTANCE = 112
-#: Rounds of comparing with one text of each meeting before blocks of what is still apart are compared, and texts that one is compared with in a round at most: a
-#: text of a large family meets others in each of its balls' values. What that leaves apart, blocks compare.
-STARS, CENTRES = 1, 4
+#: Texts that one is compared with at most before blocks of what is still apart are compared: a text of a large family meets others in each of its balls' values. What that leaves
+#: apart, blocks compare.
+CENTRES = 4
 #: Hashes and texts that a block holds about: two blocks are compared in one go.
 BLOCK_HASHES, BLOCK_TEXTS = 150_000, 512
 #: Rounds in which texts take the smallest name of those that they meet, before families are cut into blocks by it.
 NAMINGS = 2
-#: A set of keys of at most so many rows is broadcast.
-FEW = 200_000
+#: Texts that are compared with their centre in one go at most, about.
+STAR_TEXTS = 128
+#: A set of keys of at most so many rows is broadcast, and a table of fingerprints of at most so many.
+FEW, FEW_PRINTS = 200_000, 50_000
+#: Rows that a task reads of a small table, of texts with their fingerprints or sets, and of narrow rows.
+TEXTS_A_TASK, ROWS_A_TASK = 2048, 16_384
 
 _MASKS = np.array([c for r in range(RADIUS + 1) for c in (tuple(x) + (-1,) * (RADIUS - r) for x in combinations(range(UNSURE), r))])
 
@@ -169,16 +173,16 @@ def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b, "a_size": pairs.column("a_size"), "b_size": pairs.column("b_size"), "common": pa.array(n, pa.int64())})
 
 
-def _in_blocks(pairs: DataFrame) -> DataFrame:
-    """The pairs with a key of the two blocks of texts that they are of. Texts of a family go by its smallest text that they meet, in as many blocks as
-    their number and sizes ask for; so a family's sets travel once for each pair of blocks, not once for each pair of texts."""
-    both = pairs.selectExpr("a as node", "a_size as size", "b as other").union(pairs.select("b", "b_size", "a"))
-    ends = both.groupBy("node").agg(F.max("size").alias("size"), F.least("node", F.min("other")).alias("family"))
-    blocks = ends.groupBy("family").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_HASHES, F.count(F.lit(1)) / BLOCK_TEXTS)).alias("blocks"))
-    placed = cut(ends.join(blocks, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")))
-    for end in ("a", "b"):
-        pairs = pairs.join(placed.selectExpr(f"node as {end}", f"block as {end}_block"), end)
-    return pairs.select("a", "b", "a_size", "b_size", F.least("a_block", "b_block").alias("one"), F.greatest("a_block", "b_block").alias("two"))
+def _with_centre(group: pa.Table, percent: int) -> pa.Table:
+    """Of some texts (centre, node, tokens) of one centre, itself among them: a link (a, b) from each at or above the bound to the centre."""
+    nodes, column = group.column("node").to_numpy(), group.column("tokens").combine_chunks()
+    hashes, ends = column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))
+    centre = group.column("centre")[0].as_py()
+    at = int(np.flatnonzero(nodes == centre)[0])
+    own = hashes[ends[at] : ends[at + 1]]
+    counts, sizes = np.append(0, np.cumsum(np.isin(hashes, own)))[ends], np.diff(ends)
+    good = ((100 + percent) * np.diff(counts) >= percent * (sizes + len(own))) & (nodes != centre)
+    return pa.table({"a": nodes[good], "b": np.full(good.sum(), centre, np.int64)})
 
 
 def _near_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,16 +208,17 @@ def _by_blocks(posts: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame
     name = posts.withColumn("name", F.col("node"))
     for _ in range(NAMINGS):
         name = name.withColumn("name", F.expr("min(name) over (partition by token)")).withColumn("name", F.expr("min(name) over (partition by node)"))
-    nodes = cut(name.groupBy("node").agg(F.min("name").alias("name"), F.min("root").alias("root")).join(prints, "node"))
-    blocks = nodes.groupBy("name").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_HASHES, F.count(F.lit(1)) / BLOCK_TEXTS)).alias("blocks"))
-    placed = cut(nodes.join(blocks, "name").withColumn("block", F.xxhash64("name", F.pmod(F.xxhash64("node"), F.col("blocks")))).drop("name", "blocks"))
+    nodes, _ = _held(name.groupBy("node").agg(F.min("name").alias("name"), F.min("root").alias("root")).join(prints, "node"), TEXTS_A_TASK)
+    blocks = _keys(nodes.groupBy("name").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_HASHES, F.count(F.lit(1)) / BLOCK_TEXTS)).alias("blocks")).filter("blocks > 1"))
+    block = F.xxhash64("name", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
+    placed = nodes.join(blocks, "name", "left").withColumn("block", block).drop("name", "blocks")
     # The values of the balls are made once more, now with the block, for the few sets of blocks in which they lie.
     met = _entries(placed, "block", "root").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_sort(F.collect_set("block")).alias("met"))
-    met = cut(met.filter("low < high").select("met").distinct())
+    met = met.filter("low < high").select("met").distinct()
     ends = met.withColumn("one", F.explode("met")).withColumn("two", F.explode(F.filter("met", lambda b: b >= F.col("one"))))
-    both = cut(ends.select("one", "two").distinct())
-    sides = placed.join(both, F.col("block") == F.col("one")).withColumn("side", F.lit(0)).unionByName(placed.join(both.filter("one < two"), F.col("block") == F.col("two")).withColumn("side", F.lit(1)))
-    keyed = sides.select("one", "two", "node", "size", "fp", "root", "side")
+    side = lambda end, n: F.struct(F.col(end).alias("block"), F.lit(n).alias("side"))
+    both = ends.select("one", "two").distinct().withColumn("s", F.explode(F.array(side("one", 0), side("two", 1)))).filter("s.side = 0 or one < two")
+    keyed = placed.join(_keys(both.select("one", "two", "s.*")), "block").select("one", "two", "node", "size", "fp", "root", "side")
 
     def near(group: pa.Table) -> pa.Table:
         some = np.unique(np.concatenate(_near_pairs(group, percent)))
@@ -239,66 +244,63 @@ def _by_blocks(posts: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame
                 out.append((min(node[a], node[b]), max(node[a], node[b])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    close = cut(keyed.groupBy("one", "two").applyInArrow(near, keyed.schema))
-    whole = close.join(sets_of(close.select("node").distinct()), "node")
+    close, n = _held(keyed.groupBy("one", "two").applyInArrow(near, keyed.schema), TEXTS_A_TASK)
+    ends = close.select("node")
+    whole = close.join(sets_of(F.broadcast(ends) if n <= FEW else ends), "node")
     return cut(whole.groupBy("one", "two").applyInArrow(joined, "a long, b long"))
 
 
-def _few(df: DataFrame) -> DataFrame:
+def _held(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    return held(df, rows, cut)
+
+
+def _keys(df: DataFrame) -> DataFrame:
     """For a join: a table of at most ``FEW`` rows is broadcast, a larger one dealt out."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= FEW else df
+    df, n = _held(df, ROWS_A_TASK)
+    return F.broadcast(df) if n <= FEW else df
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingle: int) -> DataFrame:
     """Links (a, b) between ``nodes`` (node, md5, size, fp, unsure): each joins two texts at or above the bound, and two such texts that
     meet in a segment are joined by a chain of links."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets reach the bound only as equals
-    wide = nodes.filter(F.col("size") >= least)
-    # One exchange: meetings are counted where their values lie; values of one text alone leave.
-    posts = _entries(wide, "node").repartition("token").withColumn("n", F.expr("count(1) over (partition by token)")).filter("n > 1").select("node", "token")
-    posts = cut(posts)
+    wide, n = _held(nodes.filter(F.col("size") >= least), TEXTS_A_TASK)
+    # One exchange: where values lie, meetings are counted and get a centre; values of one text alone leave.
+    centre = F.expr("min(struct(xxhash64(node) as place, node)) over (partition by token)")
+    posts = _entries(wide, "node").repartition("token").withColumn("n", F.expr("count(1) over (partition by token)")).withColumn("c", centre)
+    posts = cut(posts.filter("n > 1").select("node", "token", F.col("c.node").alias("centre")))
     bits = " + ".join(f"bit_count(a_fp[{i}] ^ b_fp[{i}])" for i in range(SEGMENTS // 2))
     words = F.array(*(F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(SEGMENTS // 2)))
-    met = posts.select("node").distinct()
-    prints = cut(wide.select("node", "size", words.alias("fp")).join(met, "node"))
 
     def sets_of(ends: DataFrame) -> DataFrame:
         """The sets of some nodes. Texts come back by their md5; those that share one are the same text."""
-        wanted = _few(nodes.join(ends, "node", "left_semi").select("node", "md5"))
+        wanted = _keys(wide.join(ends, "node", "left_semi").select("node", "md5"))
         texts = docs.select(_md5(text_col).alias("md5"), text_of(text_col).alias("text")).join(wanted, "md5").select("node", "text")
-        return cut(_token_sets(texts, shingle).dropDuplicates(["node"]))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs within the whole distance and the bound on sizes."""
-        for end in ("a", "b"):
-            pairs = pairs.join(prints.selectExpr(f"node as {end}", f"size as {end}_size", f"fp as {end}_fp"), end)
-        return cut(pairs.filter(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and {bits} <= {DISTANCE}").select("a", "b", "a_size", "b_size"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs at or above the bound by their sets."""
-        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        keyed = cut(_in_blocks(pairs))
-        of_blocks = keyed.select(F.col("one").alias("p"), F.col("two").alias("q"), F.col("a").alias("node")).union(keyed.select("one", "two", "b")).distinct().join(sets, "node")
-        common = keyed.groupBy("one", "two").cogroup(of_blocks.groupBy("p", "q")).applyInArrow(_common, "a long, b long, a_size long, b_size long, common long")
-        return cut(common.filter(f"{100 + percent} * common >= {percent} * (a_size + b_size)").select("a", "b"))
-
-    found, posts = None, posts.withColumn("root", F.col("node"))
-    for star in range(STARS):
-        # Of the texts that others of its meetings are compared with, a text is compared with those that come first for all.
-        centre = F.expr(f"min(struct(xxhash64(node, {star}) as place, node, root)) over (partition by token)")
-        each = posts.withColumn("c", centre).filter("root <> c.root").select("node", "c").distinct()
-        first = each.withColumn("k", F.expr("row_number() over (partition by node order by c)")).filter(F.col("k") <= CENTRES)
-        pairs = first.selectExpr("least(node, c.node) as a", "greatest(node, c.node) as b").distinct()
-        new = verified(near(pairs))
-        found = new if found is None else found.union(new)
-        roots = components(found).selectExpr("node as linked", "root as new_root")
-        named = posts.join(roots, posts["node"] == roots["linked"], "left").select("node", "token", F.coalesce("new_root", "node").alias("root"))
-        # A value whose texts are all joined has done its work.
-        ends = named.withColumn("low", F.expr("min(root) over (partition by token)")).withColumn("high", F.expr("max(root) over (partition by token)"))
-        posts = cut(ends.filter("low < high").select("node", "token", "root"))
-    apart = wide.select("node", "size", "fp", "unsure").join(posts.select("node").distinct(), "node")
-    return found.union(_by_blocks(posts, apart, sets_of, percent))
+        return _held(_token_sets(texts, shingle).dropDuplicates(["node"]), TEXTS_A_TASK)[0]
+
+    # Of the texts that others of its meetings are compared with, a text is compared with those that come first for all.
+    first = posts.filter("node <> centre").groupBy("node").agg(F.array_sort(F.collect_set(F.struct(F.xxhash64("centre").alias("place"), "centre"))).alias("c"))
+    pairs = first.select(F.col("node").alias("a"), F.explode(F.slice("c", 1, CENTRES)).alias("c")).select("a", F.col("c.centre").alias("b"))
+    for end in ("a", "b"):
+        prints = wide.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), words.alias(f"{end}_fp"))
+        pairs = pairs.join(F.broadcast(prints) if n <= FEW_PRINTS else prints, end)
+    # Pairs within the whole distance and the bound on sizes.
+    close = pairs.filter(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and {bits} <= {DISTANCE}").select("a", "b", "a_size", "b_size")
+    pairs, n = _held(close, ROWS_A_TASK)
+    # A centre goes once to each part of its texts; so a large star has many small parts.
+    parts = _keys(pairs.groupBy("b").agg(F.ceil(F.greatest(F.sum("a_size") / BLOCK_HASHES, F.count(F.lit(1)) / STAR_TEXTS)).alias("parts")).filter("parts > 1"))
+    keyed = pairs.join(parts, "b", "left").select(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"), "a")
+    both = keyed.select("centre", "part", F.explode(F.array("a", "centre")).alias("node"))
+    ends = both.select("node")
+    members = both.distinct().join(sets_of(F.broadcast(ends) if n <= FEW else ends), "node")
+    found, n = _held(members.groupBy("centre", "part").applyInArrow(lambda group: _with_centre(group, percent), "a long, b long"), ROWS_A_TASK)
+
+    roots = components(found).selectExpr("node as linked", "root")
+    named = posts.join(F.broadcast(roots) if n <= FEW else roots, posts["node"] == roots["linked"], "left").select("node", "token", F.coalesce("root", "node").alias("root"))
+    # A value whose texts are all joined has done its work.
+    ends = named.withColumn("low", F.expr("min(root) over (partition by token)")).withColumn("high", F.expr("max(root) over (partition by token)"))
+    apart = ends.filter("low < high").select("node", "token", "root")
+    return found.union(_by_blocks(apart, wide.select("node", "size", "fp", "unsure"), sets_of, percent))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -310,18 +312,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = cut(_signed(docs, id_col, text_col, shingle))
     classes = rows.groupBy("digest").agg(F.min("row").alias("row"))
-    nodes = cut(rows.join(classes, ["digest", "row"]).select(F.col("row").alias("node"), "md5", "size", "fp", "unsure"))
+    nodes = rows.join(classes, ["digest", "row"]).select(F.col("row").alias("node"), "md5", "size", "fp", "unsure")
     named = rows.select("id", "md5", "digest").join(classes.select("digest", F.col("row").alias("node")), "digest").select("id", "md5", "node")
     found = components(links(docs, nodes, text_col, percent, shingle)).withColumnRenamed("node", "linked")
     named = named.join(found, named["node"] == found["linked"], "left").select("id", "md5", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("md5").alias("md5"))
-    rows = cut(named.groupBy("root", "id", "md5").agg(F.count(F.lit(1)).alias("n")))
+    rows, _ = _held(named.groupBy("root", "id", "md5").agg(F.count(F.lit(1)).alias("n")), ROWS_A_TASK)
     first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("kinds"))
     # What leaves, and what stays once though its row repeats; all other rows pass as they are.
     verdicts = rows.join(first, "root").withColumn("stays", F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.md5") == F.col("md5"))).filter("not stays or n > 1")
     key, known, stays, row = fresh(docs, "__key", "__known", "__stays", "__row")
     sign = lambda id_name, md5: F.struct(F.col(id_name).isNull().alias("no_id"), F.coalesce(F.xxhash64(id_name), F.lit(0)).alias("id"), md5.alias("md5"))
-    verdicts = _few(verdicts.select(sign("id", F.col("md5")).alias(known), F.col("stays").alias(stays)))
+    verdicts = _keys(verdicts.select(sign("id", F.col("md5")).alias(known), F.col("stays").alias(stays)))
     keyed = docs.withColumn(key, sign(id_col, _md5(text_col)))
     passing = keyed.join(verdicts, F.col(key) == F.col(known), "left_anti").select(docs.columns)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

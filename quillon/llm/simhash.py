@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, first_rows, row_order, text_of, with_row_key
+from quillon.llm.common import cut, first_rows, held, row_order, text_of, with_row_key
 
 SEED = 42
 DISTANCE = 3
 SHINGLE = 3
+#: Edges that one task joins by itself; a graph of more takes rounds of joins.
+EDGES = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -68,29 +70,52 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return probes.join(table, ["part", "value"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the edges (u, v) of a task, one from each node to the smallest node of its component there, if that is another one."""
+    got = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+    names, ends = np.unique(np.concatenate(got, axis=1) if got else np.empty((2, 0), np.int64), return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x, y in ends.reshape(2, -1).T.tolist():
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    low = np.array([find(x) for x in range(len(names))], np.int64)
+    u = np.flatnonzero(low != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[u]), pa.array(names[low[u]])], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for every node of an edge (a, b) of longs.
 
-    Alternating large-star and small-star: both keep the components and move edges towards the smallest
+    Each task first joins its own edges, at most about ``EDGES``, into stars; what keeps the components has fewer edges then. Where no more than
+    ``EDGES`` are left, one task ends the work; else rounds do: alternating large-star and small-star: both keep the components and move edges towards the smallest
     neighbour; the rounds grow with the logarithm of the nodes. A neighbourhood is reduced to its minimum by a
     partially aggregated group and met again by a join that adaptive execution may split, so a hub with very
     many edges is never gathered into one task.
     """
-    now = cut(edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")))
+    now, n = held(edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")), EDGES)
+    now, n = held(now.mapInArrow(_forest, "u long, v long"), EDGES)
     before = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while n > EDGES:
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = cut(small.filter("u <> v").distinct())
+        now, n = held(small.filter("u <> v").distinct(), EDGES)
         state = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
+    else:
+        now = cut(now.mapInArrow(_forest, "u long, v long"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
