@@ -199,6 +199,32 @@ def _near_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.triu(fit, 1))
 
 
+def _held(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    return held(df, rows, cut)
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    """For a join: a table of at most ``FEW`` rows is broadcast, a larger one dealt out."""
+    df, n = _held(df, ROWS_A_TASK)
+    return F.broadcast(df) if n <= FEW else df
+
+
+def _dealt(met: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of pairs of blocks that meet (one, two) and of all blocks (block, hashes, texts): the groups (owner, bin) to which blocks go, and their side there. Of two blocks the larger is the
+    owner; the smaller ones that meet it are gathered, about a block's texts at a time, so that it goes once to each bin of them, not once to each of them.
+    A block of two texts or more is also compared in itself, alone in a bin."""
+    for end in ("one", "two"):
+        met = met.join(sizes.select(F.col("block").alias(end), F.struct("hashes", "texts", "block").alias(f"{end}_of")), end)
+    met = met.select(F.greatest("one_of", "two_of").alias("o"), F.least("one_of", "two_of").alias("p")).filter("o.block <> p.block").selectExpr("o.block as owner", "p.block as block", "p.hashes", "p.texts")
+    met, _ = _held(met, ROWS_A_TASK)
+    bins = met.groupBy("owner").agg(F.ceil(F.greatest(F.sum("hashes") / BLOCK_HASHES, F.sum("texts") / BLOCK_TEXTS)).alias("bins"))
+    bins = _keys(bins)
+    binned = met.join(bins, "owner").select("owner", F.pmod(F.xxhash64("block"), F.col("bins")).alias("bin"), "block", F.lit(1).alias("side"))
+    owners = bins.select("owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"), F.col("owner").alias("block"), F.lit(0).alias("side"))
+    alone = sizes.filter("texts > 1").select(F.col("block").alias("owner"), F.lit(-1).cast("long").alias("bin"), "block", F.lit(0).alias("side"))
+    return binned.union(owners).union(alone)
+
+
 def _by_blocks(posts: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) between texts of different roots at or above the bound, enough to join all such texts that meet in ``posts`` (node, token, root); ``prints`` has
     their node, size, fp and unsure, ``sets_of`` gives the sets (node, tokens) of some nodes.
@@ -216,9 +242,10 @@ def _by_blocks(posts: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame
     met = _entries(placed, "block", "root").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_sort(F.collect_set("block")).alias("met"))
     met = met.filter("low < high").select("met").distinct()
     ends = met.withColumn("one", F.explode("met")).withColumn("two", F.explode(F.filter("met", lambda b: b >= F.col("one"))))
-    side = lambda end, n: F.struct(F.col(end).alias("block"), F.lit(n).alias("side"))
-    both = ends.select("one", "two").distinct().withColumn("s", F.explode(F.array(side("one", 0), side("two", 1)))).filter("s.side = 0 or one < two")
-    keyed = placed.join(_keys(both.select("one", "two", "s.*")), "block").select("one", "two", "node", "size", "fp", "root", "side")
+    met = _keys(ends.select("one", "two").distinct())
+    sizes = _keys(placed.groupBy("block").agg(F.sum("size").alias("hashes"), F.count(F.lit(1)).alias("texts")))
+    dealt = _keys(_dealt(met, sizes))
+    keyed = placed.join(dealt, "block").select(F.col("owner").alias("one"), F.col("bin").alias("two"), "node", "size", "fp", "root", "side")
 
     def near(group: pa.Table) -> pa.Table:
         some = np.unique(np.concatenate(_near_pairs(group, percent)))
@@ -250,16 +277,6 @@ def _by_blocks(posts: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame
     return cut(whole.groupBy("one", "two").applyInArrow(joined, "a long, b long"))
 
 
-def _held(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    return held(df, rows, cut)
-
-
-def _keys(df: DataFrame) -> DataFrame:
-    """For a join: a table of at most ``FEW`` rows is broadcast, a larger one dealt out."""
-    df, n = _held(df, ROWS_A_TASK)
-    return F.broadcast(df) if n <= FEW else df
-
-
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingle: int) -> DataFrame:
     """Links (a, b) between ``nodes`` (node, md5, size, fp, unsure): each joins two texts at or above the bound, and two such texts that
     meet in a segment are joined by a chain of links."""
