@@ -7,6 +7,9 @@ texts of a pair enumerate, so they meet in a segment where they differ in up to
 sets of shingles themselves, which alone decide. Two texts at 0.8 exactly meet in some segment with a chance of 98 in a
 hundred, at 0.85 of 99.9 (the larger their families, the more chains join them); texts below the bound are never linked.
 
+Two texts of a large table also meet by chance, the more often the more texts there are. So a text leaves a value where no other text is within the whole distance;
+such texts are never linked.
+
 Texts with equal sets of shingles are one node from the start. In a large family all would meet all; so texts that
 share a ball's value are first compared with one of them (a text with a few of those), and only what these links leave apart is compared in pairs. That is done by
 blocks of texts: a family of texts that meet is cut into blocks of a bounded size, and where texts of two blocks meet, the two are brought together once, first
@@ -17,7 +20,7 @@ no more links than join its texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,9 @@ SEGMENTS, UNSURE, RADIUS = 16, 6, 2
 #: Whole distance up to which sets are compared: four deviations above what a similarity of 0.8 gives, twelve below what
 #: unrelated texts do.
 DISTANCE = 112
+#: Neighbours with which a text of a value is compared first, before those that are still near none meet all of the value's texts. A value with more texts, or more pairs left, than these
+#: stays whole: to leave it out spares work, no more.
+NEIGHBOURS, VALUE_TEXTS, VALUE_PAIRS = 8, 1 << 16, 1 << 24
 #: Texts that one is compared with at most before blocks of what is still apart are compared: a text of a large family meets others in each of its balls' values. What that leaves
 #: apart, blocks compare.
 CENTRES = 4
@@ -50,6 +56,7 @@ FEW, FEW_PRINTS = 200_000, 50_000
 #: Rows that a task reads of a small table, of texts with their fingerprints or sets, and of narrow rows.
 TEXTS_A_TASK, ROWS_A_TASK = 2048, 16_384
 
+_POSTS = pa.schema([("node", pa.int64()), ("token", pa.int64()), ("fp", pa.binary())])
 _MASKS = np.array([c for r in range(RADIUS + 1) for c in (tuple(x) + (-1,) * (RADIUS - r) for x in combinations(range(UNSURE), r))])
 
 
@@ -140,6 +147,60 @@ def _entries(nodes: DataFrame, *names: str) -> DataFrame:
     return nodes.select("fp", "unsure", *names).mapInArrow(run, ", ".join(f"{n} long" for n in (*names, "token")))
 
 
+def _near_another(token: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of texts sorted by ``token``, with the 64-bit ``words`` of their fingerprints, whether each is within the whole distance of another one of its token."""
+    near = np.zeros(len(token), bool)
+    for step in range(1, NEIGHBOURS + 1):
+        i = np.flatnonzero((token[step:] == token[:-step]) & ~(near[step:] & near[:-step]))
+        i = i[np.bitwise_count(words[i] ^ words[i + step]).sum(axis=1, dtype=np.int64) <= DISTANCE]
+        near[i] = near[i + step] = True
+    begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    counts = np.diff(np.append(begins, len(token)))
+    for begin, n in zip(begins[counts > NEIGHBOURS].tolist(), counts[counts > NEIGHBOURS].tolist(), strict=True):
+        left, own = np.flatnonzero(~near[begin : begin + n]), slice(begin, begin + n)
+        if len(left) * n > VALUE_PAIRS:
+            near[own] = True
+            continue
+        for x in left.tolist():
+            fit = np.bitwise_count(words[own] ^ words[begin + x]).sum(axis=1, dtype=np.int64) <= DISTANCE
+            near[own] |= fit & (fit.sum() > 1)  # itself fits
+    return near
+
+
+def _met(posts: DataFrame) -> DataFrame:
+    """Of texts with their values and fingerprints (node, token, fp) those that are within the whole distance of another text there: node, token and ``centre``, the first of these
+    by a hash of its node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, whole = None, (None, None)  # rows of a value that may go on; a value that goes on after a part of it went, and its centre
+        for batch in chain(batches, [None]):
+            rows = pa.Table.from_batches([b for b in (rest, batch) if b is not None and b.num_rows] or [pa.RecordBatch.from_pydict({"node": [], "token": [], "fp": []}, _POSTS)])
+            token, end = rows.column("token").to_numpy(), rows.num_rows
+            goes_on = None
+            if batch is not None and end:
+                last = int(np.searchsorted(token, token[-1]))
+                if end - last > VALUE_TEXTS:
+                    goes_on = token[-1]
+                else:
+                    end = last
+            rest = rows.slice(end).combine_chunks().to_batches()
+            rest = rest[0] if rest else None
+            rows, token = rows.slice(0, end), token[:end]
+            if not end:
+                continue
+            node = rows.column("node").to_numpy()
+            words = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u8").reshape(end, -1)
+            kept = _near_another(token, words) | (token == goes_on) | (token == whole[0])
+            node, token = node[kept], token[kept]
+            _, first, place = np.unique(token, return_index=True, return_inverse=True)
+            centre = np.where(token == whole[0], whole[1], node[first][place]) if whole[0] is not None else node[first][place]
+            whole = (goes_on, centre[-1]) if goes_on is not None else (None, None)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(token), pa.array(centre.astype(np.int64))], names=["node", "token", "centre"])
+
+    dealt = posts.repartition("token").sortWithinPartitions("token", F.xxhash64("node"), "node")
+    return dealt.select("node", "token", "fp").mapInArrow(run, "node long, token long, centre long")
+
+
 def _token_sets(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,8 +299,11 @@ def _by_blocks(posts: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame
     blocks = _keys(nodes.groupBy("name").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_HASHES, F.count(F.lit(1)) / BLOCK_TEXTS)).alias("blocks")).filter("blocks > 1"))
     block = F.xxhash64("name", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
     placed = nodes.join(blocks, "name", "left").withColumn("block", block).drop("name", "blocks")
-    # The values of the balls are made once more, now with the block, for the few sets of blocks in which they lie.
-    met = _entries(placed, "block", "root").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_sort(F.collect_set("block")).alias("met"))
+    # A text's block stands beside its values for a moment, so that a window tells it to them; what is kept are the few sets of blocks that share a value.
+    none = F.lit(None).cast("long")
+    marked = posts.select("node", "token", "root", none.alias("block")).unionByName(placed.select("node", none.alias("token"), "root", "block"))
+    marked = marked.withColumn("block", F.expr("max(block) over (partition by node)")).filter("token is not null")
+    met = marked.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_sort(F.collect_set("block")).alias("met"))
     met = met.filter("low < high").select("met").distinct()
     ends = met.withColumn("one", F.explode("met")).withColumn("two", F.explode(F.filter("met", lambda b: b >= F.col("one"))))
     met = _keys(ends.select("one", "two").distinct())
@@ -282,10 +346,10 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
     meet in a segment are joined by a chain of links."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets reach the bound only as equals
     wide, n = _held(nodes.filter(F.col("size") >= least), TEXTS_A_TASK)
-    # One exchange: where values lie, meetings are counted and get a centre; values of one text alone leave.
-    centre = F.expr("min(struct(xxhash64(node) as place, node)) over (partition by token)")
-    posts = _entries(wide, "node").repartition("token").withColumn("n", F.expr("count(1) over (partition by token)")).withColumn("c", centre)
-    posts = cut(posts.filter("n > 1").select("node", "token", F.col("c.node").alias("centre")))
+    # Values of one text alone leave where they are counted; only the others get fingerprints.
+    posts = _entries(wide, "node").repartition("token").withColumn("n", F.expr("count(1) over (partition by token)")).filter("n > 1")
+    prints = wide.select("node", "fp")
+    posts = cut(_met(posts.join(F.broadcast(prints) if n <= FEW_PRINTS else prints, "node")))
     bits = " + ".join(f"bit_count(a_fp[{i}] ^ b_fp[{i}])" for i in range(SEGMENTS // 2))
     words = F.array(*(F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(SEGMENTS // 2)))
 
@@ -316,7 +380,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, shingl
     named = posts.join(F.broadcast(roots) if n <= FEW else roots, posts["node"] == roots["linked"], "left").select("node", "token", F.coalesce("root", "node").alias("root"))
     # A value whose texts are all joined has done its work.
     ends = named.withColumn("low", F.expr("min(root) over (partition by token)")).withColumn("high", F.expr("max(root) over (partition by token)"))
-    apart = ends.filter("low < high").select("node", "token", "root")
+    apart = cut(ends.filter("low < high").select("node", "token", "root"))
     return found.union(_by_blocks(apart, wide.select("node", "size", "fp", "unsure"), sets_of, percent))
 
 
