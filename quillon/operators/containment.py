@@ -21,6 +21,10 @@ PIECE = 1 << 12
 MOST = 1 << 20
 #: Kinds of at most so many small keys are broadcast together; for others both sides are dealt out.
 FEW = 300_000
+#: The column of ``holders`` with the key that is held.
+HELD = "__small"
+#: The sieve of parts that are looked for: bits for each small key, marks that a part has, and the least and greatest size as a power of two.
+BITS, MARKS, SIEVE = 8, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93), (15, 28)
 
 
 def _kind(n: Column) -> Column:
@@ -104,18 +108,71 @@ def _counts(keys: DataFrame, kinds: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
+def _marks(value: np.ndarray, kind: int, power: int) -> Iterator[np.ndarray]:
+    """The places of parts of a kind in a sieve of 2^power bits."""
+    mixed = _mixed(value + np.uint64(kind << 56))
+    mixed ^= mixed >> np.uint64(32)
+    for mark in MARKS:
+        yield (mixed * np.uint64(mark) >> np.uint64(64 - power)).astype(np.int64)
+
+
+def _sieved(sieve: np.ndarray, value: np.ndarray, kind: int) -> np.ndarray:
+    """Which parts may be among those that the sieve was made of; none of these is missed."""
+    out = np.ones(len(value), bool)
+    for at in _marks(value, kind, len(sieve).bit_length() + 2):
+        out &= sieve[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+    return out
+
+
+def _sieve(sought: DataFrame, n: int) -> np.ndarray:
+    """A sieve of the parts (__kind, __by) that ``n`` keys look for. Tasks send the pieces that they have marks in, which are joined by piece; its size ends at 2^28 bits,
+    beyond which it lets more through, no more."""
+    low, high = SIEVE
+    power = min(high, max(low, (BITS * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << power - 3, np.uint8)
+        for batch in batches:
+            kind, value = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for k in np.unique(kind).tolist():
+                for at in _marks(value[kind == k], k, power):
+                    np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        cells = bits.reshape(-1, PIECE)
+        some = np.flatnonzero(cells.any(axis=1)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([cells[i].tobytes() for i in some], pa.binary())], names=["at", "bits"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()])
+        return group.slice(0, 1).set_column(1, "bits", pa.array([bits.tobytes()], pa.binary()))
+
+    out = np.zeros(1 << power - 3, np.uint8)
+    for r in sought.select("__kind", "__by").mapInArrow(run, "at int, bits binary").groupBy("at").applyInArrow(joined, "at int, bits binary").collect():
+        out[r["at"] * PIECE : (r["at"] + 1) * PIECE] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def contained(small: DataFrame, small_key: str, big: DataFrame, big_key: str) -> DataFrame:
-    """Pairs of rows of which the big key holds the small one; empty and null keys meet nothing.
+    """Pairs of rows of which the big key holds the small one; empty and null keys meet nothing. The small rows are kept in the shared folder, so that what they come from
+    runs once."""
+    rows = kept(small.filter(F.length(small_key) > 0), "small")
+    met = holders(rows.select(small_key), big, big_key)
+    return rows.join(met, rows[small_key] == met[HELD]).drop(HELD)
+
+
+def holders(small: DataFrame, big: DataFrame, big_key: str) -> DataFrame:
+    """Rows of ``big`` and, in the column ``HELD``, each distinct key among the one column of ``small`` that their key holds; empty and null keys meet nothing.
 
     A small key looks for the one of its parts of 8 bytes that the fewest big keys have, so that a part that all names share ("GB/T", a year) brings nobody
     together; what meets is then compared in full. A shorter key does so with shorter parts. Parts are counted in a table of ``SLOTS`` places over all big keys,
     which steers the choice alone. A part that comes first in a whole small key comes first in any few neighbours of it, in the big key too: so a big key sends
-    only the parts that come first among so many neighbours, and only of the kinds that small keys have. While the query is built, the distinct small keys are kept in
-    the shared folder and the big side is read once for the counts; they make a table of fixed size on the driver and in each task.
+    only the parts that come first among so many neighbours, only of the kinds that small keys have, and only those that a sieve of the parts looked for lets through.
+    While the query is built, the distinct small keys are kept in the shared folder and the big side is read once for the counts; they and the sieve make tables of
+    bounded size on the driver and in each task.
     """
     spark, columns = big.sparkSession, big.columns
     ship(spark)
-    keys = kept(small.filter(F.length(small_key) > 0).select(F.col(small_key).alias("__small")).distinct().withColumn("__kind", _kind(F.octet_length("__small"))), "contained")
+    key = F.col(f"`{small.columns[0]}`")
+    keys = kept(small.filter(F.length(key) > 0).select(key.alias(HELD)).distinct().withColumn("__kind", _kind(F.octet_length(HELD))), "contained")
     found = {r["__kind"]: r["count"] for r in keys.groupBy("__kind").count().collect()}
     known = big.filter(F.length(big_key) > 0)
     tables = spark.sparkContext.broadcast(_counts(known.select(F.col(big_key).alias("__big")), sorted(found)) if found else {})
@@ -131,7 +188,7 @@ def contained(small: DataFrame, small_key: str, big: DataFrame, big_key: str) ->
                     low[some] = np.minimum.reduceat(rank, first[some])
                     at = np.flatnonzero((rank == low[row]) & (kind[row] == k))[::-1]
                     by[row[at]] = value[at]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(by.view(np.int64))], names=["__small", "__kind", "__by"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(by.view(np.int64))], names=[HELD, "__kind", "__by"])
 
     def spread(kinds: list[int]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +197,7 @@ def contained(small: DataFrame, small_key: str, big: DataFrame, big_key: str) ->
                     for k in kinds:
                         value, row, _ = _parts(data, ends, KINDS[k][1])
                         at = np.flatnonzero(_least(_rank(value, tables.value[k]), row, KINDS[k][2]))
+                        at = at[_sieved(sieve.value, value[at], k)]
                         at = at[np.lexsort((value[at], row[at]))]
                         row, value = row[at], value[at]
                         new = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))[: len(at)]  # of a part that a key has twice, one
@@ -148,13 +206,15 @@ def contained(small: DataFrame, small_key: str, big: DataFrame, big_key: str) ->
 
         return run
 
+    wanted = lambda kinds: keys.filter(F.col("__kind").isin(kinds)).mapInArrow(sought, f"{HELD} string, __kind int, __by long")
+    sieve = spark.sparkContext.broadcast(_sieve(wanted(sorted(found)), sum(found.values())) if found else None)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.schema)
-    met = big.limit(0).withColumn("__small", F.lit(None).cast("string"))
+    met = big.limit(0).withColumn(HELD, F.lit(None).cast("string"))
     few = sorted(k for k in found if found[k] <= FEW)
     for kinds in (few, sorted(set(found) - set(few))):
         if kinds:
-            asked = keys.filter(F.col("__kind").isin(kinds)).mapInArrow(sought, "__small string, __kind int, __by long")
+            asked = wanted(kinds)
             placed = known.select(F.col(big_key).alias("__big"), *big.columns).mapInArrow(spread(kinds), f"{types}, __of int, __part long")
-            pairs = placed.join(F.broadcast(asked) if kinds == few else asked, F.expr("__by = __part and __kind = __of")).filter(F.col(big_key).contains(F.col("__small")))
-            met = met.unionByName(pairs.select(*big.columns, "__small"))
-    return small.join(met, small[small_key] == met["__small"]).drop("__small")
+            pairs = placed.join(F.broadcast(asked) if kinds == few else asked, F.expr("__by = __part and __kind = __of")).filter(F.col(big_key).contains(F.col(HELD)))
+            met = met.unionByName(pairs.select(*big.columns, HELD))
+    return met

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import codes
-from quillon.operators.containment import contained
+from quillon.operators.containment import HELD, contained, holders
+from quillon.session import kept as written
 from quillon.sinks import snapshots
 
 #: Seconds for which a kept inventory is taken as it is.
@@ -62,13 +63,24 @@ def by_name(names: DataFrame, listing: DataFrame) -> DataFrame:
     return names.join(first, F.lower(names["file_name"]) == F.col("__name"), "left").drop("__name")
 
 
-def holding_code(standards: DataFrame, listing: DataFrame, most: int = 10) -> DataFrame:
-    """Standards and the paths whose name holds their code, the first ``most`` by path. Codes of under four characters find none."""
+def code_key(code: Column) -> Column:
+    """What of a code is looked for in names; null for codes of under four characters, which find none."""
+    key = codes.compact_key(code)
+    return F.when(F.length(key) >= 4, key)
+
+
+def held(keys: DataFrame, listing: DataFrame, most: int) -> DataFrame:
+    """Each distinct key of the one column and the paths (path) whose name holds it, the first ``most`` by path."""
     name = F.regexp_extract("path", "([^/]*)$", 1)
     stem = F.regexp_replace(F.upper(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")), "_[FTZX]_", "_")
-    names = listing.select("path", codes.compact_key(stem).alias("name_key"))
-    asked = standards.select("id", codes.compact_key(F.col("std_id")).alias("code_key")).filter(F.length("code_key") >= 4)
-    met = contained(asked, "code_key", names, "name_key").select("id", "path")
+    met = holders(keys, listing.select("path", codes.compact_key(stem).alias("name_key")), "name_key").select(F.col(HELD).alias(keys.columns[0]), "path")
+    return met.withColumn("__n", F.row_number().over(Window.partitionBy(keys.columns[0]).orderBy("path"))).filter(F.col("__n") <= most).drop("__n")
+
+
+def holding_code(standards: DataFrame, listing: DataFrame, most: int = 10) -> DataFrame:
+    """Standards and the paths whose name holds their code, the first ``most`` by path. Codes of under four characters find none."""
+    asked = written(standards.select("id", code_key(F.col("std_id")).alias("code_key")).filter("code_key is not null"), "asked")
+    met = asked.join(held(asked.select("code_key"), listing, most), "code_key").select("id", "path")
     return met.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("path"))).filter(F.col("n") <= most)
 
 
@@ -99,22 +111,35 @@ def _file_key(x: Column) -> Column:
 
 def resolved(requests: DataFrame, listing: DataFrame) -> DataFrame:
     """Requests (file_path, file_name) with the first path that serves them: by path, else by name. Earlier roots go first."""
-    paths = listing.groupBy(F.lower("path").alias("__path")).agg(_first_path(listing).alias("by_path"))
-    out = requests.join(paths, F.lower(requests["file_path"]) == F.col("__path"), "left").drop("__path")
-    return by_name(out, listing).withColumn("path", F.coalesce("by_path", "path")).drop("by_path")
+    return _served(requests.withColumn("__asked", F.col("file_path")), listing).withColumnRenamed("__asked", "file_path")
+
+
+def _served(requests: DataFrame, listing: DataFrame) -> DataFrame:
+    """``resolved`` without the path that was asked for. What is served by path is kept in the shared folder, and so is what is not: only that is looked up by name, and only
+    names that it asks for are dealt out, where it is small."""
+    others = [F.col(f"`{c}`") for c in requests.columns if c != "file_path"]
+    paths = listing.groupBy(F.lower("path").alias("__path")).agg(_first_path(listing).alias("path"))
+    met = written(requests.join(paths, F.lower(requests["file_path"]) == F.col("__path"), "left").select(*others, "path"), "by-path")
+    rest = written(met.filter("path is null").drop("path"), "by-name")
+    names = rest.select(F.lower("file_name").alias("__asked_name")).distinct()
+    few = listing.join(names, F.lower(F.regexp_extract("path", r"([^/]*)$", 1)) == F.col("__asked_name"), "left_semi")
+    return met.filter("path is not null").unionByName(by_name(rest, few))
 
 
 def collected(standards: DataFrame, files: DataFrame, listing: DataFrame, most: int = 10) -> DataFrame:
-    """Files of each standard: those of its own rows that the listing serves; only where there are none, those whose name holds its code."""
-    own = resolved(files, listing).filter(F.col("path").isNotNull()).select(F.col("base_id").alias("id"), "path", F.lit(0).alias("source"))
+    """Files of each standard: those of its own rows that the listing serves; only where there are none, those whose name holds its code. The former are kept in the shared
+    folder, since the latter are looked for while the query is built."""
+    found = _served(files.select(F.col("base_id").alias("id"), "file_path", "file_name"), listing).filter(F.col("path").isNotNull()).select("id", "path")
+    own = written(found.join(standards.select("id"), "id", "left_semi").dropDuplicates(["id", "path"]), "own")
     without = standards.join(own.select("id").distinct(), "id", "left_anti")
-    found = holding_code(without, listing, most).select("id", "path", F.lit(1).alias("source"))
-    return own.join(standards.select("id"), "id", "left_semi").union(found).dropDuplicates(["id", "path"])
+    other = holding_code(without, listing, most).select("id", "path").dropDuplicates(["id", "path"])
+    return own.withColumn("source", F.lit(0)).union(other.withColumn("source", F.lit(1)))
 
 
 def first_served(standards: DataFrame, files: DataFrame, listing: DataFrame) -> DataFrame:
     """id and path of each standard's first file, by name, that the listing has; standards without one have no row."""
-    own = resolved(files.join(standards.select(F.col("id").alias("base_id")), "base_id", "left_semi"), listing).filter(F.col("path").isNotNull())
+    asked = files.join(standards.select(F.col("id").alias("base_id")), "base_id", "left_semi").select("base_id", "id", "file_path", "file_name")
+    own = _served(asked, listing).filter(F.col("path").isNotNull())
     return own.groupBy(F.col("base_id").alias("id")).agg(F.min(F.struct("file_name", F.col("id").alias("file_id"), "path")).alias("p")).select("id", "p.path")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.search import with_keys
+from quillon.session import kept
 
 GROUPS = [("fasteners", "bolt group", ["bolt", "ring", "gear"]), ("gadgets", "widget group", ["widget", "gizmo"]), ("flat", "plate", ["plate", "sheet"])]
 WORDS = ["bolt", "ring", "gear", "widget", "gizmo", "plate"]
@@ -31,12 +32,17 @@ def standards(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """Files of the standards. Rows are made one by the numbers that names and paths are made of, which are null wherever these are; with ``once`` they are kept in
+    the shared folder, for queries that read files again and again."""
+    known = F.expr("l_orderkey is not null and l_linenumber is not null and l_suppkey is not null")
+    numbers = [F.when(known, F.col(c)).alias(c) for c in ("l_linenumber", "l_suppkey", "l_linestatus")]
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select("l_orderkey", *numbers).distinct()
     name = F.concat(F.lit("GBT"), "l_orderkey", F.lit("_"), "l_linenumber", F.lit("_"), "l_suppkey", F.lit(".pdf"))
-    return table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(
+    return (kept(lines, "files") if once else lines).select(
         (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey") * 20 + F.col("l_linenumber") + F.when(F.col("l_linestatus") == "F", 10).otherwise(0)).alias("id"), F.col("l_orderkey").alias("base_id"),
         F.concat("l_linestatus", F.lit("/"), name).alias("file_path"), name.alias("file_name"),
-    ).distinct()
+    )
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:

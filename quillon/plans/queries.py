@@ -702,8 +702,8 @@ def display_paths(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables("std", "files") + """, o AS (SELECT base_id AS id, file_path AS path FROM files WHERE base_id % 2 = 0), f AS (SELECT base_id AS id, file_path AS path, row_number() OVER (PARTITION BY base_id ORDER BY file_path) AS n FROM files WHERE base_id % 2 = 1)
     SELECT id, min(path) AS path, min(source) AS source FROM (SELECT id, path, 0 AS source FROM o UNION ALL SELECT id, path, 1 FROM f) GROUP BY id""")
 def picked_files(spark: SparkSession, d: str) -> DataFrame:
-    files = B.files(spark, d)
-    standards = files.select(F.col("base_id").alias("id"), F.concat(F.lit("GB/T "), "base_id", F.lit("_")).alias("std_id")).distinct()
+    files = B.files(spark, d, once=True)
+    standards = files.select(F.col("base_id").alias("id")).distinct().withColumn("std_id", F.concat(F.lit("GB/T "), "id", F.lit("_")))
     own = files.filter("base_id % 2 = 0").select("base_id", "file_path", F.upper("file_name").alias("file_name"))
     return found.picked(found.collected(standards, own, files.select(F.col("file_path").alias("path"))))
 

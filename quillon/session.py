@@ -28,7 +28,7 @@ def ship(spark: SparkSession) -> None:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The rows as they were written to the shared folder, so that what depends on chance, as ranges do, is the same at every reading."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
