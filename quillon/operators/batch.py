@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import codes, display
 from quillon.operators import files as found
+from quillon.session import kept
 
 MOST_ROWS, HEADER_ROWS, CODE_ROWS = 400, 25, 40
 # How uploads name their columns, and what a code in a cell looks like.
@@ -77,7 +78,12 @@ def _blank() -> Column:
 
 
 def standard_of(asked: DataFrame, base: DataFrame) -> DataFrame:
-    """row, base_id and std_id of the standard that each request (row, query) names; requests that name none have no row.
+    """row, base_id and std_id of the standard that each request (row, query) names; requests that name none have no row."""
+    return with_standard(asked, base).filter("std_id is not null").select("row", "base_id", "std_id")
+
+
+def with_standard(asked: DataFrame, base: DataFrame) -> DataFrame:
+    """Requests (row, query) with base_id and std_id of the standard that each names, or nulls. They are kept in the shared folder.
 
     All spellings of a code have one compact key, by which requests and standards meet in one equi join with a row a key. Where a key belongs to one standard, that
     is it. Only where it belongs to several are the spellings worked out: of these the one of the better tier (a spelling of the code, then its normal key,
@@ -85,45 +91,52 @@ def standard_of(asked: DataFrame, base: DataFrame) -> DataFrame:
     """
     known = base.select("id", "std_id", "std_id_norm", codes.compact_key(F.col("std_id")).alias("c")).filter("c is not null")
     one = known.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "std_id")).alias("first"))
-    met = asked.filter(~_blank()).select("row", "query", codes.compact_key(F.col("query")).alias("c")).join(one, "c")
-    single = met.filter("n = 1").select("row", F.col("first.id").alias("base_id"), F.col("first.std_id").alias("std_id"))
+    met = asked.select("row", "query", F.when(~_blank(), codes.compact_key(F.col("query"))).alias("c")).join(one, "c", "left")
+    rival = F.col("n") > 1
+    told = kept(met.select("row", "query", F.when(rival, F.col("c")).alias("c"), F.when(~rival, F.col("first.id")).alias("base_id"), F.when(~rival, F.col("first.std_id")).alias("std_id")), "requests")
 
-    rivals = known.join(one.filter("n > 1").select("c"), "c", "left_semi").groupBy("c", "std_id", "std_id_norm").agg(F.min("id").alias("id"))
-    pairs = met.filter("n > 1").select("row", "query", "c").join(rivals, "c")
+    several = kept(told.filter("c is not null").select("row", "query", "c"), "rivals")
+    asks = several.select("query", "c").distinct()
+    rivals = known.join(asks.select("c").distinct(), "c", "left_semi").groupBy("c", "std_id", "std_id_norm").agg(F.min("id").alias("id"))
     spelt = lambda vs: F.array_contains(vs, F.col("std_id")) | F.coalesce(F.array_contains(F.transform(vs, codes.norm_key), F.col("std_id_norm")), F.lit(False))
     tier = F.when(codes.let(codes.lookup_variants(F.col("query")), spelt), 0).when(F.col("std_id_norm") == codes.norm_key(F.col("query")), 1).otherwise(2)
-    best = pairs.groupBy("row").agg(F.min(F.struct(tier.alias("tier"), "id", "std_id")).alias("best"))
-    return single.unionByName(best.select("row", F.col("best.id").alias("base_id"), F.col("best.std_id").alias("std_id")))
+    best = asks.join(rivals, "c").groupBy("query").agg(F.min(F.struct(tier.alias("tier"), "id", "std_id")).alias("best"))
+    picked = several.join(best, "query").select("row", "query", F.col("best.id").alias("base_id"), F.col("best.std_id").alias("std_id"))
+    return told.filter("c is null").drop("c").unionByName(picked)
 
 
 def reconciled(asked: DataFrame, base: DataFrame, files: DataFrame) -> DataFrame:
     """One row a request (row, query): the standard it names, its first file in the catalogue, and a status. What lies on disk is not asked."""
-    best = standard_of(asked, base)
-    first = files.join(best.select("base_id").distinct(), "base_id", "left_semi").groupBy("base_id").agg(F.min(F.struct("file_name", "id")).alias("f")).select("base_id", F.col("f.file_name").alias("file_name"))
-    out = asked.join(best, "row", "left").join(first, "base_id", "left")
+    told = with_standard(asked, base)
+    first = files.join(told.select("base_id").distinct(), "base_id", "left_semi").groupBy("base_id").agg(F.min(F.struct("file_name", "id")).alias("f")).select("base_id", F.col("f.file_name").alias("file_name"))
+    out = _where(told, "base_id", first)
     status = F.when(_blank(), "empty").when(F.col("base_id").isNull(), "not_found").when(F.col("file_name").isNull(), "no_pdf").otherwise("ok")
     named = out.withColumn("status", status)
     return named.select("row", "query", "status", "base_id", "std_id", "file_name", F.when(F.col("status") == "ok", display.safe_name(F.col("std_id"), F.col("file_name"))).alias("zip_name"))
 
 
+def _where(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """A left join by a key that many rows lack: those stay where they are, so that they do not meet in one task."""
+    return rows.filter(F.col(key).isNotNull()).join(found, key, "left").unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def served(asked: DataFrame, base: DataFrame, files: DataFrame, listing: DataFrame) -> DataFrame:
     """One row a request (row, query): the standard it names, the path that serves it, where that comes from, and a status.
 
     ``source`` is index for a file of the catalogue that the listing (path) has, by path or by name, the first by name; disk for a listed file
     whose name holds the standard's code, where the catalogue's files are missing; disk_only for one whose name holds the code asked for, where no
-    standard is known. The names of the listing are taken apart once for both.
+    standard is known. The names of the listing are taken apart once for both. Requests with their standards, and then with their files of the catalogue, are kept in
+    the shared folder.
     """
-    best = standard_of(asked, base)
-    own = found.first_served(best.select(F.col("base_id").alias("id")).distinct(), files, listing).select(F.col("id").alias("base_id"), "path")
-    out = asked.join(best, "row", "left").join(own, "base_id", "left")
-    code = F.when(F.col("path").isNull() & ~_blank(), F.coalesce("std_id", codes.strip(F.col("query"))))
-    out = out.withColumn("code", code)
-    sought = out.filter("code is not null").select(F.col("code").alias("id"), F.col("code").alias("std_id")).distinct()
-    other = found.holding_code(sought, listing, 1).select(F.col("id").alias("code"), F.col("path").alias("other"))
-    out = out.join(other, "code", "left")
+    told = with_standard(asked, base)
+    own = found.first_served(told.filter("base_id is not null").select(F.col("base_id").alias("id")).distinct(), files, listing).select(F.col("id").alias("base_id"), "path")
+    key = F.when(F.col("path").isNull() & ~_blank(), found.code_key(F.coalesce("std_id", codes.strip(F.col("query")))))
+    out = kept(_where(told, "base_id", own).withColumn("code_key", key), "served")
+    other = found.held(out.filter("code_key is not null").select("code_key"), listing, 1).withColumnRenamed("path", "other")
+    out = _where(out, "code_key", other)
     known, hit = F.col("base_id").isNotNull(), F.col("other").isNotNull()
     source = F.when(F.col("path").isNotNull(), "index").when(hit & known, "disk").when(hit, "disk_only")
-    out = out.withColumns({"source": source, "path": F.coalesce("path", "other"), "std_id": F.coalesce("std_id", F.when(hit, F.col("code")))})
+    out = out.withColumns({"source": source, "path": F.coalesce("path", "other"), "std_id": F.coalesce("std_id", F.when(hit, codes.strip(F.col("query"))))})
     status = F.when(_blank(), "empty").when(F.col("path").isNotNull(), "ok").when(~known, "not_found").otherwise("no_pdf")
     name = F.regexp_extract("path", "([^/]*)$", 1)
     return out.select("row", "query", status.alias("status"), "source", "base_id", "std_id", "path", name.alias("file_name"), F.when(F.col("path").isNotNull(), display.safe_name(F.col("std_id"), name)).alias("zip_name"))

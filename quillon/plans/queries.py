@@ -466,7 +466,7 @@ def upload_meta(spark: SparkSession, d: str) -> DataFrame:
 
 def _on_disk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files, standards and a listing that lacks the files of some standards, has copies under other names for a part of these, and holds files of unknown codes."""
-    files, std, o = B.files(spark, d), B.standards(spark, d), B.table(spark, d, "orders")
+    files, std, o = B.files(spark, d, once=True), B.standards(spark, d), B.table(spark, d, "orders")
     odd = o.filter("o_orderkey % 10 = 0").select(F.concat(F.lit("scan/GBT"), F.col("o_orderkey") + 100_000_000, F.lit("-"), F.year("o_orderdate"), F.lit(".pdf")).alias("path"))
     stray = std.filter("id % 24 = 1").select(F.concat(F.lit("scan/no "), F.upper(F.replace("std_id", F.lit("/"), F.lit(""))), F.lit(" copy.pdf")).alias("path"))
     return files, std, files.filter("base_id % 3 <> 0 and base_id % 8 <> 1").select(F.col("file_path").alias("path")).union(odd).union(stray)
