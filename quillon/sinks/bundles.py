@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import ship
+from quillon.session import kept, ship
 from quillon.sinks import snapshots
 from quillon.sinks.export import below
 
@@ -36,12 +36,17 @@ def message(status: Column) -> Column:
 
 def planned(results: DataFrame) -> DataFrame:
     """Results (row, status, zip_name, ...) with ``zip_entry``, null where nothing is packed: the file's name led by its row, in one folder. Rows are
-    numbers of requests; should one come twice with the same name, the later gets _2, _3 ... before its suffix."""
+    numbers of requests; should one come twice with the same name, the later gets _2, _3 ... before its suffix. Results are kept in the shared folder, and only those
+    of rows that come twice are dealt out to be numbered."""
+    results = kept(results, "results")
+    again = kept(results.groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row"), "rows-again")
+    met = lambda how: results.join(again, results["row"].eqNullSafe(again["__row"]), how)
     name = F.concat(F.lpad(F.col("row").cast("string"), F.greatest(F.lit(3), F.length(F.col("row").cast("string"))), F.lit("0")), F.lit("_"), F.col("zip_name"))
     others = [F.col(f"`{c}`") for c in results.columns if c not in ("row", "zip_name")]
     twice = F.row_number().over(Window.partitionBy("row", "zip_name").orderBy(*others))
     numbered = F.when(F.col("__n") == 1, name).otherwise(F.concat(F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""), F.lit("_"), F.col("__n"), F.regexp_extract(name, r".(\.[^.]+)$", 1)))
-    return results.withColumn("__n", twice).withColumn("zip_entry", F.when(F.col("status") == "ok", F.concat(F.lit(f"{FOLDER}/"), numbered))).drop("__n")
+    counted = met("left_anti").withColumn("__n", F.lit(1)).union(met("left_semi").withColumn("__n", twice))
+    return counted.withColumn("zip_entry", F.when(F.col("status") == "ok", F.concat(F.lit(f"{FOLDER}/"), numbered))).drop("__n")
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
